@@ -21,6 +21,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from breakwater.functions.hof import let
 from breakwater.llm.pretokens import read_ranks, with_pretokens, word_slices
 
 LONG = 400
@@ -55,18 +56,13 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def _let(value: Column, kind: str, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
-
-
 def _rank(piece: Column, keys: Column, ranks: Column) -> Column:
     def find(x: Column) -> Column:
         low = x.bitwiseAND(F.lit(_MASK)).cast("int")
         high = F.shiftrightunsigned(x, 15).cast("int")
         return F.when(F.get(keys, low) == piece, F.get(ranks, low)).when(F.get(keys, high) == piece, F.get(ranks, high))
 
-    return _let(F.crc32(piece), "int", find)
+    return let(F.crc32(piece), "int", find)
 
 
 def _encode(word: Column, keys: Column, ranks: Column) -> Column:
@@ -95,14 +91,14 @@ def _encode(word: Column, keys: Column, ranks: Column) -> Column:
             )
 
         kind = "struct<starts:array<int>,pairs:array<int>>"
-        return _let(F.array_min(pairs), kind, lambda least: F.when(least.isNull(), state).otherwise(_let(F.array_position(pairs, least).cast("int"), kind, merged)))
+        return let(F.array_min(pairs), kind, lambda least: F.when(least.isNull(), state).otherwise(let(F.array_position(pairs, least).cast("int"), kind, merged)))
 
     n = F.octet_length(word)
     pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
     start = F.struct(F.sequence(F.lit(1), n + 1).alias("starts"), pairs.alias("pairs"))
     ids = lambda starts: F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: rank(span(starts, i - 1, i)))
-    fold = _let(F.aggregate(F.sequence(F.lit(2), n), start, step)["starts"], "array<int>", ids)
-    return F.when(n == 0, empty).otherwise(_let(rank(word), "array<int>", lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.when(n > 1, fold).otherwise(none))))
+    fold = let(F.aggregate(F.sequence(F.lit(2), n), start, step)["starts"], "array<int>", ids)
+    return F.when(n == 0, empty).otherwise(let(rank(word), "array<int>", lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.when(n > 1, fold).otherwise(none))))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -171,7 +167,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     def word(t: Column):
         def of(w: Column) -> Column:
             ids = _encode(w, t["keys"], t["ranks"])
-            return _let(ids, "struct<ids:string,bytes:binary>", lambda x: F.struct(F.array_join(x.cast("array<string>"), ",").alias("ids"), F.aggregate(x, F.lit(b""), lambda a, i: F.concat(a, F.get(t["pieces"], i))).alias("bytes")))
+            return let(ids, "struct<ids:string,bytes:binary>", lambda x: F.struct(F.array_join(x.cast("array<string>"), ",").alias("ids"), F.aggregate(x, F.lit(b""), lambda a, i: F.concat(a, F.get(t["pieces"], i))).alias("bytes")))
 
         return of
 

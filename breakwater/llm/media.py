@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 RATE = 8000
 PACKET = 4096
 _FLIP = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
-_HEAD = struct.Struct("<4sBBqIIIB")
+_HEAD = "<4sBBqIIIB"
 CONTINUED, FIRST, LAST = 1, 2, 4
 SAMPLES, NOTES = 1, 2
 
@@ -42,7 +42,7 @@ def pages(serial: int, packets: list[tuple[bytes, int]], most: int = 64) -> Iter
         size = sum(table)
         granule = next((ends[i] for i in range(k + len(table) - 1, k - 1, -1) if i in ends), -1)
         flags = (CONTINUED if k and lacing[k - 1] == 255 else 0) | (FIRST if not k else 0) | (LAST if k + most >= len(lacing) else 0)
-        page = _HEAD.pack(b"OggS", 0, flags, granule, serial, sequence, 0, len(table)) + table + body[at : at + size]
+        page = struct.pack(_HEAD, b"OggS", 0, flags, granule, serial, sequence, 0, len(table)) + table + body[at : at + size]
         at += size
         yield page[:22] + struct.pack("<I", checksum(page)) + page[26:]
 
@@ -62,7 +62,7 @@ def read_pages(stored: bytes) -> Iterator[tuple[int, int, int, int, bytes, memor
     """
     at, view = 0, memoryview(stored)
     while (at := stored.find(b"OggS", at)) >= 0 and at + 27 <= len(stored):
-        _, version, flags, granule, serial, sequence, crc, n = _HEAD.unpack_from(stored, at)
+        _, version, flags, granule, serial, sequence, crc, n = struct.unpack_from(_HEAD, stored, at)
         table = stored[at + 27 : at + 27 + n]
         end = at + 27 + n + sum(table)
         if version or len(table) < n or end > len(stored) or checksum(b"".join((view[at : at + 22], b"\0\0\0\0", view[at + 26 : end]))) != crc:

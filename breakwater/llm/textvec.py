@@ -82,13 +82,26 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, at)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1 + seed)) * up[:-1], out=total[1:])
-    x = (total[ends] - total[starts]) * down[starts]
-    return mix(x + (ends - starts).astype(np.uint64) * _STEP)
+class Spans:
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand; the running sums are made once."""
+
+    def __init__(self, raw: np.ndarray):
+        up, self.down = powers(len(raw) + 1)
+        self.total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Spans(raw)(starts, ends)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting (much faster here than hashing)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
