@@ -14,9 +14,9 @@ from breakwater.functions.hof import let
 WIDTH = 3
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), text.alias("__text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), text.alias("__text"), *more)
 
 
 def _windows(text: Column, width: int) -> Column:
@@ -46,9 +46,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty line and lose nothing. Rows that repeat both id and text are one document and give equal rows; rows that share an id
     with different texts are different documents, told apart by a hash of the text.
     """
-    keyed = _keyed(docs, id_col, text_col).withColumn("__key", F.xxhash64("__text"))
-    split = keyed.select("__id", "__key", _windows(F.col("__text"), width).alias("w"))
-    found = split.where("size(w) > 0").select("__id", "__key", F.explode("w").alias("w")).select("__id", "__key", "w.at", "w.h1", "w.h2")
+    out = _cleaned(_keyed(docs, id_col, text_col), width)
+    digest = F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256")
+    return out.select(F.col("__id").alias("doc_id"), "n_lines", "n_removed", *([F.col("__kept").alias("text")] if keep_text else []), digest)
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with all its columns, its texts without the lines that ``dedup_lines`` removes; untouched texts stay as they are."""
+    keyed = _keyed(docs, id_col, text_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    out = _cleaned(keyed, width, "__row")
+    text = F.when(F.col("n_removed") > 0, F.col("__kept")).otherwise(F.col("__row").getField(text_col))
+    return out.select(*(text.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns))
+
+
+def _cleaned(keyed: DataFrame, width: int, *more: str) -> DataFrame:
+    """Each row of ``keyed`` with ``n_lines``, ``n_removed`` and the text left, ``__kept``."""
+    keyed = keyed.withColumn("__key", F.xxhash64("__text"))
+    windows = keyed.select("__id", "__key", _windows(F.col("__text"), width).alias("w"))
+    found = windows.where("size(w) > 0").select("__id", "__key", F.explode("w").alias("w")).select("__id", "__key", "w.at", "w.h1", "w.h2")
     place = F.struct("__id", "__key", "at")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT (first <=> last)").select("h1", "h2", "first")
     later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
@@ -58,9 +73,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split("__text", "\n")
     left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone"))
     rest = let(lines, "string", lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
-    kept = F.when(F.col("starts").isNull(), F.col("__text")).otherwise(rest)
-    out = joined.select(F.col("__id").alias("doc_id"), "__text", F.col("starts"), F.when(F.col("starts").isNotNull(), gone).alias("gone"))
-    out = out.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("text"))
-    out = out.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    digest = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
-    return out.select("doc_id", "n_lines", "n_removed", *(["text"] if keep_text else []), digest)
+    joined = joined.select("__id", "__text", *more, F.when(F.col("starts").isNotNull(), gone).alias("gone"))
+    n_removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    kept = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(rest)
+    return joined.select("__id", *more, F.size(lines).cast("long").alias("n_lines"), n_removed.alias("n_removed"), kept.alias("__kept"))
