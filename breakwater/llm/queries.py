@@ -74,7 +74,7 @@ w AS (SELECT doc_id, p, array_to_string(l[p + 1:p + {linededup.WIDTH}], chr(10))
 ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w WHERE length(s) >= {linededup.WIDTH}),
 gone AS (SELECT doc_id, list_distinct(flatten(list(range(p, p + {linededup.WIDTH})))) AS g FROM ranked WHERE k > 1 GROUP BY doc_id),
 out AS (SELECT doc_id, l, coalesce(g, []) AS g FROM lines LEFT JOIN gone USING (doc_id)),
-kept AS (SELECT doc_id, l, g, coalesce(array_to_string(list_filter(list_transform(range(0, len(l)), i -> CASE WHEN list_contains(g, i) THEN NULL ELSE l[i + 1] END), x -> x IS NOT NULL), chr(10)), '') AS t FROM out)
+kept AS (SELECT doc_id, l, g, coalesce(array_to_string(list_filter(list_transform(range(0, len(l)), lambda i: CASE WHEN list_contains(g, i) THEN NULL ELSE l[i + 1] END), lambda x: x IS NOT NULL), chr(10)), '') AS t FROM out)
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(g) AS BIGINT) AS n_removed, sha256(t) AS kept_sha256 FROM kept
 """
 
