@@ -1,4 +1,409 @@
-"""Queries by name."""
+"""The engine's queries by name over deterministic views of the driver's tables, and the SQL that states the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from breakwater.functions import cigar as C
+from breakwater.functions import scalar as S
+from breakwater.operators import calls as K
+from breakwater.operators import callsets as V
+from breakwater.operators import intervals as I
+from breakwater.operators import pileup as P
+from breakwater.operators import reads as R
+
+#: Alignments made from order lines; the same text runs in Spark and in DuckDB.
+READS = """
+WITH x AS (
+  SELECT l_orderkey, l_returnflag, l_linestatus,
+         CAST(round(l_discount*100) AS INT) AS d, CAST(round(l_tax*100) AS INT) AS t, CAST(l_quantity AS INT) AS q,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_quantity,
+           l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate) AS rn
+  FROM lineitem)
+SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(CAST(floor((rn-1)/2.0) AS BIGINT) AS STRING)) AS read_name,
+       CAST((rn-1) % 2 + 1 AS INT) AS mate, concat('s', CAST(l_orderkey % 3 AS STRING)) AS sample, CAST(l_orderkey % 5 AS INT) AS ref_id,
+       CAST((l_orderkey % 97)*5000 + ((rn-1) % 2)*(CASE WHEN q<=3 THEN 100 WHEN q>=49 THEN 2500 ELSE 700 + 10*(q % 8) END) + 10*(t % 4) AS BIGINT) AS pos,
+       CAST(q + 10 AS INT) AS mapq,
+       CAST(1 + CASE WHEN l_linestatus='O' THEN 16 ELSE 0 END + CASE WHEN (rn-1)%2=0 THEN 64 ELSE 128 END + CASE WHEN l_returnflag='A' AND q<=2 THEN 1024 ELSE 0 END AS INT) AS flag,
+       CASE WHEN d=0 THEN '100M' WHEN d<=4 THEN concat(CAST(10+t AS STRING),'S',CAST(90-t AS STRING),'M')
+            WHEN d<=8 THEN concat(CAST(90-t AS STRING),'M',CAST(10+t AS STRING),'S') WHEN d=9 THEN '40M25D60M' ELSE '50M30I20M' END AS cigar
+FROM x
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(READS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+def kept(spark, sf_dir):
+    return R.with_cigar(R.graph_read_filter(reads(spark, sf_dir)))
+
+
+def pairs(spark, sf_dir):
+    return R.mate_pairs(kept(spark, sf_dir))
+
+
+def classes(spark, sf_dir):
+    every = pairs(spark, sf_dir)
+    return R.insert_classes(R.filtered_pairs(every), R.library_stats(every))
+
+
+def evidence(spark, sf_dir):
+    return R.insert_edges(classes(spark, sf_dir)).unionByName(R.indel_edges(kept(spark, sf_dir)))
+
+
+def edges(spark, sf_dir):
+    return K.evidence_edges(evidence(spark, sf_dir))
+
+
+def calls(spark, sf_dir):
+    from breakwater.plans.lineage import cut
+
+    e = cut(edges(spark, sf_dir))
+    return K.typed_calls(e, K.nodes(e), K.components(e))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_OPS = "list_transform(range(1, len(o) + 1), lambda i: CASE WHEN o[i] IN ({}) THEN n[i] ELSE 0 END)"
+_sum = lambda letters: "CAST(list_sum(" + _OPS.format(", ".join(f"'{c}'" for c in letters)) + ") AS INT)"
+_PAIR_COLUMNS = "ref_id pos end_pos mapq flag front front_len back back_len matched read_len reverse".split()
+_EVIDENCE = R.EVIDENCE
+_letters = lambda text, p="": " + ".join(f"{p}\"{c}\"" for c in text)
+CTE = {
+    "reads": READS,
+    "ops": "SELECT *, list_transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1), lambda x: CAST(x AS INT)) AS n, regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2) AS o FROM reads",
+    "cig": f"SELECT read_name, mate, sample, ref_id, pos, mapq, flag, cigar, n, o, pos + {_sum('MXD=N')} - 1 AS end_pos, {_sum('M')} AS matched, {_sum('MIS=X')} AS read_len, o[1] AS front, n[1] AS front_len, o[-1] AS back, n[-1] AS back_len, (flag & 16) <> 0 AS reverse FROM ops",
+    "kept": "SELECT * FROM cig WHERE (flag & 2048) = 0 AND (flag & 256) = 0 AND (flag & 1) <> 0 AND (flag & 1024) = 0 AND NOT ((flag & 4) <> 0 AND (flag & 8) <> 0)",
+    "pairs": "SELECT a.sample, a.read_name, " + ", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in _PAIR_COLUMNS) + " FROM kept a JOIN kept b ON a.sample = b.sample AND a.read_name = b.read_name AND a.mate = 1 AND b.mate = 2",
+    "stats": "SELECT sample, count(*) AS n, avg(abs(b_pos - a_pos)) AS mean, stddev_samp(abs(b_pos - a_pos)) AS sd, CAST(quantile_disc(abs(b_pos - a_pos), 0.5) AS BIGINT) AS median, greatest(0, avg(abs(b_pos - a_pos)) - 1.6 * stddev_samp(abs(b_pos - a_pos))) AS low, avg(abs(b_pos - a_pos)) + 2.5 * stddev_samp(abs(b_pos - a_pos)) AS high FROM pairs GROUP BY sample",
+    "good": """SELECT * FROM pairs WHERE (a_flag & 4) = 0 AND (b_flag & 4) = 0 AND least(a_mapq, b_mapq) >= 5 AND greatest(a_mapq, b_mapq) >= 20
+        AND NOT (a_front = 'M' AND a_front_len = a_read_len AND b_front = 'M' AND b_front_len = b_read_len) AND a_matched + b_matched >= 100
+        AND NOT (a_ref_id = b_ref_id AND CASE WHEN a_pos <= b_pos THEN a_back = 'S' AND b_front = 'S' ELSE a_front = 'S' AND b_back = 'S' END)
+        AND NOT (a_ref_id = b_ref_id AND a_pos <= b_end_pos AND b_pos <= a_end_pos AND (least(a_end_pos, b_end_pos) - greatest(a_pos, b_pos)) * 1.0 / (a_read_len + b_read_len) > 0.2)
+        AND a_ref_id = b_ref_id""",
+    "classes": """SELECT *, CASE WHEN CASE WHEN a_pos <= b_pos THEN a_reverse AND NOT b_reverse ELSE b_reverse AND NOT a_reverse END THEN 'X'
+        WHEN abs(b_pos - a_pos) > high THEN CASE WHEN a_reverse = b_reverse THEN 'M' ELSE 'H' END
+        WHEN abs(b_pos - a_pos) < low THEN CASE WHEN a_reverse = b_reverse THEN 'R' ELSE 'L' END WHEN a_reverse = b_reverse THEN 'A' END AS evidence
+        FROM good JOIN (SELECT sample, low, high FROM stats) USING (sample)""",
+    "far": """SELECT sample, a_ref_id AS seqid, evidence,
+        CASE WHEN a_front = 'S' OR a_back = 'S' THEN CASE WHEN a_back = 'S' THEN a_end_pos ELSE a_pos END WHEN b_back = 'S' THEN b_end_pos ELSE a_pos END AS a,
+        CASE WHEN (a_front = 'S' OR a_back = 'S') AND b_back = 'S' THEN b_end_pos ELSE b_pos END AS b
+        FROM classes WHERE evidence IS NOT NULL AND ((a_front = 'S' AND a_front_len >= 5) OR (a_back = 'S' AND a_back_len >= 5) OR (b_front = 'S' AND b_front_len >= 5) OR (b_back = 'S' AND b_back_len >= 5))""",
+    "inner_ops": "SELECT sample, ref_id, pos, mapq, n, o, unnest(range(1, len(o) + 1)) AS i FROM kept",
+    "within": "SELECT sample, ref_id AS seqid, o[i] AS evidence, pos + coalesce(CAST(list_sum(list_transform(range(1, i), lambda k: CASE WHEN o[k] IN ('M', 'D', 'N', '=', 'X') THEN n[k] ELSE 0 END)) AS BIGINT), 0) AS a, n[i] AS size FROM inner_ops WHERE mapq >= 30 AND o[i] IN ('I', 'D') AND n[i] >= 20",
+    "evidence": "SELECT sample, seqid, evidence, least(a, b) AS lpos, greatest(a, b) AS rpos FROM (SELECT sample, seqid, evidence, a, b FROM far UNION ALL SELECT sample, seqid, evidence, a, a + size AS b FROM within) WHERE a <> b",
+    "edges": "SELECT seqid, lpos, rpos, " + ", ".join(f"count(*) FILTER (evidence = '{c}') AS \"{c}\"" for c in _EVIDENCE) + " FROM evidence GROUP BY ALL",
+    "ends": "SELECT seqid, lpos AS pos, rpos AS other, * EXCLUDE (seqid, lpos, rpos) FROM edges UNION ALL SELECT seqid, rpos, lpos, * EXCLUDE (seqid, lpos, rpos) FROM edges",
+    "nodes": f"SELECT seqid, pos, count(*) AS degree, CAST(sum({_letters(_EVIDENCE)}) AS BIGINT) AS support FROM ends GROUP BY ALL",
+    "reach": "SELECT seqid, pos AS node, pos AS seen FROM nodes UNION SELECT r.seqid, r.node, e.other FROM reach r JOIN ends e ON r.seqid = e.seqid AND r.seen = e.pos",
+    "comps": "SELECT seqid, pos, component, count(*) OVER (PARTITION BY seqid, component) AS size FROM (SELECT seqid, node AS pos, min(seen) AS component FROM reach GROUP BY ALL)",
+    "scored": "SELECT e.seqid, e.lpos, e.rpos, c.component, c.size, l.support + r.support AS score FROM edges e JOIN comps c ON e.seqid = c.seqid AND e.lpos = c.pos JOIN nodes l ON e.seqid = l.seqid AND e.lpos = l.pos JOIN nodes r ON e.seqid = r.seqid AND e.rpos = r.pos WHERE c.size BETWEEN 3 AND 200",
+    "best": "SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY seqid, component ORDER BY score DESC, lpos, rpos) AS k FROM scored) WHERE k = 1",
+    "touch": "SELECT b.component, b.lpos, b.rpos, e.* FROM best b JOIN ends e ON b.seqid = e.seqid AND e.pos IN (b.lpos, b.rpos)",
+    "counted": "SELECT seqid, component, " + ", ".join(f"CAST(sum({_letters(v)}) AS BIGINT) AS n_{k}" for k, v in K.COUNTERS.items()) + " FROM touch WHERE NOT (pos = rpos AND other = lpos) GROUP BY ALL",
+    "typed": """SELECT *, CASE WHEN n_ins > greatest(n_del, n_dup, n_inv) THEN 'I' WHEN n_inv > greatest(n_del, n_dup) THEN 'V' WHEN n_dup > n_del THEN 'U' ELSE 'D' END AS type
+        FROM best JOIN counted USING (seqid, component)""",
+    "votes": """SELECT t.seqid, t.component, c.type, t.pos = t.lpos AS is_left, t.other, t.lpos, t.rpos, d.degree = 1 AS leaf, o.degree = 1 AS own, abs(t.other - t.lpos) AS dl, abs(t.other - t.rpos) AS dr, "H", "X", "R", "A", "M"
+        FROM touch t JOIN typed c ON t.seqid = c.seqid AND t.component = c.component JOIN nodes d ON d.seqid = t.seqid AND d.pos = t.other JOIN nodes o ON o.seqid = t.seqid AND o.pos = t.pos""",
+    "voted": """SELECT seqid, component,
+        sum(CASE WHEN type = 'D' AND "H" > 0 AND CASE WHEN is_left THEN other > rpos ELSE other < lpos END THEN "H"
+                 WHEN type = 'U' AND "X" > 0 AND ((leaf AND dr < dl) OR (NOT is_left AND other = lpos AND NOT leaf AND own)) THEN "X"
+                 WHEN type = 'V' AND leaf AND NOT ("R" = 0 AND "A" > 0) AND ((is_left AND other BETWEEN lpos AND rpos AND dr < dl) OR (NOT is_left AND other > lpos AND other < rpos AND dr > dl)) THEN "R" + "A" + "M" ELSE 0 END) AS y,
+        sum(CASE WHEN type = 'U' AND "X" > 0 AND leaf AND dr >= dl THEN "X"
+                 WHEN type = 'V' AND leaf AND NOT ("R" = 0 AND "A" > 0) AND ((is_left AND other BETWEEN lpos AND rpos AND dr >= dl) OR (NOT is_left AND other > lpos AND other < rpos AND dr <= dl)) THEN "R" + "A" + "M" ELSE 0 END) AS n,
+        avg(CASE WHEN type = 'D' AND "H" > 0 AND is_left AND other > rpos THEN dr WHEN type = 'D' AND "H" > 0 AND NOT is_left AND other < lpos THEN dl
+                 WHEN type = 'V' AND leaf AND NOT ("R" = 0 AND "A" > 0) AND ((is_left AND other BETWEEN lpos AND rpos AND dr < dl) OR (NOT is_left AND other > lpos AND other < rpos AND dr > dl)) THEN dr END) AS d
+        FROM votes GROUP BY ALL""",
+    "calls": """SELECT t.*, CASE WHEN y + n > 0 THEN y * 1.0 / (y + n) ELSE 0.0 END AS cluster_frac, coalesce(d, 0.0) AS avg_dist FROM typed t JOIN voted USING (seqid, component)""",
+    "checked": """SELECT * FROM calls WHERE n_total >= 3 AND CASE type WHEN 'D' THEN (cluster_frac > 0.1 AND n_far > 1 AND n_del > 1) OR (n_internal_del > 2 AND n_split > 2)
+        WHEN 'U' THEN (cluster_frac > 0.1 AND n_everted > 1 AND n_dup > 1) OR (n_split > 3 AND rpos - lpos < 500)
+        WHEN 'V' THEN (cluster_frac > 0.1 AND n_ss > 2 AND n_inv > 2) OR NOT (rpos - lpos < 500 AND (n_ss < 3 OR n_inv < 3 OR n_split < 1)) WHEN 'I' THEN n_ins > 4 ELSE false END""",
+    "places": "SELECT DISTINCT ref_id, unnest(list_filter([CASE WHEN front = 'S' AND front_len > 9 THEN pos END, CASE WHEN back = 'S' AND back_len > 9 THEN end_pos END], lambda x: x IS NOT NULL)) AS bp FROM kept WHERE mapq > 15",
+    "piled": "SELECT p.bp, k.* FROM places p JOIN kept k ON p.ref_id = k.ref_id AND p.bp BETWEEN k.pos AND k.end_pos",
+    "near": "SELECT *, coalesce((front = 'S' AND abs(pos - bp) <= 5) OR (back = 'S' AND abs(end_pos - bp) <= 5), false) AS clipped, count(*) FILTER ((front = 'S' AND pos = bp) OR (back = 'S' AND end_pos = bp)) OVER (PARTITION BY ref_id, bp) AS n_at FROM piled",
+    "marked": "SELECT *, clipped AND n_at > 1 AS alt FROM near",
+    "gls": """SELECT ref_id, bp, sample, n, n_alt, CASE WHEN n >= 2 AND n > n_alt THEN aa - n * ln(2) ELSE -255.0 END AS gl_aa, CASE WHEN n >= 2 AND n > n_alt AND n_alt > 0 THEN -n * ln(2) ELSE -255.0 END AS gl_ab, CASE WHEN n >= 2 AND n_alt > 0 THEN bb - n * ln(2) ELSE -255.0 END AS gl_bb
+        FROM (SELECT ref_id, bp, sample, count(*) AS n, count(*) FILTER (alt) AS n_alt, sum(CASE WHEN alt THEN ln(2 * e) ELSE ln(2 * (1 - e)) END) AS aa, sum(CASE WHEN alt THEN ln(2 * (1 - e)) ELSE ln(2 * e) END) AS bb
+              FROM (SELECT *, pow(10, -greatest(mapq, 1) / 10.0) AS e FROM marked) GROUP BY ALL)""",
+    "genos": "SELECT *, CASE WHEN n < 2 THEN './.' WHEN gl_aa >= gl_ab AND gl_aa >= gl_bb THEN '0/0' WHEN gl_ab >= gl_bb THEN '0/1' ELSE '1/1' END AS gt FROM gls",
+    "spans": "SELECT user_id % 50 AS seqid, CAST(floor(epoch(ts) / 60) AS BIGINT) AS five, CAST(floor(epoch(ts) / 60) AS BIGINT) + CAST(floor(value) AS BIGINT) AS three, event_type AS svtype, event_id AS id, CAST(event_id % 7 AS BIGINT) AS support FROM events",
+}
+_NEEDS = "reads ops cig kept pairs stats good classes far inner_ops within evidence edges ends nodes reach comps scored best touch counted typed votes voted calls checked places piled near marked gls genos".split()
+_GRAPH = {"reach", "comps", "scored", "best", "touch", "counted", "typed", "votes", "voted", "calls", "checked"}
+_PILE = {"places", "piled", "near", "marked", "gls", "genos"}
+
+
+def sql(last: str, select: str) -> str:
+    """``select`` after all views up to ``last``."""
+    names = ["spans"] if last == "spans" else [n for n in _NEEDS[: _NEEDS.index(last) + 1] if not (last in _PILE and (n in _GRAPH or _NEEDS.index("pairs") <= _NEEDS.index(n) < _NEEDS.index("places")))]
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n]})" for n in names) + "\n" + select
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+_r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
+_s6 = lambda *names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+@query("read_filter", sql("kept", "SELECT read_name, mate, sample, ref_id, pos, mapq, flag, cigar FROM kept"))
+def _(spark, d):
+    return R.graph_read_filter(reads(spark, d))
+
+
+@query("cigar_parse", sql("cig", "SELECT read_name, mate, array_to_string(list_transform(range(1, len(o) + 1), lambda i: concat(CAST(n[i] AS VARCHAR), o[i])), '') AS cigar, len(o) AS n_ops, pos + 0 AS pos, end_pos, matched, read_len, front, back, (front = 'S' AND front_len >= 5) OR (back = 'S' AND back_len >= 5) AS long_clip FROM cig"))
+def _(spark, d):
+    out = R.with_cigar(reads(spark, d))
+    return out.select("read_name", "mate", C.cigar_text(F.col("ops")).alias("cigar"), F.size("ops").cast("long").alias("n_ops"), "pos", "end_pos", "matched", "read_len", "front", "back", C.long_clip(F.col("ops"), 5).alias("long_clip"))
+
+
+@query("library_stats", sql("stats", f"SELECT sample, n, median, {_s6('mean', 'sd', 'low', 'high')} FROM stats"))
+def _(spark, d):
+    return R.library_stats(pairs(spark, d)).select("sample", "n", "median", *_r6("mean", "sd", "low", "high"))
+
+
+@query("mate_pairs", sql("pairs", "SELECT sample, read_name, a_pos AS pos1, b_pos AS pos2 FROM pairs"))
+def _(spark, d):
+    return pairs(spark, d).select("sample", "read_name", F.col("r1.pos").alias("pos1"), F.col("r2.pos").alias("pos2"))
+
+
+@query("unpaired_reads", sql("kept", "SELECT sample, read_name, min(mate) AS mate FROM kept GROUP BY ALL HAVING min(mate) = max(mate)"))
+def _(spark, d):
+    return R.unpaired_reads(kept(spark, d))
+
+
+@query("pair_filter", sql("good", "SELECT sample, read_name FROM good"))
+def _(spark, d):
+    return R.filtered_pairs(pairs(spark, d)).select("sample", "read_name")
+
+
+@query("insert_class", sql("classes", "SELECT sample, read_name, evidence FROM classes"))
+def _(spark, d):
+    return classes(spark, d).select("sample", "read_name", "evidence")
+
+
+@query("cigar_indel_edges", sql("within", "SELECT sample, seqid, evidence, a AS lpos, a + size AS rpos FROM within"))
+def _(spark, d):
+    return R.indel_edges(kept(spark, d)).select("sample", "seqid", "evidence", "lpos", "rpos")
+
+
+_edge_list = "seqid, lpos, rpos, " + ", ".join(f"\"{c}\" AS e_{c.lower()}" for c in _EVIDENCE)
+
+
+@query("evidence_edges", sql("edges", f"SELECT {_edge_list} FROM edges"))
+def _(spark, d):
+    return edges(spark, d).select("seqid", "lpos", "rpos", *(F.col(c).alias(f"e_{c.lower()}") for c in _EVIDENCE))
+
+
+@query("node_support", sql("nodes", "SELECT * FROM nodes"))
+def _(spark, d):
+    return K.nodes(edges(spark, d))
+
+
+@query("sample_support", sql("evidence", "SELECT seqid, pos, sample, count(*) AS n FROM (SELECT seqid, unnest([lpos, rpos]) AS pos, sample FROM evidence) GROUP BY ALL"))
+def _(spark, d):
+    return K.sample_support(evidence(spark, d))
+
+
+@query("components", sql("comps", "SELECT * FROM comps"))
+def _(spark, d):
+    return K.components(edges(spark, d))
+
+
+@query("best_breakpoint", sql("best", "SELECT seqid, component, size, score, lpos, rpos FROM best"))
+def _(spark, d):
+    e = edges(spark, d)
+    return K.best_breakpoints(e, K.nodes(e), K.components(e))
+
+
+_counts = [f"n_{k}" for k in K.COUNTERS]
+
+
+@query("sv_counts", sql("typed", f"SELECT seqid, component, lpos, rpos, type, {', '.join(_counts)} FROM typed"))
+def _(spark, d):
+    return calls(spark, d).select("seqid", "component", "lpos", "rpos", "type", *_counts)
+
+
+@query("cluster_fraction", sql("calls", f"SELECT seqid, component, type, {_s6('cluster_frac', 'avg_dist')} FROM calls"))
+def _(spark, d):
+    return calls(spark, d).select("seqid", "component", "type", *_r6("cluster_frac", "avg_dist"))
+
+
+_weights = ", ".join(f"round(n_{k} * 1.0 / nullif(n_del + n_dup + n_inv + n_ins + n_tra, 0), 6) AS w_{k}" for k in ("del", "dup", "inv", "ins", "tra"))
+
+
+@query("sv_calls", sql("checked", f"SELECT seqid, lpos, rpos, type, n_total, {_s6('cluster_frac', 'avg_dist')}, {_weights} FROM checked"))
+def _(spark, d):
+    out = K.emitted(calls(spark, d))
+    return out.select("seqid", "lpos", "rpos", "type", "n_total", *_r6("cluster_frac", "avg_dist", "w_del", "w_dup", "w_inv", "w_ins", "w_tra"))
+
+
+@query("tiling", sql("reads", "SELECT ref_id, CAST(floor(pos / 100000.0) AS BIGINT) AS tile, count(*) AS n FROM reads GROUP BY ALL"))
+def _(spark, d):
+    return reads(spark, d).groupBy("ref_id", I.tile(F.col("pos"), 100_000).alias("tile")).agg(F.count("*").alias("n"))
+
+
+@query("clip_positions", sql("places", "SELECT * FROM places"))
+def _(spark, d):
+    return P.clip_positions(kept(spark, d))
+
+
+def piled(spark, d):
+    k = kept(spark, d)
+    return P.pileup(P.clip_positions(k), k)
+
+
+@query("pileup_counts", sql("piled", "SELECT ref_id, bp, count(*) AS n_reads, count(*) FILTER (len(o) > 3) AS n_complex, count(*) FILTER (mapq < 50) AS n_low, count(*) FILTER (front = 'S' AND pos = bp) AS n_front, count(*) FILTER (back = 'S' AND end_pos = bp) AS n_back, count(*) FILTER (reverse) AS n_reverse, count(*) FILTER (len(o) = 3 AND o[2] = 'D' AND n[2] > 3) AS n_del, count(*) FILTER (len(o) = 3 AND o[2] = 'I' AND n[2] > 3) AS n_ins FROM piled GROUP BY ALL"))
+def _(spark, d):
+    return P.pileup_counts(piled(spark, d)).select("ref_id", "bp", "n_reads", "n_complex", "n_low", "n_front", "n_back", "n_reverse", "n_del", "n_ins")
+
+
+@query("sample_evidence", sql("marked", "SELECT ref_id, bp, sample, count(*) AS n_reads, count(*) FILTER (alt) AS n_alt, count(*) FILTER (clipped) AS n_clip, round(count(*) FILTER (clipped) * 1.0 / count(*), 6) AS clip_share FROM marked GROUP BY ALL"))
+def _(spark, d):
+    return P.sample_evidence(P.read_evidence(piled(spark, d))).withColumn("clip_share", F.round("clip_share", 6))
+
+
+def genotypes(spark, d):
+    return P.genotype_likelihoods(P.read_evidence(piled(spark, d)), ["ref_id", "bp", "sample"])
+
+
+@query("genotype_gl", sql("genos", f"SELECT ref_id, bp, sample, n, n_alt, gt, {_s6('gl_aa', 'gl_ab', 'gl_bb')} FROM genos"))
+def _(spark, d):
+    return genotypes(spark, d).select("ref_id", "bp", "sample", "n", "n_alt", "gt", *_r6("gl_aa", "gl_ab", "gl_bb"))
+
+
+_ll = lambda a, n, p: f"({a} * ln(CASE WHEN {p} > 0 THEN {p} END) + ({n} - {a}) * ln(CASE WHEN 1 - {p} > 0 THEN 1 - {p} END))"
+_af = "(ka * 1.0 / nullif(na, 0) + 1e-6)", "(kb * 1.0 / nullif(nb, 0) + 1e-6)", "((ka + kb) * 1.0 / nullif(na + nb, 0) + 1e-6)"
+
+
+@query("assoc_lrt", sql("genos", f"""SELECT ref_id, bp, ka AS alt_t, na AS all_t, kb AS alt_b, nb AS all_b, round({_af[0]}, 6) AS af_t, round({_af[1]}, 6) AS af_b,
+    round(greatest(coalesce(2 * ({_ll('ka', 'na', _af[0])} + {_ll('kb', 'nb', _af[1])} - {_ll('ka', 'na', _af[2])} - {_ll('kb', 'nb', _af[2])}), 0.0), 0.0), 6) AS lrt
+    FROM (SELECT ref_id, bp, CAST(sum(CASE WHEN sample = 's0' THEN a ELSE 0 END) AS BIGINT) AS ka, CAST(sum(CASE WHEN sample = 's0' THEN 2 ELSE 0 END) AS BIGINT) AS na, CAST(sum(CASE WHEN sample <> 's0' THEN a ELSE 0 END) AS BIGINT) AS kb, CAST(sum(CASE WHEN sample <> 's0' THEN 2 ELSE 0 END) AS BIGINT) AS nb
+          FROM (SELECT *, CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 ELSE 2 END AS a FROM genos WHERE gt <> './.') GROUP BY ALL)"""))
+def _(spark, d):
+    out = P.association(genotypes(spark, d), F.col("sample") == "s0", ["ref_id", "bp"])
+    return out.select("ref_id", "bp", "alt_t", "all_t", "alt_b", "all_b", *_r6("af_t", "af_b", "lrt"))
+
+
+def mate_ends(spark, d):
+    return pairs(spark, d).select("sample", (F.col("r1.pos") % 5000).alias("bp"), F.col("r2.pos").alias("end"), F.col("r1.ref_id").alias("ref_id"))
+
+
+_ENDS = "SELECT a_ref_id AS ref_id, a_pos % 5000 AS bp, b_pos AS \"end\" FROM pairs"
+
+
+@query("end_mode", sql("pairs", f"""SELECT ref_id, bp, CASE WHEN most < 2 THEN nb ELSE fb END AS best_end, CASE WHEN most < 2 THEN nn ELSE fn END AS n FROM (
+    SELECT ref_id, bp, max(n) AS most, first(bucket ORDER BY n DESC, abs(bucket - bp), bucket) AS fb, first(n ORDER BY n DESC, abs(bucket - bp), bucket) AS fn, first(bucket ORDER BY abs(bucket - bp), bucket) AS nb, first(n ORDER BY abs(bucket - bp), bucket) AS nn
+    FROM (SELECT ref_id, bp, CAST(floor(("end" + 5) / 10.0) * 10 AS BIGINT) AS bucket, count(*) AS n FROM ({_ENDS}) GROUP BY ALL) GROUP BY ALL)"""))
+def _(spark, d):
+    return P.end_mode(mate_ends(spark, d), ["ref_id"])
+
+
+@query("partner_contig", "WITH m AS (SELECT l_partkey % 100 AS place, CAST(l_suppkey % 4 AS INT) AS ref_id, CAST(l_orderkey % 4 AS INT) AS mate_ref_id FROM lineitem), c AS (SELECT place, ref_id, mate_ref_id, count(*) AS n FROM m GROUP BY ALL) SELECT place, ref_id, mate_ref_id AS partner, n FROM (SELECT *, row_number() OVER (PARTITION BY place, ref_id ORDER BY n DESC, (ref_id = mate_ref_id) DESC, mate_ref_id) AS k FROM c) WHERE k = 1")
+def _(spark, d):
+    m = table(spark, d, "lineitem").select((F.col("l_partkey") % 100).alias("place"), (F.col("l_suppkey") % 4).cast("int").alias("ref_id"), (F.col("l_orderkey") % 4).cast("int").alias("mate_ref_id"))
+    return P.partner_contig(m, ["place"])
+
+
+def spans(spark, d):
+    minute = F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    return table(spark, d, "events").select((F.col("user_id") % 50).alias("seqid"), minute.alias("five"), (minute + F.floor("value").cast("long")).alias("three"), F.col("event_type").alias("svtype"), F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("support"))
+
+
+_ISLANDS = "i AS (SELECT *, sum(fresh) OVER (PARTITION BY seqid ORDER BY five, three, svtype, id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN five - lag(five) OVER w < 5 AND three - lag(three) OVER w < 5 THEN 0 ELSE 1 END AS fresh FROM spans WINDOW w AS (PARTITION BY seqid ORDER BY five, three, svtype, id)))"
+
+
+@query("merge_calls", sql("spans", "").rstrip() + ",\n" + _ISLANDS + """ SELECT seqid, svtype, CAST(ceil(avg(five) - 0.5) AS BIGINT) AS five, CAST(ceil(avg(three) - 0.5) AS BIGINT) AS three, CAST(greatest(10, ceil(2 * coalesce(stddev_samp(five), 0))) AS BIGINT) AS ci_five, CAST(greatest(10, ceil(2 * coalesce(stddev_samp(three), 0))) AS BIGINT) AS ci_three, CAST(sum(support) AS BIGINT) AS support, count(*) AS collapsed, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM i GROUP BY seqid, island, svtype""")
+def _(spark, d):
+    return V.merge_calls(spans(spark, d))
+
+
+def truth_pair(spark, d):
+    c = spans(spark, d).select(F.col("id").alias("call_id"), "seqid", F.col("five").alias("start"), F.col("three").alias("end"))
+    t = c.where("call_id % 3 = 0").select("seqid", F.col("call_id").alias("truth_id"), F.array(F.col("start") + F.col("call_id") % 60 - 30, F.col("end") + F.col("call_id") % 60 - 30).alias("anchors"))
+    return c, t
+
+
+_TRUTH = ",\nt AS (SELECT seqid, id AS truth_id, unnest([five + id % 60 - 30, three + id % 60 - 30]) AS a FROM spans WHERE id % 3 = 0), c AS (SELECT id AS call_id, seqid, unnest([five, three]) AS p FROM spans), m AS (SELECT s.id AS call_id, min(truth_id) AS truth_id FROM spans s LEFT JOIN c ON c.call_id = s.id LEFT JOIN t ON t.seqid = c.seqid AND c.p >= a - 25 AND c.p < a + 25 GROUP BY s.id) "
+
+
+@query("truth_match", sql("spans", "").rstrip() + _TRUTH + "SELECT call_id, truth_id FROM m")
+def _(spark, d):
+    return V.truth_matches(*truth_pair(spark, d)).select("call_id", "truth_id")
+
+
+@query("fdr", sql("spans", "").rstrip() + _TRUTH + "SELECT count(DISTINCT truth_id) AS tp, count(*) FILTER (truth_id IS NULL) AS fp, round(count(*) FILTER (truth_id IS NULL) * 1.0 / (count(DISTINCT truth_id) + count(*) FILTER (truth_id IS NULL)), 6) AS fdr FROM m")
+def _(spark, d):
+    return V.discovery_rates(V.truth_matches(*truth_pair(spark, d))).withColumn("fdr", F.round("fdr", 6))
+
+
+_FILTER_IN = "SELECT l_orderkey, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'DUP' WHEN 2 THEN 'INV' ELSE 'INS' END AS svtype, CAST(l_quantity * 20 - 30 AS BIGINT) AS svlen, l_suppkey % 10 AS tf, l_partkey % 9 AS u, l_orderkey % 8 AS v, {w} AS cw, CAST(l_quantity AS BIGINT) AS a, {sp} AS sp FROM {t}"
+_CW = "(l_tax * 10, l_discount * 10, l_tax * 5, l_discount * 5, l_tax * 2.5)"
+_SP = "(l_orderkey % 12, l_partkey % 5, l_suppkey % 3)"
+
+
+@query("call_filter", "WITH c AS (" + _FILTER_IN.format(w="list_value" + _CW, sp="list_value" + _SP, t="lineitem") + """) SELECT l_orderkey, l_linenumber, svtype, svlen FROM c WHERE abs(svlen) BETWEEN 50 AND 1000000 AND (svtype <> 'DEL' OR tf >= 4) AND (svtype <> 'DUP' OR u >= 4) AND (svtype <> 'INV' OR v >= 4)
+    AND cw[CASE svtype WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 WHEN 'INV' THEN 3 ELSE 4 END] >= 0.2 AND cw[5] <= 0.2 AND a >= 1.5 * len(list_filter(sp, lambda x: x > 0)) AND list_max(sp) > 7""")
+def _(spark, d):
+    c = spark.sql(_FILTER_IN.format(w="array" + _CW, sp="array" + _SP, t="{lineitem}"), lineitem=table(spark, d, "lineitem"))
+    return V.high_coverage_filter(c).select("l_orderkey", "l_linenumber", "svtype", "svlen")
+
+
+_INFO = "concat('A=', CAST(l_quantity AS BIGINT), ';CF=', l_linenumber, ';ST=', l_linestatus, ';FLAG')"
+
+
+@query("info_map", f"SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS a, CAST(l_linenumber AS VARCHAR) AS cf, l_linestatus AS st, CAST(NULL AS VARCHAR) AS missing, l_linestatus AS st_regex FROM lineitem")
+def _(spark, d):
+    i = F.expr(_INFO)
+    m = S.info_map(i)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", m["A"].alias("a"), m["CF"].alias("cf"), m["ST"].alias("st"), m["NO"].alias("missing"), S.info_value(i, "ST").alias("st_regex"))
+
+
+@query("vcf_select", "SELECT chrom, pos, id, a, st FROM (SELECT concat('chr', l_suppkey % 5) AS chrom, l_partkey AS pos, l_orderkey AS id, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS a, l_linestatus AS st, row_number() OVER (PARTITION BY l_suppkey % 5, l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_linestatus) AS k FROM lineitem) WHERE k = 1 AND chrom = 'chr1' AND pos BETWEEN 10 AND 900")
+def _(spark, d):
+    lines = F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_linestatus")
+    t = table(spark, d, "lineitem").select(F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string")).alias("chrom"), F.col("l_partkey").alias("pos"), F.col("l_orderkey").alias("id"), F.expr(_INFO).alias("info"), lines.alias("line"))
+    return V.select_columns(t, ["chrom", "pos", "id"], ["A", "ST"], "chr1", 10, 900)
+
+
+@query("pooled_af", "SELECT l_orderkey, l_linenumber, round(l_partkey * 1.0 / nullif(l_partkey + l_suppkey, 0), 6) AS af_target, round(l_linenumber * 1.0 / nullif(l_linenumber + l_orderkey, 0), 6) AS af_background FROM lineitem")
+def _(spark, d):
+    t = table(spark, d, "lineitem")
+    return V.pooled_frequency(t, "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", *_r6("af_target", "af_background"))
+
+
+_ACGT = "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+
+
+@query("kmer_entropy", """WITH k AS (SELECT doc_id, substr(text, i, 4) AS kmer, count(*) AS n FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 3, 0) + 1)) AS i FROM documents) GROUP BY ALL)
+    SELECT doc_id, count(*) AS kinds, round(-sum(n * 1.0 / t * ln(n * 1.0 / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM k) GROUP BY doc_id""")
+def _(spark, d):
+    k = table(spark, d, "documents").select("doc_id", F.explode(S.kmers(F.col("text"), 4)).alias("kmer")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
+    # sum p ln p over the counts alone: -(sum n ln n) / t + ln t
+    s = k.groupBy("doc_id").agg(F.count("*").alias("kinds"), F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("x"))
+    return s.select("doc_id", "kinds", F.round(F.ln("t") - F.col("x") / F.col("t"), 6).alias("entropy"))
+
+
+@query("kmer_pack", f"""WITH k AS (SELECT doc_id, substr({_ACGT}, i, 6) AS kmer FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 5, 0) + 1)) AS i FROM documents)),
+    v AS (SELECT doc_id, {" + ".join(f"(CASE substr(kmer, {j + 1}, 1) WHEN 'T' THEN 1 WHEN 'G' THEN 2 WHEN 'C' THEN 3 ELSE 0 END) * {4 ** (5 - j)}" for j in range(6))} AS packed FROM k)
+    SELECT doc_id, count(*) AS n, CAST(min(packed) AS BIGINT) AS low, CAST(max(packed) AS BIGINT) AS high, CAST(sum(packed) AS BIGINT) AS total FROM v GROUP BY doc_id""")
+def _(spark, d):
+    text = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    k = table(spark, d, "documents").select("doc_id", F.explode(S.kmers(text, 6)).alias("kmer")).select("doc_id", S.pack_kmer(F.col("kmer")).alias("packed"))
+    return k.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("packed").alias("low"), F.max("packed").alias("high"), F.sum("packed").alias("total"))
