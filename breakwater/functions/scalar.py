@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from breakwater.functions.hof import let
+
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, FIRST, SECOND, SECONDARY, FAILED, DUPLICATE, SUPPLEMENTARY = (1 << k for k in range(12))
 
 
@@ -99,8 +101,8 @@ def class_share(probabilities: Column) -> Column:
 
 
 def kmers(text: Column, k: int) -> Column:
-    n = F.length(text)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    """Every run of ``k`` characters, in order; a shorter text has none."""
+    return let(text, "array<string>", lambda x: F.when(F.length(x) >= k, F.transform(F.sequence(F.lit(1), F.length(x) - (k - 1)), lambda i: F.substring(x, i, F.lit(k)))).otherwise(F.expr("CAST(array() AS array<string>)")))
 
 
 def pack_kmer(kmer: Column) -> Column:
@@ -110,4 +112,5 @@ def pack_kmer(kmer: Column) -> Column:
 
 
 def unpack_kmer(value: Column, k: int) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(k - 1), F.lit(0)), lambda i: F.get(F.array(*map(F.lit, "ATGC")), F.shiftrightunsigned(value, 0).bitwiseAND(F.lit(3)).cast("int") * 0 + F.floor(value / F.pow(F.lit(4.0), i)).cast("long").bitwiseAND(F.lit(3)).cast("int"))), "")
+    code = lambda i: F.floor(value / F.pow(F.lit(4.0), i)).cast("long").bitwiseAND(F.lit(3)).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(k - 1), F.lit(0)), lambda i: F.get(F.array(*map(F.lit, "ATGC")), code(i))), "")
