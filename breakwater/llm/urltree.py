@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from breakwater.plans.lineage import cut
+
 #: (action, host and path prefix) of the filter's rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DEPTH = 4
@@ -70,7 +72,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, i
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     # Paths meet here first: from now on one row for each host and path prefix, with its pages and labels.
     paths = base.withColumn("__segments", F.slice(segments, 1, depth)).groupBy("host", "__segments").agg(F.count("*").alias("pages"), F.count("__bad").alias("labelled"), F.sum(F.coalesce("__bad", F.lit(0))).alias("bad"))
-    tree = paths.withColumn("template", F.lit(""))
+    tree = cut(paths.withColumn("template", F.lit("")))
     for level in range(depth):
         segment = F.get("__segments", F.lit(level))
         tree = tree.withColumn("__segment", segment).withColumn("__kind", _shape(segment))
@@ -82,9 +84,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, i
         tree = tree.join(nodes, (F.col("host") == F.col("__h")) & (F.col("template") == F.col("__t")), "left")
         step = F.when(F.col("__segment").isNull(), F.lit("")).when(F.col("__vary") & F.col("__vary_kinds"), F.lit("/*")).when(F.col("__vary"), F.concat(F.lit("/"), "__kind")).otherwise(F.concat(F.lit("/"), "__segment"))
         tree = tree.withColumn("template", F.concat("template", step)).drop("__h", "__t", "__vary", "__vary_kinds", "__kind", "__segment")
-        tree = tree.groupBy("host", "__segments", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
+        # Each level is written: it is read twice by the next one, and a plan that held them all would double with every level.
+        tree = cut(tree.groupBy("host", "__segments", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad"))))
     templates = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
-    merged = _merge_alike(templates, alike)
+    merged = cut(_merge_alike(cut(templates), alike))
     total = base.agg((F.sum("__bad") / F.count("__bad")).alias("__share"))
     purity = merged.groupBy("host", "merged").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     share = total.select(F.least(F.coalesce("__share", F.lit(0.0)), F.lit(reject)).alias("b")).first()["b"]
