@@ -23,7 +23,7 @@ LENGTH = 400
 GRAM = 64
 #: Bytes of spans in a shard array, and most spans of one anchor in it.
 SHARD = 3 << 20
-SPANS = 2048
+SPANS = 8192
 
 
 # ---- suffix arrays -------------------------------------------------------------------------------------------------------
@@ -148,10 +148,12 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     return induce(text, small, size, leftmost)
 
 
-def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int | None = None, fresh: np.ndarray | None = None) -> np.ndarray:
     """For each place, how much its suffix has in common with the one before it in order.
 
     Only places whose letters before differ from those before their predecessor's are compared; elsewhere the value falls by one.
+    With ``most`` no comparison goes further than that, and the places ``fresh`` are compared anyway: values up to ``most`` less
+    the distance from the last compared place are then right.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -159,9 +161,13 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     at = np.arange(n)
     own = (before <= 0) | (at == 0)
     own |= text[at - 1] != text[np.maximum(before - 1, 0)]
+    if fresh is not None:
+        own[fresh] = True
     own = np.flatnonzero(own)
     other = before[own]
     low, high = np.zeros(len(own), np.int64), np.where(other >= 0, n - np.maximum(own, other), 0)
+    if most is not None:
+        high = np.minimum(high, most)
     span = Spans(text)
     while len(open_ := np.flatnonzero(low < high)):
         middle = (low[open_] + high[open_] + 1) // 2
@@ -182,7 +188,8 @@ def repeated_starts(spans: list[bytes], length: int) -> list[np.ndarray]:
         at += len(x) + 1
     text = np.concatenate(letters)
     order = suffix_array(text, 257)
-    common = permuted_prefixes(text, order)
+    # A span has at most 2 * length bytes, so within it places up to there are right.
+    common = permuted_prefixes(text, order, 2 * length + max(map(len, spans)), np.array(begins))
     twice = common >= length
     twice[order[:-1]] |= common[order[1:]] >= length
     return [twice[b : b + max(0, len(x) - length + 1)] for b, x in zip(begins, spans, strict=True)]
