@@ -75,7 +75,7 @@ def _frequent(texts: DataFrame, width: int, tokens: int) -> Order:
     ranges = 1 << max(6, (tokens >> 21).bit_length())
 
     def count(batches):
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text"):
             _, token = sets(*utf8(batch.column("text")), width)
             slot = np.sort((token >> np.uint64(16)).astype(np.uint32))
             edges = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]])) if len(slot) else np.zeros(1, int)
@@ -170,9 +170,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array((token[own] >> np.uint64(16)).astype(np.uint32).view(np.int32)), pa.array(size[row[own]]), pa.array(key[row[own]])], names=["slot", "size", "key"])
 
     met = texts.mapInArrow(prefix, "slot int, size long, key long")
-    node = F.struct("size", "key")
-    shared = met.groupBy("slot").agg(F.min(node).alias("pivot"), F.max(node).alias("last")).where("pivot.key <> last.key").select("slot", F.col("pivot.key").alias("pivot"), F.col("pivot.size").alias("pivot_size"))
-    shared = cut(met.join(shared, "slot").select("slot", "key", "size", "pivot", "pivot_size"))
+    # First the slots that two nodes share, by the narrowest rows; the pivot is chosen among what is left.
+    twice = met.groupBy("slot").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("slot")
+    meeting = cut(met.join(twice, "slot"))
+    pivots = meeting.groupBy("slot").agg(F.min(F.struct("size", "key")).alias("p")).select("slot", F.col("p.key").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    shared = cut(meeting.join(pivots, "slot").select("slot", "key", "size", "pivot", "pivot_size"))
 
     # The sets of nodes that meet others; a bitmap of fixed size spares most other rows the shuffle.
     wanted = shared.select("key").distinct()
