@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from breakwater.functions import cigar as C
 from breakwater.functions import scalar as S
+from breakwater.operators import alignment as A
 from breakwater.operators import calls as K
 from breakwater.operators import callsets as V
+from breakwater.operators import forest as T
 from breakwater.operators import intervals as I
 from breakwater.operators import pileup as P
 from breakwater.operators import reads as R
@@ -407,3 +409,43 @@ def _(spark, d):
     text = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
     k = table(spark, d, "documents").select("doc_id", F.explode(S.kmers(text, 6)).alias("kmer")).select("doc_id", S.pack_kmer(F.col("kmer")).alias("packed"))
     return k.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("packed").alias("low"), F.max("packed").alias("high"), F.sum("packed").alias("total"))
+
+
+_BASES = "translate(lower({}), 'abcdefghijklmnopqrstuvwxyz #0123456789', 'ACGTACGTACGTACGTACGTACGTACGTACGTACGTAC')"
+
+
+def clips(spark, d):
+    """At most as many clips of a place as vote, the first in text order; ranking bounds what is gathered."""
+    named = table(spark, d, "part").select((F.col("p_partkey") % 500).alias("place"), F.expr(_BASES.format("concat(p_brand, p_name)")).alias("clip"))
+    first = named.select("place", "clip", F.row_number().over(Window.partitionBy("place").orderBy("clip")).alias("k")).where(F.col("k") <= A.VOTERS)
+    return first.groupBy("place").agg(F.array_sort(F.collect_list("clip")).alias("clips"))
+
+
+@query("consensus", f"""WITH c AS (SELECT p_partkey % 500 AS place, {_BASES.format("concat(p_brand, p_name)")} AS clip FROM part),
+    f AS (SELECT place, clip FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY clip) AS k FROM c) WHERE k <= {A.VOTERS}),
+    b AS (SELECT place, i, CASE WHEN count(DISTINCT substr(clip, i, 1)) = 1 THEN min(substr(clip, i, 1)) ELSE 'N' END AS base FROM (SELECT place, clip, CAST(unnest(range(1, length(clip) + 1)) AS INT) AS i FROM f) GROUP BY ALL)
+    SELECT place, string_agg(base, '' ORDER BY i) AS consensus, CAST(sum(CASE WHEN base = 'N' THEN 1 ELSE 0 END) AS INT) AS n_open FROM b GROUP BY place""")
+def _(spark, d):
+    voted = clips(spark, d).select("place", A.consensus(F.col("clips")).alias("consensus"))
+    return voted.select("place", "consensus", A.n_count(F.col("consensus")).alias("n_open"))
+
+
+@query("sw_align")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.expr(_BASES.format("p_name")).alias("query"), F.expr(_BASES.format("concat(p_type, p_name, p_brand)")).alias("window"))
+    aligned = p.select("p_partkey", F.lit(1000).alias("pos"), F.lit(1400).alias("end"), A.local_alignment()("query", "window").alias("x"))
+    return aligned.select("p_partkey", "x.*", A.refined_end(F.col("pos"), F.col("end"), F.col("x")).alias("y")).select("p_partkey", "score", "ref_begin", "ref_end", "query_begin", "query_end", "mismatches", "y.end", "y.kind")
+
+
+@query("pair_hmm")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.expr(_BASES.format("concat(p_type, p_name)")).alias("hap"), F.expr(_BASES.format("p_type")).alias("read"))
+    return p.select("p_partkey", F.round(A.pair_likelihood("hap", "read", F.expr("repeat('I', length(read))")), 6).alias("log10_likelihood"))
+
+
+@query("rf_classify")
+def _(spark, d):
+    near = (F.col("c_acctbal") / 1000).cast("double")
+    rows = table(spark, d, "customer").select("c_custkey", F.array(near, F.col("c_nationkey").cast("double"), (F.col("c_custkey") % 7).cast("double")).alias("features"), F.when(F.col("c_acctbal") > 4000, "DEL").otherwise("DUP").alias("label"))
+    scored = T.score_forest(rows, T.train_forest(rows, trees=20), least=0.6)
+    return scored.select("c_custkey", "label", "wc")

@@ -37,3 +37,22 @@ def write_table(df: DataFrame, path: str) -> None:
 def summary_line(rates: DataFrame, tool: str, kind: str, window: int) -> DataFrame:
     """``tool type window FP TP FDR``."""
     return rates.select(F.concat_ws("\t", F.lit(tool), F.lit(kind), F.lit(str(window)), F.col("fp").cast("string"), F.col("tp").cast("string"), number(F.col("fdr"))).alias("value"))
+
+
+#: How an edge of each kind of evidence is drawn.
+DOT_STYLES = {"X": "style=dashed", "R": "color=yellow", "M": "color=magenta", "V": "color=green", "L": "color=brown", "H": "color=purple", "S": "style=dotted", "I": "color=red", "D": "color=blue", "A": "color=orange"}
+
+
+def dot_graphs(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """``seqid, component, dot``: one undirected graph a component, an edge from each of its ends and for each kind of evidence.
+
+    Loops are not drawn. A component's text is gathered into one row, so give it the components that are called (at most 200 nodes).
+    """
+    kinds = [c for c in DOT_STYLES if c in edges.columns]
+    drawn = F.array_compact(F.array(*(F.when(F.col(c) > 0, F.format_string(f" [{DOT_STYLES[c]},penwidth=%d];", F.col(c).cast("long"))) for c in kinds)))
+    ends = edges.select("seqid", F.explode(F.when(F.col("lpos") == F.col("rpos"), F.array(F.struct(F.col("lpos").alias("pos"), F.col("rpos").alias("other")))).otherwise(F.array(F.struct(F.col("lpos").alias("pos"), F.col("rpos").alias("other")), F.struct(F.col("rpos").alias("pos"), F.col("lpos").alias("other"))))).alias("e"), drawn.alias("styles")).select("seqid", "e.*", "styles")
+    name = lambda c: F.concat(F.col("seqid").cast("string"), F.lit("."), F.col(c).cast("string"))
+    line = F.array_join(F.transform("styles", lambda s: F.concat(F.lit("     "), name("pos"), F.lit(" -- "), name("other"), s, F.lit("\n"))), "")
+    lines = ends.join(components, ["seqid", "pos"]).select("seqid", "component", "pos", "other", F.when(F.col("pos") == F.col("other"), F.lit("")).otherwise(line).alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "other", "line"))), lambda x: x["line"]), "")
+    return lines.groupBy("seqid", "component").agg(F.concat(F.lit("graph {\n"), body, F.lit("}\n")).alias("dot"))
