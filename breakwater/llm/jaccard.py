@@ -3,7 +3,9 @@
 Documents of equal shingle sets are one node. Under any global token order, two sets of similarity t share a token among the first
 n - ceil(t n) + 1 of each. The first order puts tokens that are seldom seen first (a bounded list of frequent ones is
 counted over the whole corpus), so that passages many documents share do not meet in it unless almost all of a document is common.
-Documents that meet at a prefix token are first compared with one of them only, the one with the fewest rare tokens; what that links
+A pair's first common token under the first order leaves each set only the tokens from its place on to share, so a meeting at later
+places than a similar pair's first one can have counts for nothing.
+Documents that meet at a prefix token are first compared with one of them only, the one in which it stands first; what that links
 is one component, and only pairs of different components are compared further, so a group of near copies costs its size and no square of it.
 A pair must share prefix tokens under two more orders before its sets are compared exactly.
 """
@@ -159,15 +161,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             row, token = sets(*utf8(batch.column("text")), width)
             n, key = set_keys(row, token, batch.num_rows)
             classes = order.classify(token)
-            rare = np.bincount(row, weights=classes == 0, minlength=batch.num_rows).astype(np.int64)
             own = order.prefixes(row, token, n, classes, 1, percent)
+            edges = np.flatnonzero(np.concatenate([[True], row[own][1:] != row[own][:-1]])) if len(own) else np.zeros(0, int)
+            at = np.arange(len(own)) - np.repeat(edges, np.diff(np.append(edges, len(own))))
             new = np.zeros(batch.num_rows, bool)  # a set goes once a task, which copies of it need no more
             for k in range(batch.num_rows):
                 new[k] = int(key[k]) not in seen
                 seen.add(int(key[k]))
-            own = own[new[row[own]]]
-            size = (rare << 32) | n
-            yield pa.RecordBatch.from_arrays([pa.array((token[own] >> np.uint64(16)).astype(np.uint32).view(np.int32)), pa.array(size[row[own]]), pa.array(key[row[own]])], names=["slot", "size", "key"])
+            own, at = own[new[row[own]]], at[new[row[own]]]
+            size = (at << 32) | n[row[own]]
+            yield pa.RecordBatch.from_arrays([pa.array((token[own] >> np.uint64(16)).astype(np.uint32).view(np.int32)), pa.array(size), pa.array(key[row[own]])], names=["slot", "size", "key"])
 
     met = texts.mapInArrow(prefix, "slot int, size long, key long")
     # First the slots that two nodes share, by the narrowest rows; the pivot is chosen among what is left.
@@ -205,8 +208,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = texts.mapInArrow(packed, "key long, tokens binary, second binary, third binary").join(wanted, "key", "left_semi")
     known = cut(known.groupBy("key").agg(*(F.first(c).alias(c) for c in ("tokens", "second", "third"))))
 
-    low = F.lit(0xFFFFFFFF)
-    sized = lambda x, y: 100 * F.least(F.col(x).bitwiseAND(low), F.col(y).bitwiseAND(low)) >= percent * F.greatest(F.col(x).bitwiseAND(low), F.col(y).bitwiseAND(low))
+    def sized(x: str, y: str):
+        """Whether two sets can be similar if their first common token under the first order stands at these places."""
+        n = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+        left = lambda c: n(c) - F.shiftright(c, 32)
+        return (100 + percent) * F.least(left(x), left(y)) >= percent * (n(x) + n(y))
+
     pairs = shared.where("key <> pivot").where(sized("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     links = cut(_verify(pairs, known, percent))
     for last in (False, True):
@@ -217,7 +224,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = cut(named.where("part <> main").select("slot", F.col("key").alias("a"), F.col("size").alias("a_size"), F.col("part").alias("a_part"), "pivot"))
         if rest.isEmpty():
             break
-        if not last:  # one more node to compare with: of those outside the first one's component the one with the fewest rare tokens
+        if not last:  # one more node to compare with: of those outside the first one's component the one in which the token stands first
             rest = rest.groupBy("slot", "pivot").agg(F.min(F.struct("a_size", "a", "a_part")).alias("x")).select("slot", "pivot", "x.*")
         more = rest.drop("pivot").join(named, "slot").where("a_part <> part AND key <> pivot AND a <> key AND (part = main OR a < key)" if last else "a_part <> part AND key <> pivot")
         more = more.where(sized("a_size", "size")).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
