@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,34 +180,43 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = meeting.groupBy("slot").agg(F.min(F.struct("size", "key")).alias("p")).select("slot", F.col("p.key").alias("pivot"), F.col("p.size").alias("pivot_size"))
     shared = cut(meeting.join(pivots, "slot").select("slot", "key", "size", "pivot", "pivot_size"))
 
-    # The sets of nodes that meet others; a bitmap of fixed size spares most other rows the shuffle.
-    wanted = shared.select("key").distinct()
-    slot_of = F.col("key").bitwiseAND(F.lit(MASK - 1)).cast("int")
-    found = wanted.select(slot_of.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits")).toArrow()
-    bitmap = np.zeros(MASK // 32, np.uint32)
-    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-
-    def packed(batches):
-        seen: set[int] = set()
-        for batch in slices(batches, "text"):
-            row, token = sets(*utf8(batch.column("text")), width)
-            n, key = set_keys(row, token, batch.num_rows)
-            at = key & (MASK - 1)
-            rows = [k for k in np.flatnonzero((n > 0) & ((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0)).tolist() if int(key[k]) not in seen and not seen.add(int(key[k]))]
-            classes = order.classify(token)
-            edges = np.concatenate([[0], np.cumsum(n)])
-            six = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            columns = [pa.array(key[rows]), pa.array([six[edges[k] : edges[k + 1]].tobytes() for k in rows], pa.binary())]
-            for which in (2, 3):
-                own = np.sort(order.prefixes(row, token, n, classes, which, percent))
-                bounds = np.searchsorted(row[own], np.arange(batch.num_rows + 1))
-                slot = (token[own] >> np.uint64(16)).astype(np.uint32)
-                # Of equal slots (two tokens of a row, very seldom) one stays, so that a match means two rows share it.
-                columns.append(pa.array([distinct(slot[bounds[k] : bounds[k + 1]]).tobytes() for k in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "tokens", "second", "third"])
-
-    known = texts.mapInArrow(packed, "key long, tokens binary, second binary, third binary").join(wanted, "key", "left_semi")
-    known = cut(known.groupBy("key").agg(*(F.first(c).alias(c) for c in ("tokens", "second", "third"))))
+    def fetch(keys: DataFrame) -> DataFrame:
+        """The sets and prefixes of ``keys``, from one row of each; a bitmap of ids of fixed size spares hashing most other rows."""
+        ids = nodes.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
+        place = F.col("doc_id").bitwiseAND(F.lit(MASK - 1)).cast("int").alias("s")
+        found = ids.select(place).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits")).toArrow()
+        bitmap = np.zeros(MASK // 32, np.uint32)
+        bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+
+        def asked(batches):
+            for batch in batches:
+                at = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False) & (MASK - 1)
+                hit = (bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0
+                yield batch.filter(pc.or_(pa.array(hit), pc.is_null(batch.column(0))))
+
+        def packed(batches):
+            seen: set[int] = set()
+            for batch in slices(asked(batches), "text"):
+                row, token = sets(*utf8(batch.column("text")), width)
+                n, key = set_keys(row, token, batch.num_rows)
+                rows = [k for k in np.flatnonzero(n > 0).tolist() if int(key[k]) not in seen and not seen.add(int(key[k]))]
+                classes = order.classify(token)
+                edges = np.concatenate([[0], np.cumsum(n)])
+                six = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                columns = [pa.array(key[rows]), pa.array([six[edges[k] : edges[k + 1]].tobytes() for k in rows], pa.binary())]
+                for which in (2, 3):
+                    own = np.sort(order.prefixes(row, token, n, classes, which, percent))
+                    bounds = np.searchsorted(row[own], np.arange(batch.num_rows + 1))
+                    slot = (token[own] >> np.uint64(16)).astype(np.uint32)
+                    # Of equal slots (two tokens of a row, very seldom) one stays, so that a match means two rows share it.
+                    columns.append(pa.array([distinct(slot[bounds[k] : bounds[k + 1]]).tobytes() for k in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "tokens", "second", "third"])
+
+        sets_of = texts.mapInArrow(packed, "key long, tokens binary, second binary, third binary").join(keys, "key", "left_semi")
+        return cut(sets_of.groupBy("key").agg(*(F.first(c).alias(c) for c in ("tokens", "second", "third"))))
+
+    def ends(of: DataFrame) -> DataFrame:
+        return of.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
     def sized(x: str, y: str):
         """Whether two sets can be similar if their first common token under the first order stands at these places."""
@@ -215,6 +225,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (100 + percent) * F.least(left(x), left(y)) >= percent * (n(x) + n(y))
 
     pairs = shared.where("key <> pivot").where(sized("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = cut(pairs)
+    known = fetch(ends(pairs))
     links = cut(_verify(pairs, known, percent))
     for last in (False, True):
         parts = connected_components(links)
@@ -228,6 +240,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rest = rest.groupBy("slot", "pivot").agg(F.min(F.struct("a_size", "a", "a_part")).alias("x")).select("slot", "pivot", "x.*")
         more = rest.drop("pivot").join(named, "slot").where("a_part <> part AND key <> pivot AND a <> key AND (part = main OR a < key)" if last else "a_part <> part AND key <> pivot")
         more = more.where(sized("a_size", "size")).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        more = cut(more)
+        lacking = cut(ends(more).join(known.select("key"), "key", "left_anti"))
+        if not lacking.isEmpty():
+            known = known.unionByName(fetch(lacking))
         links = cut(links.unionByName(_verify(more, known, percent)))
     else:
         parts = connected_components(links)
