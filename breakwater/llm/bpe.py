@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from breakwater.functions.hof import let
 from breakwater.llm.pretokens import read_ranks, with_pretokens, word_slices
+from breakwater.plans.lineage import cut
 
 LONG = 400
 #: Pre-tokens of a run: more make fewer distinct words to merge in all, fewer take less memory.
@@ -57,12 +58,12 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def _rank(piece: Column, keys: Column, ranks: Column) -> Column:
-    def find(x: Column) -> Column:
+    def find(p: Column, x: Column) -> Column:
         low = x.bitwiseAND(F.lit(_MASK)).cast("int")
         high = F.shiftrightunsigned(x, 15).cast("int")
-        return F.when(F.get(keys, low) == piece, F.get(ranks, low)).when(F.get(keys, high) == piece, F.get(ranks, high))
+        return F.when(F.get(keys, low) == p, F.get(ranks, low)).when(F.get(keys, high) == p, F.get(ranks, high))
 
-    return let(F.crc32(piece), "int", find)
+    return let(piece, "int", lambda p: let(F.crc32(p), "int", lambda x: find(p, x)))
 
 
 def _encode(word: Column, keys: Column, ranks: Column) -> Column:
@@ -83,12 +84,9 @@ def _encode(word: Column, keys: Column, ranks: Column) -> Column:
         starts, pairs = state["starts"], state["pairs"]
 
         def merged(at: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(span(starts, at - 2, at + 1)))).otherwise(empty)
-            right = F.when(at < F.size(pairs), F.array(rank(span(starts, at - 1, at + 2)))).otherwise(empty)
-            return F.struct(
-                F.concat(F.slice(starts, 1, at), F.slice(starts, at + 2, F.size(starts))).alias("starts"),
-                F.concat(F.slice(pairs, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(pairs, at + 2, F.size(pairs))).alias("pairs"),
-            )
+            left, right = (lambda: rank(span(starts, at - 2, at + 1))), (lambda: rank(span(starts, at - 1, at + 2)))
+            near = F.transform(pairs, lambda p, i: F.when(i == at - 2, left()).when(i == at, right()).otherwise(p))
+            return F.struct(F.array_remove(starts, F.get(starts, at)).alias("starts"), F.filter(near, lambda _, i: i != at - 1).alias("pairs"))
 
         kind = "struct<starts:array<int>,pairs:array<int>>"
         return let(F.array_min(pairs), kind, lambda least: F.when(least.isNull(), state).otherwise(let(F.array_position(pairs, least).cast("int"), kind, merged)))
@@ -127,25 +125,37 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Head:
-    """Frequent words with their ids and bytes, encoded once beforehand: a cache of at most ``most`` words of at most 64 bytes.
+    """Words that are seen again and again, with their ids and bytes, encoded once beforehand: a cache of at most ``most`` words.
 
-    Which words it holds changes no result, so they come from a bounded sample of documents.
+    Which words it holds changes no result, so they come from a bounded sample of documents (all, while these are fewer): words of at
+    most 64 bytes, seen ``least`` times or more, which is the smallest number (2 or more) that not too many words reach.
     """
 
-    def __init__(self, rows: list):
-        self.words = pa.array([bytes(r.word) for r in rows], pa.binary())
-        self.ids = [r.coded.ids.encode() for r in rows]
-        self.bytes = [bytes(r.coded.bytes) for r in rows]
+    def __init__(self, table: pa.Table):
+        self.words, self.ids, self.bytes = (table.column(k).combine_chunks() for k in ("word", "ids", "bytes"))
 
     @staticmethod
     def of(docs: DataFrame, split, coded, size: int, most: int) -> "Head":
-        n = docs.count()
-        seen = split(docs.sample(min(1.0, size / max(n, 1)), seed=7)).select(F.explode("words").alias("word")).where("octet_length(word) <= 64")
-        often = seen.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-        return Head(often.repartition(12).select(F.array(F.col("word").cast("binary")).alias("words")).select(F.col("words")[0].alias("word"), coded("words")[0].alias("coded")).collect())
+        def count(batches):
+            for _, _, words in word_slices(batches, RUN):
+                found = words.value_counts()
+                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.binary()), found.field(1)], names=["word", "n"])
+
+        share = size / max(docs.count(), 1)
+        seen = split(docs if share >= 1 else docs.sample(share, seed=7)).mapInArrow(count, "word binary, n long")
+        seen = cut(seen.where("octet_length(word) <= 64").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+        levels = sorted(seen.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("words")).collect(), reverse=True)
+        least, words = 1001, 0
+        for level in levels:
+            words += level.words
+            if words > most:
+                break
+            least = level.n
+        asked = seen.where(F.col("n") >= least).repartition(48).select(F.array("word").alias("words"))
+        return Head(asked.select(F.col("words")[0].alias("word"), coded("words")[0].alias("coded")).select("word", F.col("coded.ids").cast("binary").alias("ids"), "coded.bytes").toArrow())
 
 
-def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, sample_docs: int = 4096, head_words: int = 1 << 17) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, sample_docs: int = 1 << 16, head_words: int = 1 << 19) -> DataFrame:
     """Encode each whole text by the rank file at ``path`` and decode the ids again.
 
     Returns a row per input row: ``doc_id, n_tokens, ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256``;
@@ -176,6 +186,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
 
     words = with_pretokens(docs, id_col, text_col, pattern)
     head = Head.of(docs, lambda x: with_pretokens(x, id_col, text_col, pattern), coded, sample_docs, head_words)
+
     def encode_runs(batches):
         for ids, at, words in word_slices(batches, RUN):
             coded = words.dictionary_encode()
@@ -188,9 +199,10 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
             asked = distinct.take(pa.array(rest[sizes[rest] <= LONG]))
             place = known.astype(np.int32)  # of a word: in the head, or below zero its number among those asked for, then the long ones
             place[np.concatenate([rest[sizes[rest] <= LONG], longs])] = -1 - np.arange(len(rest), dtype=np.int32)
-            codes = place[np.asarray(coded.indices)] if len(words) else place
+            codes = (place[np.asarray(coded.indices)] if len(words) else place).tobytes()
+            del words, coded, distinct, known, place
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.to_pylist()], run.field(0).type), pa.array([np.diff(at).astype(np.int32).tobytes()]), pa.array([codes.tobytes()]), pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked), pa.array([found], run.field(4).type)],
+                [pa.array([ids.to_pylist()], run.field(0).type), pa.array([np.diff(at).astype(np.int32).tobytes()]), pa.array([codes]), pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked), pa.array([found], run.field(4).type)],
                 schema=run,
             )
 
@@ -199,14 +211,16 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] * keep])
 
     def digest(batches):
+        head_ids, head_bytes = head.ids.to_pylist(), head.bytes.to_pylist()
+        head_lengths = np.fromiter((x.count(b",") + 1 for x in head_ids), np.int64, len(head_ids))
         for batch in batches:
             for ids, counts, codes, long_ids, coded in zip(*(batch.column(k) for k in range(5)), strict=True):
                 long_ids = [x.encode() for x in long_ids.as_py()]
                 rest = coded.values.field("ids").cast(pa.binary()).to_pylist() + long_ids
-                texts = head.ids + rest[::-1]
-                raw = head.bytes + (coded.values.field("bytes").to_pylist() + [b"".join(names[int(i)] for i in x.split(b",")) for x in long_ids])[::-1]
+                texts = head_ids + rest[::-1]
+                raw = head_bytes + (coded.values.field("bytes").to_pylist() + [b"".join(names[int(i)] for i in x.split(b",")) for x in long_ids])[::-1]
                 codes, counts = np.frombuffer(codes.as_buffer(), np.int32), np.frombuffer(counts.as_buffer(), np.int32)
-                lengths = np.fromiter((x.count(b",") + 1 for x in texts), np.int64, len(texts))
+                lengths = np.concatenate([head_lengths, np.fromiter((x.count(b",") + 1 for x in reversed(rest)), np.int64, len(rest))])
                 at = np.concatenate([[0], np.cumsum(counts)])
                 totals = np.concatenate([[0], np.cumsum(lengths[codes])])[at] if len(codes) else at
                 rows, ids = [], ids.as_py()
