@@ -22,7 +22,7 @@ def file_list(spark: SparkSession, given: str) -> list[str]:
 def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Alignments of SAM text with 0-based places; ``ref`` and ``mate_ref`` are contig names, tags a map of name to value."""
     rows = _lines(spark, paths).where(~F.startswith("value", F.lit("@"))).withColumn("c", F.split("value", "\t")).where("size(c) >= 11")
-    c = lambda k, kind="string": F.get("c", F.lit(k)).cast(kind)
+    c = lambda k, kind="string": F.get("c", F.lit(k)).try_cast(kind)
     tags = F.map_from_entries(F.transform(F.slice("c", 12, 1000), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.regexp_extract(t, r"^..:.:(.*)$", 1).alias("v"))))
     mate = F.when(c(6) == "=", c(2)).otherwise(c(6))
     return rows.select("file", c(0).alias("read_name"), c(1, "int").alias("flag"), c(2).alias("ref"), (c(3, "long") - 1).alias("pos"), c(4, "int").alias("mapq"), c(5).alias("cigar"), mate.alias("mate_ref"), (c(7, "long") - 1).alias("mate_pos"), c(8, "long").alias("insert_size"), c(9).alias("seq"), c(10).alias("qual"), tags.alias("tags"))
