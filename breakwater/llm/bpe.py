@@ -27,7 +27,7 @@ from breakwater.plans.lineage import cut
 
 LONG = 400
 #: Pre-tokens of a run: more make fewer distinct words to merge in all, fewer take less memory.
-RUN = 6_000_000
+RUN = 2_500_000
 _MASK = (1 << 17) - 1
 
 
@@ -187,11 +187,13 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     words = with_pretokens(docs, id_col, text_col, pattern)
     head = Head.of(docs, lambda x: with_pretokens(x, id_col, text_col, pattern), coded, sample_docs, head_words)
 
+    often, often_ids, often_bytes = head.words, head.ids, head.bytes
+
     def encode_runs(batches):
         for ids, at, words in word_slices(batches, RUN):
             coded = words.dictionary_encode()
             distinct = coded.dictionary.cast(pa.binary())
-            known = pc.index_in(distinct, value_set=head.words).fill_null(-1).to_numpy()
+            known = pc.index_in(distinct, value_set=often).fill_null(-1).to_numpy()
             rest = np.flatnonzero(known < 0)
             sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
             longs = rest[sizes[rest] > LONG]
@@ -206,12 +208,13 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
                 schema=run,
             )
 
-    runs = words.mapInArrow(encode_runs, "ids array<long>, counts binary, codes binary, words array<binary>, long_ids array<string>")
+    # Written, so that splitting texts and folding words do not hold their memory at the same time.
+    runs = cut(words.mapInArrow(encode_runs, "ids array<long>, counts binary, codes binary, words array<binary>, long_ids array<string>"))
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] * keep])
 
     def digest(batches):
-        head_ids, head_bytes = head.ids.to_pylist(), head.bytes.to_pylist()
+        head_ids, head_bytes = often_ids.to_pylist(), often_bytes.to_pylist()
         head_lengths = np.fromiter((x.count(b",") + 1 for x in head_ids), np.int64, len(head_ids))
         for batch in batches:
             for ids, counts, codes, long_ids, coded in zip(*(batch.column(k) for k in range(5)), strict=True):

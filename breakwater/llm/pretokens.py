@@ -37,3 +37,4 @@ def word_slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[
             last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
             yield ids.slice(first, last - first), at[first : last + 1] - at[first], lists.values.slice(at[first], at[last] - at[first])
             first = last
+        del batch, lists, at  # before the next batch is read
