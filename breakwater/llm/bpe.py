@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breakwater.functions.hof import let
-from breakwater.llm.pretokens import read_ranks, with_pretokens, word_slices
+from breakwater.llm.pretokens import in_parts, read_ranks, with_pretokens, word_runs
 from breakwater.plans.lineage import cut
 
 LONG = 400
@@ -137,7 +137,7 @@ class Head:
     @staticmethod
     def of(docs: DataFrame, split, coded, size: int, most: int) -> "Head":
         def count(batches):
-            for _, _, words in word_slices(batches, RUN):
+            for _, _, words in word_runs(batches, RUN):
                 found = words.value_counts()
                 yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.binary()), found.field(1)], names=["word", "n"])
 
@@ -184,13 +184,13 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     def coded(words: str) -> Column:
         return F.get(F.transform(tables, lambda t: F.transform(words, word(t))), F.lit(0)).alias("coded")
 
-    words = with_pretokens(docs, id_col, text_col, pattern)
-    head = Head.of(docs, lambda x: with_pretokens(x, id_col, text_col, pattern), coded, sample_docs, head_words)
+    split = lambda x: in_parts(with_pretokens(x, id_col, text_col, pattern))
+    head = Head.of(docs, split, coded, sample_docs, head_words)
 
     often, often_ids, often_bytes = head.words, head.ids, head.bytes
 
     def encode_runs(batches):
-        for ids, at, words in word_slices(batches, RUN):
+        for ids, at, words in word_runs(batches, RUN):
             coded = words.dictionary_encode()
             distinct = coded.dictionary.cast(pa.binary())
             known = pc.index_in(distinct, value_set=often).fill_null(-1).to_numpy()
@@ -204,12 +204,12 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
             codes = (place[np.asarray(coded.indices)] if len(words) else place).tobytes()
             del words, coded, distinct, known, place
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.to_pylist()], run.field(0).type), pa.array([np.diff(at).astype(np.int32).tobytes()]), pa.array([codes]), pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked), pa.array([found], run.field(4).type)],
+                [pa.array([ids], run.field(0).type), pa.array([np.diff(at).astype(np.int32).tobytes()]), pa.array([codes]), pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked), pa.array([found], run.field(4).type)],
                 schema=run,
             )
 
     # Written, so that splitting texts and folding words do not hold their memory at the same time.
-    runs = cut(words.mapInArrow(encode_runs, "ids array<long>, counts binary, codes binary, words array<binary>, long_ids array<string>"))
+    runs = cut(split(docs).mapInArrow(encode_runs, "ids array<long>, counts binary, codes binary, words array<binary>, long_ids array<string>"))
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] * keep])
 

@@ -38,3 +38,35 @@ def word_slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[
             yield ids.slice(first, last - first), at[first : last + 1] - at[first], lists.values.slice(at[first], at[last] - at[first])
             first = last
         del batch, lists, at  # before the next batch is read
+
+
+def in_parts(words: DataFrame, least: int = 64, most_parts: int = 16) -> DataFrame:
+    """``id, part, words``: each row's words in parts of ``least`` or more, so that an Arrow batch holds a bounded number of usual words."""
+    n = F.size("words")
+    step = F.greatest(F.lit(least), F.ceil(n / most_parts)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), step), lambda i: F.slice("words", i + 1, step))
+    return words.select("id", F.posexplode(parts).alias("part", "words"))
+
+
+def word_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, np.ndarray, pa.Array]]:
+    """Ids, word offsets and words of runs of whole rows, given in parts, with about ``most`` words, or of a single row."""
+    ids, begins, held, count = [], [], [], 0
+    for batch in batches:
+        starts = np.flatnonzero(batch.column(1).to_numpy() == 0)
+        at = np.asarray(batch.column(2).offsets).astype(np.int64)
+        first = 0
+        while first < batch.num_rows:
+            ahead = starts[np.searchsorted(starts, first) :]
+            k = int(np.searchsorted(at[ahead] - at[first] + count, most))
+            last = int(ahead[k]) if k < len(ahead) else batch.num_rows
+            own = ahead[: int(np.searchsorted(ahead, last))]
+            ids += batch.column(0).take(pa.array(own)).to_pylist()
+            begins.append(at[own] - at[first] + count)
+            held.append(batch.column(2).values.slice(at[first], at[last] - at[first]))
+            count += int(at[last] - at[first])
+            first = last
+            if last < batch.num_rows:
+                yield ids, np.append(np.concatenate(begins), count), pa.concat_arrays(held)
+                ids, begins, held, count = [], [], [], 0
+    if ids:
+        yield ids, np.append(np.concatenate(begins), count), pa.concat_arrays(held)

@@ -3,10 +3,11 @@
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from breakwater.llm import bpe, jaccard
+from breakwater.llm import bpe, jaccard, pretokens
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -63,3 +64,20 @@ def test_words_outside_the_cache(spark):
         assert sorted(map(tuple, bpe.bpe_roundtrip(df, RANKS, sample_docs=sample, head_words=head).collect())) == want
     back = bpe.bpe_roundtrip(df, RANKS, keep=True).join(df, "doc_id")
     assert back.where(F.decode("decoded", "UTF-8") == F.col("text")).count() == 40
+
+
+def test_runs_keep_rows_whole():
+    r = random.Random(1)
+    for _ in range(200):
+        docs = [(i, [f"w{r.randrange(9)}" for _ in range(r.choice([0, 0, 1, 3, 7, 30]))]) for i in range(r.randrange(1, 12))]
+        rows = [(i, p, w[k : k + 10]) for i, w in docs for p, k in enumerate(range(0, max(len(w), 1), 10))]
+        batches, k = [], 0
+        while k < len(rows):
+            n = r.randrange(1, 5)
+            part, k = rows[k : k + n], k + n
+            batches.append(pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.list_(pa.string()))], names=["id", "part", "words"]))
+        got = []
+        for ids, at, words in pretokens.word_runs(iter(batches), r.choice([1, 5, 20, 1000])):
+            words = words.to_pylist()
+            got += [(i, words[at[j] : at[j + 1]]) for j, i in enumerate(ids)]
+        assert got == docs
