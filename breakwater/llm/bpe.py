@@ -27,7 +27,7 @@ from breakwater.plans.lineage import cut
 
 LONG = 400
 #: Pre-tokens of a run: more make fewer distinct words to merge in all, fewer take less memory.
-RUN = 2_500_000
+RUN = 1_500_000
 _MASK = (1 << 17) - 1
 
 
@@ -140,6 +140,7 @@ class Head:
             for _, _, words in word_runs(batches, RUN):
                 found = words.value_counts()
                 yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.binary()), found.field(1)], names=["word", "n"])
+            pa.default_memory_pool().release_unused()
 
         share = size / max(docs.count(), 1)
         seen = split(docs if share >= 1 else docs.sample(share, seed=7)).mapInArrow(count, "word binary, n long")
@@ -207,6 +208,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
                 [pa.array([ids], run.field(0).type), pa.array([np.diff(at).astype(np.int32).tobytes()]), pa.array([codes]), pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked), pa.array([found], run.field(4).type)],
                 schema=run,
             )
+        pa.default_memory_pool().release_unused()  # workers are used again by the next stage
 
     # Written, so that splitting texts and folding words do not hold their memory at the same time.
     runs = cut(split(docs).mapInArrow(encode_runs, "ids array<long>, counts binary, codes binary, words array<binary>, long_ids array<string>"))
