@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as e
@@ -14,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(None if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in df.astype(object).itertuples(index=False))
+    return sorted((tuple(None if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in df.astype(object).itertuples(index=False)), key=repr)
 
 
 @pytest.fixture(scope="module")
