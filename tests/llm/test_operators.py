@@ -217,6 +217,16 @@ def test_pseudo_learns():
     assert pseudo.log_probs(p, around, ids).mean() > first + 3
 
 
+def test_pseudo_tells_rare_words_apart(spark):
+    bucket = lambda w: int(pseudo.word_hashes(*pseudo.utf8(pa.array([w])))[0][0] >> np.uint64(56))
+    once = "rare0"
+    often = next(w for w in (f"rare{k}" for k in range(1, 9999)) if bucket(w) == bucket(once))
+    fill = [" ".join(f"f{k}" for k in range(900))] * 6
+    rows_ = [*enumerate(fill), (10, f"f1 f2 {once} f3 f4"), (11, f"f1 f2 {often} f3 f4"), (12, f"{often} f5 {often} f6 {often}")]
+    got = {r.doc_id: r.log_prob for r in pseudo.score_pseudo(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)).collect()}
+    assert got[11] - got[10] == pytest.approx(np.log(4), abs=1e-3)
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     for out in (linededup.dedup_lines(none), suffix.remove_repeats(none), jaccard.link_components(none), media.media_column(none), trie.token_counts(none, RANKS), pseudo.score_pseudo(none)):
