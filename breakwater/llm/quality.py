@@ -17,8 +17,6 @@ from breakwater.llm.textvec import combine, distinct, mix, slices, utf8, word_ha
 BITS = 18
 #: Most labelled texts that the model is fitted on.
 SAMPLE = 8000
-#: Most n-grams that a labelled text brings into the fit; of longer ones those of the lowest hash.
-FIT_FEATURES = 2000
 SMOOTH = 1.0
 COST = 0.1
 EPOCHS = 12
@@ -159,12 +157,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             raw, at = utf8(batch.column("text"))
             row, feature = indicators(raw, at, bits)
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            blobs = []
-            for k in range(batch.num_rows):
-                own = feature[first[k] : first[k + 1]]
-                if len(own) > FIT_FEATURES:
-                    own = np.sort(own[np.argsort(mix(own.astype(np.uint64)), kind="stable")[:FIT_FEATURES]])
-                blobs.append(own.astype(np.int32).tobytes())
+            blobs = [feature[first[k] : first[k + 1]].astype(np.int32).tobytes() for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["id", "label", "features"])
 
     got = chosen.mapInArrow(features, "id long, label int, features binary").toArrow()

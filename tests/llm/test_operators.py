@@ -185,6 +185,15 @@ def test_quality(spark):
     assert quality.fit_quality(docs, labels.where("false")).curve == (1.0, 0.0)
 
 
+def test_quality_fits_whole_texts(spark):
+    say = [" ".join(f"{w}{k}" for k in range(4000)) for w in ("bad", "good")]
+    model = quality.fit_quality(spark.createDataFrame(list(enumerate(say)), "doc_id long, text string"), spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int"))
+    row, feature = quality.indicators(*pseudo.utf8(pa.array(say)))
+    bad, good = feature[row == 0], feature[row == 1]
+    neither = model.ratio[np.setdiff1d(np.arange(1 << quality.BITS), feature)].max()
+    assert len(good) > 7000 and (model.ratio[np.setdiff1d(good, bad)] > neither + 0.5).all() and (model.ratio[np.setdiff1d(bad, good)] < neither - 0.5).all()
+
+
 def test_urls(spark):
     u = ["http://WWW.Example.com/en/a?x", "https://example.com/en/", "http://a.example.com/fr/1", "http://x.net/es/q", "http://x.net/eso", None, "no scheme", "http://h.org", "http://notcom/"]
     pages = spark.createDataFrame(list(enumerate(u)), "page_id long, url string")
