@@ -7,6 +7,8 @@ rejected if its smoothed share of bad ones is too high. Counting is by grouped s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, i
     ``labels`` has ``page_id, bad`` (1 or 0); without it, pages that a rule blocks count as bad and those that one allows as good. At
     each depth a segment stays itself if its branch (host and template so far) has at most ``few`` different segments, or fewer
     than ``varied`` times its pages; otherwise its shape with digits wild (``#``) takes its place, or ``*`` if those vary too.
-    Branches of one parent are merged when their share of bad labels is equal to within ``1 - alike`` and the distributions of their
-    children have a cosine of ``alike`` or more with the parent's mean child distribution. A template is
+    Branches of one parent, at every level, are merged when their share of bad labels is equal to within ``1 - alike`` and the
+    distributions of what lies below them have a cosine of ``alike`` or more with the parent's mean distribution. A template is
     rejected if (bad + prior * b) / (labelled + prior) exceeds ``reject``, with b the share of bad labels over all pages or ``reject``,
     whichever is less. Null urls have an empty host and path and are allowed. Rows that repeat give equal rows.
     """
@@ -100,17 +102,26 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, i
 
 
 def _merge_alike(templates: DataFrame, alike: float) -> DataFrame:
-    """Give templates that differ in one segment, and whose children and labels are alike, one name with ``+`` in that place."""
-    parts = templates.withColumn("__parts", F.split("template", "/"))
-    first, rest = F.get("__parts", F.lit(1)), F.array_join(F.slice("__parts", 3, 64), "/")
-    parts = parts.withColumns({"__first": F.coalesce(first, F.lit("")), "__rest": rest})
-    branch = parts.groupBy("host", "__first").agg(F.sum("pages").alias("__n"), F.sum("bad").alias("__bad"), F.sum("labelled").alias("__labelled"))
-    mean = parts.groupBy("host", "__rest").agg(F.sum("pages").alias("__all"))
-    norm = mean.groupBy("host").agg(F.sqrt(F.sum(F.col("__all").cast("double") * F.col("__all"))).alias("__norm"))
-    dots = parts.join(mean, ["host", "__rest"]).groupBy("host", "__first").agg(F.sum(F.col("pages").cast("double") * F.col("__all")).alias("__dot"), F.sqrt(F.sum(F.col("pages").cast("double") * F.col("pages"))).alias("__own"))
-    signs = branch.join(dots, ["host", "__first"]).join(norm, "host")
-    group = F.when(F.col("__dot") >= alike * F.col("__own") * F.col("__norm"), F.when(F.col("__labelled") == 0, F.lit("none")).otherwise(F.round(F.col("__bad") / F.col("__labelled") / (2 * (1 - alike))).cast("string")))
-    signs = signs.select("host", "__first", group.alias("__group"))
-    named = parts.join(signs, ["host", "__first"])
-    merged = F.when(F.col("__group").isNull() | (F.col("__first") == ""), F.col("template")).otherwise(F.concat_ws("/", F.lit(""), F.concat(F.lit("+"), "__group"), F.when(F.col("__rest") != "", F.col("__rest"))))
-    return named.select("host", "template", "pages", "bad", "labelled", merged.alias("merged"))
+    """Give sibling branches whose children and labels are alike one name with ``+`` in their place, at every level from the root down.
+
+    Branches that are merged are one parent from then on: their children are pooled, and compared with that parent's mean. A branch
+    that is like no sibling keeps its name.
+    """
+    at, total = ["host", "merged"], lambda *names: (F.sum(c).alias(c) for c in names)
+    parts = cut(templates.select("*", F.lit("").alias("merged"), F.expr("slice(split(template, '/'), 2, size(split(template, '/')))").alias("__rest")))
+    done = []
+    for _ in range(parts.agg(F.max(F.size("__rest")).alias("n")).first()["n"] or 0):
+        done.append(parts.where(F.size("__rest") == 0))
+        parts = parts.where(F.size("__rest") > 0).withColumns({"__own": F.get("__rest", F.lit(0)), "__rest": F.expr("slice(__rest, 2, size(__rest))")})
+        branch = parts.groupBy(*at, "__own").agg(*total("bad", "labelled"))
+        children = parts.groupBy(*at, "__own", "__rest").agg(*total("pages"))
+        mean = children.groupBy(*at, "__rest").agg(F.sum("pages").alias("__all"))
+        norm = mean.groupBy(*at).agg(F.sqrt(F.sum(F.col("__all").cast("double") * F.col("__all"))).alias("__norm"))
+        dots = children.join(mean, [*at, "__rest"]).groupBy(*at, "__own").agg(F.sum(F.col("pages").cast("double") * F.col("__all")).alias("__dot"), F.sqrt(F.sum(F.col("pages").cast("double") * F.col("pages"))).alias("__size"))
+        group = F.when(F.col("__dot") >= alike * F.col("__size") * F.col("__norm"), F.when(F.col("labelled") == 0, F.lit("none")).otherwise(F.round(F.col("bad") / F.col("labelled") / (2 * (1 - alike))).cast("string")))
+        signs = branch.join(dots, [*at, "__own"]).join(norm, at).select(*at, "__own", group.alias("__group"))
+        shared = signs.where("__group IS NOT NULL").groupBy(*at, "__group").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+        signs = signs.join(shared.withColumn("__shared", F.lit(True)), [*at, "__group"], "left").select(*at, "__own", F.when(F.col("__shared"), F.concat(F.lit("+"), "__group")).otherwise(F.col("__own")).alias("__name"))
+        named = parts.join(signs, [*at, "__own"]).withColumn("merged", F.concat("merged", F.lit("/"), "__name"))
+        parts = cut(named.select("host", "template", "pages", "labelled", "bad", "merged", "__rest"))
+    return reduce(DataFrame.unionByName, [*done, parts]).drop("__rest")

@@ -210,6 +210,15 @@ def test_url_templates(spark):
     assert all(got[k] == "block" for k in range(60)) and all(got[100 + k] == "allow" for k in range(60))
 
 
+def test_url_merges_below_the_first_level(spark):
+    bad = [f"http://h.org/shop/b{k}/x" for k in range(4)]
+    rows_ = [*enumerate(bad), (10, "http://h.org/shop/g0/x"), (11, "http://h.org/shop/g1/x"), (12, "http://h.org/shop/odd/y")]
+    labels = spark.createDataFrame([(k, 1) for k in range(4)] + [(10, 0), (11, 0), (12, 1)], "page_id long, bad int")
+    got = {r.page_id: r for r in urltree.judge_urls(spark.createDataFrame(rows_, "page_id long, url string"), labels).collect()}
+    assert {got[k].template for k in range(4)} == {"/shop/+5.0/x"} and got[12].template == "/shop/odd/y" and got[10].template == got[11].template == "/shop/+0.0/x"
+    assert got[0].purity == round((4 + 4 * 0.5) / (4 + 4), 6) and got[0].verdict == "block" and got[10].verdict == "allow"
+
+
 def test_pseudo(docs):
     got = {(r.doc_id, r.n_words): r for r in pseudo.score_pseudo(docs).collect()}
     assert got[4, 0].score is None and got[4, 0].log_prob == 0 and all(r.log_prob < 0 for r in got.values() if r.n_words)
