@@ -16,7 +16,8 @@ from breakwater.plans.lineage import cut
 
 #: (action, host and path prefix) of the filter's rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DEPTH = 4
+#: Levels of a path that are looked at; None for all.
+DEPTH = None
 VARIED = 0.2
 FEW = 8
 ALIKE = 0.9
@@ -52,9 +53,10 @@ def _shape(segment: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(segment, r"[0-9a-fA-F]{8,}", "#"), r"[0-9]+", "#")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH, varied: float = VARIED, few: int = FEW, alike: float = ALIKE, prior: float = PRIOR, reject: float = REJECT) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", depth: int | None = DEPTH, varied: float = VARIED, few: int = FEW, alike: float = ALIKE, prior: float = PRIOR, reject: float = REJECT) -> DataFrame:
     """Judge every page: ``page_id, host, path, rule, verdict, template, purity``.
 
+    Paths are followed to their last segment, or to the first ``depth``.
     ``labels`` has ``page_id, bad`` (1 or 0); without it, pages that a rule blocks count as bad and those that one allows as good. At
     each depth a segment stays itself if its branch (host and template so far) has at most ``few`` different segments, or fewer
     than ``varied`` times its pages; otherwise its shape with digits wild (``#``) takes its place, or ``*`` if those vary too.
@@ -72,22 +74,28 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, i
     else:
         base = base.join(labels.groupBy(F.col("page_id").alias("__lid")).agg(F.max("bad").cast("int").alias("__bad")), F.col("page_id") == F.col("__lid"), "left").drop("__lid")
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    segments = segments if depth is None else F.slice(segments, 1, depth)
     # Paths meet here first: from now on one row for each host and path prefix, with its pages and labels.
-    paths = base.withColumn("__segments", F.slice(segments, 1, depth)).groupBy("host", "__segments").agg(F.count("*").alias("pages"), F.count("__bad").alias("labelled"), F.sum(F.coalesce("__bad", F.lit(0))).alias("bad"))
+    paths = base.withColumn("__segments", segments).groupBy("host", "__segments").agg(F.count("*").alias("pages"), F.count("__bad").alias("labelled"), F.sum(F.coalesce("__bad", F.lit(0))).alias("bad"))
     tree = cut(paths.withColumn("template", F.lit("")))
-    for level in range(depth):
+    done = []
+    for level in range(tree.agg(F.max(F.size("__segments")).alias("n")).first()["n"] or 0):
+        # Paths that end here have their template; only the others go on.
+        done.append(tree.where(F.size("__segments") <= level))
+        tree = tree.where(F.size("__segments") > level)
         segment = F.get("__segments", F.lit(level))
         tree = tree.withColumn("__segment", segment).withColumn("__kind", _shape(segment))
-        branches = tree.where("__segment IS NOT NULL").groupBy("host", "template", "__kind", "__segment").agg(F.sum("pages").alias("n"))
+        branches = tree.groupBy("host", "template", "__kind", "__segment").agg(F.sum("pages").alias("n"))
         kinds = branches.groupBy("host", "template", "__kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
         nodes = kinds.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"), F.count("*").alias("kinds"))
         free = lambda d, n: (F.col(d) > few) & (F.col(d) > varied * F.col(n))
         nodes = nodes.select(F.col("host").alias("__h"), F.col("template").alias("__t"), free("distinct", "n").alias("__vary"), free("kinds", "n").alias("__vary_kinds"))
         tree = tree.join(nodes, (F.col("host") == F.col("__h")) & (F.col("template") == F.col("__t")), "left")
-        step = F.when(F.col("__segment").isNull(), F.lit("")).when(F.col("__vary") & F.col("__vary_kinds"), F.lit("/*")).when(F.col("__vary"), F.concat(F.lit("/"), "__kind")).otherwise(F.concat(F.lit("/"), "__segment"))
+        step = F.when(F.col("__vary") & F.col("__vary_kinds"), F.lit("/*")).when(F.col("__vary"), F.concat(F.lit("/"), "__kind")).otherwise(F.concat(F.lit("/"), "__segment"))
         tree = tree.withColumn("template", F.concat("template", step)).drop("__h", "__t", "__vary", "__vary_kinds", "__kind", "__segment")
         # Each level is written: it is read twice by the next one, and a plan that held them all would double with every level.
         tree = cut(tree.groupBy("host", "__segments", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad"))))
+    tree = reduce(DataFrame.unionByName, [*done, tree])
     templates = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
     merged = cut(_merge_alike(cut(templates), alike))
     total = base.agg((F.sum("__bad") / F.count("__bad")).alias("__share"))
@@ -96,7 +104,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, i
     purity = purity.withColumn("purity", F.round((F.col("bad") + prior * share) / (F.col("labelled") + prior), 6))
     known = tree.select("host", "__segments", "template").join(merged.select("host", "template", "merged"), ["host", "template"]).join(purity.select("host", "merged", "purity"), ["host", "merged"])
     known = known.select(F.col("host").alias("__h"), F.col("__segments").alias("__s"), F.col("merged").alias("template"), "purity")
-    out = base.withColumn("__segments", F.slice(segments, 1, depth)).join(known, (F.col("host") == F.col("__h")) & (F.col("__segments") == F.col("__s")), "left")
+    out = base.withColumn("__segments", segments).join(known, (F.col("host") == F.col("__h")) & (F.col("__segments") == F.col("__s")), "left")
     verdict = F.coalesce("__action", F.when(F.col("purity") > reject, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 

@@ -219,6 +219,16 @@ def test_url_merges_below_the_first_level(spark):
     assert got[0].purity == round((4 + 4 * 0.5) / (4 + 4), 6) and got[0].verdict == "block" and got[10].verdict == "allow"
 
 
+def test_url_paths_are_followed_to_their_end(spark):
+    rows_ = [(k, f"http://h.org/a/b/c/d/bad/{k % 3}/e") for k in range(12)] + [(100 + k, f"http://h.org/a/b/c/d/good/{k % 3}/e") for k in range(12)] + [(200, "http://h.org/a"), (201, "http://h.org/")]
+    labels = spark.createDataFrame([(k, 1) for k in range(10)] + [(100 + k, 0) for k in range(10)], "page_id long, bad int")
+    pages = spark.createDataFrame(rows_, "page_id long, url string")
+    got = {r.page_id: r for r in urltree.judge_urls(pages, labels).collect()}
+    assert len(got) == 26 and all(got[k].verdict == "block" and got[k].template.startswith("/a/b/c/d/bad/") for k in range(12)) and all(got[100 + k].verdict == "allow" for k in range(12))
+    assert got[200].template == "/a" and got[201].template == ""
+    assert {r.template for r in urltree.judge_urls(pages, labels, depth=4).collect()} == {"/a/b/c/d", "/a", ""}
+
+
 def test_pseudo(docs):
     got = {(r.doc_id, r.n_words): r for r in pseudo.score_pseudo(docs).collect()}
     assert got[4, 0].score is None and got[4, 0].log_prob == 0 and all(r.log_prob < 0 for r in got.values() if r.n_words)
