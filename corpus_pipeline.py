@@ -25,8 +25,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines of windows that stand earlier; texts change, and ``n_chars`` with them. Emptied ones go."""
-    return linededup.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long")).where("text <> ''").select(docs.columns)
+    """The documents without lines of windows that stand earlier; texts change, and ``n_chars`` with them.
+
+    Those that this emptied go; null and empty texts that came in stay.
+    """
+    came = docs.withColumn("__empty", F.coalesce(F.col("text") == "", F.lit(True)))
+    out = linededup.drop_repeated_lines(came).withColumn("n_chars", F.length("text").cast("long"))
+    return out.where("__empty OR text <> ''").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

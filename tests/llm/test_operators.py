@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
@@ -108,6 +109,13 @@ def test_lines(docs):
     assert kept.columns == docs.columns and kept.count() == docs.count() and kept.where("doc_id = 4 AND text IS NULL").count() == 1
 
 
+def test_pipeline_lines_keeps_empty_texts(spark):
+    block = "\n".join(f"line {k} of the block" for k in range(linededup.WIDTH))
+    docs = spark.createDataFrame([(1, block, 1), (2, block, 1), (3, "", 0), (4, None, None), (5, block + "\nmore", 1)], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.lines(spark, docs, "")
+    assert got.columns == docs.columns and rows(got, "doc_id", "text", "n_chars") == [(1, block, len(block)), (3, "", 0), (4, None, None), (5, "more", 4)]
+
+
 def test_suffix(docs):
     length = 40
     every = Counter(b[k : k + length] for _, t in texts() for b in [(t or "").encode()] for k in range(len(b) - length + 1))
