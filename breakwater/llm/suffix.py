@@ -4,7 +4,7 @@ Strings that are equal choose the same anchor: the leftmost least hash among the
 occurrence lie in one span of at most ``2 * length - GRAM`` bytes, so equal strings meet under their anchor's hash. Where an anchor
 has one span only, its copies are repeated as a whole. The different spans of an anchor are put into shard arrays of bounded size;
 each shard's suffix array is built by induced sorting, and its permuted common prefixes tell which strings start twice. Anchors with
-more spans than a shard takes are dealt over several, whose strings then meet by hash, each at most once a shard.
+more than ``SPANS`` different spans get no suffix array: every string of each such span is sent as a 64-bit hash, and equal ones meet.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from breakwater.plans.lineage import cut
 
 LENGTH = 400
 GRAM = 64
-#: Bytes of spans in a shard array, and most spans of one anchor in it.
+#: Bytes of spans in a shard array, and most different spans of an anchor that goes into one.
 SHARD = 3 << 20
 SPANS = 8192
 
