@@ -18,19 +18,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Span hashes are polynomials at two points modulo a prime; a power of two as modulus would let long regular texts collide.
+PRIME = (1 << 31) - 1
+_POINTS = (0x3C6EF35F, 0x1F83D9AB)
+_P, _BITS = np.uint64(PRIME), np.uint64(31)
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n-1 modulo 2**64, and their inverses."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _UNBASE)):
-            x = np.full(n + n // 4, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def residue(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for values under 2**63."""
+    x = (x & _P) + (x >> _BITS)
+    x = (x & _P) + (x >> _BITS)
+    return np.where(x >= _P, x - _P, x)
+
+
+def powers(point: int, n: int) -> np.ndarray:
+    """The point's powers 0..n-1 modulo the prime, doubled in length until there are enough."""
+    out = _powers.get(point, np.ones(1, np.uint32))
+    while len(out) < n:
+        out = np.concatenate([out, residue(out.astype(np.uint64) * np.uint64(pow(point, len(out), PRIME))).astype(np.uint32)])
+    _powers[point] = out
+    return out[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,15 +92,20 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Spans:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand; the running sums are made once."""
+    """64-bit hashes of byte spans (or spans of letters under 2**31), equal for equal ones wherever they stand; running sums are made once."""
 
     def __init__(self, raw: np.ndarray):
-        up, self.down = powers(len(raw) + 1)
-        self.total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.total[1:])
+        n, self.sums = len(raw), []
+        small = raw.dtype == np.uint8 and n <= 1 << 24
+        for point in _POINTS:
+            terms = (raw.astype(np.uint64) + np.uint64(1)) * powers(point, n)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(terms if small else residue(terms), out=total[1:])
+            self.sums.append((total, powers(pow(point, -1, PRIME), n + 1)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+        one, two = (residue(residue(total[ends] - total[starts]) * down[starts]) for total, down in self.sums)
+        return mix((one | two << np.uint64(32)) + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
