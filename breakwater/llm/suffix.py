@@ -22,8 +22,10 @@ from breakwater.plans.lineage import cut
 LENGTH = 400
 GRAM = 64
 #: Bytes of spans in a shard array, and most different spans of an anchor that goes into one.
-SHARD = 3 << 20
+SHARD = 2 << 20
 SPANS = 8192
+#: Bytes of text whose anchors are chosen at once; a longer text is taken in pieces that overlap.
+PIECE = 1 << 20
 
 
 # ---- suffix arrays -------------------------------------------------------------------------------------------------------
@@ -202,29 +204,44 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int):
     """(row, first start, last start, anchor's hash, span's hash) of each run of strings that choose the same anchor."""
     width = length - gram + 1
     n = len(raw)
-    starts_in = np.repeat(np.diff(at) - length + 1, np.maximum(np.diff(at) - length + 1, 0))
-    row = np.repeat(np.arange(len(at) - 1), np.maximum(np.diff(at) - length + 1, 0))
-    if not len(row):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     counts = np.maximum(np.diff(at) - length + 1, 0)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + at[row]
+    if not counts.sum():
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), counts)
+    start = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts - at[:-1]).astype(np.int32), counts)
     span = Spans(raw)
-    place = np.arange(n - gram + 1)
-    hashes = span(place, place + gram)
+    place = np.arange(n - gram + 1, dtype=np.int32)
+    hashes = span(place, place + np.int32(gram))
     bits = np.uint64(int(n).bit_length())
-    key = ((hashes >> bits) << bits) | place.astype(np.uint64)
-    padded = np.full(-(-len(key) // width) * width, ~np.uint64(0), np.uint64)
-    padded[: len(key)] = key
+    padded = np.full(-(-len(place) // width) * width, ~np.uint64(0), np.uint64)
+    padded[: len(place)] = ((hashes >> bits) << bits) | place.astype(np.uint64)
     blocks = padded.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     behind = np.minimum.accumulate(blocks, axis=1).ravel()
-    best = np.minimum(ahead[start], behind[start + width - 1])
+    best = np.minimum(ahead[start], behind[start + np.int32(width - 1)])
+    del ahead, behind, blocks, padded, place
     first = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (row[1:] != row[:-1])]))
     last = np.concatenate([first[1:], [len(row)]]) - 1
-    a, b = start[first], start[last]
+    a, b = start[first].astype(np.int64), start[last].astype(np.int64)
     anchor = (best[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     whole = mix(span(a, b + length) + (anchor - a).astype(np.uint64))
-    return row[first], a - at[row[first]], b - at[row[first]], hashes[anchor], whole
+    row = row[first].astype(np.int64)
+    return row, a - at[row], b - at[row], hashes[anchor], whole
+
+
+def pieces(batches, length: int, most: int = PIECE):
+    """(batch, bytes, row offsets, first byte) of pieces of about ``most`` bytes: whole rows, or parts of one long row.
+
+    Parts overlap by ``length - 1`` bytes, so that every string of ``length`` bytes starts in exactly one of them.
+    """
+    for batch in slices(batches, "text", most):
+        raw, at = utf8(batch.column("text"))
+        if batch.num_rows > 1 or len(raw) <= 2 * most:
+            yield batch, raw, at, 0
+            continue
+        for first in range(0, len(raw), most):
+            part = raw[first : first + most + length - 1]
+            yield batch, part, np.array([0, len(part)]), first
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -232,22 +249,24 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2).astype(np.int32)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False, shard: int = SHARD, most_spans: int = SPANS) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts anywhere else, in the same row or another.
 
     Returns a row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and with ``keep_text`` also ``kept`` (bytes).
     Strings never cross rows and are judged on the input, overlaps included. Null texts are empty. Repeated rows are copies of each
-    other, so their strings all repeat. Only the id and the text are read.
+    other, so their strings all repeat. Only the id and the text are read. ``shard`` (bytes) and ``most_spans`` bound what one array
+    holds and change no result.
     """
     gram = min(GRAM, length)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
     def find(batches):
-        for batch in slices(batches, "text"):
-            row, a, b, anchor, whole = anchors(*utf8(batch.column("text")), length, gram)
+        for batch, raw, at, offset in pieces(batches, length):
+            row, a, b, anchor, whole = anchors(raw, at, length, gram)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), pa.array(a), pa.array((b - a).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "key", "at", "more", "anchor", "span"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), pa.array(a + offset), pa.array((b - a).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "key", "at", "more", "anchor", "span"])
+        pa.default_memory_pool().release_unused()  # workers are used again by the next stage
 
     found = texts.where(F.octet_length("text") >= length).mapInArrow(find, "id long, key long, at long, more int, anchor long, span long")
     shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
@@ -256,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = spans.groupBy("anchor").agg(F.count("*").alias("spans"))
     spans = cut(spans.join(sizes, "anchor").select("anchor", "span", "n", "spans", "of.*"))
     total = spans.agg(F.coalesce(F.sum(F.col("more") + length), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD))
+    shards = max(1, -(-total // shard))
 
     wanted = spans.groupBy(F.col("id").alias("wid"), F.col("key").alias("wkey")).agg(F.collect_list(F.struct("anchor", "span", "n", "spans", "at", "more")).alias("asked"))
     having = texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("key") == F.col("wkey"))).select("text", "asked", "id", "key").dropDuplicates(["id", "key"])
@@ -269,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"anchor": table.column("anchor"), "span": table.column("span"), "runs": pa.array([_runs(np.ones_like(f) if k > 1 else f).tobytes() for f, k in zip(flags, n, strict=True)], pa.binary())})
 
     runs_kind = "anchor long, span long, runs binary"
-    runs = cut_out.where(F.col("spans") <= SPANS).select("shard", "anchor", "span", "n", "bytes").groupBy("shard").applyInArrow(order_shard, runs_kind)
+    runs = cut_out.where(F.col("spans") <= most_spans).select("shard", "anchor", "span", "n", "bytes").groupBy("shard").applyInArrow(order_shard, runs_kind)
 
     def strings(batches):
         for batch in batches:
@@ -279,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 hashes = Spans(raw)(at, at + length)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), anchor)), pa.array(np.full(len(at), span)), pa.array(np.full(len(at), n)), pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["anchor", "span", "n", "off", "string"])
 
-    many = cut_out.where(F.col("spans") > SPANS).select("anchor", "span", "n", "bytes").mapInArrow(strings, "anchor long, span long, n long, off int, string long")
+    many = cut_out.where(F.col("spans") > most_spans).select("anchor", "span", "n", "bytes").mapInArrow(strings, "anchor long, span long, n long, off int, string long")
     twice = many.groupBy("anchor", "string").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "string")
     pairs = F.expr("transform(collect_list(off), o -> o)")
     starts = many.join(twice, ["anchor", "string"]).groupBy("anchor", "span").agg(pairs.alias("offs"))
