@@ -23,33 +23,44 @@ from pyspark.sql import functions as F
 
 from breakwater.functions.hof import let
 from breakwater.llm.pretokens import in_parts, read_ranks, with_pretokens, word_runs
+from breakwater.llm.textvec import utf8
 from breakwater.plans.lineage import cut
 
 LONG = 400
 #: Pre-tokens of a run: more make fewer distinct words to merge in all, fewer take less memory.
 RUN = 1_500_000
-_MASK = (1 << 17) - 1
 
 
-def _slots(piece: bytes) -> tuple[int, int]:
+def _slots(piece: bytes, bits: int) -> tuple[int, int]:
     x = zlib.crc32(piece)
-    return x & _MASK, x >> 15
-
-
-def cuckoo(ranks: dict[bytes, int]) -> list[bytes | None]:
-    """Each piece in one of its two slots."""
-    if len(ranks) > _MASK * 45 // 100:
-        raise ValueError(f"a rank map of {len(ranks)} pieces is too large for {_MASK + 1} slots")
-    table: list[bytes | None] = [None] * (_MASK + 1)
-    for piece in ranks:
-        at = _slots(piece)[0]
-        for _ in range(500):
-            table[at], piece = piece, table[at]
-            if piece is None:
-                break
-            at = sum(_slots(piece)) - at
-        else:
-            raise ValueError("no place for a piece")
+    return x & ((1 << bits) - 1), x >> (32 - bits)
+
+
+def cuckoo(ranks: dict[bytes, int]) -> tuple[list[bytes | None], int]:
+    """Each piece in one of its two slots, and the bits of a slot's number: the fewest with which all find a place."""
+    for bits in range(max(1, (len(ranks) * 20 // 9).bit_length()), 33):
+        table: list[bytes | None] = [None] * (1 << bits)
+        if all(_placed(table, piece, bits) for piece in ranks):
+            return table, bits
+    raise ValueError("no place for a piece")
+
+
+def _placed(table: list[bytes | None], piece: bytes | None, bits: int) -> bool:
+    at = _slots(piece, bits)[0]
+    for _ in range(500):
+        table[at], piece = piece, table[at]
+        if piece is None:
+            return True
+        at = sum(_slots(piece, bits)) - at
+    return False
+
+
+def byte_pairs(ranks: dict[bytes, int]) -> list[int | None]:
+    """The rank of each pair of bytes; the upper half of a pair's checksum is a number of its own."""
+    table: list[int | None] = [None] * (1 << 16)
+    for piece, rank in ranks.items():
+        if len(piece) == 2:
+            table[zlib.crc32(piece) >> 16] = rank
     return table
 
 
@@ -57,16 +68,16 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def _rank(piece: Column, keys: Column, ranks: Column) -> Column:
+def _rank(piece: Column, keys: Column, ranks: Column, bits: int) -> Column:
     def find(p: Column, x: Column) -> Column:
-        low = x.bitwiseAND(F.lit(_MASK)).cast("int")
-        high = F.shiftrightunsigned(x, 15).cast("int")
+        low = x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        high = F.shiftrightunsigned(x, 32 - bits).cast("int")
         return F.when(F.get(keys, low) == p, F.get(ranks, low)).when(F.get(keys, high) == p, F.get(ranks, high))
 
     return let(piece, "int", lambda p: let(F.crc32(p), "int", lambda x: find(p, x)))
 
 
-def _encode(word: Column, keys: Column, ranks: Column) -> Column:
+def _encode(word: Column, keys: Column, ranks: Column, two: Column, bits: int) -> Column:
     """The ids of one word: the leftmost pair of the lowest rank is merged again and again.
 
     The state is where each part starts (and the end) with the rank of each pair of neighbours.
@@ -75,7 +86,7 @@ def _encode(word: Column, keys: Column, ranks: Column) -> Column:
     empty = F.expr("CAST(array() AS ARRAY<INT>)")
 
     def rank(piece: Column) -> Column:
-        return _rank(piece, keys, ranks)
+        return _rank(piece, keys, ranks, bits)
 
     def span(starts: Column, first: Column, last: Column) -> Column:
         return F.substring(word, F.get(starts, first), F.get(starts, last) - F.get(starts, first))
@@ -92,7 +103,7 @@ def _encode(word: Column, keys: Column, ranks: Column) -> Column:
         return let(F.array_min(pairs), kind, lambda least: F.when(least.isNull(), state).otherwise(let(F.array_position(pairs, least).cast("int"), kind, merged)))
 
     n = F.octet_length(word)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get(two, F.shiftright(F.crc32(F.substring(word, i, F.lit(2))), 16).cast("int")))
     start = F.struct(F.sequence(F.lit(1), n + 1).alias("starts"), pairs.alias("pairs"))
     ids = lambda starts: F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: rank(span(starts, i - 1, i)))
     fold = let(F.aggregate(F.sequence(F.lit(2), n), start, step)["starts"], "array<int>", ids)
@@ -166,18 +177,19 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     table = read_ranks(path)
     if missing := [x for x in range(256) if bytes([x]) not in table]:
         raise ValueError(f"{path} lacks single bytes {missing[:5]}")
-    slots = cuckoo(table)
+    slots, bits = cuckoo(table)
+    two = _literal(byte_pairs(table), "int")
     keys = _literal([x if x is None else base64.b64encode(x).decode() for x in slots], "binary")
     ranks = _literal([table.get(x) for x in slots], "int")
     names = dict((r, p) for p, r in table.items())
     pieces = _literal([base64.b64encode(names.get(r, b"")).decode() for r in range(max(names) + 1)], "binary")
     run = pa.schema([("ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("long_ids", pa.list_(pa.string()))])
 
-    tables = F.array(F.struct(keys.alias("keys"), ranks.alias("ranks"), pieces.alias("pieces")))
+    tables = F.array(F.struct(keys.alias("keys"), ranks.alias("ranks"), pieces.alias("pieces"), two.alias("two")))
 
     def word(t: Column):
         def of(w: Column) -> Column:
-            ids = _encode(w, t["keys"], t["ranks"])
+            ids = _encode(w, t["keys"], t["ranks"], t["two"], bits)
             return let(ids, "struct<ids:string,bytes:binary>", lambda x: F.struct(F.array_join(x.cast("array<string>"), ",").alias("ids"), F.aggregate(x, F.lit(b""), lambda a, i: F.concat(a, F.get(t["pieces"], i))).alias("bytes")))
 
         return of
@@ -215,26 +227,35 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] * keep])
 
+    comma = pa.scalar(b",")
+
+    def listed(ids: pa.Array) -> pa.Array:
+        """Each word's ids with a comma after them, so that a text's ids are one stretch of bytes but for the last comma."""
+        return pc.binary_join_element_wise(ids.cast(pa.binary()), b"", comma)
+
     def digest(batches):
-        head_ids, head_bytes = often_ids.to_pylist(), often_bytes.to_pylist()
-        head_lengths = np.fromiter((x.count(b",") + 1 for x in head_ids), np.int64, len(head_ids))
+        head_ids = listed(often_ids)
         for batch in batches:
             for ids, counts, codes, long_ids, coded in zip(*(batch.column(k) for k in range(5)), strict=True):
-                long_ids = [x.encode() for x in long_ids.as_py()]
-                rest = coded.values.field("ids").cast(pa.binary()).to_pylist() + long_ids
-                texts = head_ids + rest[::-1]
-                raw = head_bytes + (coded.values.field("bytes").to_pylist() + [b"".join(names[int(i)] for i in x.split(b",")) for x in long_ids])[::-1]
+                long_ids = long_ids.values
+                long_bytes = [b"".join(names[int(i)] for i in x.split(",")) for x in long_ids.to_pylist()]
+                # Codes from zero on are the head's, those below zero count the run's own words: in this order both are one dictionary.
                 codes, counts = np.frombuffer(codes.as_buffer(), np.int32), np.frombuffer(counts.as_buffer(), np.int32)
-                lengths = np.concatenate([head_lengths, np.fromiter((x.count(b",") + 1 for x in reversed(rest)), np.int64, len(rest))])
+                code = pa.array(np.where(codes >= 0, codes, len(head_ids) - 1 - codes))
+                of = pa.concat_arrays([head_ids, listed(coded.values.field("ids")), listed(long_ids)])
+                commas = pc.count_substring(of, ",").to_numpy()
+                text, text_at = utf8(of.take(code))
+                back, back_at = utf8(pa.concat_arrays([often_bytes, coded.values.field("bytes"), pa.array(long_bytes, pa.binary())]).take(code))
                 at = np.concatenate([[0], np.cumsum(counts)])
-                totals = np.concatenate([[0], np.cumsum(lengths[codes])])[at] if len(codes) else at
+                totals = np.concatenate([[0], np.cumsum(commas[code.to_numpy()])])[at]
+                text_at, back_at = text_at[at].tolist(), back_at[at].tolist()
                 rows, ids = [], ids.as_py()
                 for k, doc in enumerate(ids):
-                    own = codes[at[k] : at[k + 1]].tolist()
-                    text, back = b",".join([texts[c] for c in own]), b"".join([raw[c] for c in own])
-                    rows.append((doc, int(totals[k + 1] - totals[k]), hashlib.sha256(text).hexdigest(), hashlib.sha256(back).hexdigest(), *([[int(x) for x in text.split(b",") if x], back] if keep else [])))
+                    own, raw = text[text_at[k] : max(text_at[k], text_at[k + 1] - 1)], back[back_at[k] : back_at[k + 1]]
+                    rows.append((doc, int(totals[k + 1] - totals[k]), hashlib.sha256(own).hexdigest(), hashlib.sha256(raw).hexdigest(), *([[int(x) for x in own.tobytes().split(b",") if x], raw.tobytes()] if keep else [])))
                     if len(rows) == 2000 or k == len(ids) - 1:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows = []
+        pa.default_memory_pool().release_unused()
 
     return runs.select("ids", "counts", "codes", "long_ids", coded("words")).mapInArrow(digest, kind)
