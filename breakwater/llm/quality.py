@@ -31,7 +31,7 @@ _SHAPE[[33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 47, 58, 59, 60,
 
 
 def indicators(raw: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashed n-grams of each row, as (row, feature) in order: words, word pairs, repeats and word shapes."""
+    """The distinct hashed n-grams of each row, as (row, feature) in order: one and two words, one and three word shapes."""
     words, first = word_hashes(raw, at)
     rows = np.repeat(np.arange(len(at) - 1), np.diff(first))
     keys = [(rows, words)]
@@ -39,8 +39,6 @@ def indicators(raw: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.nd
     if len(words) > 1:
         pairs = combine(words, 2)
         keys.append((rows[1:][inside], pairs[inside]))
-        same = inside & (words[1:] == words[:-1])
-        keys.append((rows[1:][same], np.full(int(same.sum()), 11, np.uint64)))
     # Word shapes: the first and the last byte's kind and whether all bytes are of one kind, alone and in threes.
     starts, ends, _ = word_spans(raw, at)
     if len(starts):
@@ -57,15 +55,6 @@ def indicators(raw: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.nd
             three = combine(shape, 3)
             whole = rows[2:] == rows[:-2]
             keys.append((rows[2:][whole], three[whole]))
-        # How much of the text is new, in tenths, and its length in powers of two: distinct words against all words.
-        count = np.diff(first)
-        own = distinct((rows.astype(np.uint64) << np.uint64(40)) | (words >> np.uint64(24)))
-        different = np.bincount((own >> np.uint64(40)).astype(np.int64), minlength=len(count))
-        full = np.flatnonzero(count)
-        tenth = different[full] * 20 // count[full]
-        length = np.log2(count[full]).astype(np.int64)
-        keys.append((full, mix((tenth + 64 * length).astype(np.uint64) + np.uint64(1 << 30))))
-        keys.append((full, mix(tenth.astype(np.uint64) + np.uint64(1 << 31))))
     row = np.concatenate([k[0] for k in keys]).astype(np.uint64)
     feature = np.concatenate([k[1] for k in keys]) >> np.uint64(64 - bits)
     both = distinct((row << np.uint64(bits)) | feature)
@@ -79,13 +68,14 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: fl
     """
     w = np.zeros(len(ratio) + 1)
     alpha = np.zeros(len(rows))
-    values = [ratio[f] / max(np.sqrt((ratio[f] ** 2).sum()), 1e-9) for f in rows]
+    sizes = [max(np.sqrt((ratio[f] ** 2).sum()), 1e-9) for f in rows]
     order, draw = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         draw.shuffle(order)
         moved = 0.0
         for i in order:
-            f, v, sign = rows[i], values[i], y[i]
+            f, sign = rows[i], y[i]
+            v = ratio[f] / sizes[i]
             gradient = sign * (w[f] @ v + w[-1]) - 1
             new = min(max(alpha[i] - gradient / 2, 0.0), cost)
             if (step := new - alpha[i]) != 0:
@@ -162,7 +152,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     got = chosen.mapInArrow(features, "id long, label int, features binary").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
-    rows = [np.frombuffer(b, np.int32).astype(np.int64) for b in got.column("features").to_pylist()]
+    rows = [np.frombuffer(b.as_buffer(), np.int32) for b in got.column("features")]  # views: the sample is held once
     rows = [rows[k] for k in order]
     y = np.where(got.column("label").to_numpy()[order] > 0, 1.0, -1.0)
     size = 1 << bits
