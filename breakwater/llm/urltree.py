@@ -2,7 +2,8 @@
 
 A host's paths are cut into segments. A place in the tree whose segments vary too much for their number becomes a wildcard;
 sibling branches whose children and labels are alike are merged; each resulting template counts the labelled pages under it and is
-rejected if its smoothed share of bad ones is too high. Counting is by grouped sums, so a hot host is no larger group than others.
+rejected if its share of bad ones, smoothed towards the branches above it, its host and its domains, is too high. Counting is by grouped
+sums, and what was counted for a hot host finds its way back by broadcast, so no task gets a host's paths as one group.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from breakwater.operators.skew import spread_join
 from breakwater.plans.lineage import cut
 
 #: (action, host and path prefix) of the filter's rules.
@@ -60,10 +62,15 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, i
     ``labels`` has ``page_id, bad`` (1 or 0); without it, pages that a rule blocks count as bad and those that one allows as good. At
     each depth a segment stays itself if its branch (host and template so far) has at most ``few`` different segments, or fewer
     than ``varied`` times its pages; otherwise its shape with digits wild (``#``) takes its place, or ``*`` if those vary too.
-    Branches of one parent, at every level, are merged when their share of bad labels is equal to within ``1 - alike`` and the
-    distributions of what lies below them have a cosine of ``alike`` or more with the parent's mean distribution. A template is
-    rejected if (bad + prior * b) / (labelled + prior) exceeds ``reject``, with b the share of bad labels over all pages or ``reject``,
-    whichever is less. Null urls have an empty host and path and are allowed. Rows that repeat give equal rows.
+    Branches of one parent, at every level, are merged when they are alike: all bad (a share over ``reject``), all good or all without
+    labels, their share within ``2 * (1 - alike)`` of the pooled one of their kind, and the distributions of what lies below them with
+    a cosine of ``alike`` or more with the parent's mean distribution.
+
+    A branch's purity is (bad + prior * p) / (labelled + prior), with p the purity of the branch above it. Above a host's root are its
+    domains from the widest on, and above these the share of bad labels over all pages; what comes from above the host counts as
+    ``reject`` at most, so a host without bad labels of its own is not rejected. A template is rejected if its purity, rounded to six
+    digits, exceeds ``reject``. Null urls have an empty host and path and are allowed. Rows that repeat give equal rows; other columns
+    of ``pages`` are left out.
     """
     url = F.col(f"`{url_col}`").cast("string")
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("__url")).select("page_id", *(c.alias(n) for c, n in zip(split_url(F.col("__url")), ("host", "path"), strict=True)))
@@ -75,42 +82,43 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, i
         base = base.join(labels.groupBy(F.col("page_id").alias("__lid")).agg(F.max("bad").cast("int").alias("__bad")), F.col("page_id") == F.col("__lid"), "left").drop("__lid")
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     segments = segments if depth is None else F.slice(segments, 1, depth)
+    base = cut(base.withColumn("__segments", segments))
     # Paths meet here first: from now on one row for each host and path prefix, with its pages and labels.
-    paths = base.withColumn("__segments", segments).groupBy("host", "__segments").agg(F.count("*").alias("pages"), F.count("__bad").alias("labelled"), F.sum(F.coalesce("__bad", F.lit(0))).alias("bad"))
-    tree = cut(paths.withColumn("template", F.lit("")))
-    done = []
-    for level in range(tree.agg(F.max(F.size("__segments")).alias("n")).first()["n"] or 0):
+    paths = cut(base.groupBy("host", "__segments").agg(F.count("*").alias("pages"), F.count("__bad").alias("labelled"), F.sum(F.coalesce("__bad", F.lit(0))).alias("bad")))
+    tree = cut(_templates(paths, varied, few))
+    templates = cut(tree.groupBy("host", "template").agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in ("pages", "labelled", "bad"))))
+    merged = cut(_merge_alike(templates.drop("rows"), alike, reject))
+    pure = _purities(merged, prior, reject)
+    of_template = cut(templates.select("host", "template", "rows").join(merged.select("host", "template", "merged"), ["host", "template"]).join(pure, ["host", "merged"]))
+    of_path = spread_join(tree.select("host", "__segments", "template"), of_template, ["host", "template"], "rows")
+    of_path = cut(of_path.select("host", "__segments", F.col("merged").alias("template"), "purity").join(paths.select("host", "__segments", "pages"), ["host", "__segments"]))
+    out = spread_join(base, of_path, ["host", "__segments"], "pages")
+    verdict = F.coalesce("__action", F.when(F.col("purity") > reject, F.lit("block")).otherwise(F.lit("allow")))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+
+
+def _templates(paths: DataFrame, varied: float, few: int) -> DataFrame:
+    """``paths`` with their template, level by level; each level is written, as it is read twice by the next one."""
+    tree, done = paths.withColumn("template", F.lit("")), []
+    for level in range(paths.agg(F.max(F.size("__segments")).alias("n")).first()["n"] or 0):
         # Paths that end here have their template; only the others go on.
         done.append(tree.where(F.size("__segments") <= level))
         tree = tree.where(F.size("__segments") > level)
         segment = F.get("__segments", F.lit(level))
         tree = tree.withColumn("__segment", segment).withColumn("__kind", _shape(segment))
-        branches = tree.groupBy("host", "template", "__kind", "__segment").agg(F.sum("pages").alias("n"))
-        kinds = branches.groupBy("host", "template", "__kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
-        nodes = kinds.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"), F.count("*").alias("kinds"))
-        free = lambda d, n: (F.col(d) > few) & (F.col(d) > varied * F.col(n))
-        nodes = nodes.select(F.col("host").alias("__h"), F.col("template").alias("__t"), free("distinct", "n").alias("__vary"), free("kinds", "n").alias("__vary_kinds"))
-        tree = tree.join(nodes, (F.col("host") == F.col("__h")) & (F.col("template") == F.col("__t")), "left")
+        branches = tree.groupBy("host", "template", "__kind", "__segment").agg(F.sum("pages").alias("n"), F.count("*").alias("rows"))
+        kinds = branches.groupBy("host", "template", "__kind").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.count("*").alias("distinct"))
+        nodes = kinds.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.sum("distinct").alias("distinct"), F.count("*").alias("kinds"))
+        free = lambda d: (F.col(d) > few) & (F.col(d) > varied * F.col("n"))
+        nodes = cut(nodes.select("host", "template", "rows", free("distinct").alias("__vary"), free("kinds").alias("__vary_kinds")))
+        tree = spread_join(tree, nodes, ["host", "template"], "rows")
         step = F.when(F.col("__vary") & F.col("__vary_kinds"), F.lit("/*")).when(F.col("__vary"), F.concat(F.lit("/"), "__kind")).otherwise(F.concat(F.lit("/"), "__segment"))
-        tree = tree.withColumn("template", F.concat("template", step)).drop("__h", "__t", "__vary", "__vary_kinds", "__kind", "__segment")
-        # Each level is written: it is read twice by the next one, and a plan that held them all would double with every level.
-        tree = cut(tree.groupBy("host", "__segments", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad"))))
-    tree = reduce(DataFrame.unionByName, [*done, tree])
-    templates = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
-    merged = cut(_merge_alike(cut(templates), alike))
-    total = base.agg((F.sum("__bad") / F.count("__bad")).alias("__share"))
-    purity = merged.groupBy("host", "merged").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    share = total.select(F.least(F.coalesce("__share", F.lit(0.0)), F.lit(reject)).alias("b")).first()["b"]
-    purity = purity.withColumn("purity", F.round((F.col("bad") + prior * share) / (F.col("labelled") + prior), 6))
-    known = tree.select("host", "__segments", "template").join(merged.select("host", "template", "merged"), ["host", "template"]).join(purity.select("host", "merged", "purity"), ["host", "merged"])
-    known = known.select(F.col("host").alias("__h"), F.col("__segments").alias("__s"), F.col("merged").alias("template"), "purity")
-    out = base.withColumn("__segments", segments).join(known, (F.col("host") == F.col("__h")) & (F.col("__segments") == F.col("__s")), "left")
-    verdict = F.coalesce("__action", F.when(F.col("purity") > reject, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+        tree = cut(tree.withColumn("template", F.concat("template", step)).select("host", "__segments", "template", "pages", "labelled", "bad"))
+    return reduce(DataFrame.unionByName, [*done, tree])
 
 
-def _merge_alike(templates: DataFrame, alike: float) -> DataFrame:
-    """Give sibling branches whose children and labels are alike one name with ``+`` in their place, at every level from the root down.
+def _merge_alike(templates: DataFrame, alike: float, reject: float) -> DataFrame:
+    """Give sibling branches whose children and labels are alike one name (``+bad``, ``+good`` or ``+none``), at every level from the root down.
 
     Branches that are merged are one parent from then on: their children are pooled, and compared with that parent's mean. A branch
     that is like no sibling keeps its name.
@@ -126,10 +134,41 @@ def _merge_alike(templates: DataFrame, alike: float) -> DataFrame:
         mean = children.groupBy(*at, "__rest").agg(F.sum("pages").alias("__all"))
         norm = mean.groupBy(*at).agg(F.sqrt(F.sum(F.col("__all").cast("double") * F.col("__all"))).alias("__norm"))
         dots = children.join(mean, [*at, "__rest"]).groupBy(*at, "__own").agg(F.sum(F.col("pages").cast("double") * F.col("__all")).alias("__dot"), F.sqrt(F.sum(F.col("pages").cast("double") * F.col("pages"))).alias("__size"))
-        group = F.when(F.col("__dot") >= alike * F.col("__size") * F.col("__norm"), F.when(F.col("labelled") == 0, F.lit("none")).otherwise(F.round(F.col("bad") / F.col("labelled") / (2 * (1 - alike))).cast("string")))
-        signs = branch.join(dots, [*at, "__own"]).join(norm, at).select(*at, "__own", group.alias("__group"))
-        shared = signs.where("__group IS NOT NULL").groupBy(*at, "__group").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-        signs = signs.join(shared.withColumn("__shared", F.lit(True)), [*at, "__group"], "left").select(*at, "__own", F.when(F.col("__shared"), F.concat(F.lit("+"), "__group")).otherwise(F.col("__own")).alias("__name"))
-        named = parts.join(signs, [*at, "__own"]).withColumn("merged", F.concat("merged", F.lit("/"), "__name"))
+        kind = F.when(F.col("labelled") == 0, F.lit("none")).otherwise(F.when(F.col("bad") > reject * F.col("labelled"), F.lit("bad")).otherwise(F.lit("good")))
+        signs = branch.join(dots, [*at, "__own"]).join(norm, at).where(F.col("__dot") >= alike * F.col("__size") * F.col("__norm")).withColumn("__group", kind)
+        pooled = signs.groupBy(*at, "__group").agg(F.sum("bad").alias("__bad"), F.sum("labelled").alias("__labelled"))
+        near = F.abs(F.col("bad") * F.col("__labelled") - F.col("__bad") * F.col("labelled")) <= 2 * (1 - alike) * F.col("labelled") * F.col("__labelled")
+        signs = signs.join(pooled, [*at, "__group"]).where(near).select(*at, "__own", "__group")
+        shared = signs.groupBy(*at, "__group").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+        names = signs.join(shared, [*at, "__group"]).select(*at, "__own", F.concat(F.lit("+"), "__group").alias("__name"))
+        named = parts.join(names, [*at, "__own"], "left").withColumn("merged", F.concat("merged", F.lit("/"), F.coalesce("__name", "__own")))
         parts = cut(named.select("host", "template", "pages", "labelled", "bad", "merged", "__rest"))
     return reduce(DataFrame.unionByName, [*done, parts]).drop("__rest")
+
+
+def _purities(merged: DataFrame, prior: float, reject: float) -> DataFrame:
+    """``host, merged, purity`` of each merged template, smoothed along the branches above it.
+
+    A template's line goes from its widest domain through its host's root down to itself; every branch on it is counted once over all
+    pages, and the line's counts are folded into one number. Lines are as long as hosts and paths have parts.
+    """
+    leaves = cut(merged.groupBy("host", "merged").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")))
+    share = leaves.agg(F.least(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)), F.lit(reject)).alias("b")).first()["b"]
+    parts = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("at"), F.array_join(F.slice(parts, F.size(parts) - k + 1, k), ".").alias("name")))
+    steps = F.split("merged", "/")
+    paths = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct((F.lit(1_000_000) + k).alias("at"), F.concat("host", F.lit("/"), F.array_join(F.slice(steps, 2, k - 1), "/")).alias("name")))
+    line = F.concat(domains, paths)
+    lines = leaves.select("host", "merged", "bad", "labelled", F.explode(line).alias("x")).select("host", "merged", "bad", "labelled", "x.at", "x.name")
+    lines = cut(lines)
+    counts = cut(lines.groupBy("at", "name").agg(F.sum("bad").alias("n_bad"), F.sum("labelled").alias("n_labelled"), F.count("*").alias("rows")))
+    known = spread_join(lines.select("host", "merged", "at", "name"), counts, ["at", "name"], "rows")
+    # A host is one of the names under its own domain too, but its line goes on from the domain above with its root.
+    folded = known.where("NOT (at < 1000000 AND name = host)").groupBy("host", "merged").agg(F.array_sort(F.collect_list(F.struct("at", "n_bad", "n_labelled"))).alias("line"))
+
+    def down(p: Column, x: Column) -> Column:
+        above = F.when(x["at"] == 1_000_001, F.least(p, F.lit(reject))).otherwise(p)
+        return (x["n_bad"] + prior * above) / (x["n_labelled"] + prior)
+
+    purity = F.aggregate("line", F.lit(float(share)), down)
+    return folded.select("host", "merged", F.round(purity, 6).alias("purity"))

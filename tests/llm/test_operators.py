@@ -223,8 +223,11 @@ def test_url_merges_below_the_first_level(spark):
     rows_ = [*enumerate(bad), (10, "http://h.org/shop/g0/x"), (11, "http://h.org/shop/g1/x"), (12, "http://h.org/shop/odd/y")]
     labels = spark.createDataFrame([(k, 1) for k in range(4)] + [(10, 0), (11, 0), (12, 1)], "page_id long, bad int")
     got = {r.page_id: r for r in urltree.judge_urls(spark.createDataFrame(rows_, "page_id long, url string"), labels).collect()}
-    assert {got[k].template for k in range(4)} == {"/shop/+5.0/x"} and got[12].template == "/shop/odd/y" and got[10].template == got[11].template == "/shop/+0.0/x"
-    assert got[0].purity == round((4 + 4 * 0.5) / (4 + 4), 6) and got[0].verdict == "block" and got[10].verdict == "allow"
+    assert {got[k].template for k in range(4)} == {"/shop/+bad/x"} and got[12].template == "/shop/odd/y" and got[10].template == got[11].template == "/shop/+good/x"
+    p = 0.5  # what lies above the host: more than half of all labels are bad, and so are those of its domain
+    for n_bad, labelled in ((5, 7), (5, 7), (4, 4), (4, 4)):  # the host, /shop, /shop/+bad, /shop/+bad/x
+        p = (n_bad + 4 * p) / (labelled + 4)
+    assert got[0].purity == round(p, 6) and got[0].verdict == "block" and got[10].verdict == "allow"
 
 
 def test_url_paths_are_followed_to_their_end(spark):
