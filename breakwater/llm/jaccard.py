@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from breakwater.llm.textvec import distinct, mix, shingles, slices, utf8, word_hashes
 from breakwater.operators.graph import connected_components
+from breakwater.operators.skew import spread_join
 from breakwater.plans.lineage import cut
 
 #: Most entries of the list of frequent tokens.
@@ -247,10 +248,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = cut(links.unionByName(_verify(more, known, percent)))
     else:
         parts = connected_components(links)
-    named = nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("part"))
-    least = named.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "part", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # One row for each node, then one for each component; groups of copies and large components are joined by broadcast.
+    of_key = nodes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    linked = cut(of_key.join(parts.withColumnRenamed("node", "key"), "key", "left"))
+    least = linked.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("id"), F.count("*").alias("n_nodes"))
+    joined = spread_join(linked.where("component IS NOT NULL").drop("least"), least, ["component"], "n_nodes").select("key", "rows", "id")
+    ids = cut(linked.where("component IS NULL").select("key", "rows", F.col("least").alias("id")).unionByName(joined))
+    out = spread_join(nodes.where("n > 0"), ids, ["key"], "rows").unionByName(nodes.where("n = 0").withColumn("id", F.lit(None).cast("long")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
