@@ -5,7 +5,7 @@ item, so only places within an item's length of such a shingle are fingerprinted
 lookup a word. Windows as long as an item are fingerprinted there at every place. Two 64-bit fingerprints within ``RADIUS`` have at
 least one of four 16-bit blocks within ``RADIUS // 4``, so postings of every block value that near find all of them. What they find is
 verified by the exact similarity of weighted shingles (weights are counts: the sum of minima over the sum of maxima).
-Items are handled in blocks of ``BLOCK``, each against all rows; documents are never shuffled.
+Items are handled in blocks of ``BLOCK`` within one scan of all rows; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ WIDTH = 5
 SIMILAR = 0.8
 RADIUS = 19
 BLOCK = 256
+#: Most bytes of items that one scan searches for.
+MOST = 64 << 20
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
@@ -129,48 +131,61 @@ def leaks(words: np.ndarray, first: np.ndarray, items: Items, similar: float = S
             yield from ((r, k, at - low, n, x) for r, k, at, n, x in best.values())
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark's items, a bounded block at a time."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[int, str]]:
+    """The benchmark's different items in order, as the driver hands them to every task.
+
+    A benchmark is small next to what is searched (this one fits a task's memory, ``MOST`` bytes of text at most); a larger one is
+    refused, to be given in parts by the caller, each of which costs a scan.
+    """
     rows = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    blocks = max(1, -(-rows.count() // BLOCK))
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        for first in range(0, max(len(part), 1), BLOCK):
-            yield Items(sorted(((r.item, r.text) for r in part[first : first + BLOCK]), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+    if (size := rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) > MOST:
+        raise ValueError(f"{size} bytes of benchmark items; at most {MOST} go into one scan")
+    return sorted(((r.item, r.text) for r in rows.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
+def _search(rows: list[tuple[int, str]], similar: float):
+    """The leaks of a batch's texts over all items: blocks of items are made once a task, texts are hashed once a batch."""
+    blocks = [Items(rows[k : k + BLOCK]) for k in range(0, len(rows), BLOCK)]
+
+    def search(text: pa.Array):
+        words, first = word_hashes(*utf8(text))
+        for items in blocks:
+            for r, k, at, n, x in leaks(words, first, items, similar):
+                yield r, items.ids[k], at, n, x
+
+    return search
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """A row per document and item that it holds: ``doc_id, item_id, at, n_words, similarity``.
 
     ``at`` (in words) is the first of the most similar windows. Null and empty texts and items hold nothing; an item of fewer than
-    five words is found where all its words stand in order. Repeated rows and items give repeated rows.
+    five words is found where all its words stand in order. Repeated documents give repeated rows; items that repeat both id and
+    text are one item. Only the id and the text of both tables are read.
     """
     kind = "doc_id long, item_id long, at long, n_words long, similarity double"
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = None
-    for items in _blocks(benchmark, item_col, item_text_col):
+    items = _items(benchmark, item_col, item_text_col)
 
-        def search(batches, items=items):
-            for batch in slices(batches, "text"):
-                rows = [(batch.column(0)[r].as_py(), items.ids[k], at, n, round(x, 6)) for r, k, at, n, x in leaks(*word_hashes(*utf8(batch.column("text"))), items, similar)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(),) * 4 + (pa.float64(),))], names=["doc_id", "item_id", "at", "n_words", "similarity"])
+    def found(batches):
+        search = _search(items, similar)
+        for batch in slices(batches, "text"):
+            rows = [(batch.column(0)[r].as_py(), item, at, n, round(x, 6)) for r, item, at, n, x in search(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(),) * 4 + (pa.float64(),))], names=["doc_id", "item_id", "at", "n_words", "similarity"])
 
-        found = texts.mapInArrow(search, kind)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return texts.mapInArrow(found, kind)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    kind = docs.schema
-    for items in _blocks(benchmark, item_col, item_text_col):
-
-        def clean(batches, items=items):
-            for batch in slices(batches, text_col):
-                keep = np.ones(batch.num_rows, bool)
-                for r, *_ in leaks(*word_hashes(*utf8(batch.column(text_col))), items, similar):
-                    keep[r] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, kind)
-    return docs
+    items = _items(benchmark, item_col, item_text_col)
+
+    def clean(batches):
+        search = _search(items, similar)
+        for batch in slices(batches, text_col):
+            keep = np.ones(batch.num_rows, bool)
+            for r, *_ in search(batch.column(text_col)):
+                keep[r] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
