@@ -1,7 +1,9 @@
 """Token counts by trie-shared dynamic programming under a unigram model over the pieces of a rank file.
 
 The distinct pre-tokens of a run of documents go into a trie; the best forward cost of a prefix is computed once, at its trie node,
-for all words that share it, and words keep the token count of their terminal node. Costs are whole numbers, so ties are exact.
+for all words that share it, and words keep the token count of their terminal node. Nodes are told apart by their bytes: words are
+sorted, so the words below a node stand together. Pieces that end at a node are found by walking back from it through a trie of the
+reversed pieces. Costs are whole numbers, so ties are exact.
 """
 
 from __future__ import annotations
@@ -10,15 +12,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 
 from breakwater.llm.pretokens import read_ranks, with_pretokens, word_slices
-from breakwater.llm.textvec import Spans, span_hashes, utf8
+from breakwater.llm.textvec import utf8
 
 RUN = 2_000_000
-#: Longest word whose prefixes are shared; longer ones are cut off from the trie and run alone.
-SHARED = 64
+#: Words whose counts a task keeps between runs; beyond that it starts anew.
 KNOWN = 1 << 20
 _NONE = np.int64(1) << np.int64(60)
 
@@ -30,96 +32,107 @@ def piece_costs(ranks: dict[bytes, int]) -> dict[bytes, int]:
 
 
 class Pieces:
-    """The pieces' hashes in order with their costs, and their lengths."""
+    """The reversed pieces as a trie: states by depth, steps from the root and its 256 children in a table, others in sorted order."""
 
     def __init__(self, costs: dict[bytes, int]):
-        raw = np.frombuffer(b"".join(costs), np.uint8)
-        sizes = np.fromiter(map(len, costs), np.int64, len(costs))
-        ends = np.cumsum(sizes)
-        hashes = span_hashes(raw, ends - sizes, ends)
-        order = np.argsort(hashes)
-        self.hashes, self.costs = hashes[order], np.fromiter(costs.values(), np.int64, len(costs))[order]
-        self.sizes = np.unique(sizes)
-        self.by_name = costs
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.costs[at], _NONE)
-
-
-def long_word(word: bytes, pieces: Pieces) -> tuple[int, int]:
-    """Token count and cost of one word by the plain forward recursion: the lowest cost, then the fewest tokens."""
-    best = [(0, 0)]
-    sizes = [int(s) for s in pieces.sizes]
-    for end in range(1, len(word) + 1):
-        best.append(min((best[end - s][0] + c, best[end - s][1] + 1) for s in sizes if s <= end and (c := pieces.by_name.get(word[end - s : end])) is not None))
-    return best[-1][1], best[-1][0]
-
-
-def trie_forward(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, int]:
+        self.longest = max(map(len, costs))
+        steps: dict[tuple[int, int], int] = {}
+        state = {b"": 0}
+        for size in range(1, self.longest + 1):
+            for tail in sorted({p[-size:] for p in costs if len(p) >= size}):
+                state[tail] = steps[state[tail[1:]], tail[0]] = len(state)
+        self.cost = np.full(len(state), _NONE, np.int64)
+        for piece, cost in costs.items():
+            self.cost[state[piece]] = cost
+        keys = np.array([s << 8 | b for s, b in steps], np.int64)
+        by = np.argsort(keys)
+        self.keys, self.next = keys[by], np.fromiter(steps.values(), np.int32, len(steps))[by]
+        self.near = np.full(257 << 8, -1, np.int32)
+        low = self.keys < len(self.near)
+        self.near[self.keys[low]] = self.next[low]
+
+    def step(self, state: np.ndarray, byte: np.ndarray, back: int) -> np.ndarray:
+        """The states one byte further back, -1 where there is none; ``back`` is how many bytes that makes."""
+        key = state.astype(np.int64) << 8 | byte
+        if back <= 2:
+            return self.near[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], -1)
+
+
+def trie_forward(words: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, int]:
     """Token count and cost of each distinct word, and the number of trie nodes. Among equal costs the fewest tokens win."""
-    sizes, span = ends - starts, Spans(raw)
-    n = len(starts)
-    counts, costs, nodes = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-    level_of: list[np.ndarray] = [np.zeros(n, np.int64)]
-    best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    for k in np.flatnonzero(sizes > SHARED):
-        counts[k], costs[k] = long_word(raw[starts[k] : ends[k]].tobytes(), pieces)
-    alive = np.flatnonzero((sizes > 0) & (sizes <= SHARED))
+    order = pc.sort_indices(words).to_numpy()
+    raw, at = utf8(words.take(pa.array(order)))
+    starts, sizes = at[:-1], np.diff(at)
+    counts, costs, nodes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+    alive = np.flatnonzero(sizes > 0)
+    node = np.zeros(len(alive), np.int64)
+    #: Of each depth that a piece can reach back to: the nodes' parents, costs and token counts.
+    levels = {0: (None, np.zeros(1, np.int64), np.zeros(1, np.int64))}
     depth = 0
     while len(alive):
         depth += 1
-        prefix = span(starts[alive], starts[alive] + depth)
-        _, first, node = np.unique(prefix, return_index=True, return_inverse=True)
-        own = alive[first]  # a word for each node
-        own_cost, own_count = np.full(len(own), _NONE), np.zeros(len(own), np.int64)
-        for size in pieces.sizes[pieces.sizes <= depth]:
-            back = depth - int(size)
-            cost = pieces.find(span(starts[own] + back, starts[own] + depth))
-            from_cost, from_count = (x[level_of[back][own]] for x in best[back])
-            total, tokens = from_cost + cost, from_count + 1
-            better = (total < own_cost) | ((total == own_cost) & (tokens < own_count))
-            own_cost, own_count = np.where(better, total, own_cost), np.where(better, tokens, own_count)
-        level = np.full(n, -1, np.int64)
-        level[alive] = node
-        level_of.append(level)
-        best.append((own_cost, own_count))
-        nodes += len(own)
+        byte = raw[starts[alive] + (depth - 1)]
+        head = np.ones(len(alive), bool)
+        head[1:] = (node[1:] != node[:-1]) | (byte[1:] != byte[:-1])
+        first = np.flatnonzero(head)
+        parent, end = node[first], starts[alive[first]] + depth
+        node = np.cumsum(head) - 1
+        cost, count = np.full(len(first), _NONE), np.zeros(len(first), np.int64)
+        who, above, state = np.arange(len(first)), parent, np.zeros(len(first), np.int32)
+        for back in range(1, min(depth, pieces.longest) + 1):
+            state = pieces.step(state, raw[end[who] - back], back)
+            found = state >= 0
+            who, above, state = who[found], above[found], state[found]
+            if not len(who):
+                break
+            grand, their_cost, their_count = levels[depth - back]
+            last = np.flatnonzero(pieces.cost[state] < _NONE)
+            own, of = who[last], above[last]
+            total, tokens = their_cost[of] + pieces.cost[state[last]], their_count[of] + 1
+            better = (total < cost[own]) | ((total == cost[own]) & (tokens < count[own]))
+            cost[own[better]], count[own[better]] = total[better], tokens[better]
+            if back < depth:
+                above = grand[above]
+        levels[depth] = (parent, cost, count)
+        levels.pop(depth - pieces.longest, None)
+        nodes += len(first)
         done = sizes[alive] == depth
-        counts[alive[done]], costs[alive[done]] = own_count[node[done]], own_cost[node[done]]
-        alive = alive[~done]
+        counts[order[alive[done]]], costs[order[alive[done]]] = count[node[done]], cost[node[done]]
+        alive, node = alive[~done], node[~done]
     return counts, costs, nodes
 
 
-def token_counts(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", most_known: int = KNOWN) -> DataFrame:
     """Count the tokens of each whole text: ``doc_id, n_pretokens, n_tokens, cost`` (of the best segmentation, -4096 ln p).
 
-    A null or empty text has none. Repeated rows give equal rows; ties take the fewest tokens; other columns are left out.
+    A null or empty text has none. Repeated rows give equal rows; ties take the fewest tokens; other columns are left out. A word's
+    length is not limited: a long one is a long branch of the trie. ``most_known`` bounds a task's memory and changes no result.
     """
     ranks = read_ranks(path)
     if missing := [x for x in range(256) if bytes([x]) not in ranks]:
         raise ValueError(f"{path} lacks single bytes {missing[:5]}")
-    costs = piece_costs(ranks)
+    pieces = Pieces(piece_costs(ranks))
     schema = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64()), ("cost", pa.int64())])
 
     def count(batches):
-        pieces = Pieces(costs)
-        known, known_counts, known_costs = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known, known_counts, known_costs = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for ids, at, words in word_slices(batches, RUN):
-            raw, ends = utf8(words)
-            hashes = span_hashes(raw, ends[:-1], ends[1:])
-            distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-            new = first[~np.isin(distinct, known, assume_unique=True)]
-            if len(known) + len(new) > KNOWN:
+            coded = words.dictionary_encode()
+            distinct = coded.dictionary.cast(pa.binary())
+            place = pc.index_in(distinct, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+            new = np.flatnonzero(place < 0)
+            if len(known) + len(new) > most_known:
                 known, known_counts, known_costs = known[:0], known_counts[:0], known_costs[:0]
-                new = first
+                new = np.arange(len(distinct))
             if len(new):
-                got = trie_forward(raw, ends[new], ends[new + 1], pieces)
-                known = np.concatenate([known, hashes[new]])
-                order = np.argsort(known)
-                known = known[order]
-                known_counts, known_costs = (np.concatenate(x)[order] for x in ((known_counts, got[0]), (known_costs, got[1])))
-            place = np.searchsorted(known, distinct)
+                asked = distinct.take(pa.array(new))
+                got = trie_forward(asked, pieces)
+                place[new] = len(known) + np.arange(len(new))
+                known = pa.concat_arrays([known, asked])
+                known_counts, known_costs = np.concatenate([known_counts, got[0]]), np.concatenate([known_costs, got[1]])
+            which = np.asarray(coded.indices)
             sums = [np.concatenate([[0], np.cumsum(x[place][which])]) for x in (known_counts, known_costs)]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(at)), *(pa.array(np.diff(s[at])) for s in sums)], schema=schema)
 

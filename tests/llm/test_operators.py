@@ -58,15 +58,34 @@ def test_heap_merge_is_the_fold():
         assert bpe.heap_merge(word.encode(), ranks) == enc.encode_ordinary(word)
 
 
-def test_trie(docs):
-    pieces = trie.Pieces(trie.piece_costs(pretokens.read_ranks(RANKS)))
+def plain_count(word, costs):
+    """Token count and cost of a word by the forward recursion over its bytes."""
+    best = [(0, 0)]
+    for end in range(1, len(word) + 1):
+        best.append(min((best[start][0] + c, best[start][1] + 1) for start in range(max(0, end - 140), end) if (c := costs.get(word[start:end])) is not None))
+    return best[-1][1], best[-1][0]
+
+
+def test_trie(spark, docs):
     import regex
 
+    costs = trie.piece_costs(pretokens.read_ranks(RANKS))
+    swap = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    more = [(100, swap), (101, swap.translate(str.maketrans("ab", "ba"))), (102, "_" * 700 + "é" * 90)]
+    both = docs.unionByName(spark.createDataFrame([(i, t, "x", 1.5) for i, t in more], docs.schema))
     want = []
-    for i, t in texts():
-        found = [trie.long_word(w.encode(), pieces) for w in regex.findall(P.PATTERN, t or "")]
+    for i, t in texts() + more:
+        found = [plain_count(w.encode(), costs) for w in regex.findall(P.PATTERN, t or "")]
         want.append((i, len(found), sum(n for n, _ in found), sum(c for _, c in found)))
-    assert rows(trie.token_counts(docs, RANKS), "doc_id", "n_pretokens", "n_tokens", "cost") == sorted(want, key=repr)
+    for most in (trie.KNOWN, 40):
+        assert rows(trie.token_counts(both, RANKS, most_known=most), "doc_id", "n_pretokens", "n_tokens", "cost") == sorted(want, key=repr)
+
+
+def test_regular_words_keep_apart(spark):
+    """Two long words, the second with the first one's letters swapped, share nothing; hashes modulo a power of two would take them for one."""
+    swap = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    df = spark.createDataFrame([(1, swap), (2, swap.translate(str.maketrans("ab", "ba"))), (3, swap)], "doc_id long, text string")
+    assert rows(jaccard.link_components(df), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1)]
 
 
 def test_media(docs):
@@ -266,6 +285,32 @@ def test_pseudo_tells_rare_words_apart(spark):
     assert got[11] - got[10] == pytest.approx(np.log(4), abs=1e-3)
 
 
+def test_pseudo_does_not_depend_on_partitions(docs, spark):
+    say = [" ".join(f"w{(k * j) % 97}" for j in range(200)) for k in range(30)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(say, 100)), "doc_id long, text string"))
+    runs = pseudo.RUN
+    try:
+        pseudo.RUN = 4000  # several runs
+        one, many = (rows(pseudo.score_pseudo(both.repartition(n)), "doc_id", "n_words", "log_prob") for n in (1, 6))
+    finally:
+        pseudo.RUN = runs
+    assert one == many
+
+
+def test_pseudo_beats_single_words(spark):
+    """Words that follow from their neighbours score better than their frequency says; the texts asked are not those learnt from."""
+    r = random.Random(2)
+    cycle = [f"w{k}" for k in range(12)]
+    say = lambda: " ".join(cycle[(k + j) % 12] for k in [r.randrange(12)] for j in range(60))
+    df = spark.createDataFrame([(k, say()) for k in range(2000)], "doc_id long, text string")
+    runs = pseudo._runs(pseudo._texts(df, "doc_id", "text"))
+    words, _ = pseudo.learn_vocabulary(pseudo.count_words(runs))
+    params = pseudo.train(runs, words)
+    hashes, first = pseudo.word_hashes(*pseudo.utf8(pa.array([say() for _ in range(50)])))
+    ids = words(hashes)
+    assert pseudo.log_probs(params, pseudo.contexts(ids, first), ids).mean() > np.log(1 / 12) + 0.5
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     for out in (linededup.dedup_lines(none), suffix.remove_repeats(none), jaccard.link_components(none), media.media_column(none), trie.token_counts(none, RANKS), pseudo.score_pseudo(none)):
