@@ -1,4 +1,4 @@
-"""Joins whose hot keys are broadcast, so that no task gets more than its share of rows."""
+"""Joins on keys some of which are hot, so that no task gets more than its share of rows."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], count: str, how: str = "inner", share: int = 1000) -> DataFrame:
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], count: str, share: int = 1000, parts: int = 64) -> DataFrame:
     """``rows`` with what ``values`` says of their ``keys``: it has each key once and counts its rows in ``count`` (left out of the result).
 
-    Keys of more than one in ``share`` of all rows are fewer than ``share``, so they are broadcast; the others go by a shuffle. With
-    ``how="left"`` rows without a value stay. Both sides are read twice, so they should be written tables.
+    Keys of more than one in ``share`` of all rows are fewer than ``share``, so a broadcast marks their rows, which are dealt over
+    ``parts`` by a hash of the row; their values go to every part. ``values`` is read three times, so it should be a written table.
     """
     total = values.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     often = F.col(count) > total / share
-    hot, rest = F.broadcast(values.where(often).drop(count)), values.where(~often | F.col(count).isNull()).drop(count)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(rest, keys, how))
+    marked = rows.join(F.broadcast(values.where(often).select(*keys, F.lit(True).alias("__hot"))), keys, "left")
+    dealt = marked.withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(parts)).cast("int")).otherwise(0)).drop("__hot")
+    copies = F.when(often, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(values.withColumn("__part", F.explode(copies)).drop(count), [*keys, "__part"]).drop("__part")
