@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.llm.textvec import Spans, mix, slices, utf8
+from breakwater.llm.textvec import QuickSpans, Spans, mix, slices, utf8
+from breakwater.operators.skew import spread_join
 from breakwater.plans.lineage import cut
 
 LENGTH = 400
@@ -155,7 +156,7 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int | None = No
 
     Only places whose letters before differ from those before their predecessor's are compared; elsewhere the value falls by one.
     With ``most`` no comparison goes further than that, and the places ``fresh`` are compared anyway: values up to ``most`` less
-    the distance from the last compared place are then right.
+    the distance from the last compared place are then right. Comparisons are by quick hashes, so a value may be too large.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -170,7 +171,7 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int | None = No
     low, high = np.zeros(len(own), np.int64), np.where(other >= 0, n - np.maximum(own, other), 0)
     if most is not None:
         high = np.minimum(high, most)
-    span = Spans(text)
+    span = QuickSpans(text)
     while len(open_ := np.flatnonzero(low < high)):
         middle = (low[open_] + high[open_] + 1) // 2
         i, j = own[open_], other[open_]
@@ -192,8 +193,11 @@ def repeated_starts(spans: list[bytes], length: int) -> list[np.ndarray]:
     order = suffix_array(text, 257)
     # A span has at most 2 * length bytes, so within it places up to there are right.
     common = permuted_prefixes(text, order, 2 * length + max(map(len, spans)), np.array(begins))
-    twice = common >= length
-    twice[order[:-1]] |= common[order[1:]] >= length
+    second = np.flatnonzero(common[order[1:]] >= length) + 1
+    span, one, other = Spans(text), order[second], order[second - 1]
+    same = span(one, one + length) == span(other, other + length)  # what quick hashes found is confirmed
+    twice = np.zeros(len(text), bool)
+    twice[one[same]] = twice[other[same]] = True
     return [twice[b : b + max(0, len(x) - length + 1)] for b, x in zip(begins, spans, strict=True)]
 
 
@@ -209,9 +213,8 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), counts)
     start = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts - at[:-1]).astype(np.int32), counts)
-    span = Spans(raw)
-    place = np.arange(n - gram + 1, dtype=np.int32)
-    hashes = span(place, place + np.int32(gram))
+    hashes = QuickSpans(raw).grams(gram)
+    place = np.arange(len(hashes), dtype=np.int32)
     bits = np.uint64(int(n).bit_length())
     padded = np.full(-(-len(place) // width) * width, ~np.uint64(0), np.uint64)
     padded[: len(place)] = ((hashes >> bits) << bits) | place.astype(np.uint64)
@@ -224,7 +227,7 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int):
     last = np.concatenate([first[1:], [len(row)]]) - 1
     a, b = start[first].astype(np.int64), start[last].astype(np.int64)
     anchor = (best[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    whole = mix(span(a, b + length) + (anchor - a).astype(np.uint64))
+    whole = mix(Spans(raw)(a, b + length) + (anchor - a).astype(np.uint64))
     row = row[first].astype(np.int64)
     return row, a - at[row], b - at[row], hashes[anchor], whole
 
@@ -268,9 +271,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), pa.array(a + offset), pa.array((b - a).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "key", "at", "more", "anchor", "span"])
         pa.default_memory_pool().release_unused()  # workers are used again by the next stage
 
-    found = texts.where(F.octet_length("text") >= length).mapInArrow(find, "id long, key long, at long, more int, anchor long, span long")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    met = cut(found.join(shared, "anchor"))
+    found = cut(texts.where(F.octet_length("text") >= length).mapInArrow(find, "id long, key long, at long, more int, anchor long, span long"))
+    shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
+    met = cut(spread_join(found, cut(shared.select("anchor", "n", (F.col("low") != F.col("high")).alias("mixed"))), ["anchor"], "n"))
     spans = met.where("mixed").groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "at", "more")).alias("of"))
     sizes = spans.groupBy("anchor").agg(F.count("*").alias("spans"))
     spans = cut(spans.join(sizes, "anchor").select("anchor", "span", "n", "spans", "of.*"))

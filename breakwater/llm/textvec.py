@@ -24,13 +24,19 @@ PRIME = (1 << 31) - 1
 _POINTS = (0x3C6EF35F, 0x1F83D9AB)
 _P, _BITS = np.uint64(PRIME), np.uint64(31)
 _powers: dict[int, np.ndarray] = {}
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_quick = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is the same modulo the prime: under 2**34, and under 2**33 for ``x`` under 2**63."""
+    return (x & _P) + (x >> _BITS)
 
 
 def residue(x: np.ndarray) -> np.ndarray:
-    """``x`` modulo the prime, for values under 2**63."""
-    x = (x & _P) + (x >> _BITS)
-    x = (x & _P) + (x >> _BITS)
-    return np.where(x >= _P, x - _P, x)
+    """``x`` modulo the prime."""
+    x = _folded(_folded(x))
+    return np.minimum(x, x - _P)  # below the prime the difference wraps around and is the greater one
 
 
 def powers(point: int, n: int) -> np.ndarray:
@@ -104,10 +110,35 @@ class Spans:
             self.sums.append((total, powers(pow(point, -1, PRIME), n + 1)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        one, two = (residue(residue(total[ends] - total[starts]) * down[starts]) for total, down in self.sums)
+        one, two = (residue(_folded(total[ends] - total[starts]) * down[starts]) for total, down in self.sums)
         return mix((one | two << np.uint64(32)) + (ends - starts).astype(np.uint64) * _STEP)
 
 
+class QuickSpans:
+    """Cheaper hashes of byte spans, modulo a power of two: equal for equal spans, but long regular ones may collide.
+
+    They choose and search; where equality decides a result, ``Spans`` or the bytes themselves must confirm it.
+    """
+
+    def __init__(self, raw: np.ndarray):
+        n = len(raw)
+        if len(_quick[0]) < n + 1:
+            for k, base in enumerate((_BASE, _UNBASE)):
+                x = np.full(n + n // 4 + 1, base, np.uint64)
+                x[0] = 1
+                _quick[k] = np.cumprod(x, dtype=np.uint64)
+        self.down = _quick[1]
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _quick[0][:n], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+    def grams(self, size: int) -> np.ndarray:
+        """The hash of the ``size`` bytes from each place on."""
+        return mix((self.total[size:] - self.total[:-size]) * self.down[: len(self.total) - size])
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return Spans(raw)(starts, ends)
 
