@@ -150,15 +150,28 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             blobs = [feature[first[k] : first[k + 1]].astype(np.int32).tobytes() for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["id", "label", "features"])
 
-    got = chosen.mapInArrow(features, "id long, label int, features binary").toArrow()
-    order = np.argsort(got.column("id").to_numpy(), kind="stable")
-    rows = [np.frombuffer(b.as_buffer(), np.int32) for b in got.column("features")]  # views: the sample is held once
-    rows = [rows[k] for k in order]
-    y = np.where(got.column("label").to_numpy()[order] > 0, 1.0, -1.0)
     size = 1 << bits
+
+    def fit(got: pa.Table) -> pa.Table:
+        order = np.argsort(got.column("id").to_numpy(), kind="stable")
+        blobs = got.column("features").combine_chunks()
+        rows = [np.frombuffer(blobs[int(k)].as_buffer(), np.int32) for k in order]  # views: the sample is held once
+        y = np.where(got.column("label").to_numpy()[order] > 0, 1.0, -1.0)
+        weights, ratio, bias, curve = _fit_rows(rows, y, size, cost, epochs)
+        return pa.table({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "ratio": pa.array([ratio.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias]), "a": pa.array([curve[0]]), "b": pa.array([curve[1]])})
+
+    # The sample's n-grams meet in one task, which is bounded by ``sample``; the driver gets the fitted weights alone.
+    fitted = chosen.mapInArrow(features, "id long, label int, features binary").groupBy(F.lit(0)).applyInArrow(fit, "weights binary, ratio binary, bias double, a double, b double").first()
+    if fitted is None:
+        return QualityModel(np.zeros(size), np.zeros(size), 0.0, (1.0, 0.0), bits)
+    return QualityModel(np.frombuffer(fitted.weights, np.float32), np.frombuffer(fitted.ratio, np.float32), fitted.bias, (fitted.a, fitted.b), bits)
+
+
+def _fit_rows(rows: list[np.ndarray], y: np.ndarray, size: int, cost: float, epochs: int) -> tuple[np.ndarray, np.ndarray, float, tuple[float, float]]:
+    """(weights, ratio, bias, curve) of texts given as their features, in an order that does not depend on partitions."""
     if len(set(y)) < 2:
-        share = 0.5 if not len(y) else float(np.clip((y > 0).mean(), 0.01, 0.99))
-        return QualityModel(np.zeros(size), np.zeros(size), 0.0, (1.0, float(np.log(share / (1 - share)))), bits)
+        share = float(np.clip((y > 0).mean(), 0.01, 0.99))
+        return np.zeros(size), np.zeros(size), 0.0, (1.0, float(np.log(share / (1 - share))))
     margins = np.zeros(len(y))
     folds = np.arange(len(y)) % 3
     for k in range(3):  # margins of texts that the fold's model has not seen, for the curve
@@ -173,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     curve = logistic_curve(margins, y)
     ratio = log_count_ratio(rows, y, size, SMOOTH)
     w = fit_hinge(rows, y, ratio, cost, epochs)
-    return QualityModel(w[:-1], ratio, float(w[-1]), curve, bits)
+    return w[:-1], ratio, float(w[-1]), curve
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
