@@ -135,6 +135,17 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _packed(column: pa.Array) -> bytes:
+    out, schema = pa.BufferOutputStream(), pa.schema([("x", column.type)])
+    with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([column], schema=schema))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pa.Array:
+    return pa.ipc.open_stream(packed).read_all().column("x").combine_chunks()
+
+
 class Head:
     """Words that are seen again and again, with their ids and bytes, encoded once beforehand: a cache of at most ``most`` words.
 
@@ -143,7 +154,12 @@ class Head:
     """
 
     def __init__(self, table: pa.Table):
-        self.words, self.ids, self.bytes = (table.column(k).combine_chunks() for k in ("word", "ids", "bytes"))
+        self.columns = {k: _packed(table.column(k).combine_chunks()) for k in ("word", "ids", "bytes")}
+
+    def reader(self, name: str):
+        """A function that unpacks one column, so that a task is sent no other one."""
+        packed = self.columns[name]
+        return lambda: _unpacked(packed)
 
     @staticmethod
     def of(docs: DataFrame, split, coded, size: int, most: int) -> "Head":
@@ -167,7 +183,7 @@ class Head:
         return Head(asked.select(F.col("words")[0].alias("word"), coded("words")[0].alias("coded")).select("word", F.col("coded.ids").cast("binary").alias("ids"), "coded.bytes").toArrow())
 
 
-def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, sample_docs: int = 1 << 16, head_words: int = 1 << 19) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, sample_docs: int = 1 << 16, most_words: int = 1 << 19) -> DataFrame:
     """Encode each whole text by the rank file at ``path`` and decode the ids again.
 
     Returns a row per input row: ``doc_id, n_tokens, ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256``;
@@ -198,11 +214,12 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
         return F.get(F.transform(tables, lambda t: F.transform(words, word(t))), F.lit(0)).alias("coded")
 
     split = lambda x: in_parts(with_pretokens(x, id_col, text_col, pattern))
-    head = Head.of(docs, split, coded, sample_docs, head_words)
+    head = Head.of(docs, split, coded, sample_docs, most_words)
 
-    often, often_ids, often_bytes = head.words, head.ids, head.bytes
+    head_words, head_texts, head_bytes = (head.reader(k) for k in ("word", "ids", "bytes"))
 
     def encode_runs(batches):
+        often = head_words()
         for ids, at, words in word_runs(batches, RUN):
             coded = words.dictionary_encode()
             distinct = coded.dictionary.cast(pa.binary())
@@ -234,7 +251,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
         return pc.binary_join_element_wise(ids.cast(pa.binary()), b"", comma)
 
     def digest(batches):
-        head_ids = listed(often_ids)
+        head_ids, often_bytes = listed(head_texts()), head_bytes()
         for batch in batches:
             for ids, counts, codes, long_ids, coded in zip(*(batch.column(k) for k in range(5)), strict=True):
                 long_ids = long_ids.values

@@ -61,7 +61,7 @@ def test_words_outside_the_cache(spark):
     df = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(60))) for i in range(40)], "doc_id long, text string").repartition(3)
     want = sorted(map(tuple, bpe.bpe_roundtrip(df, RANKS).collect()))
     for sample, head in ((1, 4), (40, 0), (40, 30)):
-        assert sorted(map(tuple, bpe.bpe_roundtrip(df, RANKS, sample_docs=sample, head_words=head).collect())) == want
+        assert sorted(map(tuple, bpe.bpe_roundtrip(df, RANKS, sample_docs=sample, most_words=head).collect())) == want
     back = bpe.bpe_roundtrip(df, RANKS, keep=True).join(df, "doc_id")
     assert back.where(F.decode("decoded", "UTF-8") == F.col("text")).count() == 40
 
