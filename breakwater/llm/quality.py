@@ -161,7 +161,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return pa.table({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "ratio": pa.array([ratio.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias]), "a": pa.array([curve[0]]), "b": pa.array([curve[1]])})
 
     # The sample's n-grams meet in one task, which is bounded by ``sample``; the driver gets the fitted weights alone.
-    fitted = chosen.mapInArrow(features, "id long, label int, features binary").groupBy(F.lit(0)).applyInArrow(fit, "weights binary, ratio binary, bias double, a double, b double").first()
+    fitted = chosen.mapInArrow(features, "id long, label int, features binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "weights binary, ratio binary, bias double, a double, b double").first()
     if fitted is None:
         return QualityModel(np.zeros(size), np.zeros(size), 0.0, (1.0, 0.0), bits)
     return QualityModel(np.frombuffer(fitted.weights, np.float32), np.frombuffer(fitted.ratio, np.float32), fitted.bias, (fitted.a, fitted.b), bits)
