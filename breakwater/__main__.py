@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from breakwater.operators import callsets as V
 from breakwater.operators import reads as R
 from breakwater.plans import calling
-from breakwater.sources import bam, sinks, text
+from breakwater.sources import bam, fasta, sinks, text
 
 
 def alignments(spark: SparkSession, files: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -25,12 +25,13 @@ def alignments(spark: SparkSession, files: str) -> tuple[DataFrame, DataFrame, D
 
 
 def restricted(reads: DataFrame, args: argparse.Namespace) -> DataFrame:
-    """Without skipped contigs, and within the region ``name:start-end`` if one is given."""
+    """Without skipped contigs, and the pairs of which a mate starts in the region ``name:start-end`` if one is given."""
     out = reads.where(~F.col("ref_id").isin(args.skip.split(","))) if args.skip else reads
     if args.region:
         name, span = args.region.rsplit(":", 1)
         start, end = map(int, span.split("-"))
-        out = out.where((F.col("ref_id") == name) & F.col("pos").between(start, end))
+        inside = lambda ref, pos: (F.col(ref) == name) & F.col(pos).between(start, end)
+        out = out.where(inside("ref_id", "pos") | inside("mate_ref_id", "mate_pos"))
     return out
 
 
@@ -44,6 +45,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         sub.add_argument("-e", "--skip", default="", help="contigs to leave out, separated by commas")
         sub.add_argument("-r", "--region", default="", help="name:start-end")
         sub.add_argument("-g", "--graph", default="", help="folder for the graphs of the called components")
+        sub.add_argument("-a", "--fasta", default="", help="reference sequences, for the REF bases of records")
     sub = commands.add_parser("merge", help="near calls of several files as one")
     sub.add_argument("-f", "--files", required=True, help="call files separated by commas")
     sub.add_argument("-o", "--out", required=True)
@@ -52,15 +54,19 @@ def run(spark: SparkSession, argv: list[str]) -> None:
 
     if args.command == "merge":
         merged = V.merge_calls(text.read_merge_input(spark, args.files.split(",")), args.distance)
-        return sinks.write_table(merged, args.out)
+        return sinks.write_vcf(sinks.merged_records(merged), [], args.out)
     reads, contigs, samples = alignments(spark, args.files)
     reads = restricted(reads, args)
     if args.command == "stats":
-        kept = R.with_cigar(R.graph_read_filter(reads))
-        return sinks.write_table(R.library_stats(calling.pairs_of(kept)), args.out)
+        depth = R.depth_stats(R.with_cigar(R.stats_read_filter(reads)))
+        every = R.library_stats(reads).join(depth.drop("places"), "sample").join(R.base_quality(reads), "sample")
+        return sinks.write_table(every, args.out)
     calls, edges, comps = calling.call_variants(calling.evidence_of(reads, contigs))
     names = [r.sample for r in samples.where("sample IS NOT NULL").select("sample").distinct().orderBy("sample").collect()]
-    sinks.vcf_records(calls, names).write.text(args.out)
+    records = sinks.vcf_records(calls, names)
+    if args.fasta:
+        records = fasta.with_reference(records, fasta.read_fasta(spark, args.fasta))
+    sinks.write_vcf(records, names, args.out, args.fasta or None)
     if args.graph:
         called = comps.join(calls.select("seqid", "component"), ["seqid", "component"], "left_semi")
         sinks.dot_graphs(edges, called).select("dot").write.text(args.graph)

@@ -16,23 +16,41 @@ from breakwater.operators import forest as T
 from breakwater.operators import intervals as I
 from breakwater.operators import pileup as P
 from breakwater.operators import reads as R
+from breakwater.plans import calling
 
 #: Alignments made from order lines; the same text runs in Spark and in DuckDB.
 READS = """
 WITH x AS (
-  SELECT l_orderkey, l_returnflag, l_linestatus,
+  SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus,
          CAST(round(l_discount*100) AS INT) AS d, CAST(round(l_tax*100) AS INT) AS t, CAST(l_quantity AS INT) AS q,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_quantity,
            l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate) AS rn
-  FROM lineitem)
+  FROM lineitem),
+y AS (
+  SELECT *, CAST((rn-1) % 2 + 1 AS INT) AS mate, CASE WHEN l_linestatus='O' THEN 1 ELSE 0 END AS rev,
+         CAST(CASE WHEN (rn-1) % 2 = 1 AND l_partkey % 19 = 0 THEN (l_orderkey+1) % 5 ELSE l_orderkey % 5 END AS INT) AS ref_id,
+         CAST((l_orderkey % 97)*5000 + ((rn-1) % 2)*(CASE WHEN q<=3 THEN 100 WHEN q>=49 THEN 2500 ELSE 700 + 10*(q % 8) END)
+           + CASE WHEN (rn-1) % 2 = 1 AND l_partkey % 29 = 0 THEN 20000 ELSE 0 END + 10*(t % 4) AS BIGINT) AS pos
+  FROM x),
+z AS (
+  SELECT *, coalesce(CASE WHEN mate = 1 THEN lead(ref_id) OVER w ELSE lag(ref_id) OVER w END, -1) AS mate_ref_id,
+         coalesce(CASE WHEN mate = 1 THEN lead(pos) OVER w ELSE lag(pos) OVER w END, -1) AS mate_pos,
+         coalesce(CASE WHEN mate = 1 THEN lead(rev) OVER w ELSE lag(rev) OVER w END, 0) AS mate_rev
+  FROM y WINDOW w AS (PARTITION BY l_orderkey ORDER BY rn))
 SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(CAST(floor((rn-1)/2.0) AS BIGINT) AS STRING)) AS read_name,
-       CAST((rn-1) % 2 + 1 AS INT) AS mate, concat('s', CAST(l_orderkey % 3 AS STRING)) AS sample, CAST(l_orderkey % 5 AS INT) AS ref_id,
-       CAST((l_orderkey % 97)*5000 + ((rn-1) % 2)*(CASE WHEN q<=3 THEN 100 WHEN q>=49 THEN 2500 ELSE 700 + 10*(q % 8) END) + 10*(t % 4) AS BIGINT) AS pos,
-       CAST(q + 10 AS INT) AS mapq,
-       CAST(1 + CASE WHEN l_linestatus='O' THEN 16 ELSE 0 END + CASE WHEN (rn-1)%2=0 THEN 64 ELSE 128 END + CASE WHEN l_returnflag='A' AND q<=2 THEN 1024 ELSE 0 END AS INT) AS flag,
-       CASE WHEN d=0 THEN '100M' WHEN d<=4 THEN concat(CAST(10+t AS STRING),'S',CAST(90-t AS STRING),'M')
-            WHEN d<=8 THEN concat(CAST(90-t AS STRING),'M',CAST(10+t AS STRING),'S') WHEN d=9 THEN '40M25D60M' ELSE '50M30I20M' END AS cigar
-FROM x
+       mate, concat('s', CAST(l_orderkey % 3 AS STRING)) AS sample, ref_id, pos, CAST(q + 10 - CASE WHEN l_partkey % 31 = 0 THEN q + 10 ELSE 0 END AS INT) AS mapq,
+       CAST(1 + CASE WHEN mate_ref_id = ref_id AND l_suppkey % 6 <> 0 THEN 2 ELSE 0 END + CASE WHEN mate_ref_id < 0 THEN 8 ELSE 0 END + 16 * rev + 32 * mate_rev
+         + CASE WHEN mate = 1 THEN 64 ELSE 128 END + CASE WHEN l_returnflag='A' AND q<=2 THEN 1024 ELSE 0 END + CASE WHEN l_partkey % 23 = 0 THEN 2048 ELSE 0 END AS INT) AS flag,
+       CASE WHEN l_partkey % 23 = 0 THEN '30H70M' WHEN d=0 THEN '100M' WHEN d<=4 THEN concat(CAST(10+t AS STRING),'S',CAST(90-t AS STRING),'M')
+            WHEN d<=8 THEN concat(CAST(90-t AS STRING),'M',CAST(10+t AS STRING),'S') WHEN d=9 THEN '40M25D60M' ELSE '50M30I20M' END AS cigar,
+       mate_ref_id, mate_pos, CAST(CASE WHEN mate_ref_id = ref_id THEN mate_pos - pos + CASE WHEN mate_pos >= pos THEN 100 ELSE -100 END ELSE 0 END AS BIGINT) AS insert_size,
+       CAST(q % 14 AS INT) AS nm,
+       CASE WHEN l_partkey % 13 = 0 THEN concat('c', CAST(ref_id AS STRING), ',', CAST(pos + 40 * (q % 30) - 300 AS STRING), ',', CASE WHEN t % 2 = 0 THEN '+' ELSE '-' END, ',',
+            CASE WHEN t = 5 THEN '30S40M30S' WHEN t % 3 = 0 THEN '60S40M' ELSE '40M60S' END, ',', CAST(q AS STRING), ',', CAST(q % 13 AS STRING), ';') END AS sa,
+       CASE WHEN l_partkey % 11 = 0 THEN repeat('c1,+101,100M,0;', 1 + q % 6) END AS xa,
+       concat(CASE WHEN t >= 7 THEN 'NNNNNNN' ELSE 'ACGTACG' END, repeat('ACGTTGCATC', q % 11)) AS seq,
+       repeat(chr(33 + q % 41), 7 + 10 * (q % 11)) AS qual
+FROM z
 """
 
 
@@ -41,7 +59,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(READS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    rows = spark.sql(READS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    entries = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c.upper()).alias("k"), F.col(c).alias("v"))) for c in ("sa", "xa"))))
+    return rows.withColumn("tags", F.map_from_entries(entries))
+
+
+def contigs(spark: SparkSession) -> DataFrame:
+    return spark.range(5).select(F.col("id").cast("int").alias("ref_id"), F.concat(F.lit("c"), "id").alias("name"))
 
 
 def kept(spark, sf_dir):
@@ -49,12 +73,11 @@ def kept(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    return R.mate_pairs(kept(spark, sf_dir))
+    return calling.pairs_of(kept(spark, sf_dir))
 
 
 def classes(spark, sf_dir):
-    every = pairs(spark, sf_dir)
-    return R.insert_classes(R.filtered_pairs(every), R.library_stats(every))
+    return R.insert_classes(R.filtered_pairs(pairs(spark, sf_dir)), R.library_stats(reads(spark, sf_dir)))
 
 
 def evidence(spark, sf_dir):
@@ -77,24 +100,25 @@ ORACLES: dict[str, str] = {}
 
 _OPS = "list_transform(range(1, len(o) + 1), lambda i: CASE WHEN o[i] IN ({}) THEN n[i] ELSE 0 END)"
 _sum = lambda letters: "CAST(list_sum(" + _OPS.format(", ".join(f"'{c}'" for c in letters)) + ") AS INT)"
-_PAIR_COLUMNS = "ref_id pos end_pos mapq flag front front_len back back_len matched read_len reverse".split()
+_PAIR_COLUMNS = "ref_id pos end_pos mapq flag front front_len back back_len matched read_len reverse insert_size nm xa".split()
 _EVIDENCE = R.EVIDENCE
 _letters = lambda text, p="": " + ".join(f"{p}\"{c}\"" for c in text)
 CTE = {
     "reads": READS,
     "ops": "SELECT *, list_transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1), lambda x: CAST(x AS INT)) AS n, regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2) AS o FROM reads",
-    "cig": f"SELECT read_name, mate, sample, ref_id, pos, mapq, flag, cigar, n, o, pos + {_sum('MXD=N')} - 1 AS end_pos, {_sum('M')} AS matched, {_sum('MIS=X')} AS read_len, o[1] AS front, n[1] AS front_len, o[-1] AS back, n[-1] AS back_len, (flag & 16) <> 0 AS reverse FROM ops",
+    "cig": f"SELECT read_name, mate, sample, ref_id, pos, mapq, flag, cigar, mate_ref_id, mate_pos, insert_size, nm, sa, xa, seq, qual, n, o, pos + {_sum('MXD=N')} - 1 AS end_pos, {_sum('M')} AS matched, {_sum('MIS=X')} AS read_len, o[1] AS front, n[1] AS front_len, o[-1] AS back, n[-1] AS back_len, (flag & 16) <> 0 AS reverse FROM ops",
     "kept": "SELECT * FROM cig WHERE (flag & 2048) = 0 AND (flag & 256) = 0 AND (flag & 1) <> 0 AND (flag & 1024) = 0 AND NOT ((flag & 4) <> 0 AND (flag & 8) <> 0)",
     "pairs": "SELECT a.sample, a.read_name, " + ", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in _PAIR_COLUMNS) + " FROM kept a JOIN kept b ON a.sample = b.sample AND a.read_name = b.read_name AND a.mate = 1 AND b.mate = 2",
-    "stats": "SELECT sample, count(*) AS n, avg(abs(b_pos - a_pos)) AS mean, stddev_samp(abs(b_pos - a_pos)) AS sd, CAST(quantile_disc(abs(b_pos - a_pos), 0.5) AS BIGINT) AS median, greatest(0, avg(abs(b_pos - a_pos)) - 1.6 * stddev_samp(abs(b_pos - a_pos))) AS low, avg(abs(b_pos - a_pos)) + 2.5 * stddev_samp(abs(b_pos - a_pos)) AS high FROM pairs GROUP BY sample",
+    "proper": "SELECT * FROM reads WHERE (flag & 4) = 0 AND (flag & 2) <> 0 AND (flag & 1024) = 0 AND (flag & 8) = 0 AND xa IS NULL AND sa IS NULL AND abs(insert_size) < 10000 AND ref_id = mate_ref_id",
+    "stats": "SELECT sample, count(*) AS n, avg(abs(insert_size)) AS mean, stddev_samp(abs(insert_size)) AS sd, CAST(quantile_disc(abs(insert_size), 0.5) AS BIGINT) AS median, greatest(0, avg(abs(insert_size)) - 1.6 * stddev_samp(abs(insert_size))) AS low, avg(abs(insert_size)) + 2.5 * stddev_samp(abs(insert_size)) AS high, avg(mapq) AS mapq FROM proper GROUP BY sample",
     "good": """SELECT * FROM pairs WHERE (a_flag & 4) = 0 AND (b_flag & 4) = 0 AND least(a_mapq, b_mapq) >= 5 AND greatest(a_mapq, b_mapq) >= 20
         AND NOT (a_front = 'M' AND a_front_len = a_read_len AND b_front = 'M' AND b_front_len = b_read_len) AND a_matched + b_matched >= 100
         AND NOT (a_ref_id = b_ref_id AND CASE WHEN a_pos <= b_pos THEN a_back = 'S' AND b_front = 'S' ELSE a_front = 'S' AND b_back = 'S' END)
         AND NOT (a_ref_id = b_ref_id AND a_pos <= b_end_pos AND b_pos <= a_end_pos AND (least(a_end_pos, b_end_pos) - greatest(a_pos, b_pos)) * 1.0 / (a_read_len + b_read_len) > 0.2)
         AND a_ref_id = b_ref_id""",
     "classes": """SELECT *, CASE WHEN CASE WHEN a_pos <= b_pos THEN a_reverse AND NOT b_reverse ELSE b_reverse AND NOT a_reverse END THEN 'X'
-        WHEN abs(b_pos - a_pos) > high THEN CASE WHEN a_reverse = b_reverse THEN 'M' ELSE 'H' END
-        WHEN abs(b_pos - a_pos) < low THEN CASE WHEN a_reverse = b_reverse THEN 'R' ELSE 'L' END WHEN a_reverse = b_reverse THEN 'A' END AS evidence
+        WHEN abs(a_insert_size) > high THEN CASE WHEN a_reverse = b_reverse THEN 'M' ELSE 'H' END
+        WHEN abs(a_insert_size) < low THEN CASE WHEN a_reverse = b_reverse THEN 'R' ELSE 'L' END WHEN a_reverse = b_reverse THEN 'A' END AS evidence
         FROM good JOIN (SELECT sample, low, high FROM stats) USING (sample)""",
     "far": """SELECT sample, a_ref_id AS seqid, evidence,
         CASE WHEN a_front = 'S' OR a_back = 'S' THEN CASE WHEN a_back = 'S' THEN a_end_pos ELSE a_pos END WHEN b_back = 'S' THEN b_end_pos ELSE a_pos END AS a,
@@ -129,24 +153,33 @@ CTE = {
     "checked": """SELECT * FROM calls WHERE n_total >= 3 AND CASE type WHEN 'D' THEN (cluster_frac > 0.1 AND n_far > 1 AND n_del > 1) OR (n_internal_del > 2 AND n_split > 2)
         WHEN 'U' THEN (cluster_frac > 0.1 AND n_everted > 1 AND n_dup > 1) OR (n_split > 3 AND rpos - lpos < 500)
         WHEN 'V' THEN (cluster_frac > 0.1 AND n_ss > 2 AND n_inv > 2) OR NOT (rpos - lpos < 500 AND (n_ss < 3 OR n_inv < 3 OR n_split < 1)) WHEN 'I' THEN n_ins > 4 ELSE false END""",
-    "places": "SELECT DISTINCT ref_id, unnest(list_filter([CASE WHEN front = 'S' AND front_len > 9 THEN pos END, CASE WHEN back = 'S' AND back_len > 9 THEN end_pos END], lambda x: x IS NOT NULL)) AS bp FROM kept WHERE mapq > 15",
-    "piled": "SELECT p.bp, k.* FROM places p JOIN kept k ON p.ref_id = k.ref_id AND p.bp BETWEEN k.pos AND k.end_pos",
-    "near": "SELECT *, coalesce((front = 'S' AND abs(pos - bp) <= 5) OR (back = 'S' AND abs(end_pos - bp) <= 5), false) AS clipped, count(*) FILTER ((front = 'S' AND pos = bp) OR (back = 'S' AND end_pos = bp)) OVER (PARTITION BY ref_id, bp) AS n_at FROM piled",
-    "marked": "SELECT *, clipped AND n_at > 1 AS alt FROM near",
+    "pile": "SELECT * FROM cig WHERE (flag & 4) = 0 AND (flag & 1024) = 0 AND (flag & 256) = 0 AND (sa IS NOT NULL OR mapq >= 1) AND coalesce(len(string_split(xa, ';')), 0) <= 5 AND length(seq) >= 20 AND length(replace(substr(seq, 1, 10), 'N', '')) >= 5",
+    "places": "SELECT DISTINCT ref_id, unnest(list_filter([CASE WHEN front = 'S' AND front_len > 9 THEN pos END, CASE WHEN back = 'S' AND back_len > 9 THEN end_pos END], lambda x: x IS NOT NULL)) AS bp FROM pile WHERE mapq > 15",
+    "marks": "SELECT *, (flag & 2) <> 0 AS proper, (flag & 16) <> 0 AS rev, (flag & 32) <> 0 AS mrev, (flag & 8) = 0 AS mated, (flag & 2048) <> 0 AS sup, sa IS NOT NULL AS split, coalesce(split_part(sa, ',', 3) = '+', false) AS plus, ref_id <> mate_ref_id AS crossed FROM pile",
+    "feat": """SELECT read_name, sample, ref_id, pos, end_pos, mapq, abs(insert_size) AS insert, split, sup, mated AND NOT crossed AS mapped_pair, rev = mrev AS same_pair, len(o) > 3 AS complex, mapq < 50 AS low, NOT mated AS mate_missing, proper OR NOT split AS paired, NOT proper AS discordant,
+        ((rev AND NOT mrev AND pos < mate_pos) OR (NOT rev AND mrev AND pos > mate_pos)) AND (split OR (mated AND NOT crossed)) AS evert, NOT split AND mated AND crossed AS cross_, NOT split AND mated AND NOT crossed AND rev = mrev AS same_strand,
+        split AND plus <> rev AS split_same, split AND mated AND rev = mrev AS first_same, split AND mated AND plus AND NOT rev AS second_same, split AND mated AND NOT plus AS split_other, split AND mated AND crossed AS split_cross,
+        CASE WHEN split THEN 0 ELSE len(list_filter(range(1, len(o) + 1), lambda i: o[i] = 'I' AND n[i] > 3)) END AS inserted, CASE WHEN split THEN 0 ELSE len(list_filter(range(1, len(o) + 1), lambda i: o[i] = 'D' AND n[i] > 3)) END AS deleted,
+        NOT sup AND front = 'S' AS soft_front, NOT sup AND back = 'S' AS soft_back, (sup AND front = 'H') OR (split AND NOT sup AND front = 'S') AS extra_front, (sup AND back = 'H') OR (split AND NOT sup AND back = 'S') AS extra_back FROM marks""",
+    "support": "SELECT ref_id, spot, count(*) AS n FROM (SELECT ref_id, unnest(list_filter([CASE WHEN front = 'S' THEN pos END, CASE WHEN back = 'S' THEN end_pos END], lambda x: x IS NOT NULL)) AS spot FROM pile WHERE (flag & 2048) = 0) GROUP BY ALL",
+    "piled": """SELECT p.bp, f.*, split OR cross_ OR same_strand OR soft_front OR soft_back OR inserted > 0 OR deleted > 0 AS odd, greatest(coalesce(a.n, 0), coalesce(b.n, 0)) AS clips, coalesce(mapped_pair AND abs(insert - t.mean) > 2.5 * t.sd, false) AS deviant, coalesce(mapped_pair AND abs(insert - t.mean) > 2.5 * t.sd AND insert > t.mean, false) AS far
+        FROM places p JOIN feat f ON p.ref_id = f.ref_id AND p.bp BETWEEN f.pos AND f.end_pos LEFT JOIN support a ON a.ref_id = f.ref_id AND a.spot = f.pos LEFT JOIN support b ON b.ref_id = f.ref_id AND b.spot = f.end_pos LEFT JOIN stats t ON t.sample = f.sample""",
+    "near": "SELECT * REPLACE (bool_or(odd) OVER (PARTITION BY ref_id, bp, read_name) AS odd), (abs(pos - bp) < 5 OR abs(end_pos - bp) < 5) AND (soft_front OR soft_back) AND clips > 1 AS clipped, mapped_pair AND same_pair AS same FROM piled",
+    "marked": "SELECT *, clipped OR same OR deviant OR odd AS alt FROM near WHERE NOT sup",
     "gls": """SELECT ref_id, bp, sample, n, n_alt, CASE WHEN n >= 2 AND n > n_alt THEN aa - n * ln(2) ELSE -255.0 END AS gl_aa, CASE WHEN n >= 2 AND n > n_alt AND n_alt > 0 THEN -n * ln(2) ELSE -255.0 END AS gl_ab, CASE WHEN n >= 2 AND n_alt > 0 THEN bb - n * ln(2) ELSE -255.0 END AS gl_bb
         FROM (SELECT ref_id, bp, sample, count(*) AS n, count(*) FILTER (alt) AS n_alt, sum(CASE WHEN alt THEN ln(2 * e) ELSE ln(2 * (1 - e)) END) AS aa, sum(CASE WHEN alt THEN ln(2 * (1 - e)) ELSE ln(2 * e) END) AS bb
               FROM (SELECT *, pow(10, -greatest(mapq, 1) / 10.0) AS e FROM marked) GROUP BY ALL)""",
     "genos": "SELECT *, CASE WHEN n < 2 THEN './.' WHEN gl_aa >= gl_ab AND gl_aa >= gl_bb THEN '0/0' WHEN gl_ab >= gl_bb THEN '0/1' ELSE '1/1' END AS gt FROM gls",
     "spans": "SELECT user_id % 50 AS seqid, CAST(floor(epoch(ts) / 60) AS BIGINT) AS five, CAST(floor(epoch(ts) / 60) AS BIGINT) + CAST(floor(value) AS BIGINT) AS three, event_type AS svtype, event_id AS id, CAST(event_id % 7 AS BIGINT) AS support FROM events",
 }
-_NEEDS = "reads ops cig kept pairs stats good classes far inner_ops within evidence edges ends nodes reach comps scored best touch counted typed votes voted calls checked places piled near marked gls genos".split()
+_NEEDS = "reads proper ops cig kept pairs stats good classes far inner_ops within evidence edges ends nodes reach comps scored best touch counted typed votes voted calls checked pile places marks feat support piled near marked gls genos".split()
 _GRAPH = {"reach", "comps", "scored", "best", "touch", "counted", "typed", "votes", "voted", "calls", "checked"}
-_PILE = {"places", "piled", "near", "marked", "gls", "genos"}
+_PILE = {"pile", "places", "marks", "feat", "support", "piled", "near", "marked", "gls", "genos"}
 
 
 def sql(last: str, select: str) -> str:
     """``select`` after all views up to ``last``."""
-    names = ["spans"] if last == "spans" else [n for n in _NEEDS[: _NEEDS.index(last) + 1] if not (last in _PILE and (n in _GRAPH or _NEEDS.index("pairs") <= _NEEDS.index(n) < _NEEDS.index("places")))]
+    names = ["spans"] if last == "spans" else [n for n in _NEEDS[: _NEEDS.index(last) + 1] if not (last in _PILE and n != "stats" and (n in _GRAPH or _NEEDS.index("kept") <= _NEEDS.index(n) < _NEEDS.index("pile")))]
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n]})" for n in names) + "\n" + select
 
 
@@ -166,7 +199,7 @@ _s6 = lambda *names: ", ".join(f"round({n}, 6) AS {n}" for n in names)  # noqa:
 
 @query("read_filter", sql("kept", "SELECT read_name, mate, sample, ref_id, pos, mapq, flag, cigar FROM kept"))
 def _(spark, d):
-    return R.graph_read_filter(reads(spark, d))
+    return R.graph_read_filter(reads(spark, d)).select("read_name", "mate", "sample", "ref_id", "pos", "mapq", "flag", "cigar")
 
 
 @query("cigar_parse", sql("cig", "SELECT read_name, mate, array_to_string(list_transform(range(1, len(o) + 1), lambda i: concat(CAST(n[i] AS VARCHAR), o[i])), '') AS cigar, len(o) AS n_ops, pos + 0 AS pos, end_pos, matched, read_len, front, back, (front = 'S' AND front_len >= 5) OR (back = 'S' AND back_len >= 5) AS long_clip FROM cig"))
@@ -175,9 +208,62 @@ def _(spark, d):
     return out.select("read_name", "mate", C.cigar_text(F.col("ops")).alias("cigar"), F.size("ops").cast("long").alias("n_ops"), "pos", "end_pos", "matched", "read_len", "front", "back", C.long_clip(F.col("ops"), 5).alias("long_clip"))
 
 
-@query("library_stats", sql("stats", f"SELECT sample, n, median, {_s6('mean', 'sd', 'low', 'high')} FROM stats"))
+@query("library_stats", sql("stats", f"SELECT sample, n, median, {_s6('mean', 'sd', 'low', 'high', 'mapq')} FROM stats"))
+def _(spark, d):
+    return R.library_stats(reads(spark, d)).select("sample", "n", "median", *_r6("mean", "sd", "low", "high", "mapq"))
+
+
+@query("stats_filter", sql("proper", "SELECT read_name, mate, sample FROM proper"))
+def _(spark, d):
+    return R.stats_read_filter(reads(spark, d)).select("read_name", "mate", "sample")
+
+
+@query("depth_stats", sql("cig", "SELECT sample, count(*) AS places, round(avg(n), 6) AS mean_depth, round(stddev_samp(n), 6) AS sd_depth FROM (SELECT sample, ref_id, spot, count(*) AS n FROM (SELECT sample, ref_id, unnest(range(CAST(ceil(pos / 100.0) AS BIGINT), CAST(floor(end_pos / 100.0) AS BIGINT) + 1)) AS spot FROM cig) GROUP BY ALL) GROUP BY sample"))
+def _(spark, d):
+    return R.depth_stats(R.with_cigar(reads(spark, d))).select("sample", "places", *_r6("mean_depth", "sd_depth"))
+
+
+@query("base_quality", sql("proper", "SELECT sample, round(sum(q) * 1.0 / sum(n), 6) AS base_quality FROM (SELECT sample, length(qual) AS n, length(qual) * (ascii(qual) - 33) AS q FROM proper) GROUP BY sample"))
+def _(spark, d):
+    return R.base_quality(reads(spark, d)).select("sample", *_r6("base_quality"))
+
+
+@query("pile_filter", sql("pile", "SELECT read_name, mate FROM pile"))
+def _(spark, d):
+    return R.pileup_read_filter(reads(spark, d)).select("read_name", "mate")
+
+
+@query("clean_sequence", sql("reads", "SELECT read_name, mate FROM reads WHERE length(seq) >= 20 AND length(replace(substr(seq, 1, 10), 'N', '')) >= 5"))
+def _(spark, d):
+    return reads(spark, d).where(R.clean_sequence(F.col("seq"))).select("read_name", "mate")
+
+
+@query("contig_filter", sql("reads", "SELECT read_name, mate FROM reads WHERE ref_id IN (1, 2, 4)"))
+def _(spark, d):
+    lengths = contigs(spark).withColumn("length", F.when(F.col("ref_id") == 0, 900).otherwise(5000))
+    return R.contig_filter(reads(spark, d), lengths, lengths.where("ref_id = 3")).select("read_name", "mate")
+
+
+@query("region_filter", sql("cig", "SELECT read_name, mate FROM cig WHERE ref_id = 2 AND pos < 300000 AND end_pos >= 20000"))
+def _(spark, d):
+    return R.region_filter(R.with_cigar(reads(spark, d)), 2, 20000, 300000).select("read_name", "mate")
+
+
+@query("mismatch_filter", sql("pairs", "SELECT sample, read_name FROM pairs WHERE a_nm <= 10 AND b_nm <= 10 AND coalesce(len(string_split(a_xa, ';')), 0) <= 3 AND coalesce(len(string_split(b_xa, ';')), 0) <= 3"))
+def _(spark, d):
+    few = lambda r: (r["nm"] <= 10) & R.few_hits(r["xa"])
+    return pairs(spark, d).where(few(F.col("r1")) & few(F.col("r2"))).select("sample", "read_name")
+
+
+_SPLIT = """, s AS (SELECT *, split_part(sa, ',', 1) AS sc, CAST(split_part(sa, ',', 2) AS BIGINT) - 1 AS sp, split_part(sa, ',', 3) = '-' AS srev, split_part(sa, ',', 4) AS scig, CAST(split_part(sa, ',', 5) AS INT) AS smapq, CAST(rtrim(split_part(sa, ',', 6), ';') AS INT) AS snm FROM kept WHERE sa IS NOT NULL),
+    e AS (SELECT *, CASE WHEN back IN ('S', 'H') THEN end_pos ELSE pos END AS a, CASE WHEN scig LIKE '%S' THEN sp + list_sum(list_transform(regexp_extract_all(scig, '([0-9]+)M', 1), lambda x: CAST(x AS BIGINT))) ELSE sp END AS b FROM s
+          WHERE snm <= 10 AND smapq >= 5 AND NOT (front IN ('S', 'H') AND back IN ('S', 'H')) AND scig <> '30S40M30S' AND sc = concat('c', ref_id))
+    SELECT sample, ref_id AS seqid, CAST(least(a, b) AS BIGINT) AS lpos, CAST(greatest(a, b) AS BIGINT) AS rpos, CASE WHEN (front IN ('S', 'H') AND b > a) OR (back IN ('S', 'H') AND b < a) THEN 'Z' WHEN reverse <> srev THEN 'V' ELSE 'S' END AS evidence FROM e WHERE a <> b"""
+
+
+@query("split_edges", sql("kept", "").rstrip() + _SPLIT)
 def _(spark, d):
-    return R.library_stats(pairs(spark, d)).select("sample", "n", "median", *_r6("mean", "sd", "low", "high"))
+    return R.split_edges(kept(spark, d), contigs(spark))
 
 
 @query("mate_pairs", sql("pairs", "SELECT sample, read_name, a_pos AS pos1, b_pos AS pos2 FROM pairs"))
@@ -261,28 +347,85 @@ def _(spark, d):
     return reads(spark, d).groupBy("ref_id", I.tile(F.col("pos"), 100_000).alias("tile")).agg(F.count("*").alias("n"))
 
 
+def pile(spark, d):
+    return R.with_cigar(R.pileup_read_filter(reads(spark, d)))
+
+
 @query("clip_positions", sql("places", "SELECT * FROM places"))
 def _(spark, d):
-    return P.clip_positions(kept(spark, d))
+    return P.clip_positions(pile(spark, d))
 
 
 def piled(spark, d):
-    k = kept(spark, d)
-    return P.pileup(P.clip_positions(k), k)
+    p = pile(spark, d)
+    return P.pileup(P.clip_positions(p), P.pile_features(p))
+
+
+def evidence_piled(spark, d):
+    p = pile(spark, d)
+    return P.pileup(P.clip_positions(p), P.with_support(P.pile_features(p), P.clip_support(p), R.library_stats(reads(spark, d))))
+
+
+_FLAGS = "complex low mate_missing paired discordant split evert same_strand split_same first_same second_same split_other split_cross soft_front soft_back".split()
+_AT = lambda f, b: f"CAST(sum(CAST({f} AND pos = bp AS INT) + CAST({b} AND end_pos = bp AS INT)) AS BIGINT)"
+_PLACE = "SELECT ref_id, bp, count(*) AS n_reads, CAST(sum(mapq) AS BIGINT) AS mapq_sum, count(*) FILTER (cross_) AS n_cross, " + ", ".join(f"count(*) FILTER ({c}) AS n_{c}" for c in _FLAGS) + f", CAST(sum(inserted) AS BIGINT) AS n_inserted, CAST(sum(deleted) AS BIGINT) AS n_deleted, {_AT('soft_front', 'soft_back')} AS n_primary, {_AT('extra_front', 'extra_back')} AS n_supplement, count(*) FILTER (odd) AS n_odd FROM piled GROUP BY ALL"
+
+
+@query("pileup_counts", sql("piled", _PLACE))
+def _(spark, d):
+    return P.pileup_counts(piled(spark, d))
+
+
+@query("attributes", sql("piled", "SELECT ref_id, bp, " + ", ".join(f"round(n_{c} * 1.0 / n_reads, 6) AS at_{c}" for c in P.ATTRIBUTES) + f" FROM ({_PLACE})"))
+def _(spark, d):
+    out = P.attributes(P.pileup_counts(piled(spark, d)))
+    return out.select("ref_id", "bp", *(F.round(F.col("at")[k], 6).alias(f"at_{c}") for k, c in enumerate(P.ATTRIBUTES)))
+
+
+@query("scoring_gates", sql("piled", f"SELECT ref_id, bp FROM ({_PLACE}) WHERE (n_primary >= 3 OR n_supplement >= 2) AND NOT (n_discordant = 0 AND n_split = 0 AND n_evert = 0 AND n_primary < 3)"))
+def _(spark, d):
+    return P.scoring_gates(P.pileup_counts(piled(spark, d))).select("ref_id", "bp")
+
+
+@query("clip_bases", sql("pile", """, c AS (SELECT ref_id, unnest([{'bp': pos, 'direction': 'f', 'on': front = 'S', 'bases': substr(seq, 1, front_len), 'q': substr(qual, greatest(front_len - 4, 1), 5)}, {'bp': end_pos, 'direction': 'b', 'on': back = 'S', 'bases': substr(seq, greatest(length(seq) - back_len + 1, 1), length(seq) - greatest(length(seq) - back_len, 0)), 'q': substr(qual, length(qual) - back_len + 1, 5)}]) AS e FROM pile WHERE (flag & 2048) = 0 AND length(seq) > 50)
+    SELECT ref_id, e.bp AS bp, e.direction AS direction, count(*) AS n, min(e.bases) AS least FROM c WHERE e.on AND length(e.q) * (ascii(e.q) - 33) / 5.0 >= 20 GROUP BY ALL"""))
+def _(spark, d):
+    return P.clip_bases(pile(spark, d).where("length(seq) > 50")).groupBy("ref_id", "bp", "direction").agg(F.count("*").alias("n"), F.min("bases").alias("least"))
 
 
-@query("pileup_counts", sql("piled", "SELECT ref_id, bp, count(*) AS n_reads, count(*) FILTER (len(o) > 3) AS n_complex, count(*) FILTER (mapq < 50) AS n_low, count(*) FILTER (front = 'S' AND pos = bp) AS n_front, count(*) FILTER (back = 'S' AND end_pos = bp) AS n_back, count(*) FILTER (reverse) AS n_reverse, count(*) FILTER (len(o) = 3 AND o[2] = 'D' AND n[2] > 3) AS n_del, count(*) FILTER (len(o) = 3 AND o[2] = 'I' AND n[2] > 3) AS n_ins FROM piled GROUP BY ALL"))
+@query("clip_direction", sql("pile", ", c AS (SELECT ref_id, unnest([{'bp': pos, 'd': 'f', 'on': front = 'S'}, {'bp': end_pos, 'd': 'b', 'on': back = 'S'}]) AS e FROM pile WHERE (flag & 2048) = 0) SELECT ref_id, bp, CASE WHEN b > f THEN 'b' ELSE 'f' END AS direction, greatest(f, b) AS n FROM (SELECT ref_id, e.bp AS bp, count(*) FILTER (e.d = 'f') AS f, count(*) FILTER (e.d = 'b') AS b FROM c WHERE e.on GROUP BY ALL)"))
 def _(spark, d):
-    return P.pileup_counts(piled(spark, d)).select("ref_id", "bp", "n_reads", "n_complex", "n_low", "n_front", "n_back", "n_reverse", "n_del", "n_ins")
+    return P.clip_direction(P.clip_bases(pile(spark, d), quality=-99))
+
+
+def other_ends(spark, d):
+    p = pile(spark, d)
+    at = lambda c, end: p.where(c).select("ref_id", F.col("pos").alias("bp"), end.alias("end"))
+    hit = lambda x: F.get(x, F.lit(0))["pos"]
+    return P.end_union(at("mate_ref_id = ref_id", F.col("mate_pos")), at("sa IS NOT NULL", hit(C.parse_sa(F.col("sa")))), at("xa IS NOT NULL", hit(C.parse_xa(F.col("xa")))))
+
+
+_UNION = ", u AS (SELECT ref_id, pos AS bp, mate_pos AS \"end\", 'mp' AS source FROM pile WHERE mate_ref_id = ref_id UNION ALL SELECT ref_id, pos, CAST(split_part(sa, ',', 2) AS BIGINT) - 1, 'sr' FROM pile WHERE sa IS NOT NULL UNION ALL SELECT ref_id, pos, 100, 'xa' FROM pile WHERE xa IS NOT NULL) "
 
 
-@query("sample_evidence", sql("marked", "SELECT ref_id, bp, sample, count(*) AS n_reads, count(*) FILTER (alt) AS n_alt, count(*) FILTER (clipped) AS n_clip, round(count(*) FILTER (clipped) * 1.0 / count(*), 6) AS clip_share FROM marked GROUP BY ALL"))
+@query("end_union", sql("pile", _UNION + "SELECT * FROM u"))
 def _(spark, d):
-    return P.sample_evidence(P.read_evidence(piled(spark, d))).withColumn("clip_share", F.round("clip_share", 6))
+    return other_ends(spark, d)
+
+
+@query("start_interval", sql("places", "SELECT p.ref_id, p.bp, CAST(floor(1.96 * coalesce(stddev_samp(c.bp), 0)) + 1 AS BIGINT) AS half FROM places p JOIN places c ON p.ref_id = c.ref_id AND c.bp BETWEEN p.bp - 50 AND p.bp + 50 GROUP BY ALL"))
+def _(spark, d):
+    places = P.clip_positions(pile(spark, d))
+    return P.start_interval(places, places)
+
+
+@query("sample_evidence", sql("marked", "SELECT ref_id, bp, sample, count(*) AS n_reads, count(*) FILTER (alt) AS n_alt, count(*) FILTER (clipped) AS n_clip, count(*) FILTER (same) AS n_same, count(*) FILTER (deviant) AS n_deviant, count(*) FILTER (far) AS n_far, count(*) FILTER (deviant AND NOT far) AS n_close, round(count(*) FILTER (clipped) * 1.0 / count(*), 6) AS clip_share FROM marked GROUP BY ALL"))
+def _(spark, d):
+    return P.sample_evidence(P.read_evidence(evidence_piled(spark, d))).withColumn("clip_share", F.round("clip_share", 6))
 
 
 def genotypes(spark, d):
-    return P.genotype_likelihoods(P.read_evidence(piled(spark, d)), ["ref_id", "bp", "sample"])
+    return P.genotype_likelihoods(P.read_evidence(evidence_piled(spark, d)), ["ref_id", "bp", "sample"])
 
 
 @query("genotype_gl", sql("genos", f"SELECT ref_id, bp, sample, n, n_alt, gt, {_s6('gl_aa', 'gl_ab', 'gl_bb')} FROM genos"))
@@ -393,13 +536,11 @@ def _(spark, d):
 _ACGT = "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
 
 
-@query("kmer_entropy", """WITH k AS (SELECT doc_id, substr(text, i, 4) AS kmer, count(*) AS n FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 3, 0) + 1)) AS i FROM documents) GROUP BY ALL)
+@query("kmer_entropy", """WITH k AS (SELECT doc_id, substr(text, i, 4) AS kmer, count(*) AS n FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 4, 0) + 1)) AS i FROM documents) GROUP BY ALL)
     SELECT doc_id, count(*) AS kinds, round(-sum(n * 1.0 / t * ln(n * 1.0 / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM k) GROUP BY doc_id""")
 def _(spark, d):
-    k = table(spark, d, "documents").select("doc_id", F.explode(S.kmers(F.col("text"), 4)).alias("kmer")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
-    # sum p ln p over the counts alone: -(sum n ln n) / t + ln t
-    s = k.groupBy("doc_id").agg(F.count("*").alias("kinds"), F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("x"))
-    return s.select("doc_id", "kinds", F.round(F.ln("t") - F.col("x") / F.col("t"), 6).alias("entropy"))
+    e = table(spark, d, "documents").select("doc_id", S.kmer_entropy(F.col("text"), 4).alias("e")).where("e IS NOT NULL")
+    return e.select("doc_id", "e.kinds", F.round("e.entropy", 6).alias("entropy"))
 
 
 @query("kmer_pack", f"""WITH k AS (SELECT doc_id, substr({_ACGT}, i, 6) AS kmer FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 5, 0) + 1)) AS i FROM documents)),
@@ -407,8 +548,15 @@ def _(spark, d):
     SELECT doc_id, count(*) AS n, CAST(min(packed) AS BIGINT) AS low, CAST(max(packed) AS BIGINT) AS high, CAST(sum(packed) AS BIGINT) AS total FROM v GROUP BY doc_id""")
 def _(spark, d):
     text = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    k = table(spark, d, "documents").select("doc_id", F.explode(S.kmers(text, 6)).alias("kmer")).select("doc_id", S.pack_kmer(F.col("kmer")).alias("packed"))
-    return k.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("packed").alias("low"), F.max("packed").alias("high"), F.sum("packed").alias("total"))
+    k = table(spark, d, "documents").select("doc_id", F.transform(S.kmers(text, 6), S.pack_kmer).alias("v")).where("size(v) > 0")
+    total = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)
+    return k.select("doc_id", F.size("v").cast("long").alias("n"), F.array_min("v").alias("low"), F.array_max("v").alias("high"), total.alias("total"))
+
+
+@query("character_entropy", """WITH c AS (SELECT p_partkey, length(p_name) AS t, x, count(*) AS n FROM (SELECT p_partkey, p_name, unnest(string_split(p_name, '')) AS x FROM part) GROUP BY ALL)
+    SELECT p_partkey, round(-sum(n * 1.0 / t * log2(n * 1.0 / t)), 6) AS bits FROM c GROUP BY p_partkey""")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.round(S.character_entropy(F.col("p_name")), 6).alias("bits"))
 
 
 _BASES = "translate(lower({}), 'abcdefghijklmnopqrstuvwxyz #0123456789', 'ACGTACGTACGTACGTACGTACGTACGTACGTACGTAC')"
@@ -449,3 +597,121 @@ def _(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", F.array(near, F.col("c_nationkey").cast("double"), (F.col("c_custkey") % 7).cast("double")).alias("features"), F.when(F.col("c_acctbal") > 4000, "DEL").otherwise("DUP").alias("label"))
     scored = T.score_forest(rows, T.train_forest(rows, trees=20), least=0.6)
     return scored.select("c_custkey", "label", "wc")
+
+
+@query("ins_nodes", sql("checked", "SELECT c.seqid, c.component, CASE WHEN r.degree > l.degree AND type = 'I' THEN rpos ELSE lpos END AS start, CASE WHEN r.degree > l.degree AND type = 'I' THEN lpos ELSE rpos END AS other FROM calls c JOIN nodes l ON c.seqid = l.seqid AND c.lpos = l.pos JOIN nodes r ON c.seqid = r.seqid AND c.rpos = r.pos"))
+def _(spark, d):
+    return K.terminal_first(calls(spark, d), K.nodes(edges(spark, d))).select("seqid", "component", "start", "other")
+
+
+@query("weighted_neighbours", sql("ends", "SELECT seqid, pos, round(sum(other * \"H\") * 1.0 / nullif(sum(\"H\"), 0), 6) AS mean_other FROM ends GROUP BY ALL"))
+def _(spark, d):
+    return K.weighted_neighbours(edges(spark, d)).select("seqid", "pos", *_r6("mean_other"))
+
+
+@query("contig_counts", sql("best", "SELECT seqid, count(*) AS n FROM best GROUP BY ALL"))
+def _(spark, d):
+    e = edges(spark, d)
+    return K.contig_counts(K.best_breakpoints(e, K.nodes(e), K.components(e)))
+
+
+@query("end_interval", sql("pile", _UNION + """, m AS (SELECT ref_id, bp, bucket, count(*) AS n FROM (SELECT *, CAST(floor(("end" + 5) / 10.0) * 10 AS BIGINT) AS bucket FROM u) GROUP BY ALL),
+    b AS (SELECT ref_id, bp, CASE WHEN max(n) < 2 THEN first(bucket ORDER BY abs(bucket - bp), bucket) ELSE first(bucket ORDER BY n DESC, abs(bucket - bp), bucket) END AS best_end FROM m GROUP BY ALL),
+    w AS (SELECT ref_id, bp, best_end, "end" FROM u JOIN b USING (ref_id, bp) WHERE abs("end" - best_end) <= 150),
+    r AS (SELECT ref_id, bp, first("end" ORDER BY m DESC, "end") AS refined_end FROM (SELECT ref_id, bp, "end", count(*) AS m FROM w WHERE abs("end" - best_end) <= 20 GROUP BY ALL) GROUP BY ALL)
+    SELECT ref_id, bp, best_end, round(avg("end"), 6) AS mean_end, round(coalesce(stddev_samp("end"), 0), 6) AS sd_end, any_value(refined_end) AS refined_end, best_end - CAST(floor(1.96 * coalesce(stddev_samp("end"), 0)) AS BIGINT) AS ci_low, best_end + CAST(floor(1.96 * coalesce(stddev_samp("end"), 0)) AS BIGINT) AS ci_high FROM w LEFT JOIN r USING (ref_id, bp) GROUP BY ref_id, bp, best_end"""))
+def _(spark, d):
+    u = other_ends(spark, d)
+    out = P.end_interval(u, P.end_mode(u, ["ref_id"]).select("ref_id", "bp", "best_end"), ["ref_id"])
+    return out.select("ref_id", "bp", "best_end", *_r6("mean_end", "sd_end"), "refined_end", "ci_low", "ci_high")
+
+
+@query("tag_hits", sql("reads", "SELECT read_name, mate, 'SA' AS tag, split_part(sa, ',', 1) AS seqid, CAST(split_part(sa, ',', 2) AS BIGINT) - 1 AS pos, CAST(rtrim(split_part(sa, ',', 6), ';') AS INT) AS nm FROM reads WHERE sa IS NOT NULL UNION ALL SELECT read_name, mate, 'XA', 'c1', CAST(100 AS BIGINT), 0 FROM (SELECT read_name, mate, unnest(range(1, len(string_split(xa, ';')))) FROM reads WHERE xa IS NOT NULL)"))
+def _(spark, d):
+    r = reads(spark, d)
+    hits = lambda tag, parse: r.select("read_name", "mate", F.lit(tag).alias("tag"), F.explode(parse(F.col(tag.lower()))).alias("h")).select("read_name", "mate", "tag", "h.seqid", "h.pos", "h.nm")
+    return hits("SA", C.parse_sa).unionByName(hits("XA", C.parse_xa))
+
+
+@query("xp_hits", "SELECT l_orderkey, l_linenumber, concat('c', l_suppkey % 5) AS seqid, l_partkey - 1 AS pos, l_linestatus = 'O' AS reverse, CAST(l_quantity AS INT) + 5 AS span FROM lineitem")
+def _(spark, d):
+    tag = F.expr("concat('c', l_suppkey % 5, ',', CASE WHEN l_linestatus = 'O' THEN '-' ELSE '+' END, l_partkey, ',5M', CAST(l_quantity AS INT), 'D;')")
+    h = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(C.parse_xp(tag)).alias("h"))
+    return h.select("l_orderkey", "l_linenumber", "h.seqid", "h.pos", "h.reverse", C.reference_span(F.col("h.cigar")).alias("span"))
+
+
+@query("cigar_quirk", sql("ops", "SELECT read_name, mate, array_to_string(list_transform(o, lambda x: concat(CAST(n[1] AS VARCHAR), x)), '') AS cigar, o[1] IN ('S', 'H') AND o[-1] IN ('S', 'H') AS both FROM ops"))
+def _(spark, d):
+    ops = C.parse_cigar(F.col("cigar"), first_length=True)
+    return reads(spark, d).select("read_name", "mate", C.cigar_text(ops).alias("cigar"), C.both_clipped(ops).alias("both"))
+
+
+@query("quality_functions", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) % 41 AS q, round(pow(10, -(CAST(l_quantity AS INT) % 41) / 10.0), 9) AS p, round(log10(pow(10, -l_discount * 10) + pow(10, -l_tax * 10)), 6) AS added, CAST(ceil(l_extendedprice / 7 - 0.5) AS BIGINT) AS halved, CAST(floor((l_partkey + 5) / 10.0) * 10 AS BIGINT) AS tens, round(1 / (1 + exp(-l_discount)), 6) AS squashed FROM lineitem")
+def _(spark, d):
+    q = S.phred(F.expr("chr(33 + CAST(l_quantity AS INT) % 41)"))
+    double = lambda c: F.col(c).cast("double")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", q.alias("q"), F.round(S.error_probability(q), 9).alias("p"), F.round(S.log10_add(-double("l_discount") * 10, -double("l_tax") * 10), 6).alias("added"), S.round_half_down(double("l_extendedprice") / 7).cast("long").alias("halved"), S.round_to_ten(F.col("l_partkey")).alias("tens"), F.round(S.sigmoid(double("l_discount")), 6).alias("squashed"))
+
+
+@query("text_functions", "SELECT p_partkey, len(string_split_regex(p_name, '[ a]')) AS n_parts, array_to_string(string_split_regex(p_name, '[ a]'), '_') AS joined, CAST(p_partkey AS VARCHAR) AS bare, replace(p_brand, '.', '') AS plain, substr(sha256(concat(p_brand, '|', p_name)), 1, 8) AS short, greatest(least(p_partkey, 50) - 20, 0) AS low, greatest(p_partkey, 50) + 20 AS high FROM part")
+def _(spark, d):
+    parts = S.split_any(F.col("p_name"), " a")
+    low, high = S.slop(F.col("p_partkey"), F.lit(50).cast("long"), 20)
+    return table(spark, d, "part").select("p_partkey", F.size(parts).cast("long").alias("n_parts"), F.array_join(parts, "_").alias("joined"), S.strip_chr(F.concat(F.lit("chr"), F.col("p_partkey").cast("string"))).alias("bare"), S.strip_dots(F.col("p_brand")).alias("plain"), S.short_id(F.col("p_brand"), F.col("p_name")).alias("short"), low.alias("low"), high.alias("high"))
+
+
+@query("class_share", "SELECT l_orderkey, l_linenumber, round(greatest(l_tax, l_discount, 0.02) / (l_tax + l_discount + 0.02), 6) AS share FROM lineitem")
+def _(spark, d):
+    p = F.array(F.col("l_tax").cast("double"), F.col("l_discount").cast("double"), F.lit(0.02))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.class_share(p), 6).alias("share"))
+
+
+def bed_calls(spark, d):
+    return spans(spark, d).select("seqid", F.col("five").alias("start"), F.when(F.col("id") % 7 > 0, F.col("three")).alias("end"), F.when(F.col("id") % 5 == 0, F.col("seqid") + 1).otherwise(F.col("seqid")).alias("chr2"), "svtype", F.col("id").alias("call_id"), "support")
+
+
+@query("to_bed", sql("spans", "").rstrip() + " SELECT seqid AS chr, greatest(least(five, three) - 10, 0) AS start, greatest(five, three) + 10 AS \"end\", concat(svtype, ':', id) AS name, support AS score FROM spans WHERE id % 7 > 0 AND id % 5 > 0")
+def _(spark, d):
+    return V.to_bed(bed_calls(spark, d), 10, paired=True)
+
+
+@query("to_bedpe", sql("spans", "").rstrip() + " SELECT seqid AS chr_a, greatest(least(five, three) - 10, 0) AS start_a, least(five, three) + 10 AS end_a, CASE WHEN id % 5 = 0 THEN seqid + 1 ELSE seqid END AS chr_b, greatest(greatest(five, three) - 10, 0) AS start_b, greatest(five, three) + 10 AS end_b, concat_ws('_', seqid, row_number() OVER (PARTITION BY seqid ORDER BY five, three, id), svtype) AS name, support AS score FROM spans WHERE id % 7 > 0")
+def _(spark, d):
+    return V.to_bedpe(bed_calls(spark, d).where("end IS NOT NULL"), 10)
+
+
+@query("evaluation_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount * 10 >= 0.5 AND l_linenumber >= 2 AND (l_quantity >= 6 OR l_tax >= 0.01) AND l_linenumber * 4 / nullif(l_quantity, 0) <= 1.5 AND l_linenumber * 4 <= 18 AND l_suppkey % 9 <= 1.4 * (l_partkey % 7)")
+def _(spark, d):
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_discount * 10 AS si", "l_linenumber + 4 AS pu", "l_quantity AS nc", "l_tax * 100 AS su", "l_linenumber * 4 AS n", "l_suppkey % 9 AS cu", "l_partkey % 7 AS rd")
+    return V.evaluation_filter(t).select("l_orderkey", "l_linenumber")
+
+
+@query("classifier_filter", "SELECT l_orderkey, l_linenumber, 'specific' AS mode FROM lineitem WHERE l_partkey % 3 = 1 AND l_linenumber >= 2 AND l_quantity >= 3 UNION ALL SELECT l_orderkey, l_linenumber, 'sensitive' FROM lineitem WHERE l_quantity >= 2")
+def _(spark, d):
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity AS nc", "CASE l_partkey % 3 WHEN 0 THEN 'nan' WHEN 1 THEN '17' END AS ed", "l_linenumber AS be")
+    of = lambda mode: V.classifier_filter(t, mode).select("l_orderkey", "l_linenumber", F.lit(mode).alias("mode"))
+    return of("specific").unionByName(of("sensitive"))
+
+
+@query("without_contigs", sql("spans", "").rstrip() + " SELECT seqid, id FROM spans WHERE seqid NOT IN (3, 17)")
+def _(spark, d):
+    return V.without_contigs(spans(spark, d), [3, 17]).select("seqid", "id")
+
+
+def typed_truth(spark, d):
+    c, t = truth_pair(spark, d)
+    types = spans(spark, d).select("id", "svtype")
+    return c.join(types, F.col("id") == F.col("call_id")).drop("id"), t.join(types, F.col("id") == F.col("truth_id")).drop("id")
+
+
+_TYPED = _TRUTH.replace("SELECT seqid, id AS truth_id,", "SELECT seqid, svtype, id AS truth_id,").replace("SELECT id AS call_id, seqid, unnest", "SELECT id AS call_id, seqid, svtype, unnest").replace("ON t.seqid = c.seqid AND", "ON t.seqid = c.seqid AND t.svtype = c.svtype AND")
+
+
+@query("typed_truth", sql("spans", "").rstrip() + _TYPED + "SELECT call_id, truth_id FROM m")
+def _(spark, d):
+    return V.truth_matches(*typed_truth(spark, d), by=("seqid", "svtype")).select("call_id", "truth_id")
+
+
+@query("population_truth", sql("spans", "").rstrip() + _TRUTH + "SELECT min(call_id) AS call_id, truth_id FROM m WHERE truth_id IS NOT NULL GROUP BY truth_id UNION ALL SELECT call_id, truth_id FROM m WHERE truth_id IS NULL")
+def _(spark, d):
+    return V.once_per_truth(V.truth_matches(*truth_pair(spark, d)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def sigmoid(x: Column) -> Column:
 
 def split_any(text: Column, delimiters: str) -> Column:
     """Split at any of the characters; empty tokens stay."""
-    return F.split(text, "[" + "".join("\\" + c for c in delimiters) + "]")
+    return F.split(text, "[" + "".join(map(re.escape, delimiters)) + "]")
 
 
 def info_map(info: Column) -> Column:
@@ -74,7 +75,7 @@ def info_map(info: Column) -> Column:
 
 def info_value(info: Column, key: str) -> Column:
     """The value of one key, null if it is missing."""
-    return F.nullif(F.regexp_extract(info, rf"(?:^|;){key}=([^;]*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(info, rf"(?:^|;){re.escape(key)}=([^;]*)", 1), F.lit(""))
 
 
 def short_id(*parts: Column) -> Column:
@@ -101,14 +102,39 @@ def class_share(probabilities: Column) -> Column:
 
 
 def kmers(text: Column, k: int) -> Column:
-    """Every run of ``k`` characters, in order; a shorter text has none."""
-    return let(text, "array<string>", lambda x: F.when(F.length(x) >= k, F.transform(F.sequence(F.lit(1), F.length(x) - (k - 1)), lambda i: F.substring(x, i, F.lit(k)))).otherwise(F.expr("CAST(array() AS array<string>)")))
+    """Every run of ``k`` characters, in order, by one pass of a pattern that looks ahead; a shorter text has none."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
+
+
+def kmer_entropy(text: Column, k: int) -> Column:
+    """``struct<kinds, entropy>`` (natural logarithm) of a text's runs of ``k`` characters but the last one, which is not counted (a
+    known quirk). Sorted runs are folded within the row, so nothing is shuffled; null without a run."""
+    runs = F.sort_array(let(kmers(text, k), "array<string>", lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))))
+    kind = "struct<last:string,n:double,kinds:bigint,total:double,sum:double>"
+    log = lambda n: F.when(n > 1, n * F.ln(n)).otherwise(F.lit(0.0))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["last"] == x
+        n, kinds = F.when(same, s["n"] + 1).otherwise(F.lit(1.0)), F.when(same, s["kinds"]).otherwise(s["kinds"] + 1)
+        return F.struct(x.alias("last"), n.alias("n"), kinds.alias("kinds"), (s["total"] + 1).alias("total"), F.when(same, s["sum"]).otherwise(s["sum"] + log(s["n"])).alias("sum")).cast(kind)
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("n"), F.lit(0).cast("long").alias("kinds"), F.lit(0.0).alias("total"), F.lit(0.0).alias("sum")).cast(kind)
+    # sum p ln(1 / p) over the counts alone: ln t - (sum n ln n) / t
+    end = lambda s: F.when(s["total"] > 0, F.struct(s["kinds"].alias("kinds"), (F.ln(s["total"]) - (s["sum"] + log(s["n"])) / s["total"]).alias("entropy")))
+    return F.aggregate(runs, start, step, end)
+
+
+def character_entropy(text: Column) -> Column:
+    """Shannon's entropy of a text's characters in bits; null for an empty text."""
+    chars = F.split(text, "")
+    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+    bits = F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    return F.when(F.length(text) > 0, bits)
 
 
 def pack_kmer(kmer: Column) -> Column:
     """Two bits a base, the first base highest: A 0, T 1, G 2, C 3, others 0."""
-    code = lambda c: F.when(c == "T", 1).when(c == "G", 2).when(c == "C", 3).otherwise(0).cast("long")
-    return F.aggregate(F.filter(F.split(kmer, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda x, c: F.shiftleft(x, 2).bitwiseOR(code(c)))
+    return F.conv(F.translate(F.regexp_replace(kmer, "[^ATGC]", "A"), "ATGC", "0123"), 4, 10).cast("long")
 
 
 def unpack_kmer(value: Column, k: int) -> Column:

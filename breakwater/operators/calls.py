@@ -140,6 +140,24 @@ def emitted(calls: DataFrame, least: int = 3) -> DataFrame:
     return calls.where(passes_checks() & (F.col("n_total") >= least))
 
 
+def terminal_first(calls: DataFrame, node_table: DataFrame) -> DataFrame:
+    """Calls with ``start`` and ``other``, their left and right nodes; of an insertion the node of more edges comes first."""
+    degree = lambda c: node_table.select("seqid", F.col("pos").alias(c), F.col("degree").alias(f"__{c}"))
+    both = calls.join(degree("lpos"), ["seqid", "lpos"]).join(degree("rpos"), ["seqid", "rpos"])
+    turned = (F.col("type") == "I") & (F.col("__rpos") > F.col("__lpos"))
+    return both.withColumns({"start": F.when(turned, F.col("rpos")).otherwise(F.col("lpos")), "other": F.when(turned, F.col("lpos")).otherwise(F.col("rpos"))}).drop("__lpos", "__rpos")
+
+
+def weighted_neighbours(edges: DataFrame) -> DataFrame:
+    """The mean place of each node's neighbours, weighted by their far pairs (H); null without such pairs."""
+    return edge_ends(edges).groupBy("seqid", "pos").agg(F.try_divide(F.sum(F.col("other") * F.col("H")), F.sum("H")).alias("mean_other"))
+
+
+def contig_counts(best: DataFrame) -> DataFrame:
+    """Breakpoints of each contig."""
+    return best.groupBy("seqid").agg(F.count("*").alias("n"))
+
+
 def call_samples(calls: DataFrame, support: DataFrame) -> DataFrame:
     """Adds the support of each sample over both nodes (``by_sample``) and the sorted sample names (``tags``)."""
     touch = calls.select("seqid", "component", F.explode(F.array("lpos", "rpos")).alias("pos")).join(support, ["seqid", "pos"])

@@ -32,19 +32,25 @@ def merge_calls(calls: DataFrame, gap: int = 5) -> DataFrame:
     return g.select("seqid", "svtype", round_half_down(F.col("m5")).alias("five"), round_half_down(F.col("m3")).alias("three"), half("s5").alias("ci_five"), half("s3").alias("ci_three"), "support", "collapsed", "ids")
 
 
-def truth_matches(calls: DataFrame, truth: DataFrame, window: int = 25) -> DataFrame:
+def truth_matches(calls: DataFrame, truth: DataFrame, window: int = 25, by: tuple[str, ...] = ("seqid",)) -> DataFrame:
     """Adds ``truth_id``: the smallest truth event with a breakpoint t such that t - window <= place < t + window for either end.
 
-    ``truth`` has ``seqid, truth_id, anchors`` (an array of places); types are not compared.
+    ``truth`` has ``truth_id, anchors`` (an array of places) and the columns ``by``, which must be equal: the contig, or contig and type.
     """
     wide = 2 * window
-    anchors = truth.select("seqid", "truth_id", F.explode("anchors").alias("t"))
+    anchors = truth.select(*by, "truth_id", F.explode("anchors").alias("t"))
     anchors = anchors.withColumn("bin", F.explode(F.array(F.floor((F.col("t") - window) / wide), F.floor((F.col("t") + window - 1) / wide)))).distinct()
-    ends = calls.select("call_id", "seqid", F.explode(F.array("start", "end")).alias("p")).withColumn("bin", F.floor(F.col("p") / wide))
-    hits = ends.join(anchors, ["seqid", "bin"]).where((F.col("p") >= F.col("t") - window) & (F.col("p") < F.col("t") + window))
+    ends = calls.select("call_id", *by, F.explode(F.array("start", "end")).alias("p")).withColumn("bin", F.floor(F.col("p") / wide))
+    hits = ends.join(anchors, [*by, "bin"]).where((F.col("p") >= F.col("t") - window) & (F.col("p") < F.col("t") + window))
     return calls.join(hits.groupBy("call_id").agg(F.min("truth_id").alias("truth_id")), "call_id", "left")
 
 
+def once_per_truth(matched: DataFrame) -> DataFrame:
+    """Of the calls that hit one truth event, the one of the smallest id; calls that hit none stay."""
+    first = matched.where("truth_id IS NOT NULL").groupBy("truth_id").agg(F.min("call_id").alias("call_id"))
+    return first.select("call_id", "truth_id").unionByName(matched.where("truth_id IS NULL").select("call_id", "truth_id"))
+
+
 def anchors_of(start: Column, end: Column, length: Column, third: Column | None = None) -> Column:
     """A truth event's places, with its length and half of it to both sides."""
     half = (length / 2).cast("long")

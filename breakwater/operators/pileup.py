@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.functions.scalar import MATE_UNMAPPED, PROPER, has_flag, round_to_ten
+from breakwater.functions.scalar import MATE_REVERSE, MATE_UNMAPPED, PAIRED, PROPER, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED, has_flag, round_to_ten
 from breakwater.operators.intervals import points_in_intervals
 
 
@@ -17,44 +17,98 @@ def clip_positions(reads: DataFrame, least_clip: int = 9, quality: int = 15) ->
     return reads.where(F.col("mapq") > quality).select("ref_id", F.explode(ends).alias("bp")).distinct()
 
 
+def clip_support(reads: DataFrame) -> DataFrame:
+    """How many primary reads are soft-clipped at each place: ``ref_id, at, n``."""
+    ends = F.array_compact(F.array(F.when(F.col("front") == "S", F.col("pos")), F.when(F.col("back") == "S", F.col("end_pos"))))
+    primary = reads.where(~has_flag(F.col("flag"), SUPPLEMENTARY))
+    return primary.select("ref_id", F.explode(ends).alias("at")).groupBy("ref_id", "at").agg(F.count("*").alias("n"))
+
+
+def pile_features(reads: DataFrame) -> DataFrame:
+    """What the counters need of each read, made once before it is laid over places: a few numbers instead of operations and tags.
+
+    ``split`` reads have an SA tag; of others pairs are looked at. ``odd`` reads show any sign of a variant.
+    """
+    flag, sa = F.col("flag"), F.col("tags").getItem("SA")
+    reverse, mate_reverse = has_flag(flag, REVERSE), has_flag(flag, MATE_REVERSE)
+    split, mated, extra = sa.isNotNull(), ~has_flag(flag, MATE_UNMAPPED), has_flag(flag, SUPPLEMENTARY)
+    pair = ~split & has_flag(flag, PAIRED)
+    plus = F.get(F.split(F.get(F.split(sa, ";"), F.lit(0)), ","), F.lit(2)) == "+"
+    cross, same = F.col("ref_id") != F.col("mate_ref_id"), reverse == mate_reverse
+    turned = (reverse & ~mate_reverse & (F.col("pos") < F.col("mate_pos"))) | (~reverse & mate_reverse & (F.col("pos") > F.col("mate_pos")))
+    many = lambda op: F.size(F.filter("ops", lambda c: (c["op"] == op) & (c["len"] > 3)))
+    soft_front, soft_back = ~extra & (F.col("front") == "S"), ~extra & (F.col("back") == "S")
+    columns = {
+        "split": split, "complex": F.size("ops") > 3, "low": F.col("mapq") < 50, "mate_missing": ~mated,
+        "paired": (split & has_flag(flag, PROPER)) | pair, "discordant": (split | pair) & ~has_flag(flag, PROPER),
+        "evert": (split & turned) | (pair & mated & ~cross & ~same & turned), "cross": pair & mated & cross, "same_strand": pair & mated & ~cross & same,
+        "split_same": split & (plus != reverse), "first_same": split & mated & same, "second_same": split & mated & plus & ~reverse,
+        "split_other": split & mated & ~plus, "split_cross": split & mated & cross,
+        "inserted": F.when(pair, many("I")).otherwise(0), "deleted": F.when(pair, many("D")).otherwise(0), "soft_front": soft_front, "soft_back": soft_back,
+        "extra_front": (extra & (F.col("front") == "H")) | (soft_front & split), "extra_back": (extra & (F.col("back") == "H")) | (soft_back & split), "mapped_pair": mated & ~cross & ~has_flag(flag, UNMAPPED), "same_pair": same, "extra": extra | has_flag(flag, SECONDARY),
+    }
+    out = reads.withColumns({k: F.coalesce(v, F.lit(False)) if k not in ("inserted", "deleted") else v for k, v in columns.items()})
+    odd = F.col("split") | F.col("cross") | F.col("same_strand") | F.col("soft_front") | F.col("soft_back") | (F.col("inserted") > 0) | (F.col("deleted") > 0)
+    return out.select("read_name", "sample", "ref_id", "pos", "end_pos", "mapq", F.abs("insert_size").alias("insert"), *columns, odd.alias("odd"))
+
+
 def pileup(places: DataFrame, reads: DataFrame) -> DataFrame:
     """Every read over every place (``pos <= bp <= end_pos``)."""
     return points_in_intervals(places, reads, ["ref_id"], "bp", "pos", "end_pos")
 
 
-def internal(op: str, least: int = 3) -> Column:
-    return F.exists(F.slice("ops", 2, F.greatest(F.size("ops") - 2, F.lit(0))), lambda c: (c["op"] == op) & (c["len"] > least))
-
-
 def pileup_counts(piled: DataFrame) -> DataFrame:
-    """The counters of each place, in one aggregation. Mate counters are null-safe where a table has no mate columns."""
-    flag, n = F.col("flag"), F.count_if
-    front, back = (F.col("front") == "S") & (F.col("pos") == F.col("bp")), (F.col("back") == "S") & (F.col("end_pos") == F.col("bp"))
+    """The counters of each place over ``pile_features``, in one partial aggregation."""
+    n = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
+    at = lambda front, back: F.sum(((F.col(front) & (F.col("pos") == F.col("bp"))).cast("int") + (F.col(back) & (F.col("end_pos") == F.col("bp"))).cast("int")).cast("long"))
+    flags = ["complex", "low", "mate_missing", "paired", "discordant", "split", "evert", "cross", "same_strand", "split_same", "first_same", "second_same", "split_other", "split_cross", "soft_front", "soft_back"]
     return piled.groupBy("ref_id", "bp").agg(
-        F.count("*").alias("n_reads"), n(F.size("ops") > 3).alias("n_complex"), n(F.col("mapq") < 50).alias("n_low"), n(has_flag(flag, MATE_UNMAPPED)).alias("n_mate_missing"), n(has_flag(flag, PROPER)).alias("n_proper"),
-        n(front).alias("n_front"), n(back).alias("n_back"), n(front | back).alias("n_clipped"), n(F.col("reverse")).alias("n_reverse"), n(internal("D")).alias("n_del"), n(internal("I")).alias("n_ins"), n((F.col("front") == "H") | (F.col("back") == "H")).alias("n_hard"),
+        F.count("*").alias("n_reads"), F.sum(F.col("mapq").cast("long")).alias("mapq_sum"), *(n(c) for c in flags), F.sum(F.col("inserted").cast("long")).alias("n_inserted"), F.sum(F.col("deleted").cast("long")).alias("n_deleted"),
+        at("soft_front", "soft_back").alias("n_primary"), at("extra_front", "extra_back").alias("n_supplement"), F.count_if(F.col("odd")).alias("n_odd"),
     )
 
 
+#: Fixed order of the attribute vector.
+ATTRIBUTES = ["paired", "discordant", "mate_missing", "same_strand", "cross", "split", "first_same", "second_same", "split_same", "inserted", "deleted"]
+
+
 def attributes(counts: DataFrame) -> DataFrame:
     """The counters as shares of the reads, in a fixed order (``at``)."""
-    names = ["n_complex", "n_low", "n_mate_missing", "n_proper", "n_front", "n_back", "n_clipped", "n_reverse", "n_del", "n_ins", "n_hard"]
-    return counts.withColumn("at", F.array(*(F.try_divide(F.col(c), F.col("n_reads")) for c in names)))
+    return counts.withColumn("at", F.array(*(F.try_divide(F.col(f"n_{c}"), F.col("n_reads")) for c in ATTRIBUTES)))
+
+
+def scoring_gates(counts: DataFrame, least: int = 3) -> DataFrame:
+    """Places worth scoring: ``least`` primary clips or two supplementary ones, and some sign besides few clips."""
+    silent = (F.col("n_discordant") == 0) & (F.col("n_split") == 0) & (F.col("n_evert") == 0) & (F.col("n_primary") < least)
+    return counts.where(((F.col("n_primary") >= least) | (F.col("n_supplement") >= 2)) & ~silent)
+
+
+def with_support(reads: DataFrame, support: DataFrame, stats: DataFrame) -> DataFrame:
+    """Adds, read by read, ``clips`` (the greater support of its two ends) and ``deviant`` (a template length off the library's mean by
+    more than 2.5 deviations). The support is joined before reads are laid over places, so no place's reads need be gathered for it."""
+    at = lambda c: support.select("ref_id", F.col("at").alias(c), F.col("n").alias(f"__{c}"))
+    out = reads.join(at("pos"), ["ref_id", "pos"], "left").join(at("end_pos"), ["ref_id", "end_pos"], "left")
+    # One row a library.
+    out = out.join(F.broadcast(stats.select("sample", F.col("mean").alias("__mean"), F.col("sd").alias("__sd"))), "sample", "left")
+    off = F.col("mapped_pair") & (F.abs(F.col("insert") - F.col("__mean")) > 2.5 * F.col("__sd"))
+    return out.withColumns({"clips": F.coalesce(F.greatest("__pos", "__end_pos"), F.lit(0)), "deviant": F.coalesce(off, F.lit(False)), "far": F.coalesce(off & (F.col("insert") > F.col("__mean")), F.lit(False))}).drop("__pos", "__end_pos", "__mean", "__sd")
 
 
 def read_evidence(piled: DataFrame, near: int = 5) -> DataFrame:
-    """Marks reads against the reference: clipped within ``near`` of the place where more than one read is clipped, or ``odd``."""
-    ends = F.array_compact(F.array(F.when(F.col("front") == "S", F.col("pos")), F.when(F.col("back") == "S", F.col("end_pos"))))
-    marked = piled.withColumn("clipped", F.exists(ends, lambda p: F.abs(p - F.col("bp")) <= near))
-    at_place = F.count_if(F.exists(ends, lambda p: p == F.col("bp"))).over(Window.partitionBy("ref_id", "bp"))
-    odd = F.col("odd") if "odd" in piled.columns else F.lit(False)
-    return marked.withColumn("n_at", at_place).withColumn("alt", (F.col("clipped") & (F.col("n_at") > 1)) | odd)
+    """Primary reads of each place with ``alt``: clipped near the place where others are clipped too, same strand, deviant, or of the name
+    of an odd read over the place."""
+    named = piled.groupBy("ref_id", "bp", "read_name").agg(F.max("odd").alias("odd"), F.collect_list(F.struct("sample", "pos", "end_pos", "mapq", "soft_front", "soft_back", "clips", "mapped_pair", "same_pair", "deviant", "far", "extra")).alias("r"))
+    each = named.select("ref_id", "bp", "odd", F.inline("r")).where("NOT extra")
+    close = (F.abs(F.col("pos") - F.col("bp")) < near) | (F.abs(F.col("end_pos") - F.col("bp")) < near)
+    out = each.withColumns({"clipped": close & (F.col("soft_front") | F.col("soft_back")) & (F.col("clips") > 1), "same": F.col("mapped_pair") & F.col("same_pair")})
+    return out.withColumn("alt", F.col("clipped") | F.col("same") | F.col("deviant") | F.col("odd"))
 
 
 def sample_evidence(marked: DataFrame) -> DataFrame:
-    """Reads, alternative reads and clip share of each sample at each place."""
-    out = marked.groupBy("ref_id", "bp", "sample").agg(F.count("*").alias("n_reads"), F.count_if("alt").alias("n_alt"), F.count_if("clipped").alias("n_clip"))
-    return out.withColumn("clip_share", F.col("n_clip") / F.col("n_reads"))
+    """Reads, reads against the reference and their kinds, of each sample at each place."""
+    n = F.count_if
+    out = marked.groupBy("ref_id", "bp", "sample").agg(F.count("*").alias("n_reads"), n("alt").alias("n_alt"), n("clipped").alias("n_clip"), n("same").alias("n_same"), n("deviant").alias("n_deviant"), n("far").alias("n_far"))
+    return out.withColumns({"n_close": F.col("n_deviant") - F.col("n_far"), "clip_share": F.col("n_clip") / F.col("n_reads")})
 
 
 #: What stands for a likelihood that cannot be told.
@@ -127,3 +181,27 @@ def partner_contig(mates: DataFrame, by: list[str], own: str = "ref_id", other:
     counted = mates.groupBy(*by, own, other).agg(F.count("*").alias("n"))
     rank = F.struct("n", (F.col(own) == F.col(other)).alias("own"), -F.col(other))
     return counted.groupBy(*by, own).agg(F.max_by(F.col(other), rank).alias("partner"), F.max("n").alias("n"))
+
+
+def end_union(mates: DataFrame, splits: DataFrame, alternatives: DataFrame) -> DataFrame:
+    """Other ends of each place from mates (``mp``), splits (``sr``) and alternative hits (``xa``): ``ref_id, bp, end, source``."""
+    tagged = lambda x, name: x.select("ref_id", "bp", F.col("end").cast("long").alias("end"), F.lit(name).alias("source"))
+    return tagged(mates, "mp").unionByName(tagged(splits, "sr")).unionByName(tagged(alternatives, "xa"))
+
+
+def clip_bases(reads: DataFrame, quality: int = 20, beside: int = 5) -> DataFrame:
+    """Clipped bases of each primary read's soft ends whose ``beside`` bases next to the breakpoint have a mean quality of ``quality`` or
+    more: ``ref_id, bp, direction`` (f for a front clip, b for a back clip)``, bases``."""
+    score = lambda text: F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda n, c: n + F.ascii(c) - 33) / beside
+    n, seq, qual = F.length("seq"), F.col("seq"), F.col("qual")
+    front = F.struct(F.col("pos").alias("bp"), F.lit("f").alias("direction"), F.substr(seq, F.lit(1), F.col("front_len")).alias("bases"), score(F.substr(qual, F.greatest(F.col("front_len") - beside + 1, F.lit(1)), F.lit(beside))).alias("score"))
+    back = F.struct(F.col("end_pos").alias("bp"), F.lit("b").alias("direction"), F.substr(seq, n - F.col("back_len") + 1, F.col("back_len")).alias("bases"), score(F.substr(qual, n - F.col("back_len") + 1, F.lit(beside))).alias("score"))
+    ends = F.array_compact(F.array(F.when(F.col("front") == "S", front), F.when(F.col("back") == "S", back)))
+    primary = reads.where(~has_flag(F.col("flag"), SUPPLEMENTARY))
+    return primary.select("ref_id", F.explode(ends).alias("e")).select("ref_id", "e.*").where(F.col("score") >= quality).drop("score")
+
+
+def clip_direction(clips: DataFrame) -> DataFrame:
+    """The direction that most clips of a place have (f on ties), and how many have it."""
+    n = clips.groupBy("ref_id", "bp").agg(F.count_if(F.col("direction") == "f").alias("f"), F.count_if(F.col("direction") == "b").alias("b"))
+    return n.select("ref_id", "bp", F.when(F.col("b") > F.col("f"), "b").otherwise("f").alias("direction"), F.greatest("f", "b").alias("n"))

