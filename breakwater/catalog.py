@@ -16,7 +16,9 @@ from breakwater.operators import forest as T
 from breakwater.operators import intervals as I
 from breakwater.operators import pileup as P
 from breakwater.operators import reads as R
+from breakwater.operators.skew import for_all_cores
 from breakwater.plans import calling
+from breakwater.plans.lineage import cut
 
 #: Alignments made from order lines; the same text runs in Spark and in DuckDB.
 READS = """
@@ -68,20 +70,27 @@ def contigs(spark: SparkSession) -> DataFrame:
     return spark.range(5).select(F.col("id").cast("int").alias("ref_id"), F.concat(F.lit("c"), "id").alias("name"))
 
 
-def kept(spark, sf_dir):
-    return R.with_cigar(R.graph_read_filter(reads(spark, sf_dir)))
+def written(spark, sf_dir):
+    """The alignments as a table, for what reads them more than once; a stored file would be read again instead of made again."""
+    return cut(reads(spark, sf_dir).drop("seq", "qual"))
 
 
-def pairs(spark, sf_dir):
-    return calling.pairs_of(kept(spark, sf_dir))
+def kept(spark, sf_dir, rows=None):
+    return R.with_cigar(R.graph_read_filter(reads(spark, sf_dir) if rows is None else rows))
 
 
-def classes(spark, sf_dir):
-    return R.insert_classes(R.filtered_pairs(pairs(spark, sf_dir)), R.library_stats(reads(spark, sf_dir)))
+def pairs(spark, sf_dir, rows=None):
+    return calling.pairs_of(kept(spark, sf_dir, rows))
+
+
+def classes(spark, sf_dir, rows=None):
+    rows = written(spark, sf_dir) if rows is None else rows
+    return R.insert_classes(R.filtered_pairs(pairs(spark, sf_dir, rows)), R.library_stats(rows))
 
 
 def evidence(spark, sf_dir):
-    return R.insert_edges(classes(spark, sf_dir)).unionByName(R.indel_edges(kept(spark, sf_dir)))
+    rows = written(spark, sf_dir)
+    return R.insert_edges(classes(spark, sf_dir, rows)).unionByName(R.indel_edges(kept(spark, sf_dir, rows)))
 
 
 def edges(spark, sf_dir):
@@ -89,8 +98,6 @@ def edges(spark, sf_dir):
 
 
 def calls(spark, sf_dir):
-    from breakwater.plans.lineage import cut
-
     e = cut(edges(spark, sf_dir))
     return K.typed_calls(e, K.nodes(e), K.components(e))
 
@@ -357,13 +364,14 @@ def _(spark, d):
 
 
 def piled(spark, d):
-    p = pile(spark, d)
+    p = cut(pile(spark, d).drop("seq", "qual"))
     return P.pileup(P.clip_positions(p), P.pile_features(p))
 
 
 def evidence_piled(spark, d):
-    p = pile(spark, d)
-    return P.pileup(P.clip_positions(p), P.with_support(P.pile_features(p), P.clip_support(p), R.library_stats(reads(spark, d))))
+    rows = reads(spark, d)
+    p = cut(pile(spark, d).drop("seq", "qual"))
+    return P.pileup(P.clip_positions(p), P.with_support(P.pile_features(p), P.clip_support(p), R.library_stats(rows)))
 
 
 _FLAGS = "complex low mate_missing paired discordant split evert same_strand split_same first_same second_same split_other split_cross soft_front soft_back".split()
@@ -539,7 +547,7 @@ _ACGT = "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTA
 @query("kmer_entropy", """WITH k AS (SELECT doc_id, substr(text, i, 4) AS kmer, count(*) AS n FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 4, 0) + 1)) AS i FROM documents) GROUP BY ALL)
     SELECT doc_id, count(*) AS kinds, round(-sum(n * 1.0 / t * ln(n * 1.0 / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM k) GROUP BY doc_id""")
 def _(spark, d):
-    e = table(spark, d, "documents").select("doc_id", S.kmer_entropy(F.col("text"), 4).alias("e")).where("e IS NOT NULL")
+    e = for_all_cores(table(spark, d, "documents")).select("doc_id", S.kmer_entropy(F.col("text"), 4).alias("e")).where("e IS NOT NULL")
     return e.select("doc_id", "e.kinds", F.round("e.entropy", 6).alias("entropy"))
 
 
@@ -548,7 +556,7 @@ def _(spark, d):
     SELECT doc_id, count(*) AS n, CAST(min(packed) AS BIGINT) AS low, CAST(max(packed) AS BIGINT) AS high, CAST(sum(packed) AS BIGINT) AS total FROM v GROUP BY doc_id""")
 def _(spark, d):
     text = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    k = table(spark, d, "documents").select("doc_id", F.transform(S.kmers(text, 6), S.pack_kmer).alias("v")).where("size(v) > 0")
+    k = for_all_cores(table(spark, d, "documents")).select("doc_id", F.transform(S.kmers(text, 6), S.pack_kmer).alias("v")).where("size(v) > 0")
     total = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)
     return k.select("doc_id", F.size("v").cast("long").alias("n"), F.array_min("v").alias("low"), F.array_max("v").alias("high"), total.alias("total"))
 

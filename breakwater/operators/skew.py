@@ -1,4 +1,4 @@
-"""Joins on keys some of which are hot, so that no task gets more than its share of rows."""
+"""Even shares of rows: joins on keys some of which are hot, and inputs of fewer pieces than there are cores."""
 
 from __future__ import annotations
 
@@ -18,3 +18,9 @@ def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], count: str,
     dealt = marked.withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(parts)).cast("int")).otherwise(0)).drop("__hot")
     copies = F.when(often, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     return dealt.join(values.withColumn("__part", F.explode(copies)).drop(count), [*keys, "__part"]).drop("__part")
+
+
+def for_all_cores(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew if it comes in fewer partitions than the cluster has cores (a small file cannot be split); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
