@@ -13,12 +13,13 @@ import hashlib
 import heapq
 import json
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breakwater.functions.hof import let
@@ -135,6 +136,18 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+@contextmanager
+def _short_plans(spark: SparkSession):
+    """Plans are described without their expressions: the literal tables would be printed, megabytes of text for each event of a query."""
+    key = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _packed(column: pa.Array) -> bytes:
     out, schema = pa.BufferOutputStream(), pa.schema([("x", column.type)])
     with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
@@ -188,6 +201,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
 
     Returns a row per input row: ``doc_id, n_tokens, ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256``;
     with ``keep`` also ``ids`` (an array) and ``decoded`` (bytes). A null or empty text has no ids. Repeated rows give equal rows.
+    The rows are written to the shared folder, so that the caller's plan holds no literal tables.
     Only the id and the text are read, so other columns may have any name.
     """
     table = read_ranks(path)
@@ -214,7 +228,8 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
         return F.get(F.transform(tables, lambda t: F.transform(words, word(t))), F.lit(0)).alias("coded")
 
     split = lambda x: in_parts(with_pretokens(x, id_col, text_col, pattern))
-    head = Head.of(docs, split, coded, sample_docs, most_words)
+    with _short_plans(docs.sparkSession):
+        head = Head.of(docs, split, coded, sample_docs, most_words)
 
     head_words, head_texts, head_bytes = (head.reader(k) for k in ("word", "ids", "bytes"))
 
@@ -275,4 +290,5 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
                         rows = []
         pa.default_memory_pool().release_unused()
 
-    return runs.select("ids", "counts", "codes", "long_ids", coded("words")).mapInArrow(digest, kind)
+    with _short_plans(docs.sparkSession):
+        return cut(runs.select("ids", "counts", "codes", "long_ids", coded("words")).mapInArrow(digest, kind))
