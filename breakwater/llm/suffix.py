@@ -23,7 +23,7 @@ from breakwater.plans.lineage import cut
 LENGTH = 400
 GRAM = 64
 #: Bytes of spans in a shard array, and most different spans of an anchor that goes into one.
-SHARD = 2 << 20
+SHARD = 1 << 20
 SPANS = 8192
 #: Bytes of text whose anchors are chosen at once; a longer text is taken in pieces that overlap.
 PIECE = 1 << 20
