@@ -1,13 +1,15 @@
 """Cases of size: near copies on both sides of the limit around shared passages, and caches of words that hold little or nothing."""
 
+import hashlib
 import random
+from collections import Counter
 
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from breakwater.llm import bpe, jaccard, pretokens
+from breakwater.llm import bpe, jaccard, pretokens, suffix
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -81,3 +83,27 @@ def test_runs_keep_rows_whole():
             words = words.to_pylist()
             got += [(i, words[at[j] : at[j + 1]]) for j, i in enumerate(ids)]
         assert got == docs
+
+
+def test_suffix_at_full_length(spark):
+    """Strings of 400 bytes against brute force: one array, and many small shards with anchors of too many spans for one."""
+    r = random.Random(11)
+    say = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    passages = [say(90), say(75), "ab" * 230, say(66)]
+    texts = [(i, say(r.randint(0, 60)) + passages[i % 4][i % 5 :] + say(r.randint(1, 40)) + passages[(i * 7 + 1) % 4]) for i in range(24)]
+    texts += [(100, None), (101, ""), (102, passages[0]), (103, "é" * 900), (104, say(200)), (105, say(50)), (106, texts[3][1]), (106, texts[3][1])]
+    n = suffix.LENGTH
+    raws = [(i, (t or "").encode()) for i, t in texts]
+    every = Counter(b[k : k + n] for _, b in raws for k in range(len(b) - n + 1))
+    want = []
+    for i, b in raws:
+        gone = bytearray(len(b) + 1)
+        for k in range(len(b) - n + 1):
+            if every[b[k : k + n]] > 1:
+                gone[k : k + n] = b"\1" * n
+        want.append((i, len(b), sum(gone), sum(gone[k] and not gone[k + 1] for k in range(len(b))), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    assert sum(w[3] > 1 for w in want) > 5
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for shard, most in ((suffix.SHARD, suffix.SPANS), (3000, 2)):
+        got = [tuple(x) for x in suffix.remove_repeats(df, shard=shard, most_spans=most).collect()]
+        assert sorted(got) == sorted(want)
