@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -15,13 +16,33 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not re.match(r"local(\[|$)", master := spark.conf.get("spark.master", "local")):
             raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
-        found = "file://" + tempfile.mkdtemp(prefix="breakwater-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir()
     return found
 
 
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="breakwater-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_by(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Like ``cut``, into one bucket by ``key`` for each shuffle partition, sorted by ``key`` and ``order``.
+
+    What groups or joins the rows by ``key`` afterwards reads the buckets and does not shuffle them again.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"breakwater_{uuid.uuid4().hex}"
+    written = df.repartition(n, key).sortWithinPartitions(key, *order).write.format("parquet").option("path", f"{shared_dir(spark)}/{name}")
+    written.bucketBy(n, key).sortBy(key, *order).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolves the table before its name goes; the files are outside the warehouse and stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
