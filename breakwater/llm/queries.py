@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakwater.llm import bpe, decontaminate, jaccard, linededup, media, pseudo, quality, suffix, trie, urltree
+from breakwater.llm import audit, bpe, decontaminate, jaccard, linededup, media, pseudo, quality, streamdedup, suffix, trie, urltree, whitening
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -67,6 +67,18 @@ def trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamdedup.dedup_stream(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def whiten_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 LINES_SQL = f"""
 WITH lines AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, p, array_to_string(l[p + 1:p + {linededup.WIDTH}], chr(10)) AS s
@@ -78,6 +90,28 @@ kept AS (SELECT doc_id, l, g, coalesce(array_to_string(list_filter(list_transfor
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(g) AS BIGINT) AS n_removed, sha256(t) AS kept_sha256 FROM kept
 """
 
+DEDUP_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, text FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY norm)
+"""
+
+AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+said AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS fails FROM t LEFT JOIN said USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, CAST(sum(good) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, 1 << (ascii(filter_order[step]) - 65) AS bit, CAST(list_sum(list_transform(range(0, step), lambda k: CASE WHEN k = 0 THEN 0 ELSE 1 << (ascii(filter_order[k]) - 65) END)) AS INT) AS before FROM o, range(1, 6) r(step)),
+j AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS removed, coalesce(sum(n) FILTER (fails & before <> 0 AND fails & bit <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM j
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe_query,
     "op2_decontaminate": decontaminate_query,
@@ -89,5 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": urls_query,
     "op9_pseudo": pseudo_query,
     "op10_trie": trie_query,
+    "op11_stream": dedup_query,
+    "op12_audit": audit_query,
+    "op13_whiten": whiten_query,
 }
-ORACLES: dict[str, str] = {"op7_lines": LINES_SQL}
+ORACLES: dict[str, str] = {"op7_lines": LINES_SQL, "op11_stream": DEDUP_SQL, "op12_audit": AUDIT_SQL}
