@@ -17,7 +17,9 @@ def alignments(spark: SparkSession, files: str) -> tuple[DataFrame, DataFrame, D
     """(prepared alignments, contigs, samples) of binary or text files, by their ending."""
     paths = text.file_list(spark, files)
     binary, plain = ([p for p in paths if p.lower().endswith(".bam") == k] for k in (True, False))
-    read = [(bam.read_bam(spark, binary), *bam.read_bam_header(spark, binary))] * bool(binary) + [(text.read_sam(spark, plain), *text.read_sam_header(spark, plain))] * bool(plain)
+    heads = bam.read_bam_header(spark, binary) if binary else ()
+    read = [(bam.read_bam(spark, binary), heads[0].drop("number"), heads[1])] if binary else []
+    read += [(text.read_sam(spark, plain), *text.read_sam_header(spark, plain))] * bool(plain)
     rows, contigs, samples = read[0]
     for more in read[1:]:
         rows, contigs, samples = (a.unionByName(b) for a, b in zip((rows, contigs, samples), more, strict=True))
