@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breakwater.functions.hof import let
+from breakwater.operators.skew import spread_join
 from breakwater.plans.lineage import cut
 
 FILTERS = "ABCDE"
@@ -54,8 +55,8 @@ def refine(rows: DataFrame) -> DataFrame:
     alive, k = rows.select("id", "length", "blocks"), 0
     while True:
         cells = alive.withColumn("cell", _cell(k)) if k else alive.withColumn("cell", F.col("length").cast("long"))
-        several = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-        alive = cut(cells.join(several, "cell", "left_semi").select("id", "length", "blocks"))
+        several = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+        alive = cut(spread_join(cells, several, ["cell"], "n").select("id", "length", "blocks"))
         most = alive.agg(F.max(F.size("blocks"))).first()[0] or 0
         if k >= most:
             return alive

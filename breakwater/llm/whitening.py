@@ -1,7 +1,7 @@
 """Whitening of embeddings by block Lanczos: the covariance is never formed, only multiplied, by passes over all vectors.
 
-A pass multiplies the centred rows by a block of a few columns and back, task by task; tasks' partial products are summed in
-groups on the executors and the driver gets at most ``GROUPS`` sums of a block's size. The basis is orthogonalised in full twice. A block
+A pass multiplies the centred rows by a block of a few columns and back, task by task; tasks' partial products are summed by ``GROUPS``
+tasks more, and the driver gets a sum of a block's size from each. The basis is orthogonalised in full twice. A block
 that brings nothing new is replaced by a random one outside the basis, and a full basis by its leading Ritz vectors. Vectors count as
 converged when the residual of each is below ``TOL`` of the largest eigenvalue, or when the basis spans the whole space.
 """
@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ from breakwater.plans.lineage import cut
 COMPONENTS = 8
 #: Extra columns of a block, which speed up the last of the wanted ones.
 EXTRA = 4
-GROUPS = 128
+GROUPS = 16
 TOL = 1e-12
 #: Most blocks in the basis before it is replaced by its leading Ritz vectors, and most passes.
 BASIS, PASSES = 24, 400
@@ -70,23 +69,25 @@ class Centred:
     def _sums(self) -> Iterator[tuple[int, list[str]]]:
         width = self.width
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(pairs: Iterator[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
             n, total = 0, [0] * width
-            for b in batches:
-                x = _vectors(b, width)
-                n += len(x)
-                most = int(np.abs(x).max(initial=0))
-                one = x.sum(0) if most * max(1, len(x)) < _MOST else x.astype(object).sum(0)
-                total = [a + int(c) for a, c in zip(total, one, strict=True)]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([n], pa.int64()), pa.array([list(map(str, total))])], ["part", "n", "s"])
-
-        def both(t: pa.Table) -> pa.Table:
-            s = [str(sum(map(int, c))) for c in zip(*t.column("s").to_pylist(), strict=True)]
-            return pa.table({"n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "s": pa.array([s])})
-
-        partial = self.rows.select("x").mapInArrow(run, "part int, n long, s array<string>")
-        for r in partial.groupBy("part").applyInArrow(both, "n long, s array<string>").toLocalIterator():
+            for k, one in pairs:
+                n, total = n + k, [a + int(c) for a, c in zip(total, one, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([list(map(str, total))], pa.list_(pa.string()))], ["n", "s"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def pairs():
+                for x in (_vectors(b, width) for b in batches):
+                    small = int(np.abs(x).max(initial=0)) * max(1, len(x)) < _MOST
+                    yield len(x), (x if small else x.astype(object)).sum(0)
+
+            return counted(pairs())
+
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return counted((r["n"], r["s"]) for b in batches for r in b.to_pylist())
+
+        kind = "n long, s array<string>"
+        for r in self.rows.select("x").mapInArrow(run, kind).repartition(GROUPS).mapInArrow(both, kind).toLocalIterator():
             yield r.n, r.s
 
     def centre(self) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray | list]]:
@@ -107,16 +108,19 @@ class Centred:
         """The sum over all rows of ``part`` of (x - S/n, n x - S) of a batch; ``size`` numbers."""
         width, centre = self.width, self.centre()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def added(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(size)
-            for b in batches:
-                out += part(*centre(_vectors(b, width))).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
+            for x in parts:
+                out += x.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return added(part(*centre(_vectors(b, width))) for b in batches)
 
-        def both(t: pa.Table) -> pa.Table:
-            return pa.table({"sums": pa.array([np.sum([np.frombuffer(v) for v in t.column("sums").to_pylist()], 0).tobytes()], pa.binary())})
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return added(np.frombuffer(v) for b in batches for v in b.column(0).to_pylist())
 
-        found = self.rows.select("x").mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(both, "sums binary")
+        found = self.rows.select("x").mapInArrow(run, "sums binary").repartition(GROUPS).mapInArrow(both, "sums binary")
         return np.sum([np.frombuffer(bytes(r.sums)) for r in found.toLocalIterator()] or [np.zeros(size)], 0)
 
     def multiply(self, block: np.ndarray) -> np.ndarray:
@@ -175,7 +179,7 @@ def whiten(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     Rows whose vector is null or empty, or holds null or non-finite entries, are left out. Returns for each other row and component
     ``vec_id, component`` (from 1, by falling eigenvalue), ``n``, ``deviation`` (null where it passes 63 bits), ``whitened, explained`` and
     ``identity_error`` (the largest entry of the whitened vectors' covariance minus the identity). There are as many components as
-    dimensions where those are fewer. Components without variance (an eigenvalue under 1e-12 of the trace) cannot be whitened
+    dimensions where those are fewer. Components without variance (an eigenvalue under 1e-12 of the largest) cannot be whitened
     and are left out, so vectors that are all equal give no rows; nor does an empty table. Repeated rows and ids count as often as
     they come; ids may be null. Where vectors differ in length, those of the most frequent length (the longest of several) are taken.
     """
@@ -186,15 +190,15 @@ def whiten(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         return table.sparkSession.createDataFrame([], empty)
     data = Centred(rows.where(F.col("d") == width.d), width.d)
     n = data.n
-    trace = float(data.total(lambda y, _: np.array([(y * y).sum()]), 1)[0]) / n
     values, vectors = lanczos(data.multiply, data.width, components)
-    values, vectors = values[good := values > 1e-12 * trace], vectors[:, good]
+    values, vectors = values[good := values > 1e-12 * max(values[0], 0)], vectors[:, good]
     k = len(values)
     if not k:
         return table.sparkSession.createDataFrame([], empty)
     turn = vectors / np.sqrt(values)
-    moments = data.total(lambda y, _: np.concatenate([(y @ turn).sum(0), ((y @ turn).T @ (y @ turn)).ravel()]), k + k * k) / n
-    error = float(np.abs(moments[k:].reshape(k, k) - np.outer(moments[:k], moments[:k]) - np.eye(k)).max())
+    moments = data.total(lambda y, _: np.concatenate([(y @ turn).sum(0), ((y @ turn).T @ (y @ turn)).ravel(), [(y * y).sum()]]), k + k * k + 1) / n
+    trace = moments[-1]  # the mean square of all deviations
+    error = float(np.abs(moments[k:-1].reshape(k, k) - np.outer(moments[:k], moments[:k]) - np.eye(k)).max())
     explained, centre, wide = values / trace, data.centre(), data.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
