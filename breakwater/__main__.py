@@ -1,4 +1,4 @@
-"""Command line: ``python -m breakwater call|stats|merge``; results are written by Spark as text folders."""
+"""Command line: ``python -m breakwater call|pileup|stats|merge``; results are written by Spark as text folders."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from breakwater.functions import scalar as S
 from breakwater.operators import callsets as V
 from breakwater.operators import reads as R
-from breakwater.plans import calling
+from breakwater.plans import calling, piling
 from breakwater.sources import bam, fasta, sinks, text
 
 
@@ -26,14 +27,19 @@ def alignments(spark: SparkSession, files: str) -> tuple[DataFrame, DataFrame, D
     return calling.prepare(rows, samples), contigs, samples
 
 
-def restricted(reads: DataFrame, args: argparse.Namespace) -> DataFrame:
-    """Without skipped contigs, and the pairs of which a mate starts in the region ``name:start-end`` if one is given."""
-    out = reads.where(~F.col("ref_id").isin(args.skip.split(","))) if args.skip else reads
+def restricted(reads: DataFrame, contigs: DataFrame, args: argparse.Namespace) -> DataFrame:
+    """Reads of contigs that are long enough, named if any are, and not skipped; with a region ``name:start-end`` the reads of all pairs of
+    which a mate overlaps it."""
+    lengths = contigs.groupBy(F.col("name").alias("ref_id")).agg(F.max("length").alias("length"))
+    if args.include:
+        lengths = lengths.where(F.col("ref_id").isin(args.include.split(",")))
+    skip = lengths.where(F.col("ref_id").isin(args.skip.split(","))) if args.skip else None
+    out = R.contig_filter(reads, lengths, skip)
     if args.region:
         name, span = args.region.rsplit(":", 1)
         start, end = map(int, span.split("-"))
-        inside = lambda ref, pos: (F.col(ref) == name) & F.col(pos).between(start, end)
-        out = out.where(inside("ref_id", "pos") | inside("mate_ref_id", "mate_pos"))
+        over = R.region_filter(R.with_cigar(out), name, start, end).select("sample", "read_name").distinct()
+        out = out.join(over, ["sample", "read_name"], "left_semi")
     return out
 
 
@@ -45,9 +51,24 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         sub.add_argument("-f", "--files", required=True, help="alignments separated by commas, or a file that lists them")
         sub.add_argument("-o", "--out", required=True)
         sub.add_argument("-e", "--skip", default="", help="contigs to leave out, separated by commas")
+        sub.add_argument("-c", "--include", default="", help="the only contigs to read, separated by commas")
         sub.add_argument("-r", "--region", default="", help="name:start-end")
+        sub.add_argument("-m", "--quality", type=int, default=20, help="mapping quality that a mate of each pair needs")
+        sub.add_argument("-d", "--matched", type=int, default=100, help="matching bases that a pair needs")
+        sub.add_argument("-i", "--tag", choices=("SA", "XP"), default="SA", help="tag of split reads")
         sub.add_argument("-g", "--graph", default="", help="folder for the graphs of the called components")
         sub.add_argument("-a", "--fasta", default="", help="reference sequences, for the REF bases of records")
+    sub = commands.add_parser("pileup", help="calls at places of many clips, with genotypes, targets against backgrounds")
+    sub.add_argument("-t", "--targets", default="", help="alignments separated by commas")
+    sub.add_argument("-b", "--backgrounds", default="", help="alignments separated by commas")
+    sub.add_argument("-f", "--fasta", required=True, help="reference sequences")
+    sub.add_argument("-o", "--out", required=True)
+    sub.add_argument("-m", "--least", type=int, default=3, help="primary clips that a place needs")
+    sub.add_argument("-p", "--quality", type=int, default=15, help="mapping quality that clips must pass")
+    sub.add_argument("-q", "--base-quality", type=int, default=20, help="mean base quality that clips need beside the breakpoint")
+    sub.add_argument("-e", "--bed", default="", help="regions in which places are scored")
+    sub.add_argument("-r", "--region", default="", help="name:start-end")
+    sub.add_argument("-i", "--illumina", action="store_true", help="qualities have the offset 64")
     sub = commands.add_parser("merge", help="near calls of several files as one")
     sub.add_argument("-f", "--files", required=True, help="call files separated by commas")
     sub.add_argument("-o", "--out", required=True)
@@ -55,15 +76,18 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     args = parser.parse_args(argv)
 
     if args.command == "merge":
-        merged = V.merge_calls(text.read_merge_input(spark, args.files.split(",")), args.distance)
-        return sinks.write_vcf(sinks.merged_records(merged), [], args.out)
+        merged = V.merge_calls(text.read_merge_input(spark, args.files.split(",")), args.distance, more=True)
+        header = sinks.vcf_header(["NONE"], form=sinks.MERGED_FORMAT)
+        return sinks.write_vcf(sinks.merged_records(merged), [], args.out, header=header)
+    if args.command == "pileup":
+        return pileup(spark, args)
     reads, contigs, samples = alignments(spark, args.files)
-    reads = restricted(reads, args)
+    whole, reads = reads, restricted(reads, contigs, args)
     if args.command == "stats":
         depth = R.depth_stats(R.with_cigar(R.stats_read_filter(reads)))
         every = R.library_stats(reads).join(depth.drop("places"), "sample").join(R.base_quality(reads), "sample")
         return sinks.write_table(every, args.out)
-    calls, edges, comps = calling.call_variants(calling.evidence_of(reads, contigs))
+    calls, edges, comps = calling.call_variants(calling.evidence_of(reads, contigs, quality=args.quality, matched=args.matched, tag=args.tag, library=whole))
     names = [r.sample for r in samples.where("sample IS NOT NULL").select("sample").distinct().orderBy("sample").collect()]
     records = sinks.vcf_records(calls, names)
     if args.fasta:
@@ -74,6 +98,28 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         sinks.dot_graphs(edges, called).select("dot").write.text(args.graph)
 
 
+def pileup(spark: SparkSession, args: argparse.Namespace) -> None:
+    groups = [p for p in (args.targets, args.backgrounds) if p]
+    if not groups:
+        raise SystemExit("targets or backgrounds must be given")
+    reads, contigs, samples = alignments(spark, ",".join(groups))
+    ofs = {r.file: r.sample for r in samples.collect()}  # a row a file
+    wanted = {p.rsplit("/", 1)[-1] for p in text.file_list(spark, args.targets)} if args.targets else set()
+    targets = sorted({s or f for f, s in ofs.items() if f.rsplit("/", 1)[-1] in wanted})
+    names = targets + sorted({s or f for f, s in ofs.items()} - set(targets))
+    if args.illumina:
+        reads = reads.withColumn("qual", S.shift_quality(F.col("qual"), -31))
+    named = contigs.select(F.col("name").alias("ref_id"), "name").distinct()
+    inside = text.read_bed(spark, args.bed).select(F.col("chr").alias("ref_id"), "start", "end") if args.bed else None
+    if args.region:
+        name, span = args.region.rsplit(":", 1)
+        inside = spark.createDataFrame([(name, *map(int, span.split("-")))], "ref_id string, start long, end long")
+    calls = piling.pileup_calls(reads, named, targets, fasta.read_fasta(spark, args.fasta), args.least, args.quality, args.base_quality, inside)
+    records = sinks.pileup_records(calls.withColumns({"chrom": F.col("ref_id"), "chr2_name": F.col("chr2")}), names)
+    header = sinks.vcf_header(names, "4.1", args.fasta, sinks.PILE_INFO, sinks.PILE_FORMAT)
+    sinks.write_vcf(records, names, args.out, header=header)
+
+
 def main() -> None:
     import sys
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from breakwater.functions import cigar as C
 from breakwater.functions import scalar as S
+from breakwater.functions import special as X
 from breakwater.operators import alignment as A
+from breakwater.operators import breaks as B
 from breakwater.operators import calls as K
 from breakwater.operators import callsets as V
 from breakwater.operators import forest as T
@@ -18,6 +20,7 @@ from breakwater.operators import pileup as P
 from breakwater.operators import reads as R
 from breakwater.operators.skew import for_all_cores
 from breakwater.plans import calling
+from breakwater.plans import piling as Q
 from breakwater.plans.lineage import cut
 
 #: Alignments made from order lines; the same text runs in Spark and in DuckDB.
@@ -49,7 +52,7 @@ SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(CAST(floor((rn-1)/2.0) AS BI
        CAST(q % 14 AS INT) AS nm,
        CASE WHEN l_partkey % 13 = 0 THEN concat('c', CAST(ref_id AS STRING), ',', CAST(pos + 40 * (q % 30) - 300 AS STRING), ',', CASE WHEN t % 2 = 0 THEN '+' ELSE '-' END, ',',
             CASE WHEN t = 5 THEN '30S40M30S' WHEN t % 3 = 0 THEN '60S40M' ELSE '40M60S' END, ',', CAST(q AS STRING), ',', CAST(q % 13 AS STRING), ';') END AS sa,
-       CASE WHEN l_partkey % 11 = 0 THEN repeat('c1,+101,100M,0;', 1 + q % 6) END AS xa,
+       CASE WHEN l_partkey % 11 = 0 THEN concat('c', CAST((ref_id + CASE WHEN q % 4 = 0 THEN 1 ELSE 0 END) % 5 AS STRING), CASE WHEN t % 2 = 0 THEN ',+' ELSE ',-' END, CAST(pos + 20 * (q % 25) + 1 AS STRING), ',', CASE WHEN t = 3 THEN '20S60M20S' WHEN t % 3 = 1 THEN '60M40S' ELSE '100M' END, ',', CAST(t AS STRING), ';', repeat('c1,+101,100M,0;', q % 6)) END AS xa,
        concat(CASE WHEN t >= 7 THEN 'NNNNNNN' ELSE 'ACGTACG' END, repeat('ACGTTGCATC', q % 11)) AS seq,
        repeat(chr(33 + q % 41), 7 + 10 * (q % 11)) AS qual
 FROM z
@@ -163,7 +166,7 @@ CTE = {
     "pile": "SELECT * FROM cig WHERE (flag & 4) = 0 AND (flag & 1024) = 0 AND (flag & 256) = 0 AND (sa IS NOT NULL OR mapq >= 1) AND coalesce(len(string_split(xa, ';')), 0) <= 5 AND length(seq) >= 20 AND length(replace(substr(seq, 1, 10), 'N', '')) >= 5",
     "places": "SELECT DISTINCT ref_id, unnest(list_filter([CASE WHEN front = 'S' AND front_len > 9 THEN pos END, CASE WHEN back = 'S' AND back_len > 9 THEN end_pos END], lambda x: x IS NOT NULL)) AS bp FROM pile WHERE mapq > 15",
     "marks": "SELECT *, (flag & 2) <> 0 AS proper, (flag & 16) <> 0 AS rev, (flag & 32) <> 0 AS mrev, (flag & 8) = 0 AS mated, (flag & 2048) <> 0 AS sup, sa IS NOT NULL AS split, coalesce(split_part(sa, ',', 3) = '+', false) AS plus, ref_id <> mate_ref_id AS crossed FROM pile",
-    "feat": """SELECT read_name, sample, ref_id, pos, end_pos, mapq, abs(insert_size) AS insert, split, sup, mated AND NOT crossed AS mapped_pair, rev = mrev AS same_pair, len(o) > 3 AS complex, mapq < 50 AS low, NOT mated AS mate_missing, proper OR NOT split AS paired, NOT proper AS discordant,
+    "feat": """SELECT read_name, sample, ref_id, pos, end_pos, mapq, mate_ref_id, mate_pos, sa, xa, abs(insert_size) AS insert, split, sup, mated AND NOT crossed AS mapped_pair, rev = mrev AS same_pair, len(o) > 3 AS complex, mapq < 50 AS low, NOT mated AS mate_missing, proper OR NOT split AS paired, NOT proper AS discordant,
         ((rev AND NOT mrev AND pos < mate_pos) OR (NOT rev AND mrev AND pos > mate_pos)) AND (split OR (mated AND NOT crossed)) AS evert, NOT split AND mated AND crossed AS cross_, NOT split AND mated AND NOT crossed AND rev = mrev AS same_strand,
         split AND plus <> rev AS split_same, split AND mated AND rev = mrev AS first_same, split AND mated AND plus AND NOT rev AS second_same, split AND mated AND NOT plus AS split_other, split AND mated AND crossed AS split_cross,
         CASE WHEN split THEN 0 ELSE len(list_filter(range(1, len(o) + 1), lambda i: o[i] = 'I' AND n[i] > 3)) END AS inserted, CASE WHEN split THEN 0 ELSE len(list_filter(range(1, len(o) + 1), lambda i: o[i] = 'D' AND n[i] > 3)) END AS deleted,
@@ -395,10 +398,13 @@ def _(spark, d):
     return P.scoring_gates(P.pileup_counts(piled(spark, d))).select("ref_id", "bp")
 
 
-@query("clip_bases", sql("pile", """, c AS (SELECT ref_id, unnest([{'bp': pos, 'direction': 'f', 'on': front = 'S', 'bases': substr(seq, 1, front_len), 'q': substr(qual, greatest(front_len - 4, 1), 5)}, {'bp': end_pos, 'direction': 'b', 'on': back = 'S', 'bases': substr(seq, greatest(length(seq) - back_len + 1, 1), length(seq) - greatest(length(seq) - back_len, 0)), 'q': substr(qual, length(qual) - back_len + 1, 5)}]) AS e FROM pile WHERE (flag & 2048) = 0 AND length(seq) > 50)
-    SELECT ref_id, e.bp AS bp, e.direction AS direction, count(*) AS n, min(e.bases) AS least FROM c WHERE e.on AND length(e.q) * (ascii(e.q) - 33) / 5.0 >= 20 GROUP BY ALL"""))
+_CLIPS = """, c AS (SELECT ref_id, pos, unnest([{'bp': pos, 'direction': 'f', 'on': front = 'S', 'bases': substr(seq, 1, front_len), 'q': substr(qual, greatest(front_len - 4, 1), 5)}, {'bp': end_pos, 'direction': 'b', 'on': back = 'S', 'bases': substr(seq, greatest(length(seq) - back_len + 1, 1), back_len), 'q': substr(qual, greatest(length(qual) - back_len + 1, 1), 5)}]) AS e FROM pile WHERE (flag & 2048) = 0),
+    clips AS (SELECT ref_id, e.bp AS bp, e.direction AS direction, e.bases AS bases FROM c WHERE e.on AND coalesce(length(e.q) * (ascii(e.q) - 33), 0) / 5.0 >= 20)"""
+
+
+@query("clip_bases", sql("pile", _CLIPS + " SELECT ref_id, bp, direction, count(*) AS n, min(bases) AS least, max(bases) AS most FROM clips GROUP BY ALL"))
 def _(spark, d):
-    return P.clip_bases(pile(spark, d).where("length(seq) > 50")).groupBy("ref_id", "bp", "direction").agg(F.count("*").alias("n"), F.min("bases").alias("least"))
+    return P.clip_bases(pile(spark, d)).groupBy("ref_id", "bp", "direction").agg(F.count("*").alias("n"), F.min("bases").alias("least"), F.max("bases").alias("most"))
 
 
 @query("clip_direction", sql("pile", ", c AS (SELECT ref_id, unnest([{'bp': pos, 'd': 'f', 'on': front = 'S'}, {'bp': end_pos, 'd': 'b', 'on': back = 'S'}]) AS e FROM pile WHERE (flag & 2048) = 0) SELECT ref_id, bp, CASE WHEN b > f THEN 'b' ELSE 'f' END AS direction, greatest(f, b) AS n FROM (SELECT ref_id, e.bp AS bp, count(*) FILTER (e.d = 'f') AS f, count(*) FILTER (e.d = 'b') AS b FROM c WHERE e.on GROUP BY ALL)"))
@@ -413,7 +419,7 @@ def other_ends(spark, d):
     return P.end_union(at("mate_ref_id = ref_id", F.col("mate_pos")), at("sa IS NOT NULL", hit(C.parse_sa(F.col("sa")))), at("xa IS NOT NULL", hit(C.parse_xa(F.col("xa")))))
 
 
-_UNION = ", u AS (SELECT ref_id, pos AS bp, mate_pos AS \"end\", 'mp' AS source FROM pile WHERE mate_ref_id = ref_id UNION ALL SELECT ref_id, pos, CAST(split_part(sa, ',', 2) AS BIGINT) - 1, 'sr' FROM pile WHERE sa IS NOT NULL UNION ALL SELECT ref_id, pos, 100, 'xa' FROM pile WHERE xa IS NOT NULL) "
+_UNION = ", u AS (SELECT ref_id, pos AS bp, mate_pos AS \"end\", 'mp' AS source FROM pile WHERE mate_ref_id = ref_id UNION ALL SELECT ref_id, pos, CAST(split_part(sa, ',', 2) AS BIGINT) - 1, 'sr' FROM pile WHERE sa IS NOT NULL UNION ALL SELECT ref_id, pos, CAST(substr(split_part(xa, ',', 2), 2) AS BIGINT) - 1, 'xa' FROM pile WHERE xa IS NOT NULL) "
 
 
 @query("end_union", sql("pile", _UNION + "SELECT * FROM u"))
@@ -421,10 +427,85 @@ def _(spark, d):
     return other_ends(spark, d)
 
 
-@query("start_interval", sql("places", "SELECT p.ref_id, p.bp, CAST(floor(1.96 * coalesce(stddev_samp(c.bp), 0)) + 1 AS BIGINT) AS half FROM places p JOIN places c ON p.ref_id = c.ref_id AND c.bp BETWEEN p.bp - 50 AND p.bp + 50 GROUP BY ALL"))
+_GATED = _CLIPS + """, cnt AS (SELECT ref_id, bp, count(*) AS n_reads, count(*) FILTER (discordant) AS n_discordant, count(*) FILTER (split) AS n_split, count(*) FILTER (evert) AS n_evert,
+        sum(CAST(soft_front AND pos = bp AS INT) + CAST(soft_back AND end_pos = bp AS INT)) AS n_primary, sum(CAST(extra_front AND pos = bp AS INT) + CAST(extra_back AND end_pos = bp AS INT)) AS n_supplement,
+        count(*) FILTER (far AND NOT sup) AS n_far, count(*) FILTER (deviant AND NOT far AND NOT sup) AS n_close, count(*) FILTER (deviant AND NOT sup AND insert = 0) AS n_zero,
+        len(list_distinct(list_concat(coalesce(list(pos) FILTER (soft_front), []), coalesce(list(end_pos) FILTER (soft_back), [])))) + len(list_distinct(list_concat(coalesce(list(pos) FILTER (extra_front), []), coalesce(list(end_pos) FILTER (extra_back), [])))) AS n_clusters,
+        sum(CAST(soft_front AND abs(pos - bp) <= 50 AS INT) + CAST(soft_back AND abs(end_pos - bp) <= 50 AS INT)) AS cn, sum(CASE WHEN soft_front AND abs(pos - bp) <= 50 THEN pos - bp ELSE 0 END + CASE WHEN soft_back AND abs(end_pos - bp) <= 50 THEN end_pos - bp ELSE 0 END) AS cs,
+        sum(CASE WHEN soft_front AND abs(pos - bp) <= 50 THEN (pos - bp) * (pos - bp) ELSE 0 END + CASE WHEN soft_back AND abs(end_pos - bp) <= 50 THEN (end_pos - bp) * (end_pos - bp) ELSE 0 END) AS cq
+      FROM piled GROUP BY ALL),
+    bounds AS (SELECT *, CASE WHEN cn > 1 THEN CAST(floor(1.96 * sqrt(CAST(cn * cq - cs * cs AS DOUBLE) / CAST(cn * (cn - 1) AS DOUBLE))) AS BIGINT) + 1 ELSE 0 END AS half FROM cnt),
+    dirs AS (SELECT ref_id, bp, CASE WHEN b > f THEN 'b' ELSE 'f' END AS direction, greatest(f, b) AS n_clips FROM (SELECT ref_id, bp, count(*) FILTER (direction = 'f') AS f, count(*) FILTER (direction = 'b') AS b FROM clips WHERE length(bases) >= 5 GROUP BY ALL) WHERE greatest(f, b) >= 2),
+    gated AS (SELECT b.*, direction, n_clips FROM bounds b JOIN dirs USING (ref_id, bp) WHERE (n_primary >= 3 OR n_supplement >= 2) AND NOT (n_discordant = 0 AND n_split = 0 AND n_evert = 0 AND n_primary < 3))"""
+
+
+def features(spark, d):
+    rows = reads(spark, d)
+    p = Q.prepared_pile(rows)
+    return p, Q.featured(p, rows)
+
+
+def gated(p, f):
+    """Places that pass the gates before the consensus, which SQL cannot tell."""
+    return cut(Q.counted_places(p, f).join(P.clip_direction(Q.clipped_bases(p)).where("n >= 2").withColumnRenamed("n", "n_clips"), Q.PLACE))
+
+
+@query("start_interval", sql("piled", _GATED + " SELECT ref_id, bp, bp - half AS start_low, bp + half AS start_high FROM bounds"))
+def _(spark, d):
+    p, f = features(spark, d)
+    return P.start_bounds(P.pileup_counts(P.pileup(P.clip_positions(p), f), P.counted_more())).select("ref_id", "bp", "start_low", "start_high")
+
+
+@query("pileup_gates", sql("piled", _GATED + " SELECT ref_id, bp, direction, n_clips, n_far, n_close, n_zero, CAST(n_clusters AS BIGINT) AS n_clusters FROM gated"))
+def _(spark, d):
+    return gated(*features(spark, d)).select("ref_id", "bp", "direction", "n_clips", "n_far", "n_close", "n_zero", "n_clusters")
+
+
+_SPAN = "list_sum(list_transform(regexp_extract_all(cig, '([0-9]+)[MDN=X]', 1), lambda x: CAST(x AS BIGINT)))"
+_ENDED = _GATED + f""", over AS (SELECT g.direction, p.* FROM gated g JOIN piled p USING (ref_id, bp)),
+    said AS (SELECT ref_id, bp, 'sr' AS source, split_part(h, ',', 1) AS seqid, CAST(split_part(h, ',', 2) AS BIGINT) - 1 AS spot, split_part(h, ',', 4) AS cig FROM (SELECT ref_id, bp, unnest(string_split(rtrim(sa, ';'), ';')) AS h FROM over WHERE sa IS NOT NULL)
+             UNION ALL SELECT ref_id, bp, 'xa', split_part(h, ',', 1), CAST(substr(split_part(h, ',', 2), 2) AS BIGINT) - 1, split_part(h, ',', 3) FROM (SELECT ref_id, bp, unnest(string_split(rtrim(xa, ';'), ';')) AS h FROM over WHERE xa IS NOT NULL)),
+    hits AS (SELECT ref_id, bp, source, CAST(substr(seqid, 2) AS INT) AS hit_ref, CASE WHEN cig LIKE '%S' THEN spot + {_SPAN} - 1 ELSE spot END AS e, NOT regexp_matches(cig, '^[0-9]+S.*S$') AS usable FROM said),
+    others AS (SELECT ref_id, bp, ref_id AS other FROM over WHERE deviant AND NOT sup UNION ALL SELECT ref_id, bp, mate_ref_id FROM over WHERE NOT mate_missing AND mate_ref_id <> ref_id UNION ALL SELECT ref_id, bp, hit_ref FROM hits WHERE source = 'sr'),
+    best_other AS (SELECT ref_id, bp, first(other ORDER BY n DESC, other <> ref_id, other) AS other FROM (SELECT ref_id, bp, other, count(*) AS n FROM others GROUP BY ALL) GROUP BY ALL),
+    chosen AS (SELECT ref_id, bp, coalesce(other, ref_id) AS chr2 FROM gated LEFT JOIN best_other USING (ref_id, bp)),
+    ends2 AS (SELECT ref_id, bp, mate_pos AS e, 'mp' AS source FROM over JOIN chosen USING (ref_id, bp) WHERE deviant AND NOT sup AND chr2 = ref_id
+              UNION ALL SELECT ref_id, bp, mate_pos, 'mp' FROM over JOIN chosen USING (ref_id, bp) WHERE chr2 <> ref_id AND mate_ref_id = chr2 AND NOT mate_missing AND ((soft_front AND pos = bp) OR (soft_back AND end_pos = bp))
+              UNION ALL SELECT ref_id, bp, e, source FROM hits JOIN chosen USING (ref_id, bp) WHERE usable AND hit_ref = chr2),
+    zones AS (SELECT ref_id, bp, CASE WHEN count(*) FILTER (source = 'mp') > 1 THEN CAST(sum(e) FILTER (source = 'mp') // count(*) FILTER (source = 'mp') AS BIGINT) ELSE bp END AS zone FROM ends2 GROUP BY ref_id, bp),
+    tens AS (SELECT ref_id, bp, CAST(floor((e + 5) / 10.0) * 10 AS BIGINT) AS ten, count(*) AS n FROM ends2 GROUP BY ALL),
+    won AS (SELECT * FROM (SELECT ref_id, bp, first(ten ORDER BY n DESC, abs(ten - zone), ten) AS ten FROM tens JOIN zones USING (ref_id, bp) GROUP BY ALL) WHERE ten <> 0),
+    sums AS (SELECT ref_id, bp, ten, count(*) FILTER (abs(e - ten) < 150) AS n_ends, coalesce(sum(e - ten) FILTER (abs(e - ten) < 150), 0) AS s, coalesce(sum((e - ten) * (e - ten)) FILTER (abs(e - ten) < 150), 0) AS q, first(e ORDER BY abs(e - ten), e) AS nearest,
+        count(*) FILTER (source = 'mp' AND abs(e - ten) < 150) AS n_mp, count(*) FILTER (source = 'sr' AND abs(e - ten) < 150) AS n_sr, count(*) FILTER (source = 'xa' AND abs(e - ten) < 150) AS n_xa FROM ends2 JOIN won USING (ref_id, bp) GROUP BY ALL),
+    honed AS (SELECT ref_id, bp, first(e ORDER BY n DESC, e) AS e FROM (SELECT ref_id, bp, e, count(*) AS n FROM ends2 JOIN sums USING (ref_id, bp) WHERE abs(e - nearest) <= 20 GROUP BY ALL) GROUP BY ALL),
+    found AS (SELECT g.*, c.chr2, s.n_ends, coalesce(n_mp, 0) AS n_mp, coalesce(n_sr, 0) AS n_sr, coalesce(n_xa, 0) AS n_xa, h.e, z.zone IS NOT NULL AS has, CASE WHEN n_ends > 1 THEN CAST(floor(1.96 * sqrt(CAST(n_ends * q - s * s AS DOUBLE) / CAST(n_ends * (n_ends - 1) AS DOUBLE))) AS BIGINT) ELSE 0 END AS spread
+        FROM gated g JOIN chosen c USING (ref_id, bp) LEFT JOIN sums s USING (ref_id, bp) LEFT JOIN honed h USING (ref_id, bp) LEFT JOIN zones z USING (ref_id, bp)),
+    placed AS (SELECT *, CASE WHEN has AND n_zero > coalesce(n_ends, 0) THEN bp + 1 ELSE coalesce(e + 1, 0) END AS other, CASE WHEN has AND n_zero > coalesce(n_ends, 0) THEN bp + 1 ELSE coalesce(e - spread, 0) END AS ci_low, CASE WHEN has AND n_zero > coalesce(n_ends, 0) THEN bp + 1 ELSE coalesce(e + spread, 0) END AS ci_high FROM found),
+    ended AS (SELECT *, CASE WHEN NOT has OR chr2 <> ref_id THEN 0 ELSE abs(bp - other) END AS svlen FROM placed),
+    open AS (SELECT * FROM ended WHERE other <> 0 AND NOT (svlen > 1000000 AND n_mp = 0 AND n_sr = 0))"""
+
+
+@query("other_ends", sql("piled", _ENDED + " SELECT ref_id, bp, chr2, CAST(other AS BIGINT) AS other, CAST(ci_low AS BIGINT) AS ci_low, CAST(ci_high AS BIGINT) AS ci_high, CAST(svlen AS BIGINT) AS svlen, n_mp, n_sr, n_xa FROM open"))
+def _(spark, d):
+    p, f = features(spark, d)
+    return Q.end_gates(Q.other_ends(gated(p, f), f, contigs(spark))).select("ref_id", "bp", "chr2", "other", "ci_low", "ci_high", "svlen", "n_mp", "n_sr", "n_xa")
+
+
+@query("pileup_calls", sql("marked", _ENDED + """, ev AS (SELECT m.*, count(*) FILTER (clipped) OVER w AS n_clip, count(*) OVER w AS depth FROM marked m JOIN open o USING (ref_id, bp) WINDOW w AS (PARTITION BY ref_id, bp, m.sample)),
+    ruled AS (SELECT *, pow(10, -greatest(mapq, 1) / 10.0) AS err, alt AND n_clip > 1 AND n_clip * 1.0 / depth > 0.01 AS bad FROM ev),
+    gl AS (SELECT ref_id, bp, sample, any_value(n_clip) AS n_clip, count(*) AS n, count(*) FILTER (bad) AS k, sum(CASE WHEN bad THEN ln(2 * err) ELSE ln(2 * (1 - err)) END) AS aa, sum(CASE WHEN bad THEN ln(2 * (1 - err)) ELSE ln(2 * err) END) AS bb FROM ruled GROUP BY ALL),
+    gls2 AS (SELECT *, CASE WHEN n > k THEN aa - n * ln(2) ELSE -255.0 END AS gaa, CASE WHEN n > k AND k > 0 THEN -n * ln(2) ELSE -255.0 END AS gab, CASE WHEN k > 0 THEN bb - n * ln(2) ELSE -255.0 END AS gbb FROM gl),
+    typed2 AS (SELECT *, CASE WHEN n < 2 THEN '.' WHEN gaa >= gab AND gaa >= gbb THEN '0' WHEN gab >= gbb THEN '1' ELSE '2' END AS g FROM gls2),
+    deep AS (SELECT sample, avg(n) AS mean_depth FROM (SELECT sample, ref_id, spot, count(*) AS n FROM (SELECT sample, ref_id, unnest(range(CAST(ceil(pos / 100.0) AS BIGINT), CAST(floor(end_pos / 100.0) AS BIGINT) + 1)) AS spot FROM pile) GROUP BY ALL) GROUP BY sample),
+    called AS (SELECT ref_id, bp, sum(CASE WHEN g = '1' THEN 1 WHEN g = '2' THEN 2 ELSE 0 END) AS n_alleles, max(CASE WHEN n < 2 THEN 0 ELSE k END) AS most_bad, avg(n / mean_depth) FILTER (g IN ('1', '2')) AS depth_ratio, count(*) FILTER (g <> '.' AND sample = 's0') AS gc_t, count(*) FILTER (g <> '.' AND sample <> 's0') AS gc_b,
+        string_agg(concat(sample, '=', g, ':', CASE WHEN n < 2 THEN 0 ELSE n - k END, ':', CASE WHEN n < 2 THEN 0 ELSE k END, ':', n_clip, ':', n), ' ' ORDER BY sample) AS samples FROM typed2 LEFT JOIN deep USING (sample) GROUP BY ALL)
+    SELECT ref_id, bp, chr2, CAST(other AS BIGINT) AS other, CAST(svlen AS BIGINT) AS svlen, CAST(n_alleles AS BIGINT) AS n_alleles, round(depth_ratio, 6) AS depth_ratio, gc_t, gc_b, samples FROM open JOIN called USING (ref_id, bp) WHERE n_alleles > 0 AND most_bad > 1"""))
 def _(spark, d):
-    places = P.clip_positions(pile(spark, d))
-    return P.start_interval(places, places)
+    p, f = features(spark, d)
+    found = cut(Q.end_gates(Q.other_ends(gated(p, f), f, contigs(spark))))
+    out = Q.genotyped(found, cut(Q.sample_genotypes(found, f)), F.col("sample") == "s0", R.depth_stats(p))
+    of = F.transform(F.array_sort(F.map_entries("genotypes")), lambda e: F.concat(e["key"], F.lit("="), F.when(e["value"]["gt"] == "./.", ".").when(e["value"]["gt"] == "0/0", "0").when(e["value"]["gt"] == "0/1", "1").otherwise("2"), *(x for c in ("n_good", "n_bad", "n_clip", "n_reads") for x in (F.lit(":"), e["value"][c].cast("string")))))
+    return out.select("ref_id", "bp", "chr2", "other", "svlen", "n_alleles", F.round("depth_ratio", 6).alias("depth_ratio"), "gc_t", "gc_b", F.array_join(of, " ").alias("samples"))
 
 
 @query("sample_evidence", sql("marked", "SELECT ref_id, bp, sample, count(*) AS n_reads, count(*) FILTER (alt) AS n_alt, count(*) FILTER (clipped) AS n_clip, count(*) FILTER (same) AS n_same, count(*) FILTER (deviant) AS n_deviant, count(*) FILTER (far) AS n_far, count(*) FILTER (deviant AND NOT far) AS n_close, round(count(*) FILTER (clipped) * 1.0 / count(*), 6) AS clip_share FROM marked GROUP BY ALL"))
@@ -482,7 +563,7 @@ def spans(spark, d):
 _ISLANDS = "i AS (SELECT *, sum(fresh) OVER (PARTITION BY seqid ORDER BY five, three, svtype, id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN five - lag(five) OVER w < 5 AND three - lag(three) OVER w < 5 THEN 0 ELSE 1 END AS fresh FROM spans WINDOW w AS (PARTITION BY seqid ORDER BY five, three, svtype, id)))"
 
 
-@query("merge_calls", sql("spans", "").rstrip() + ",\n" + _ISLANDS + """ SELECT seqid, svtype, CAST(ceil(avg(five) - 0.5) AS BIGINT) AS five, CAST(ceil(avg(three) - 0.5) AS BIGINT) AS three, CAST(greatest(10, ceil(2 * coalesce(stddev_samp(five), 0))) AS BIGINT) AS ci_five, CAST(greatest(10, ceil(2 * coalesce(stddev_samp(three), 0))) AS BIGINT) AS ci_three, CAST(sum(support) AS BIGINT) AS support, count(*) AS collapsed, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM i GROUP BY seqid, island, svtype""")
+@query("merge_calls", sql("spans", "").rstrip() + ",\n" + _ISLANDS + """ SELECT seqid, svtype, CAST(ceil(avg(five) - 0.5) AS BIGINT) AS five, CAST(ceil(avg(three) - 0.5) AS BIGINT) AS three, CAST(greatest(10, ceil(2 * coalesce(sqrt(CAST(CAST(count(*) AS HUGEINT) * sum(CAST(five AS HUGEINT) * five) - CAST(sum(five) AS HUGEINT) * CAST(sum(five) AS HUGEINT) AS DOUBLE) / CAST(nullif(count(*) * (count(*) - 1), 0) AS DOUBLE)), 0))) AS BIGINT) AS ci_five, CAST(greatest(10, ceil(2 * coalesce(sqrt(CAST(CAST(count(*) AS HUGEINT) * sum(CAST(three AS HUGEINT) * three) - CAST(sum(three) AS HUGEINT) * CAST(sum(three) AS HUGEINT) AS DOUBLE) / CAST(nullif(count(*) * (count(*) - 1), 0) AS DOUBLE)), 0))) AS BIGINT) AS ci_three, CAST(sum(support) AS BIGINT) AS support, count(*) AS collapsed, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM i GROUP BY seqid, island, svtype""")
 def _(spark, d):
     return V.merge_calls(spans(spark, d))
 
@@ -551,12 +632,12 @@ def _(spark, d):
     return e.select("doc_id", "e.kinds", F.round("e.entropy", 6).alias("entropy"))
 
 
-@query("kmer_pack", f"""WITH k AS (SELECT doc_id, substr({_ACGT}, i, 6) AS kmer FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 5, 0) + 1)) AS i FROM documents)),
-    v AS (SELECT doc_id, {" + ".join(f"(CASE substr(kmer, {j + 1}, 1) WHEN 'T' THEN 1 WHEN 'G' THEN 2 WHEN 'C' THEN 3 ELSE 0 END) * {4 ** (5 - j)}" for j in range(6))} AS packed FROM k)
-    SELECT doc_id, count(*) AS n, CAST(min(packed) AS BIGINT) AS low, CAST(max(packed) AS BIGINT) AS high, CAST(sum(packed) AS BIGINT) AS total FROM v GROUP BY doc_id""")
+@query("kmer_pack", """WITH t AS (SELECT doc_id, list_transform(string_split(regexp_replace({_ACGT}, '[^ATGC]', 'A', 'g'), ''), lambda c: CASE c WHEN 'T' THEN 1 WHEN 'G' THEN 2 WHEN 'C' THEN 3 ELSE 0 END) AS d FROM documents WHERE length(text) >= 6),
+    v AS (SELECT doc_id, list_transform(range(1, len(d) - 4), lambda i: d[i + 0] * 1024 + d[i + 1] * 256 + d[i + 2] * 64 + d[i + 3] * 16 + d[i + 4] * 4 + d[i + 5] * 1) AS v FROM t)
+    SELECT doc_id, len(v) AS n, CAST(list_min(v) AS BIGINT) AS low, CAST(list_max(v) AS BIGINT) AS high, CAST(list_sum(v) AS BIGINT) AS total FROM v""".replace("{_ACGT}", _ACGT))
 def _(spark, d):
     text = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    k = for_all_cores(table(spark, d, "documents")).select("doc_id", F.transform(S.kmers(text, 6), S.pack_kmer).alias("v")).where("size(v) > 0")
+    k = for_all_cores(table(spark, d, "documents")).select("doc_id", S.packed_kmers(text, 6).alias("v")).where("size(v) > 0")
     total = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)
     return k.select("doc_id", F.size("v").cast("long").alias("n"), F.array_min("v").alias("low"), F.array_max("v").alias("high"), total.alias("total"))
 
@@ -599,6 +680,24 @@ def _(spark, d):
     return p.select("p_partkey", F.round(A.pair_likelihood("hap", "read", F.expr("repeat('I', length(read))")), 6).alias("log10_likelihood"))
 
 
+@query("natural_breaks", """WITH c AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS v, count(*) AS n FROM lineitem GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_returnflag) AS m, sum(n) OVER w AS cn, sum(n * v) OVER w AS cs, sum(n * v * v) OVER w AS cq FROM c WINDOW w AS (PARTITION BY l_returnflag ORDER BY v)),
+    z AS (SELECT l_returnflag, i, cn, cs, cq, v FROM r UNION ALL SELECT DISTINCT l_returnflag, 0, 0, 0, 0, 0 FROM r),
+    p AS (SELECT a.l_returnflag, a.i AS i, b.i AS j, b.cn - a.cn AS n, b.cq - a.cq - (b.cs - a.cs) * (b.cs - a.cs) / (b.cn - a.cn) AS cost FROM z a JOIN z b ON a.l_returnflag = b.l_returnflag AND a.i < b.i),
+    t AS (SELECT x.l_returnflag, x.j AS i1, y.j AS i2, row_number() OVER (PARTITION BY x.l_returnflag ORDER BY x.cost + y.cost + w.cost) AS k FROM p x JOIN p y ON x.l_returnflag = y.l_returnflag AND x.i = 0 AND y.i = x.j JOIN p w ON w.l_returnflag = x.l_returnflag AND w.i = y.j JOIN (SELECT DISTINCT l_returnflag, m FROM r) e ON e.l_returnflag = x.l_returnflag AND w.j = e.m),
+    g AS (SELECT r.l_returnflag, CASE WHEN r.i <= i1 THEN 1 WHEN r.i <= i2 THEN 2 ELSE 3 END AS class, v, n FROM r JOIN t ON r.l_returnflag = t.l_returnflag AND t.k = 1)
+    SELECT l_returnflag, class, min(v) AS low, max(v) AS high, CAST(sum(n) AS BIGINT) AS n, round(sum(n * v * v) - sum(n * v) * sum(n * v) / sum(n), 4) AS deviation FROM g GROUP BY ALL""")
+def _(spark, d):
+    return B.natural_breaks(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", 3).withColumn("deviation", F.round("deviation", 4))
+
+
+@query("special_functions", "SELECT o_orderkey, round(lgamma(o_totalprice / 1000), 6) AS log_gamma, round(lgamma(o_orderkey + 1), 4) AS log_factorial, round(sin(0) + 1, 6) AS identity FROM orders")
+def _(spark, d):
+    x = F.col("o_totalprice").cast("double") / 1000
+    w = X.lambert_w(x)
+    return table(spark, d, "orders").select("o_orderkey", F.round(X.lgamma(x), 6).alias("log_gamma"), F.round(X.lgamma(F.col("o_orderkey") + 1), 4).alias("log_factorial"), F.round(w * F.exp(w) / x, 6).alias("identity"))
+
+
 @query("rf_classify")
 def _(spark, d):
     near = (F.col("c_acctbal") / 1000).cast("double")
@@ -627,14 +726,14 @@ def _(spark, d):
     b AS (SELECT ref_id, bp, CASE WHEN max(n) < 2 THEN first(bucket ORDER BY abs(bucket - bp), bucket) ELSE first(bucket ORDER BY n DESC, abs(bucket - bp), bucket) END AS best_end FROM m GROUP BY ALL),
     w AS (SELECT ref_id, bp, best_end, "end" FROM u JOIN b USING (ref_id, bp) WHERE abs("end" - best_end) <= 150),
     r AS (SELECT ref_id, bp, first("end" ORDER BY m DESC, "end") AS refined_end FROM (SELECT ref_id, bp, "end", count(*) AS m FROM w WHERE abs("end" - best_end) <= 20 GROUP BY ALL) GROUP BY ALL)
-    SELECT ref_id, bp, best_end, round(avg("end"), 6) AS mean_end, round(coalesce(stddev_samp("end"), 0), 6) AS sd_end, any_value(refined_end) AS refined_end, best_end - CAST(floor(1.96 * coalesce(stddev_samp("end"), 0)) AS BIGINT) AS ci_low, best_end + CAST(floor(1.96 * coalesce(stddev_samp("end"), 0)) AS BIGINT) AS ci_high FROM w LEFT JOIN r USING (ref_id, bp) GROUP BY ref_id, bp, best_end"""))
+    SELECT ref_id, bp, best_end, round(avg("end"), 6) AS mean_end, round(coalesce(sqrt(CAST(CAST(count(*) AS HUGEINT) * sum(CAST("end" - best_end AS HUGEINT) * ("end" - best_end)) - CAST(sum("end" - best_end) AS HUGEINT) * CAST(sum("end" - best_end) AS HUGEINT) AS DOUBLE) / CAST(nullif(count(*) * (count(*) - 1), 0) AS DOUBLE)), 0), 6) AS sd_end, any_value(refined_end) AS refined_end, best_end - CAST(floor(1.96 * coalesce(sqrt(CAST(CAST(count(*) AS HUGEINT) * sum(CAST("end" - best_end AS HUGEINT) * ("end" - best_end)) - CAST(sum("end" - best_end) AS HUGEINT) * CAST(sum("end" - best_end) AS HUGEINT) AS DOUBLE) / CAST(nullif(count(*) * (count(*) - 1), 0) AS DOUBLE)), 0)) AS BIGINT) AS ci_low, best_end + CAST(floor(1.96 * coalesce(sqrt(CAST(CAST(count(*) AS HUGEINT) * sum(CAST("end" - best_end AS HUGEINT) * ("end" - best_end)) - CAST(sum("end" - best_end) AS HUGEINT) * CAST(sum("end" - best_end) AS HUGEINT) AS DOUBLE) / CAST(nullif(count(*) * (count(*) - 1), 0) AS DOUBLE)), 0)) AS BIGINT) AS ci_high FROM w LEFT JOIN r USING (ref_id, bp) GROUP BY ref_id, bp, best_end"""))
 def _(spark, d):
     u = other_ends(spark, d)
     out = P.end_interval(u, P.end_mode(u, ["ref_id"]).select("ref_id", "bp", "best_end"), ["ref_id"])
     return out.select("ref_id", "bp", "best_end", *_r6("mean_end", "sd_end"), "refined_end", "ci_low", "ci_high")
 
 
-@query("tag_hits", sql("reads", "SELECT read_name, mate, 'SA' AS tag, split_part(sa, ',', 1) AS seqid, CAST(split_part(sa, ',', 2) AS BIGINT) - 1 AS pos, CAST(rtrim(split_part(sa, ',', 6), ';') AS INT) AS nm FROM reads WHERE sa IS NOT NULL UNION ALL SELECT read_name, mate, 'XA', 'c1', CAST(100 AS BIGINT), 0 FROM (SELECT read_name, mate, unnest(range(1, len(string_split(xa, ';')))) FROM reads WHERE xa IS NOT NULL)"))
+@query("tag_hits", sql("reads", "SELECT read_name, mate, 'SA' AS tag, split_part(sa, ',', 1) AS seqid, CAST(split_part(sa, ',', 2) AS BIGINT) - 1 AS pos, CAST(rtrim(split_part(sa, ',', 6), ';') AS INT) AS nm FROM reads WHERE sa IS NOT NULL UNION ALL SELECT read_name, mate, 'XA', split_part(h, ',', 1), CAST(substr(split_part(h, ',', 2), 2) AS BIGINT) - 1, CAST(split_part(h, ',', 4) AS INT) FROM (SELECT read_name, mate, unnest(string_split(rtrim(xa, ';'), ';')) AS h FROM reads WHERE xa IS NOT NULL)"))
 def _(spark, d):
     r = reads(spark, d)
     hits = lambda tag, parse: r.select("read_name", "mate", F.lit(tag).alias("tag"), F.explode(parse(F.col(tag.lower()))).alias("h")).select("read_name", "mate", "tag", "h.seqid", "h.pos", "h.nm")
@@ -683,7 +782,7 @@ def _(spark, d):
     return V.to_bed(bed_calls(spark, d), 10, paired=True)
 
 
-@query("to_bedpe", sql("spans", "").rstrip() + " SELECT seqid AS chr_a, greatest(least(five, three) - 10, 0) AS start_a, least(five, three) + 10 AS end_a, CASE WHEN id % 5 = 0 THEN seqid + 1 ELSE seqid END AS chr_b, greatest(greatest(five, three) - 10, 0) AS start_b, greatest(five, three) + 10 AS end_b, concat_ws('_', seqid, row_number() OVER (PARTITION BY seqid ORDER BY five, three, id), svtype) AS name, support AS score FROM spans WHERE id % 7 > 0")
+@query("to_bedpe", sql("spans", "").rstrip() + " SELECT seqid AS chr_a, greatest(least(five, three) - 10, 0) AS start_a, least(five, three) + 10 AS end_a, CASE WHEN id % 5 = 0 THEN seqid + 1 ELSE seqid END AS chr_b, greatest(greatest(five, three) - 10, 0) AS start_b, greatest(five, three) + 10 AS end_b, concat_ws('_', seqid, row_number() OVER (ORDER BY seqid, five, three, id), svtype) AS name, support AS score FROM spans WHERE id % 7 > 0")
 def _(spark, d):
     return V.to_bedpe(bed_calls(spark, d).where("end IS NOT NULL"), 10)
 

@@ -28,6 +28,11 @@ def mean_quality(text: Column, offset: int = 33) -> Column:
     return F.try_divide(F.aggregate(chars, F.lit(0), lambda n, c: n + phred(c, offset)), F.size(chars))
 
 
+def shift_quality(text: Column, by: int) -> Column:
+    """Qualities of another offset: each character moved by ``by``, not below the lowest one."""
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.char(F.greatest(F.ascii(c) + by, F.lit(33)))), "")
+
+
 def error_probability(quality: Column) -> Column:
     return F.pow(F.lit(10.0), -quality / 10)
 
@@ -46,12 +51,11 @@ def round_half_down(x: Column) -> Column:
     return F.ceil(x - 0.5)
 
 
-def gaussian_p(x: Column) -> Column:
-    """The standard normal distribution function, by the complementary error function's series of Abramowitz and Stegun 7.1.26."""
-    t = 1 / (1 + 0.3275911 * F.abs(x) / math.sqrt(2))
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    tail = poly * F.exp(-x * x / 2) / 2
-    return F.when(x >= 0, 1 - tail).otherwise(tail)
+def sample_deviation(n: Column, total: Column, squares: Column) -> Column:
+    """The sample deviation from whole sums, the same for every order of rows; null below two values."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    exact = (whole(squares) * whole(n) - whole(total) * whole(total)).cast("double")
+    return F.when(n > 1, F.sqrt(exact / (n.cast("double") * (n - 1))))
 
 
 def log_binomial_free(k: Column, n: Column, p: Column) -> Column:
@@ -106,10 +110,8 @@ def kmers(text: Column, k: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
-def kmer_entropy(text: Column, k: int) -> Column:
-    """``struct<kinds, entropy>`` (natural logarithm) of a text's runs of ``k`` characters but the last one, which is not counted (a
-    known quirk). Sorted runs are folded within the row, so nothing is shuffled; null without a run."""
-    runs = F.sort_array(let(kmers(text, k), "array<string>", lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))))
+def _counted(sorted_values: Column) -> Column:
+    """``struct<kinds, entropy>`` (natural logarithm) of an array's values, which come sorted; null for none. One fold within the row."""
     kind = "struct<last:string,n:double,kinds:bigint,total:double,sum:double>"
     log = lambda n: F.when(n > 1, n * F.ln(n)).otherwise(F.lit(0.0))
 
@@ -121,15 +123,29 @@ def kmer_entropy(text: Column, k: int) -> Column:
     start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("n"), F.lit(0).cast("long").alias("kinds"), F.lit(0.0).alias("total"), F.lit(0.0).alias("sum")).cast(kind)
     # sum p ln(1 / p) over the counts alone: ln t - (sum n ln n) / t
     end = lambda s: F.when(s["total"] > 0, F.struct(s["kinds"].alias("kinds"), (F.ln(s["total"]) - (s["sum"] + log(s["n"])) / s["total"]).alias("entropy")))
-    return F.aggregate(runs, start, step, end)
+    return F.aggregate(sorted_values, start, step, end)
+
+
+def kmer_entropy(text: Column, k: int) -> Column:
+    """``struct<kinds, entropy>`` (natural logarithm) of a text's runs of ``k`` characters but the last one, which is not counted (a
+    known quirk). Sorted runs are folded within the row, so nothing is shuffled; null without a run."""
+    return _counted(F.sort_array(let(kmers(text, k), "array<string>", lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))))
 
 
 def character_entropy(text: Column) -> Column:
     """Shannon's entropy of a text's characters in bits; null for an empty text."""
-    chars = F.split(text, "")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
-    bits = F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda a, p: a - p * F.log2(p))
-    return F.when(F.length(text) > 0, bits)
+    return _counted(F.sort_array(F.filter(F.split(text, ""), lambda c: c != "")))["entropy"] / math.log(2)
+
+
+def packed_kmers(text: Column, k: int) -> Column:
+    """Every run of ``k`` bases of a text as a number (see ``pack_kmer``): each base is coded once, each run is a sum of its codes."""
+    codes = F.transform(F.filter(F.split(F.regexp_replace(text, "[^ATGC]", "A"), ""), lambda c: c != ""), lambda c: F.when(c == "T", 1).when(c == "G", 2).when(c == "C", 3).otherwise(0).cast("long"))
+
+    def runs(d: Column) -> Column:
+        run = lambda i: sum((F.get(d, i + j) * 4 ** (k - 1 - j) for j in range(1, k)), F.get(d, i) * 4 ** (k - 1))
+        return F.when(F.size(d) >= k, F.transform(F.sequence(F.lit(0), F.size(d) - k), run)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(codes, "array<bigint>", runs)
 
 
 def pack_kmer(kmer: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.functions.scalar import info_map, info_value, round_half_down, slop
+from breakwater.functions.scalar import info_map, info_value, round_half_down, sample_deviation, slop
 from breakwater.operators.intervals import islands
+from breakwater.operators.ranges import numbered
 
 
 def high_coverage_filter(calls: DataFrame) -> DataFrame:
@@ -20,16 +21,31 @@ def high_coverage_filter(calls: DataFrame) -> DataFrame:
     return out.where((F.element_at("cw", place) >= 0.2) & (F.element_at("cw", 5) <= 0.2) & (F.col("a") >= 1.5 * carriers) & F.exists("sp", lambda x: x > 7))
 
 
-def merge_calls(calls: DataFrame, gap: int = 5) -> DataFrame:
+def merge_calls(calls: DataFrame, gap: int = 5, more: bool = False) -> DataFrame:
     """Clusters near calls whatever their type, then merges each type of a cluster: ``five, three`` (means, halves down), intervals
-    of two deviations (10 at least), summed support, different ids."""
+    of two deviations (10 at least), summed support, different ids. With ``more`` (calls of ``read_merge_input``) also the rest of a merged record:
+    both ends' support, samples, the merged calls' ends in order, their marks, and the first one's base."""
     clustered = islands(calls, "seqid", "five", "three", gap, ["svtype", "id"])
+    square = lambda c: F.sum((F.col(c).cast("decimal(18,0)") * F.col(c).cast("decimal(18,0)")).cast("decimal(28,0)"))
     g = clustered.groupBy("seqid", "island", "svtype").agg(
-        F.count("*").alias("collapsed"), F.avg("five").alias("m5"), F.avg("three").alias("m3"), F.coalesce(F.stddev_samp("five"), F.lit(0.0)).alias("s5"), F.coalesce(F.stddev_samp("three"), F.lit(0.0)).alias("s3"),
-        F.sum("support").alias("support"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"),
+        F.count("*").alias("collapsed"), F.sum("five").alias("sum5"), F.sum("three").alias("sum3"), square("five").alias("square5"), square("three").alias("square3"),
+        F.sum("support").alias("support"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), *(_handed_on() if more else []),
     )
-    half = lambda s: F.greatest(F.lit(10), F.ceil(2 * F.col(s))).cast("long")
-    return g.select("seqid", "svtype", round_half_down(F.col("m5")).alias("five"), round_half_down(F.col("m3")).alias("three"), half("s5").alias("ci_five"), half("s3").alias("ci_three"), "support", "collapsed", "ids")
+    mean = lambda k: round_half_down(F.col(f"sum{k}") / F.col("collapsed"))
+    sd = lambda k: F.coalesce(sample_deviation(F.col("collapsed"), F.col(f"sum{k}"), F.col(f"square{k}")), F.lit(0.0))
+    half = lambda k: F.greatest(F.lit(10), F.ceil(2 * sd(k))).cast("long")
+    return g.select("seqid", "svtype", mean(5).alias("five"), mean(3).alias("three"), half(5).alias("ci_five"), half(3).alias("ci_three"), "support", "collapsed", "ids", *(HANDED_ON if more else []))
+
+
+HANDED_ON = ["left_support", "right_support", "lid", "rid", "fives", "threes", "merged", "refined", "base"]
+
+
+def _handed_on() -> list[Column]:
+    """A cluster is a few calls of as many files, which lie within a few places of each other, so its lists are short."""
+    first = F.struct("five", "three", "id")
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("five", "three", "id", F.col(c).alias("x")))), lambda e: e["x"])
+    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return [F.sum("left_support").alias("left_support"), F.sum("right_support").alias("right_support"), names("lid").alias("lid"), names("rid").alias("rid"), in_order("five").alias("fives"), in_order("three").alias("threes"), in_order("merged").alias("merged"), in_order("refined").alias("refined"), F.min_by("base", first).alias("base")]
 
 
 def truth_matches(calls: DataFrame, truth: DataFrame, window: int = 25, by: tuple[str, ...] = ("seqid",)) -> DataFrame:
@@ -111,14 +127,11 @@ def to_bed(calls: DataFrame, by: int = 0, paired: bool = False) -> DataFrame:
     return kept.select(F.col("seqid").alias("chr"), start.alias("start"), end.alias("end"), F.concat_ws(":", "svtype", F.col("call_id").cast("string")).alias("name"), F.col("support").alias("score"))
 
 
-def to_bedpe(calls: DataFrame, by: int = 0) -> DataFrame:
-    """Both ends as intervals, the smaller first, numbered in order of place."""
-    from pyspark.sql import Window
-
+def to_bedpe(calls: DataFrame, by: int = 0, parts: int | None = None) -> DataFrame:
+    """Both ends as intervals, the smaller first, numbered over all contigs in order of place."""
     a, b = F.least("start", "end"), F.greatest("start", "end")
-    # A running number over all calls needs one order; calls are few next to reads, and go through one window a contig.
-    numbered = calls.withColumn("__k", F.row_number().over(Window.partitionBy("seqid").orderBy("start", "end", "call_id")))
-    return numbered.select(F.col("seqid").alias("chr_a"), F.greatest(a - by, F.lit(0)).alias("start_a"), (a + by).alias("end_a"), F.coalesce("chr2", "seqid").alias("chr_b"), F.greatest(b - by, F.lit(0)).alias("start_b"), (b + by).alias("end_b"), F.concat_ws("_", "seqid", F.col("__k").cast("string"), "svtype").alias("name"), F.col("support").alias("score"))
+    counted = numbered(calls, ["seqid", "start", "end", "call_id"], "__k", parts)
+    return counted.select(F.col("seqid").alias("chr_a"), F.greatest(a - by, F.lit(0)).alias("start_a"), (a + by).alias("end_a"), F.coalesce("chr2", "seqid").alias("chr_b"), F.greatest(b - by, F.lit(0)).alias("start_b"), (b + by).alias("end_b"), F.concat_ws("_", "seqid", F.col("__k").cast("string"), "svtype").alias("name"), F.col("support").alias("score"))
 
 
 def delly_fields(records: DataFrame) -> DataFrame:

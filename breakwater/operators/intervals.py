@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from breakwater.operators.ranges import runs
+
 
 def points_in_intervals(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, width: int = 1000, how: str = "inner") -> DataFrame:
     """Rows of both sides with equal ``keys`` and ``start <= point <= end`` (closed), each pair once.
@@ -23,12 +25,14 @@ def points_in_intervals(points: DataFrame, spans: DataFrame, keys: list[str], po
     return out.drop("__bin")
 
 
-def islands(rows: DataFrame, by: str, start: str, end: str, gap: int, ties: list[str] | None = None) -> DataFrame:
-    """Adds ``island``: rows in order of ``start`` join the row before if both ends differ from its by less than ``gap`` (signed)."""
-    order = Window.partitionBy(by).orderBy(start, end, *(ties or []))
-    near = (F.col(start) - F.lag(start).over(order) < gap) & (F.col(end) - F.lag(end).over(order) < gap)
-    flagged = rows.withColumn("__new", F.when(near, 0).otherwise(1))
-    return flagged.withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def islands(rows: DataFrame, by: str, start: str, end: str, gap: int, ties: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """Adds ``island``: rows in order of ``start`` join the row before if both ends differ from its by less than ``gap`` (signed).
+
+    Islands are numbered over all rows. A contig's rows are dealt over tasks by range of place, and islands that cross a border are stitched.
+    """
+    last = lambda c: F.col(f"__last_{c}")
+    near = F.col(by).eqNullSafe(last(by)) & (F.col(start) - last(start) < gap) & (F.col(end) - last(end) < gap)
+    return runs(rows, [by, start, end, *(ties or [])], [by, start, end], near, "island", parts)
 
 
 def tile(pos: Column, width: int = 1_000_000) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from breakwater.functions.scalar import MATE_REVERSE, MATE_UNMAPPED, PAIRED, PROPER, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED, has_flag, round_to_ten
+from breakwater.functions.scalar import MATE_REVERSE, MATE_UNMAPPED, PAIRED, PROPER, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED, has_flag, round_to_ten, sample_deviation
 from breakwater.operators.intervals import points_in_intervals
 
 
@@ -24,10 +24,10 @@ def clip_support(reads: DataFrame) -> DataFrame:
     return primary.select("ref_id", F.explode(ends).alias("at")).groupBy("ref_id", "at").agg(F.count("*").alias("n"))
 
 
-def pile_features(reads: DataFrame) -> DataFrame:
+def pile_features(reads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """What the counters need of each read, made once before it is laid over places: a few numbers instead of operations and tags.
 
-    ``split`` reads have an SA tag; of others pairs are looked at. ``odd`` reads show any sign of a variant.
+    ``split`` reads have an SA tag; of others pairs are looked at. ``odd`` reads show any sign of a variant. Columns ``keep`` go along.
     """
     flag, sa = F.col("flag"), F.col("tags").getItem("SA")
     reverse, mate_reverse = has_flag(flag, REVERSE), has_flag(flag, MATE_REVERSE)
@@ -49,7 +49,7 @@ def pile_features(reads: DataFrame) -> DataFrame:
     }
     out = reads.withColumns({k: F.coalesce(v, F.lit(False)) if k not in ("inserted", "deleted") else v for k, v in columns.items()})
     odd = F.col("split") | F.col("cross") | F.col("same_strand") | F.col("soft_front") | F.col("soft_back") | (F.col("inserted") > 0) | (F.col("deleted") > 0)
-    return out.select("read_name", "sample", "ref_id", "pos", "end_pos", "mapq", F.abs("insert_size").alias("insert"), *columns, odd.alias("odd"))
+    return out.select("read_name", "sample", "ref_id", "pos", "end_pos", "mapq", F.abs("insert_size").alias("insert"), *columns, odd.alias("odd"), *keep)
 
 
 def pileup(places: DataFrame, reads: DataFrame) -> DataFrame:
@@ -57,17 +57,43 @@ def pileup(places: DataFrame, reads: DataFrame) -> DataFrame:
     return points_in_intervals(places, reads, ["ref_id"], "bp", "pos", "end_pos")
 
 
-def pileup_counts(piled: DataFrame) -> DataFrame:
-    """The counters of each place over ``pile_features``, in one partial aggregation."""
+def pileup_counts(piled: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
+    """The counters of each place over ``pile_features``, and ``more``, in one partial aggregation."""
     n = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
     at = lambda front, back: F.sum(((F.col(front) & (F.col("pos") == F.col("bp"))).cast("int") + (F.col(back) & (F.col("end_pos") == F.col("bp"))).cast("int")).cast("long"))
     flags = ["complex", "low", "mate_missing", "paired", "discordant", "split", "evert", "cross", "same_strand", "split_same", "first_same", "second_same", "split_other", "split_cross", "soft_front", "soft_back"]
     return piled.groupBy("ref_id", "bp").agg(
         F.count("*").alias("n_reads"), F.sum(F.col("mapq").cast("long")).alias("mapq_sum"), *(n(c) for c in flags), F.sum(F.col("inserted").cast("long")).alias("n_inserted"), F.sum(F.col("deleted").cast("long")).alias("n_deleted"),
-        at("soft_front", "soft_back").alias("n_primary"), at("extra_front", "extra_back").alias("n_supplement"), F.count_if(F.col("odd")).alias("n_odd"),
+        at("soft_front", "soft_back").alias("n_primary"), at("extra_front", "extra_back").alias("n_supplement"), F.count_if(F.col("odd")).alias("n_odd"), *more,
     )
 
 
+def counted_more(within: int = 50) -> tuple[Column, ...]:
+    """What the counters lack for calls, over reads ``with_support``: pairs of deviant template lengths (``n_far, n_close``, and those of length 0,
+    ``n_zero``), different clip places (``n_clusters``), and the sums from which ``start_bounds`` tells the spread of clips.
+
+    Clip places over one place lie within a read's length of it, which bounds the sets that are counted.
+    """
+    primary, front, back = ~F.col("extra"), F.col("soft_front"), F.col("soft_back")
+    places = lambda f, b: F.size(F.array_union(F.collect_set(F.when(F.col(f), F.col("pos"))), F.collect_set(F.when(F.col(b), F.col("end_pos")))))
+    a, b = F.col("pos") - F.col("bp"), F.col("end_pos") - F.col("bp")
+    at = lambda x: F.sum(F.when(front & (F.abs(a) <= within), x(a)).otherwise(0) + F.when(back & (F.abs(b) <= within), x(b)).otherwise(0)).cast("long")
+    return (
+        F.count_if(primary & F.col("far")).alias("n_far"), F.count_if(primary & F.col("deviant") & ~F.col("far")).alias("n_close"), F.count_if(primary & F.col("deviant") & (F.col("insert") == 0)).alias("n_zero"),
+        (places("soft_front", "soft_back") + places("extra_front", "extra_back")).cast("long").alias("n_clusters"),
+        at(lambda d: F.lit(1)).alias("clips_near"), at(lambda d: d).alias("clips_sum"), at(lambda d: d * d).alias("clips_squares"),
+    )
+
+
+def start_bounds(counts: DataFrame) -> DataFrame:
+    """Adds ``start_low, start_high``: the place itself, or int(1.96 sd) + 1 to both sides of it where two clips or more lie near.
+
+    Each clipped end of a primary read near the place is one value; a read that is clipped at both ends has two.
+    """
+    half = F.coalesce(F.floor(1.96 * sample_deviation(F.col("clips_near"), F.col("clips_sum"), F.col("clips_squares"))) + 1, F.lit(0)).cast("long")
+    return counts.withColumns({"start_low": F.col("bp") - half, "start_high": F.col("bp") + half})
+
+
 #: Fixed order of the attribute vector.
 ATTRIBUTES = ["paired", "discordant", "mate_missing", "same_strand", "cross", "split", "first_same", "second_same", "split_same", "inserted", "deleted"]
 
@@ -98,7 +124,7 @@ def read_evidence(piled: DataFrame, near: int = 5) -> DataFrame:
     """Primary reads of each place with ``alt``: clipped near the place where others are clipped too, same strand, deviant, or of the name
     of an odd read over the place."""
     named = piled.groupBy("ref_id", "bp", "read_name").agg(F.max("odd").alias("odd"), F.collect_list(F.struct("sample", "pos", "end_pos", "mapq", "soft_front", "soft_back", "clips", "mapped_pair", "same_pair", "deviant", "far", "extra")).alias("r"))
-    each = named.select("ref_id", "bp", "odd", F.inline("r")).where("NOT extra")
+    each = named.select("ref_id", "bp", "read_name", "odd", F.inline("r")).where("NOT extra")
     close = (F.abs(F.col("pos") - F.col("bp")) < near) | (F.abs(F.col("end_pos") - F.col("bp")) < near)
     out = each.withColumns({"clipped": close & (F.col("soft_front") | F.col("soft_back")) & (F.col("clips") > 1), "same": F.col("mapped_pair") & F.col("same_pair")})
     return out.withColumn("alt", F.col("clipped") | F.col("same") | F.col("deviant") | F.col("odd"))
@@ -111,6 +137,12 @@ def sample_evidence(marked: DataFrame) -> DataFrame:
     return out.withColumns({"n_close": F.col("n_deviant") - F.col("n_far"), "clip_share": F.col("n_clip") / F.col("n_reads")})
 
 
+def most_reads(reads: DataFrame, by: list[str], most: int) -> DataFrame:
+    """Of each group's reads at most ``most``, those of the lowest hash of name and place; Spark cuts groups in each task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("read_name", "pos"), "read_name", "pos"))
+    return reads.withColumn("__k", rank).where(F.col("__k") <= most).drop("__k")
+
+
 #: What stands for a likelihood that cannot be told.
 UNKNOWN = -255.0
 
@@ -163,24 +195,20 @@ def end_interval(ends: DataFrame, modes: DataFrame, by: list[str], target: str =
     """Around each best end: mean and deviation of ends within ``within``, the interval best ± int(1.96 sd), and the most frequent
     raw place within ``refine``."""
     near = ends.join(modes, [*by, target]).where(F.abs(F.col(end) - F.col("best_end")) <= within)
-    stats = near.groupBy(*by, target, "best_end").agg(F.avg(end).alias("mean_end"), F.coalesce(F.stddev_samp(end), F.lit(0.0)).alias("sd_end"))
+    off = F.col(end) - F.col("best_end")
+    sums = near.groupBy(*by, target, "best_end").agg(F.count("*").alias("n"), F.sum(off).alias("s"), F.sum(off * off).alias("q"))
+    sd = F.coalesce(sample_deviation(F.col("n"), F.col("s"), F.col("q")), F.lit(0.0))
+    stats = sums.select(*by, target, "best_end", (F.col("best_end") + F.col("s") / F.col("n")).alias("mean_end"), sd.alias("sd_end"))
     raw = near.where(F.abs(F.col(end) - F.col("best_end")) <= refine).groupBy(*by, target, F.col(end).alias("raw")).agg(F.count("*").alias("m")).groupBy(*by, target).agg(F.max_by("raw", F.struct("m", -F.col("raw"))).alias("refined_end"))
     half = F.floor(1.96 * F.col("sd_end")).cast("long")
     return stats.join(raw, [*by, target], "left").withColumns({"ci_low": F.col("best_end") - half, "ci_high": F.col("best_end") + half})
 
 
-def start_interval(places: DataFrame, clips: DataFrame, within: int = 50) -> DataFrame:
-    """The half width int(1.96 sd) + 1 of clip places within ``within`` of each place."""
-    spans = places.select("ref_id", "bp", (F.col("bp") - within).alias("__low"), (F.col("bp") + within).alias("__high"))
-    near = points_in_intervals(clips.select("ref_id", F.col("bp").alias("clip")), spans, ["ref_id"], "clip", "__low", "__high")
-    return near.groupBy("ref_id", "bp").agg((F.floor(1.96 * F.coalesce(F.stddev_samp("clip"), F.lit(0.0))) + 1).cast("long").alias("half"))
-
-
 def partner_contig(mates: DataFrame, by: list[str], own: str = "ref_id", other: str = "mate_ref_id") -> DataFrame:
     """The contig that most mates lie on; a place's own contig wins ties, then the smallest."""
     counted = mates.groupBy(*by, own, other).agg(F.count("*").alias("n"))
-    rank = F.struct("n", (F.col(own) == F.col(other)).alias("own"), -F.col(other))
-    return counted.groupBy(*by, own).agg(F.max_by(F.col(other), rank).alias("partner"), F.max("n").alias("n"))
+    rank = F.struct(-F.col("n"), F.col(own) != F.col(other), F.col(other))
+    return counted.groupBy(*by, own).agg(F.min_by(F.col(other), rank).alias("partner"), F.max("n").alias("n"))
 
 
 def end_union(mates: DataFrame, splits: DataFrame, alternatives: DataFrame) -> DataFrame:
@@ -189,16 +217,16 @@ def end_union(mates: DataFrame, splits: DataFrame, alternatives: DataFrame) -> D
     return tagged(mates, "mp").unionByName(tagged(splits, "sr")).unionByName(tagged(alternatives, "xa"))
 
 
-def clip_bases(reads: DataFrame, quality: int = 20, beside: int = 5) -> DataFrame:
+def clip_bases(reads: DataFrame, quality: int = 20, beside: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """Clipped bases of each primary read's soft ends whose ``beside`` bases next to the breakpoint have a mean quality of ``quality`` or
-    more: ``ref_id, bp, direction`` (f for a front clip, b for a back clip)``, bases``."""
+    more: ``ref_id, bp, direction`` (f for a front clip, b for a back clip)``, bases``, and the reads' columns ``keep``."""
     score = lambda text: F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda n, c: n + F.ascii(c) - 33) / beside
     n, seq, qual = F.length("seq"), F.col("seq"), F.col("qual")
     front = F.struct(F.col("pos").alias("bp"), F.lit("f").alias("direction"), F.substr(seq, F.lit(1), F.col("front_len")).alias("bases"), score(F.substr(qual, F.greatest(F.col("front_len") - beside + 1, F.lit(1)), F.lit(beside))).alias("score"))
-    back = F.struct(F.col("end_pos").alias("bp"), F.lit("b").alias("direction"), F.substr(seq, n - F.col("back_len") + 1, F.col("back_len")).alias("bases"), score(F.substr(qual, n - F.col("back_len") + 1, F.lit(beside))).alias("score"))
+    back = F.struct(F.col("end_pos").alias("bp"), F.lit("b").alias("direction"), F.substr(seq, F.greatest(n - F.col("back_len") + 1, F.lit(1)), F.col("back_len")).alias("bases"), score(F.substr(qual, F.greatest(n - F.col("back_len") + 1, F.lit(1)), F.lit(beside))).alias("score"))
     ends = F.array_compact(F.array(F.when(F.col("front") == "S", front), F.when(F.col("back") == "S", back)))
     primary = reads.where(~has_flag(F.col("flag"), SUPPLEMENTARY))
-    return primary.select("ref_id", F.explode(ends).alias("e")).select("ref_id", "e.*").where(F.col("score") >= quality).drop("score")
+    return primary.select("ref_id", *keep, F.explode(ends).alias("e")).select("ref_id", *keep, "e.*").where(F.col("score") >= quality).drop("score")
 
 
 def clip_direction(clips: DataFrame) -> DataFrame:

@@ -116,9 +116,9 @@ def insert_size() -> Column:
     return F.abs(F.col("r1")["insert_size"])
 
 
-def filtered_pairs(pairs: DataFrame, parity: bool = False) -> DataFrame:
+def filtered_pairs(pairs: DataFrame, parity: bool = False, good: int = 20, matched: int = 100) -> DataFrame:
     """Pairs that pass the quality, insertion, overlap and contig filters."""
-    return pairs.where(pair_quality() & ~facing_clips() & ~too_much_overlap(parity=parity) & (F.col("r1")["ref_id"] == F.col("r2")["ref_id"]))
+    return pairs.where(pair_quality(good=good, matched=matched) & ~facing_clips() & ~too_much_overlap(parity=parity) & (F.col("r1")["ref_id"] == F.col("r2")["ref_id"]))
 
 
 def library_stats(reads: DataFrame, by: str = "sample") -> DataFrame:
@@ -171,13 +171,16 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select("sample", "seqid", F.least("a", "b").alias("lpos"), F.greatest("a", "b").alias("rpos"), "evidence")
 
 
-def split_edges(reads: DataFrame, contigs: DataFrame, most_mismatches: int = 10, least_quality: int = 5) -> DataFrame:
-    """Edges of reads with exactly one split: S, V if strands differ, Z if the other part lies on the wrong side."""
-    sa = F.get(C.parse_sa(F.col("tags").getItem("SA")), F.lit(0))
-    one = reads.withColumn("all", C.parse_sa(F.col("tags").getItem("SA"))).where("size(all) = 1").withColumn("sa", sa)
+def split_edges(reads: DataFrame, contigs: DataFrame, most_mismatches: int = 10, least_quality: int = 5, tag: str = "SA") -> DataFrame:
+    """Edges of reads with exactly one split: S, V if strands differ, Z if the other part lies on the wrong side.
+
+    Splits stand in ``tag``: SA, or XP, which tells neither mapping quality nor mismatches, so its splits are not held to limits of them.
+    """
+    parts = (C.parse_xp if tag == "XP" else C.parse_sa)(F.col("tags").getItem(tag))
+    one = reads.withColumn("all", parts).where("size(all) = 1").withColumn("sa", F.get("all", F.lit(0)))
     one = one.join(F.broadcast(contigs.select(F.col("ref_id").alias("sa_ref"), "name")), F.col("sa.seqid") == F.col("name"))
     ops, other = F.col("ops"), F.col("sa.cigar")
-    one = one.where((F.col("sa.nm") <= most_mismatches) & (F.col("sa.mapq") >= least_quality) & ~C.both_clipped(ops) & ~C.both_clipped(other) & (F.col("sa_ref") == F.col("ref_id")))
+    one = one.where((F.coalesce("sa.nm", F.lit(0)) <= most_mismatches) & (F.coalesce("sa.mapq", F.lit(least_quality)) >= least_quality) & ~C.both_clipped(ops) & ~C.both_clipped(other) & (F.col("sa_ref") == F.col("ref_id")))
     back, front = F.col("back").isin("S", "H"), F.col("front").isin("S", "H")
     start = F.when(back, F.col("end_pos")).otherwise(F.col("pos"))
     end = F.when(C.last(other)["op"].isin("S", "H"), F.col("sa.pos") + C.reference_span(other)).otherwise(F.col("sa.pos"))

@@ -26,21 +26,26 @@ def pairs_of(kept: DataFrame) -> DataFrame:
     return R.mate_pairs(kept.select("sample", "read_name", "mate", "ref_id", "pos", "end_pos", "mapq", "flag", "front", "front_len", "back", "back_len", "matched", "read_len", "reverse", "insert_size", "nm", "xa"))
 
 
-def evidence_of(alignments: DataFrame, contigs: DataFrame, most_mismatches: int = 10) -> DataFrame:
-    """Evidence edges of prepared alignments: pairs, operations within reads and splits."""
+def evidence_of(alignments: DataFrame, contigs: DataFrame, most_mismatches: int = 10, quality: int = 20, matched: int = 100, tag: str = "SA", library: DataFrame | None = None) -> DataFrame:
+    """Evidence edges of prepared alignments: pairs, operations within reads and splits (in ``tag``).
+
+    A pair needs a mate of ``quality`` and ``matched`` bases that match. ``library`` are the alignments that tell template lengths if these
+    are not all of them.
+    """
     kept = R.with_cigar(R.graph_read_filter(alignments))
     pairs = pairs_of(kept)
     few = lambda r: (F.coalesce(r["nm"], F.lit(0)) <= most_mismatches) & R.few_hits(r["xa"])
-    good = R.filtered_pairs(pairs).where(few(F.col("r1")) & few(F.col("r2")))
-    classes = R.insert_classes(good, R.library_stats(alignments))
-    splits = R.split_edges(kept, contigs.select(F.col("name").alias("ref_id"), "name").distinct(), most_mismatches)
+    good = R.filtered_pairs(pairs, good=quality, matched=matched).where(few(F.col("r1")) & few(F.col("r2")))
+    classes = R.insert_classes(good, R.library_stats(alignments if library is None else library))
+    splits = R.split_edges(kept, contigs.select(F.col("name").alias("ref_id"), "name").distinct(), most_mismatches, tag=tag)
     return R.insert_edges(classes).unionByName(R.indel_edges(kept)).unionByName(splits)
 
 
 def call_variants(evidence: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(calls with ``by_sample`` and ``tags``, edges, components) of evidence edges."""
+    """(calls with ``start, other, by_sample`` and ``tags``, edges, components) of evidence edges."""
     evidence = cut(evidence)
     edges = cut(K.evidence_edges(evidence))
     comps = cut(K.components(edges))
-    called = K.emitted(K.typed_calls(edges, K.nodes(edges), comps), least)
+    points = K.nodes(edges)
+    called = K.terminal_first(K.emitted(K.typed_calls(edges, points, comps), least), points)
     return K.call_samples(called, K.sample_support(evidence)), edges, comps

@@ -29,6 +29,25 @@ def reference_bases(places: DataFrame, sequences: DataFrame, name: str, pos: str
     return found.withColumn("base", F.nullif(F.upper(F.substr("bases", (F.col(pos) % width + 1).cast("int"), F.lit(1))), F.lit(""))).drop("bin", "bases")
 
 
+def reference_windows(places: DataFrame, sequences: DataFrame, name: str, start: str, length: int, out: str = "window", width: int = BIN) -> DataFrame:
+    """``places`` with ``out``, the upper-case bases of [start, start + length) of the sequence, less where it has none; null if none at all.
+
+    A window that crosses borders of bins is stitched from the bins' pieces: places meet bins by an equality, then a window's few pieces
+    meet by the window. Places of one window (a key of many rows) fetch it once.
+    """
+    own = places.select(F.col(name).alias("__name"), F.col(start).cast("long").alias("__start")).where("__name IS NOT NULL AND __start IS NOT NULL").distinct()
+    first, last = F.greatest("__start", F.lit(0)), F.col("__start") + length - 1
+    spread = own.where(last >= 0).withColumn("bin", F.explode(F.sequence(F.floor(first / width), F.floor(last / width))))
+    bins = sequences.select(F.col("name").alias("__name"), "bin", "bases")
+    begin = F.greatest(F.col("__start") - F.col("bin") * width, F.lit(0))
+    end = F.least(F.col("__start") + length - F.col("bin") * width, F.lit(width))
+    piece = F.substr("bases", (begin + 1).cast("int"), (end - begin).cast("int"))
+    pieces = spread.join(bins, ["__name", "bin"]).select("__name", "__start", F.struct("bin", piece.alias("bases")).alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["bases"]), "")
+    windows = pieces.groupBy("__name", "__start").agg(F.nullif(F.upper(whole), F.lit("")).alias(out))
+    return places.join(windows, (F.col(name) == F.col("__name")) & (F.col(start) == F.col("__start")), "left").drop("__name", "__start")
+
+
 def with_reference(records: DataFrame, sequences: DataFrame) -> DataFrame:
     """Record lines with the reference's base in the REF column instead of ``N``, in order of place again."""
     c = F.split("value", "\t")

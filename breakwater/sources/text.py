@@ -52,11 +52,17 @@ def read_vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_merge_input(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """What merging needs of records: both ends (POS and END where the older keys are missing), type, id and support."""
+    """What merging needs of records: both ends (POS and END where the older keys are missing), type, id and support, and what it
+    hands on: the base, both ends' support and samples, and the marks of earlier merging and refining."""
     i = F.col("info")
     first = lambda key, k: F.get(F.split(info_value(i, key), ","), F.lit(k)).cast("long")
-    support = F.coalesce(first("SUPPORT", 0) + F.coalesce(first("SUPPORT", 1), F.lit(0)), info_value(i, "A").cast("long"))
-    return read_vcf(spark, paths).select(F.col("chrom").alias("seqid"), F.coalesce(first("POS", 0), F.col("pos")).alias("five"), F.coalesce(first("POS", 1), info_value(i, "END").cast("long")).alias("three"), info_value(i, "SVTYPE").alias("svtype"), F.coalesce(info_value(i, "ID"), F.col("id")).alias("id"), support.alias("support"))
+    names = lambda key: F.coalesce(F.split(info_value(i, key), ","), F.split(info_value(i, "TAGS"), ","), F.array().cast("array<string>"))
+    left, right = F.coalesce(first("SUPPORT", 0), info_value(i, "A").cast("long")), F.coalesce(first("SUPPORT", 1), F.lit(0).cast("long"))
+    mark = lambda key: F.coalesce(first(key, 0), F.lit(0).cast("long"))
+    return read_vcf(spark, paths).select(
+        F.col("chrom").alias("seqid"), F.coalesce(first("POS", 0), F.col("pos")).alias("five"), F.coalesce(first("POS", 1), info_value(i, "END").cast("long")).alias("three"), info_value(i, "SVTYPE").alias("svtype"), F.coalesce(info_value(i, "ID"), F.col("id")).alias("id"),
+        (left + right).alias("support"), left.alias("left_support"), right.alias("right_support"), F.col("ref").alias("base"), names("LID").alias("lid"), names("RID").alias("rid"), mark("MERGED").alias("merged"), mark("REFINED").alias("refined"),
+    )
 
 
 def read_training_matrix(spark: SparkSession, path: str) -> DataFrame:

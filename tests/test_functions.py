@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from breakwater.functions import cigar as C
 from breakwater.functions import scalar as S
+from breakwater.functions import special as X
 from breakwater.operators.intervals import islands, points_in_intervals
 from breakwater.operators.graph import connected_components
 
@@ -34,7 +35,7 @@ def test_split_tags(spark):
 
 
 def test_numbers(spark):
-    r = one(spark, S.round_half_down(F.lit(2.5)).alias("h"), S.round_to_ten(F.lit(15)).alias("t"), S.log10_add(F.lit(-1.0), F.lit(-1.0)).alias("a"), S.gaussian_p(F.lit(1.96)).alias("p"), S.mean_quality(F.lit("II")).alias("q"))
+    r = one(spark, S.round_half_down(F.lit(2.5)).alias("h"), S.round_to_ten(F.lit(15)).alias("t"), S.log10_add(F.lit(-1.0), F.lit(-1.0)).alias("a"), X.normal_cdf(F.lit(1.96)).alias("p"), S.mean_quality(F.lit("II")).alias("q"))
     assert (r.h, r.t, r.q) == (2, 20, 40) and r.a == pytest.approx(-0.69897, abs=1e-5) and r.p == pytest.approx(0.975, abs=1e-4)
 
 
