@@ -1,4 +1,4 @@
-"""Command line: ``python -m breakwater call|pileup|stats|merge``; results are written by Spark as text folders."""
+"""Command line: ``python -m breakwater call|cohort|pileup|stats|merge|classify``; results are written by Spark as text folders."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from breakwater.functions import scalar as S
 from breakwater.operators import callsets as V
+from breakwater.operators import forest
 from breakwater.operators import reads as R
 from breakwater.plans import calling, piling
 from breakwater.sources import bam, fasta, sinks, text
@@ -46,7 +47,7 @@ def restricted(reads: DataFrame, contigs: DataFrame, args: argparse.Namespace) -
 def run(spark: SparkSession, argv: list[str]) -> None:
     parser = argparse.ArgumentParser(prog="breakwater", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, about in (("call", "calls of structural variants"), ("stats", "insert sizes of each sample")):
+    for name, about in (("call", "calls of structural variants"), ("cohort", "calls of each sample, merged"), ("stats", "insert sizes of each sample")):
         sub = commands.add_parser(name, help=about)
         sub.add_argument("-f", "--files", required=True, help="alignments separated by commas, or a file that lists them")
         sub.add_argument("-o", "--out", required=True)
@@ -69,6 +70,13 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     sub.add_argument("-e", "--bed", default="", help="regions in which places are scored")
     sub.add_argument("-r", "--region", default="", help="name:start-end")
     sub.add_argument("-i", "--illumina", action="store_true", help="qualities have the offset 64")
+    sub = commands.add_parser("classify", help="the class of each record of the pileup caller, by a forest trained on a matrix")
+    sub.add_argument("-f", "--file", required=True, help="records")
+    sub.add_argument("-t", "--training", required=True, help="training matrix")
+    sub.add_argument("-o", "--out", required=True)
+    sub.add_argument("-n", "--trees", type=int, default=500)
+    sub.add_argument("-c", "--least", type=float, default=0.0, help="probability below which a record's class is unknown")
+    sub.add_argument("-l", "--filter", choices=("sensitive", "specific"), default=None)
     sub = commands.add_parser("merge", help="near calls of several files as one")
     sub.add_argument("-f", "--files", required=True, help="call files separated by commas")
     sub.add_argument("-o", "--out", required=True)
@@ -81,12 +89,18 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         return sinks.write_vcf(sinks.merged_records(merged), [], args.out, header=header)
     if args.command == "pileup":
         return pileup(spark, args)
+    if args.command == "classify":
+        return classify(spark, args)
     reads, contigs, samples = alignments(spark, args.files)
     whole, reads = reads, restricted(reads, contigs, args)
     if args.command == "stats":
         depth = R.depth_stats(R.with_cigar(R.stats_read_filter(reads)))
         every = R.library_stats(reads).join(depth.drop("places"), "sample").join(R.base_quality(reads), "sample")
         return sinks.write_table(every, args.out)
+    if args.command == "cohort":
+        names = [r["sample"] for r in reads.select("sample").distinct().orderBy("sample").collect()]
+        merged = calling.merged_cohort(reads, contigs, names, quality=args.quality, matched=args.matched, tag=args.tag)
+        return sinks.write_vcf(sinks.merged_records(merged), [], args.out, header=sinks.vcf_header(["NONE"], form=sinks.MERGED_FORMAT))
     calls, edges, comps = calling.call_variants(calling.evidence_of(reads, contigs, quality=args.quality, matched=args.matched, tag=args.tag, library=whole))
     names = [r.sample for r in samples.where("sample IS NOT NULL").select("sample").distinct().orderBy("sample").collect()]
     records = sinks.vcf_records(calls, names)
@@ -98,6 +112,17 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         sinks.dot_graphs(edges, called).select("dot").write.text(args.graph)
 
 
+def classify(spark: SparkSession, args: argparse.Namespace) -> None:
+    records = forest.record_features(text.read_vcf(spark, args.file))
+    if args.filter:
+        keys = {"nc": "NC", "ed": "ED", "be": "BE"}
+        told = records.withColumns({k: S.info_value(F.col("info"), v) for k, v in keys.items()})
+        told = told.withColumns({"nc": F.col("nc").cast("int"), "be": F.element_at(F.split("be", ","), -1).cast("int")})
+        records = V.classifier_filter(told, args.filter).drop(*keys)
+    scored = forest.score_forest(records, forest.train_forest(text.read_training_matrix(spark, args.training), args.trees), args.least)
+    sinks.classified_lines(text.vcf_header_lines(spark, args.file), forest.annotated(scored)).write.text(args.out)
+
+
 def pileup(spark: SparkSession, args: argparse.Namespace) -> None:
     groups = [p for p in (args.targets, args.backgrounds) if p]
     if not groups:

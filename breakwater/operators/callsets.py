@@ -134,6 +134,31 @@ def to_bedpe(calls: DataFrame, by: int = 0, parts: int | None = None) -> DataFra
     return counted.select(F.col("seqid").alias("chr_a"), F.greatest(a - by, F.lit(0)).alias("start_a"), (a + by).alias("end_a"), F.coalesce("chr2", "seqid").alias("chr_b"), F.greatest(b - by, F.lit(0)).alias("start_b"), (b + by).alias("end_b"), F.concat_ws("_", "seqid", F.col("__k").cast("string"), "svtype").alias("name"), F.col("support").alias("score"))
 
 
+def ranges_to_bedpe(calls: DataFrame, order: list[str], by: int = 0, parts: int | None = None) -> DataFrame:
+    """Calls with ranges of both ends (``chr_a, low_a, high_a, chr_b, low_b, high_b, label, extra``) as paired intervals, widened by ``by`` and
+    numbered in ``order``; on one contig the smaller interval stands first."""
+    counted = numbered(calls, order, "__k", parts)
+    a, b = F.struct((F.col("low_a") - by).alias("low"), (F.col("high_a") + by).alias("high")), F.struct((F.col("low_b") - by).alias("low"), (F.col("high_b") + by).alias("high"))
+    turned = (F.col("chr_a") == F.col("chr_b")) & (a["low"] > b["high"])
+    first, second = F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b)
+    name = F.concat_ws(":", F.col("__k").cast("string"), "label")
+    return counted.select("chr_a", first["low"].alias("start_a"), first["high"].alias("end_a"), "chr_b", second["low"].alias("start_b"), second["high"].alias("end_b"), name.alias("name"), "extra")
+
+
+def delly_to_bedpe(records: DataFrame, by: int = 0, parts: int | None = None) -> DataFrame:
+    """Another caller's records as paired intervals of their confidence intervals, named by number, type and length."""
+    f = delly_fields(records)
+    wide = f.select(F.col("chrom").alias("chr_a"), (F.col("pos") - 1 - F.abs("pos_low")).alias("low_a"), (F.col("pos") - 1 + F.abs("pos_high")).alias("high_a"), F.coalesce("chr2", "chrom").alias("chr_b"), (F.col("end") - 1 - F.abs("end_low")).alias("low_b"), (F.col("end") - 1 + F.abs("end_high")).alias("high_b"), F.concat_ws(":", "svtype", F.col("svlen").cast("string")).alias("label"), F.lit(None).cast("string").alias("extra"))
+    return ranges_to_bedpe(wide, ["chr_a", "low_a", "chr_b", "low_b", "high_a", "high_b", "label"], by, parts)
+
+
+def gvf_to_bedpe(features: DataFrame, by: int = 0, parts: int | None = None) -> DataFrame:
+    """Features (``read_gvf``) as paired intervals of their ranges, or of the places themselves where they have none."""
+    at = lambda c, d: F.coalesce(F.col(c) - 1, F.col(d))
+    wide = features.select(F.col("chr").alias("chr_a"), at("start_low", "start").alias("low_a"), at("start_high", "start").alias("high_a"), F.col("chr").alias("chr_b"), at("end_low", "end").alias("low_b"), at("end_high", "end").alias("high_b"), F.concat_ws(":", "type", (F.col("end") - F.col("start")).cast("string")).alias("label"), F.col("attributes").alias("extra"))
+    return ranges_to_bedpe(wide, ["chr_a", "low_a", "low_b", "high_a", "high_b", "label", "extra"], by, parts)
+
+
 def delly_fields(records: DataFrame) -> DataFrame:
     """What the converters need of another caller's INFO: second contig, end, intervals, type and length; low-quality rows go."""
     i = F.col("info")

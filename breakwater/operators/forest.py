@@ -11,6 +11,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from breakwater.functions.scalar import info_value
+
 #: The class of a call whose best class is not likely enough.
 UNKNOWN = "UKN"
 
@@ -63,3 +65,15 @@ def score_forest(rows: DataFrame, forest: Forest, least: float = 0.0) -> DataFra
     p = F.when(F.size("features") == width, vector_to_array("probability"))
     best = F.element_at(F.array(*map(F.lit, forest.classes)), (F.col("prediction") + 1).cast("int"))
     return out.withColumn("wp", p).withColumn("wc", F.when(F.col("wp").isNotNull(), F.when(F.array_max("wp") >= least, best).otherwise(F.lit(UNKNOWN)))).drop("x", "rawPrediction", "probability", "prediction")
+
+
+def record_features(records: DataFrame) -> DataFrame:
+    """Adds ``features``: the attributes (AT) of records but the first, as the training matrix has them; null where a record has none."""
+    at = F.split(info_value(F.col("info"), "AT"), ",")
+    return records.withColumn("features", F.transform(F.slice(at, 2, 1000), lambda x: x.try_cast("double")))
+
+
+def annotated(scored: DataFrame) -> DataFrame:
+    """Scored records with their class and all classes' probabilities at the end of INFO (``WC``, ``WP``)."""
+    said = F.concat(F.lit(";WC="), "wc", F.lit(";WP="), F.array_join(F.transform("wp", lambda p: F.format_string("%.6g", p)), ","))
+    return scored.withColumn("info", F.concat("info", F.coalesce(said, F.lit(""))))

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from breakwater.operators import calls as K
 from breakwater.operators import reads as R
+from breakwater.operators.callsets import merge_calls
 from breakwater.plans.lineage import cut
 
+#: Names of call types.
+TYPES = {"D": "DEL", "U": "DUP", "V": "INV", "I": "INS", "T": "BND"}
+
 
 def prepare(alignments: DataFrame, samples: DataFrame) -> DataFrame:
     """Alignments of a reader as the operators take them: sample and mate, the contig's name as its id, mismatches and hits from tags.
@@ -49,3 +53,20 @@ def call_variants(evidence: DataFrame, least: int = 3) -> tuple[DataFrame, DataF
     points = K.nodes(edges)
     called = K.terminal_first(K.emitted(K.typed_calls(edges, points, comps), least), points)
     return K.call_samples(called, K.sample_support(evidence)), edges, comps
+
+
+def merged_cohort(alignments: DataFrame, contigs: DataFrame, names: list[str], gap: int = 5, **options) -> DataFrame:
+    """Each sample called on its own, then all samples' calls merged: the workflow of one call set a sample, sorted and merged.
+
+    ``names`` is the list of samples, a plan each; their calls are written once each, and only calls meet.
+    """
+    found = None
+    for name in names:
+        calls, *_ = call_variants(evidence_of(alignments.where(F.col("sample") == name), contigs, **options))
+        kind = F.element_at(F.create_map(*(F.lit(x) for p in TYPES.items() for x in p)), F.col("type"))
+        own = cut(calls.select(
+            "seqid", (F.col("lpos") + 1).alias("five"), (F.col("rpos") + 1).alias("three"), kind.alias("svtype"), F.concat_ws(":", F.lit(name), F.col("lpos").cast("string"), F.col("rpos").cast("string")).alias("id"), F.col("n_total").alias("support"), F.col("n_total").alias("left_support"), F.lit(0).cast("long").alias("right_support"),
+            F.lit("N").alias("base"), F.array(F.lit(name)).alias("lid"), F.array(F.lit(name)).alias("rid"), F.lit(0).cast("long").alias("merged"), F.lit(0).cast("long").alias("refined"),
+        ))
+        found = own if found is None else found.unionByName(own)
+    return merge_calls(found, gap, more=True)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from breakwater.plans.lineage import cut
+
 #: Bases of a bin.
 BIN = 1 << 16
 
@@ -12,15 +14,30 @@ BIN = 1 << 16
 def read_fasta(spark: SparkSession, paths: str | list[str], width: int = BIN) -> DataFrame:
     """``name, bin, bases``: each sequence in bins of ``width`` bases, from 0 on; the name is the header's first word.
 
-    A sequence is one row of Spark's text reader, cut into bins in its task; nothing larger than a bin is shuffled.
+    Files are read as lines, in as many tasks as they have splits. Each split numbers its own lines; what a split needs of those before it
+    (which sequence it goes on with, and how many bases that has) is a row a split. Then a line's pieces meet by bin, so nothing larger
+    than a bin is in one row. Lines before the first header, and sequences without bases, are left out.
     """
-    rows = spark.read.text(paths, lineSep=">").where("value <> ''")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    bases = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    whole = rows.select(name.alias("name"), bases.alias("bases")).where("bases <> ''")
-    starts = F.sequence(F.lit(0), F.length("bases") - 1, F.lit(width))
-    cuts = F.transform(starts, lambda s: F.struct((s / width).cast("long").alias("bin"), F.substr("bases", s + 1, F.lit(width)).alias("bases")))
-    return whole.select("name", F.inline(cuts))
+    meta = F.col("_metadata")
+    lines = spark.read.text(paths).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    head = F.startswith("value", F.lit(">"))
+    told = lines.select("file", "block", "line", F.when(head, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("header"), F.when(head, "").otherwise(F.regexp_replace("value", r"\s", "")).alias("bases"))
+    within = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    total = told.withColumn("total", F.sum(F.length("bases").cast("long")).over(within))
+    known = cut(total.withColumns({"name": F.last("header", ignorenulls=True).over(within), "base": F.last(F.when(F.col("header").isNotNull(), F.col("total")), ignorenulls=True).over(within)}))
+    # A row a split: its last header, and its bases after that header (all its bases, if it has none).
+    ends = known.groupBy("file", "block").agg(F.max_by(F.struct("name", (F.col("total") - F.coalesce("base", F.lit(0))).alias("tail")), "line").alias("x")).select("file", "block", "x.name", "x.tail")
+    before, through = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    summed = ends.withColumns({"carry": F.last("name", ignorenulls=True).over(before), "passed": F.coalesce(F.sum("tail").over(before), F.lit(0)), "thus": F.sum("tail").over(through) - F.col("tail")})
+    carried = summed.withColumn("offset", F.col("passed") - F.coalesce(F.last(F.when(F.col("name").isNotNull(), F.col("thus")), ignorenulls=True).over(before), F.lit(0)))
+    placed = known.join(F.broadcast(carried.select("file", "block", "carry", "offset")), ["file", "block"]).where("bases <> ''")
+    start = F.col("total") - F.length("bases") - F.coalesce("base", F.lit(0)) + F.when(F.col("name").isNull(), F.col("offset")).otherwise(0)
+    owned = placed.select(F.coalesce("name", "carry").alias("name"), start.alias("at"), "bases").where("name IS NOT NULL")
+    bins = owned.withColumn("bin", F.explode(F.sequence(F.floor(F.col("at") / width), F.floor((F.col("at") + F.length("bases") - 1) / width))))
+    first = F.greatest(F.col("bin") * width - F.col("at"), F.lit(0))
+    last = F.least((F.col("bin") + 1) * width - F.col("at"), F.length("bases").cast("long"))
+    pieces = bins.select("name", "bin", F.struct("at", F.substr("bases", (first + 1).cast("int"), (last - first).cast("int")).alias("bases")).alias("p"))
+    return pieces.groupBy("name", "bin").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["bases"]), "").alias("bases"))
 
 
 def reference_bases(places: DataFrame, sequences: DataFrame, name: str, pos: str, width: int = BIN) -> DataFrame:

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from breakwater.functions.scalar import short_id
 from breakwater.operators.pileup import ATTRIBUTES
-
-#: Names of call types in records.
-TYPES = {"D": "DEL", "U": "DUP", "V": "INV", "I": "INS", "T": "BND"}
+from breakwater.plans.calling import TYPES
 
 
 def number(x: Column) -> Column:
@@ -114,6 +112,19 @@ def merged_records(merged: DataFrame) -> DataFrame:
     return merged.orderBy("seqid", "five", "three", "svtype").select(line.alias("value"))
 
 
+#: The keys that classification adds.
+CLASS_LINES = ['##INFO=<ID=WC,Number=1,Type=String,Description="Class of the variant">', '##INFO=<ID=WP,Number=.,Type=Float,Description="Probability of each class, in text order">']
+
+
+def classified_lines(header: DataFrame, records: DataFrame) -> DataFrame:
+    """A file's header lines (``text.vcf_header_lines``) with those of the classes before its column names, then its records, as text."""
+    names = F.startswith("value", F.lit("#CHROM"))
+    own = header.select("line", F.explode(F.when(names, F.array(*map(F.lit, CLASS_LINES), F.col("value"))).otherwise(F.array("value"))).alias("value"))
+    fields = F.concat(F.array(F.col("chrom"), F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "info"), F.when(F.col("format").isNotNull(), F.concat(F.array("format"), F.col("samples"))).otherwise(F.array().cast("array<string>")))
+    top = own.distinct().orderBy("line", F.startswith("value", F.lit("#CHROM")), "value").coalesce(1).select("value")
+    return top.unionByName(records.orderBy("chrom", "pos", "info").select(F.array_join(fields, "\t").alias("value")))
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Tab-separated columns with a header."""
     df.write.csv(path, sep="\t", header=True)

@@ -51,6 +51,20 @@ def read_vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("file", *(F.get("c", F.lit(k)).cast("long" if n == "pos" else "string").alias(n) for k, n in enumerate(names)), F.slice("c", 10, 100000).alias("samples"))
 
 
+def vcf_keys(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The keys that headers name: ``kind`` (INFO, FORMAT or FILTER), ``id, number, type, description``; null where a line lacks one."""
+    lines = spark.read.text(paths).where("value RLIKE '^##(INFO|FORMAT|FILTER)=<'")
+    part = lambda key: F.nullif(F.regexp_extract("value", rf"[<,]{key}=([^,>\"]+)", 1), F.lit(""))
+    said = F.nullif(F.regexp_extract("value", r'Description="([^"]*)"', 1), F.lit(""))
+    return lines.select(F.regexp_extract("value", "^##([A-Z]+)=", 1).alias("kind"), part("ID").alias("id"), part("Number").alias("number"), part("Type").alias("type"), said.alias("description")).distinct()
+
+
+def vcf_header_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, line, value`` of the header lines, numbered within their file (headers stand at its begin, in its first split)."""
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    return rows.where(F.startswith("value", F.lit("#")))
+
+
 def read_merge_input(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """What merging needs of records: both ends (POS and END where the older keys are missing), type, id and support, and what it
     hands on: the base, both ends' support and samples, and the marks of earlier merging and refining."""
@@ -76,7 +90,7 @@ def read_gvf(spark: SparkSession, path: str) -> DataFrame:
     """``chr, type, start, end`` and the ranges of both ends, null where an attribute is missing."""
     rows = spark.read.text(path).where(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("c")).where("size(c) >= 9")
     part = lambda key, k: F.nullif(F.regexp_extract(F.col("c")[8], rf"{key}=(\d+),(\d+)", k), F.lit("")).cast("long")
-    return rows.select(F.col("c")[0].alias("chr"), F.col("c")[2].alias("type"), F.col("c")[3].cast("long").alias("start"), F.col("c")[4].cast("long").alias("end"), part("Start_range", 1).alias("start_low"), part("Start_range", 2).alias("start_high"), part("End_range", 1).alias("end_low"), part("End_range", 2).alias("end_high"))
+    return rows.select(F.col("c")[0].alias("chr"), F.col("c")[2].alias("type"), F.col("c")[3].cast("long").alias("start"), F.col("c")[4].cast("long").alias("end"), F.col("c")[8].alias("attributes"), part("Start_range", 1).alias("start_low"), part("Start_range", 2).alias("start_high"), part("End_range", 1).alias("end_low"), part("End_range", 2).alias("end_high"))
 
 
 def read_best_ends(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 from breakwater.__main__ import run
+from breakwater.operators import callsets
+from breakwater.sources import text
 
 
 def sam(path):
@@ -33,3 +35,51 @@ def test_call_stats_and_merge(spark, tmp_path):
     assert len(merged) == 1 and merged[0][:2] == records[0][:2] and merged[0][4] == "<DEL>" and "COLLAPSED=1" in merged[0][7].split(";")
     run(spark, ["call", "-f", str(tmp_path / "x.sam"), "-o", str(tmp_path / "none"), "-r", "chr1:50000-60000"])
     assert spark.read.text(str(tmp_path / "none")).where("value NOT LIKE '#%'").count() == 0
+
+
+def test_cohort_and_options(spark, tmp_path):
+    """Two samples with one deletion each called on their own, then merged; a region of pairs that reach into it; contigs by name."""
+    for name in ("first", "second"):
+        sam(tmp_path / f"{name}.sam")
+        body = (tmp_path / f"{name}.sam").read_text().replace("SM:first", f"SM:{name}")
+        (tmp_path / f"{name}.sam").write_text(body)
+    files = ",".join(str(tmp_path / f"{n}.sam") for n in ("first", "second"))
+    run(spark, ["cohort", "-f", files, "-o", str(tmp_path / "merged")])
+    lines = [r.value for r in spark.read.text(str(tmp_path / "merged")).collect()]
+    records = [x.split("\t") for x in lines if x[0] != "#"]
+    assert len(records) == 1 and records[0][4] == "<DEL>" and records[0][8:] == ["GT:GL:AS:RS", ".:.:.:."] and records[0][2].startswith("WG:DEL:")
+    said = dict(x.split("=") for x in records[0][7].split(";"))
+    assert said["COLLAPSED"] == "2" and said["LID"] == "first,second" == said["RID"] and said["FIVE"].count(",") == 1 and said["MERGED"] == "0,0"
+    assert list(said) == "SVTYPE SVLEN ID SUPPORT MERGED REFINED END POS LID FIVE THREE RID CIPOS CIEND COLLAPSED".split()
+    run(spark, ["call", "-f", str(tmp_path / "first.sam"), "-o", str(tmp_path / "region"), "-r", "chr1:3000-3300", "-c", "chr1", "-m", "30"])
+    found = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "region")).collect() if r.value[0] != "#"]
+    assert len(found) == 1 and "CIPOS=-10,10" in found[0][7] and ";T=" in found[0][7]  # the clipped mates lie outside the region
+    run(spark, ["call", "-f", str(tmp_path / "first.sam"), "-o", str(tmp_path / "strict"), "-m", "61"])
+    assert spark.read.text(str(tmp_path / "strict")).where("value NOT LIKE '#%'").count() == 0
+
+
+def test_classify(spark, tmp_path):
+    r = random.Random(1)
+    at = lambda kind: [round(r.random() * 0.2 + (0.7 if (k < 7) == (kind == "DEL") else 0), 4) for k in range(14)]
+    (tmp_path / "matrix.txt").write_text("".join(f"x\t" + "\t".join(map(str, at(k))) + f"\t{k}\n" for k in ["DEL", "DUP"] * 40))
+    head = '##fileformat=VCFv4.1\n##INFO=<ID=AT,Number=15,Type=Float,Description="Attributes of, the pileup">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tone\n'
+    rows = [(10, "DEL", 5), (20, "DUP", 3), (30, "DUP", 1)]
+    (tmp_path / "in.vcf").write_text(head + "".join(f"c\t{p}\t.\tN\tACGT\t.\t.\tAT=1," + ",".join(map(str, at(k))) + f";NC={n}\tGT\t0/1\n" for p, k, n in rows))
+    run(spark, ["classify", "-f", str(tmp_path / "in.vcf"), "-t", str(tmp_path / "matrix.txt"), "-o", str(tmp_path / "out"), "-n", "20", "-l", "sensitive"])
+    lines = [x.value for x in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [x.split(",")[0] for x in lines if x[0] == "#"] == ["##fileformat=VCFv4.1", "##INFO=<ID=AT", "##FORMAT=<ID=GT", "##INFO=<ID=WC", "##INFO=<ID=WP", lines[5].split(",")[0]] and lines[5].startswith("#CHROM")
+    records = [x.split("\t") for x in lines if x[0] != "#"]
+    assert [x[1] for x in records] == ["10", "20"] and [x[7].split(";WC=")[1].split(";")[0] for x in records] == ["DEL", "DUP"] and records[0][8:] == ["GT", "0/1"]
+    keys = {(k.kind, k.id): (k.number, k.type, k.description) for k in text.vcf_keys(spark, str(tmp_path / "in.vcf")).collect()}
+    assert keys == {("INFO", "AT"): ("15", "Float", "Attributes of, the pileup"), ("FORMAT", "GT"): ("1", "String", "Genotype")}
+
+
+def test_converters(spark, tmp_path):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    row = lambda p, f, i: f"c1\t{p}\tx\tN\t<DEL>\t.\t{f}\t{i}\n"
+    (tmp_path / "d.vcf").write_text(head + row(901, "PASS", "CHR2=c1;END=501;CIPOS=-5,7;CIEND=-1,2;SVTYPE=DEL;SVLEN=400;X=1") + row(100, "PASS", "CHR2=c2;END=50;CIPOS=-1,1;CIEND=-1,1;SVTYPE=TRA;SVLEN=0;X=1") + row(5, "LowQual", "CHR2=c1;END=9;CIPOS=0,0;CIEND=0,0;SVTYPE=DEL;SVLEN=4;X=1"))
+    got = callsets.delly_to_bedpe(text.read_vcf(spark, str(tmp_path / "d.vcf")), 10).orderBy("name").collect()
+    assert [tuple(x)[:7] for x in got] == [("c1", 88, 110, "c2", 38, 60, "1:TRA:0"), ("c1", 489, 512, "c1", 885, 917, "2:DEL:400")]
+    (tmp_path / "x.gvf").write_text("##gvf\nc1\ts\tdel\t100\t300\t.\t+\t.\tStart_range=90,110;End_range=290,310;\nc2\ts\tdup\t50\t60\t.\t+\t.\tID=3;\n")
+    got = callsets.gvf_to_bedpe(text.read_gvf(spark, str(tmp_path / "x.gvf")), 5).orderBy("name").collect()
+    assert [tuple(x)[:7] for x in got] == [("c1", 84, 114, "c1", 284, 314, "1:del:200"), ("c2", 45, 55, "c2", 55, 65, "2:dup:10")] and got[1].extra == "ID=3;"
