@@ -5,6 +5,8 @@ item, so only places within an item's length of such a shingle are fingerprinted
 lookup a word. Windows as long as an item are fingerprinted there at every place. Two 64-bit fingerprints within ``RADIUS`` have at
 least one of four 16-bit blocks within ``RADIUS // 4``, so postings of every block value that near find all of them. What they find is
 verified by the exact similarity of weighted shingles (weights are counts: the sum of minima over the sum of maxima).
+Where few shingles hold most of an item's weight (repeated words, rows of a table), they decide most bits and equal weights cancel, so that similar
+windows can lie far apart. Such an item (``EVEN``) is also compared with every window around its shingles, by sliding counts.
 Items are handled in blocks of ``BLOCK`` within one scan of all rows; documents are never shuffled.
 """
 
@@ -24,6 +26,10 @@ WIDTH = 5
 SIMILAR = 0.8
 RADIUS = 19
 BLOCK = 256
+#: An item is compared directly too if its effective number of shingles, (sum w)² / sum w², is below this share of their number.
+EVEN = 0.5
+#: Windows that one comparison of sliding counts covers.
+WINDOWS = 1 << 16
 #: Most bytes of items that one scan searches for.
 MOST = 64 << 20
 
@@ -46,6 +52,7 @@ class Items:
         raw, at = utf8(pa.array([t or "" for _, t in rows], pa.string()))
         words, first = word_hashes(raw, at)
         self.ids, self.words, self.sizes, self.shingles, prints = [], [], [], [], []
+        self.uneven: dict[tuple[int, int], list[int]] = {}
         for k, (item, _) in enumerate(rows):
             own = words[first[k] : first[k + 1]]
             if not len(own):
@@ -56,6 +63,9 @@ class Items:
             self.sizes.append(min(width, len(own)))
             self.shingles.append(Counter(grams.tolist()))
             prints.append(pack(votes(grams).sum(axis=0, keepdims=True))[0])
+            weights = list(self.shingles[-1].values())
+            if sum(weights) ** 2 < EVEN * sum(weights) * sum(w * w for w in weights):
+                self.uneven.setdefault((self.sizes[-1], len(own)), []).append(len(self.ids) - 1)
         self.prints = np.array(prints, np.uint64)
         self.widths = sorted(set(self.sizes))
         self.gate = {w: distinct(np.array([g for s, c in zip(self.sizes, self.shingles, strict=True) if s == w for g in c], np.uint64)) for w in self.widths}
@@ -89,6 +99,30 @@ def similarity(window: Counter, item: Counter) -> float:
     return least / (window.total() + item.total() - least)
 
 
+def best_window(part: np.ndarray, starts: np.ndarray, count: int, item: Counter) -> tuple[int, float]:
+    """The most similar, then the first, of the windows of ``count`` shingles at ``starts`` (rising), and its similarity: each shingle of the item
+    is counted along the text once, and a window's count is a difference."""
+    kinds = np.sort(np.array(list(item), np.uint64))
+    weights = np.array([item[int(g)] for g in kinds])
+    best = (-1, -1.0)
+    for k in range(0, len(starts), WINDOWS):
+        own = starts[k : k + WINDOWS]
+        text = part[own[0] : own[-1] + count]
+        place = np.minimum(np.searchsorted(kinds, text), len(kinds) - 1)
+        hit = np.flatnonzero(kinds[place] == text)
+        least = np.zeros(len(own), np.int64)
+        order = np.argsort(place[hit], kind="stable")
+        edges = np.searchsorted(place[hit][order], np.arange(len(kinds) + 1))
+        for d, w in enumerate(weights):
+            at = hit[order[edges[d] : edges[d + 1]]]
+            if len(at):
+                least += np.minimum(np.searchsorted(at, own - own[0] + count) - np.searchsorted(at, own - own[0]), w)
+        x = least / (count + weights.sum() - least)
+        if x.max() > best[1]:
+            best = (int(own[x.argmax()]), float(x.max()))
+    return best
+
+
 def leaks(words: np.ndarray, first: np.ndarray, items: Items, similar: float = SIMILAR):
     """(row, item's number, first word, words, similarity) of the most similar, then the first, window of each row for each item."""
     for width in items.widths:
@@ -128,6 +162,10 @@ def leaks(words: np.ndarray, first: np.ndarray, items: Items, similar: float = S
                         x = similarity(Counter(part[s : s + count].tolist()), items.shingles[k])
                         if x >= similar and (k not in best or (-x, begin + s) < (-best[k][4], best[k][2])):
                             best[k] = (int(row), k, begin + s, size, x)
+                    for k in items.uneven.get((width, length), ()):
+                        s, x = best_window(part, starts, count, items.shingles[k])
+                        if x >= similar and (k not in best or (-x, begin + s) < (-best[k][4], best[k][2])):
+                            best[k] = (int(row), k, begin + s, size, x)
             yield from ((r, k, at - low, n, x) for r, k, at, n, x in best.values())
 
 
