@@ -14,6 +14,7 @@ from breakwater.operators import alignment as A
 from breakwater.operators import breaks as B
 from breakwater.operators import calls as K
 from breakwater.operators import callsets as V
+from breakwater.operators import consensus as M
 from breakwater.operators import forest as T
 from breakwater.operators import intervals as I
 from breakwater.operators import pileup as P
@@ -427,6 +428,12 @@ def _(spark, d):
     return other_ends(spark, d)
 
 
+@query("clip_consensus")
+def _(spark, d):
+    bases = Q.clipped_bases(cut(pile(spark, d)))
+    return M.place_consensus(bases, P.clip_direction(bases).where("n >= 2"))
+
+
 _GATED = _CLIPS + """, cnt AS (SELECT ref_id, bp, count(*) AS n_reads, count(*) FILTER (discordant) AS n_discordant, count(*) FILTER (split) AS n_split, count(*) FILTER (evert) AS n_evert,
         sum(CAST(soft_front AND pos = bp AS INT) + CAST(soft_back AND end_pos = bp AS INT)) AS n_primary, sum(CAST(extra_front AND pos = bp AS INT) + CAST(extra_back AND end_pos = bp AS INT)) AS n_supplement,
         count(*) FILTER (far AND NOT sup) AS n_far, count(*) FILTER (deviant AND NOT far AND NOT sup) AS n_close, count(*) FILTER (deviant AND NOT sup AND insert = 0) AS n_zero,

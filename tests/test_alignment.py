@@ -2,11 +2,13 @@
 
 import itertools
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from breakwater import catalog
 from breakwater.operators import alignment as A
 from breakwater.operators import forest
 from breakwater.sources.sinks import dot_graphs
@@ -93,3 +95,43 @@ def test_dot_graphs(spark):
     got = {(r.seqid, r.component): r.dot for r in dot_graphs(edges, parts).collect()}
     assert got[1, 10].startswith("graph {\n") and got[1, 10].endswith("}\n") and got[1, 10].count("--") == 4
     assert "1.10 -- 1.20" in got[1, 10] and "1.20 -- 1.10" in got[1, 10] and "--" not in got[2, 5]
+
+
+SF = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+
+
+def forward(hap, read, quals):
+    """The likelihood by the plain three-state recursion."""
+    n, m = len(read) + 1, len(hap) + 1
+    M, I, D = ([[0.0] * m for _ in range(n)] for _ in range(3))
+    D[0] = [1 / m] * m
+    for i in range(1, n):
+        e = 10 ** (-(ord(quals[i - 1]) - 33) / 10)
+        for j in range(1, m):
+            p = 1 - e if hap[j - 1] == read[i - 1] or "N" in (hap[j - 1], read[i - 1]) else e
+            M[i][j] = p * (M[i - 1][j - 1] * 10**A.MATCH_MATCH + (I[i - 1][j - 1] + D[i - 1][j - 1]) * 10**A.GAP_MATCH)
+            I[i][j] = M[i - 1][j] * 10**A.MATCH_GAP + I[i - 1][j] * 10**A.GAP_GAP
+            D[i][j] = M[i][j - 1] * 10**A.MATCH_GAP + D[i][j - 1] * 10**A.GAP_GAP
+    return math.log10(sum(2 * M[-1][j] + I[-1][j] + D[-1][j] for j in range(1, m)))
+
+
+@tables
+def test_alignment_query_rows(spark):
+    """Every row of the queries without SQL is the plain recursion's."""
+    bases = lambda c: F.expr(catalog._BASES.format(c))
+    part = catalog.table(spark, SF, "part")
+    texts = {r.p_partkey: r for r in part.select("p_partkey", bases("p_name").alias("q"), bases("concat(p_type, p_name, p_brand)").alias("w"), bases("concat(p_type, p_name)").alias("hap"), bases("p_type").alias("read")).collect()}
+    for r in catalog.QUERIES["sw_align"](spark, SF).collect():
+        assert (r.score, r.query_end, r.ref_end) == brute(texts[r.p_partkey].q, texts[r.p_partkey].w)
+    got = catalog.QUERIES["pair_hmm"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.p_partkey]
+        assert r.log10_likelihood == pytest.approx(forward(t.hap, t.read, "I" * len(t.read)), abs=2e-6)
+
+
+@tables
+def test_forest_query_learns_the_rule(spark):
+    rows = catalog.QUERIES["rf_classify"](spark, SF).collect()
+    assert len(rows) == catalog.table(spark, SF, "customer").count() and sum(r.wc == r.label for r in rows) > 0.97 * len(rows)
