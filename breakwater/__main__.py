@@ -1,4 +1,4 @@
-"""Command line: ``python -m breakwater call|cohort|pileup|stats|merge|classify``; results are written by Spark as text folders."""
+"""Command line: ``python -m breakwater call|cohort|pileup|stats|merge|classify|evaluate``; results are written by Spark as text folders."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from breakwater.operators import callsets as V
 from breakwater.operators import forest
 from breakwater.operators import reads as R
 from breakwater.plans import calling, piling
+from breakwater.plans.lineage import cut
 from breakwater.sources import bam, fasta, sinks, text
 
 
@@ -77,6 +78,13 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     sub.add_argument("-n", "--trees", type=int, default=500)
     sub.add_argument("-c", "--least", type=float, default=0.0, help="probability below which a record's class is unknown")
     sub.add_argument("-l", "--filter", choices=("sensitive", "specific"), default=None)
+    sub = commands.add_parser("evaluate", help="true and false calls against known events")
+    sub.add_argument("-f", "--file", required=True, help="records")
+    sub.add_argument("-t", "--truth", required=True, help="events: contig, start, end and more columns, separated by tabs")
+    sub.add_argument("-o", "--out", required=True)
+    sub.add_argument("-w", "--window", type=int, default=25)
+    sub.add_argument("-n", "--name", default="breakwater")
+    sub.add_argument("-x", "--without", default="", help="contigs whose calls are left out, separated by commas")
     sub = commands.add_parser("merge", help="near calls of several files as one")
     sub.add_argument("-f", "--files", required=True, help="call files separated by commas")
     sub.add_argument("-o", "--out", required=True)
@@ -91,6 +99,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         return pileup(spark, args)
     if args.command == "classify":
         return classify(spark, args)
+    if args.command == "evaluate":
+        return evaluate(spark, args)
     reads, contigs, samples = alignments(spark, args.files)
     whole, reads = reads, restricted(reads, contigs, args)
     if args.command == "stats":
@@ -123,6 +133,16 @@ def classify(spark: SparkSession, args: argparse.Namespace) -> None:
     sinks.classified_lines(text.vcf_header_lines(spark, args.file), forest.annotated(scored)).write.text(args.out)
 
 
+def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
+    """A call is true if either end lies within the window of a place of an event on its contig (``chr`` before names does not count)."""
+    records = text.read_vcf(spark, args.file)
+    calls = records.select(F.monotonically_increasing_id().alias("call_id"), S.strip_chr(F.col("chrom")).alias("seqid"), (F.col("pos") - 1).alias("start"), F.coalesce(S.info_value(F.col("info"), "END").try_cast("long") - 1, F.col("pos") - 1).alias("end"))
+    calls = cut(V.without_contigs(calls, [c for c in args.without.split(",") if c]))
+    events = text.read_bed(spark, args.truth).select(F.monotonically_increasing_id().alias("truth_id"), S.strip_chr(F.col("chr")).alias("seqid"), V.anchors_of(F.col("start"), F.col("end"), F.col("end") - F.col("start")).alias("anchors"))
+    rates = V.discovery_rates(V.truth_matches(calls, cut(events), args.window))
+    sinks.summary_line(rates, args.name, "SV", args.window).write.text(args.out)
+
+
 def pileup(spark: SparkSession, args: argparse.Namespace) -> None:
     groups = [p for p in (args.targets, args.backgrounds) if p]
     if not groups:

@@ -428,6 +428,17 @@ def _(spark, d):
     return other_ends(spark, d)
 
 
+@query("odd_names", sql("piled", "SELECT ref_id, bp, count(DISTINCT read_name) AS n_odd_names FROM piled WHERE odd GROUP BY ALL"))
+def _(spark, d):
+    return P.odd_names(piled(spark, d))
+
+
+@query("evaluation_partner", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey % 4 > 0 OR (l_discount * 10 >= 0.5 AND l_linenumber >= 2 AND (l_quantity >= 6 OR l_tax >= 0.01))) AND l_linenumber * 4 / nullif(l_quantity, 0) <= 1.5 AND l_linenumber * 4 <= 18 AND l_suppkey % 9 <= 1.4 * (l_partkey % 7) AND CASE WHEN l_partkey % 4 > 0 THEN l_suppkey % 5 ELSE 0 END >= 1 AND l_quantity >= 3 AND l_suppkey % 9 <= 6 AND l_partkey % 7 <= 5")
+def _(spark, d):
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_discount * 10 AS si", "l_linenumber + 4 AS pu", "l_quantity AS nc", "l_tax * 100 AS su", "l_linenumber * 4 AS n", "l_suppkey % 9 AS cu", "l_partkey % 7 AS rd", "CASE WHEN l_partkey % 4 > 0 THEN concat('c1,', l_partkey, ',', l_suppkey % 5) END AS be")
+    return V.evaluation_filter(t, 1, 3, 6, 5).select("l_orderkey", "l_linenumber")
+
+
 @query("clip_consensus")
 def _(spark, d):
     bases = Q.clipped_bases(cut(pile(spark, d)))

@@ -80,10 +80,15 @@ def discovery_rates(matched: DataFrame) -> DataFrame:
     return out.withColumn("fdr", F.try_divide(F.col("fp"), F.col("tp") + F.col("fp")))
 
 
-def evaluation_filter(calls: DataFrame) -> DataFrame:
-    """Thresholds of calls without a partner field: SI, PU, NC or SU, N/NC, N and CU against RD."""
+def evaluation_filter(calls: DataFrame, least_end: int = 0, least_clips: int = 0, most_places: int = 10**9, most_reads: int = 10**9) -> DataFrame:
+    """Thresholds of calls: of those without a partner (``be`` null, or no such column) SI, PU, and NC or SU; of all N/NC, N and CU against RD, and
+    the evaluation's own: the partner's count, NC, CU and RD."""
     n, nc = F.col("n"), F.col("nc")
-    return calls.where((F.col("si") >= 0.5) & (F.col("pu") >= 6) & ((nc >= 6) | (F.col("su") >= 1)) & (F.try_divide(n, nc) <= 1.5) & (n <= 18) & (F.col("cu") <= 1.4 * F.col("rd")))
+    end = F.col("be") if "be" in calls.columns else F.lit(None).cast("string")
+    alone = (F.col("si") >= 0.5) & (F.col("pu") >= 6) & ((nc >= 6) | (F.col("su") >= 1))
+    out = calls.where((end.isNotNull() | alone) & (F.try_divide(n, nc) <= 1.5) & (n <= 18) & (F.col("cu") <= 1.4 * F.col("rd")))
+    count = F.coalesce(F.get(F.split(end, ","), F.lit(2)).try_cast("long"), F.lit(0))
+    return out.where((count >= least_end) & (nc >= least_clips) & (F.col("cu") <= most_places) & (F.col("rd") <= most_reads))
 
 
 def without_contigs(calls: DataFrame, names: list[str]) -> DataFrame:

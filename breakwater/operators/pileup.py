@@ -137,6 +137,12 @@ def sample_evidence(marked: DataFrame) -> DataFrame:
     return out.withColumns({"n_close": F.col("n_deviant") - F.col("n_far"), "clip_share": F.col("n_clip") / F.col("n_reads")})
 
 
+def odd_names(piled: DataFrame) -> DataFrame:
+    """How many different names of odd reads lie over each place: ``ref_id, bp, n_odd_names``. Names are grouped first, in each task too."""
+    names = piled.where("odd").groupBy("ref_id", "bp", "read_name").agg(F.lit(1).alias("one"))
+    return names.groupBy("ref_id", "bp").agg(F.count("*").alias("n_odd_names"))
+
+
 def most_reads(reads: DataFrame, by: list[str], most: int) -> DataFrame:
     """Of each group's reads at most ``most``, those of the lowest hash of name and place; Spark cuts groups in each task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("read_name", "pos"), "read_name", "pos"))

@@ -286,28 +286,30 @@ def index_chunks(index: bytes, ref: int, start: int, end: int) -> list[tuple[int
 
 @dataclass
 class Piece(InputPartition):
-    """A range of a file: bytes, or virtual offsets from an index (``exact``)."""
+    """A range of a file: bytes, or virtual offsets from an index (``exact``) that may hold records of one region (its number)."""
 
     file: str
     begin: int
     end: int
     exact: bool = False
+    region: int = -1
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.files = json.loads(options["files"])
         self.split, self.rows = int(options["split"]), int(options["rows"])
-        self.region = json.loads(options["region"]) if options.get("region") else None
+        self.regions = [tuple(r) for r in json.loads(options["regions"])] if options.get("regions") else None
 
     def partitions(self):
         out = []
         for file, size, index in self.files:
-            if self.region and index:
+            if self.regions and index:
                 with _open(file) as handle, _open(index) as other:
-                    names = [n for n, _ in header(Blocks(handle, 0))[1]]
-                    chunks = index_chunks(other.read(), names.index(self.region[0]), *self.region[1:]) if self.region[0] in names else []
-                out += [Piece(file, a, b, True) for a, b in chunks]
+                    names, content = [n for n, _ in header(Blocks(handle, 0))[1]], other.read()
+                for k, (name, start, end) in enumerate(self.regions):
+                    if name in names:
+                        out += [Piece(file, a, b, True, k) for a, b in index_chunks(content, names.index(name), start, end)]
                 continue
             out += [Piece(file, k, min(k + self.split, size)) for k in range(0, size, self.split)]
         return out or [Piece("", 0, 0)]
@@ -334,11 +336,14 @@ class BamReader(DataSourceReader):
                 elif not first_record(blocks, piece.end, lengths):
                     return
                 before = lambda: blocks.place()[0] < piece.end
-            wanted = None if self.region is None else (names.index(self.region[0]) if self.region[0] in names else -2, *self.region[1:])
+            wanted = None if self.regions is None else [(names.index(n) if n in names else -2, a, b) for n, a, b in self.regions]
             while blocks.need(1) and before():
                 raw = blocks.take(blocks.number())
-                if wanted is None or _inside(raw, *wanted):
-                    yield _fields(raw, named)
+                if wanted is not None:  # a record belongs to the first region that it overlaps
+                    first = next((k for k, w in enumerate(wanted) if _inside(raw, *w)), -1)
+                    if first < 0 or piece.region not in (-1, first):
+                        continue
+                yield _fields(raw, named)
 
 
 class FilteredBamReader(BamReader):
@@ -355,8 +360,8 @@ class FilteredBamReader(BamReader):
             elif isinstance(f, LessThan | LessThanOrEqual) and f.attribute == ("pos",):
                 high = min(high, f.value + 1)
             yield f
-        if ref is not None and self.region is None:
-            self.region = [ref, low, high]
+        if ref is not None and self.regions is None:
+            self.regions = [(ref, low, high)]
 
 
 def _inside(raw: bytes, ref: int, start: int, end: int) -> bool:
@@ -369,7 +374,7 @@ def _inside(raw: bytes, ref: int, start: int, end: int) -> bool:
 
 
 class BamSource(DataSource):
-    """``spark.read.format("blocked_alignments")`` with options ``files`` (JSON of path, size, index), ``split``, ``rows``, ``region``."""
+    """``spark.read.format("blocked_alignments")`` with options ``files`` (JSON of path, size, index), ``split``, ``rows``, ``regions``."""
 
     @classmethod
     def name(cls) -> str:
@@ -382,10 +387,10 @@ class BamSource(DataSource):
         return (FilteredBamReader if self.options["push"] == "true" else BamReader)(self.options)
 
 
-def read_bam(spark: SparkSession, paths: str | list[str], rows: int = 10_000, split: int = 64 << 20, region: tuple[str, int, int] | None = None) -> DataFrame:
+def read_bam(spark: SparkSession, paths: str | list[str], rows: int = 10_000, split: int = 64 << 20, region: tuple[str, int, int] | list[tuple[str, int, int]] | None = None) -> DataFrame:
     """The columns that text alignments have, in tasks of about ``split`` compressed bytes; files, folders and patterns are taken.
 
-    ``region`` (contig, start, end; 0-based, half open) keeps the records that overlap it; where an index lies beside a file (the file's
+    ``region`` (contig, start, end; 0-based, half open), or a list of them, keeps the records that overlap one, each once; where an index lies beside a file (the file's
     name, with or without its ending, and ``.bai``), only the blocks that it names are read. Filters on ``ref`` and ``pos`` do the same
     where ``spark.sql.python.filterPushdown.enabled`` is set. A file that is cut short, or of another format, is an error.
     """
@@ -401,10 +406,27 @@ def read_bam(spark: SparkSession, paths: str | list[str], rows: int = 10_000, sp
             continue
     files = [(p, n, next((i for i in (f"{p}.bai", f"{p.removesuffix('.bam')}.bai") if i in indexes), None)) for p, n in sorted(found.items())]
     spark.dataSource.register(BamSource)
-    options = {"files": json.dumps(files), "split": str(split), "rows": str(rows), "push": push} | ({"region": json.dumps(region)} if region else {})
+    options = {"files": json.dumps(files), "split": str(split), "rows": str(rows), "push": push} | ({"regions": json.dumps([region] if isinstance(region, tuple) else region)} if region else {})
     return spark.read.format("blocked_alignments").options(**options).load()
 
 
+def sample_windows(contigs: DataFrame, count: int, width: int = 2000, seed: int = 1) -> list[tuple[str, int, int]]:
+    """At most ``count`` different windows of ``width`` bases of the contigs (``name, length``), those of the lowest hash."""
+    lengths = contigs.groupBy("name").agg(F.max("length").alias("length")).where(F.col("length") >= width)
+    tiles = lengths.select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / width) - 1)).alias("k"))
+    few = tiles.orderBy(F.xxhash64(F.lit(seed), "name", "k"), "name", "k").limit(count)
+    return [(r.name, r.k * width, (r.k + 1) * width) for r in few.collect()]
+
+
+def sample_bam(spark: SparkSession, paths: str | list[str], count: int = 64, width: int = 2000, seed: int = 1) -> DataFrame:
+    """The records of ``count`` random windows of the files' contigs; with indexes nothing but their blocks is read.
+
+    For estimates, such as ``library_stats``, of files that are too large to read for them.
+    """
+    windows = sample_windows(read_bam_header(spark, paths)[0], count, width, seed)
+    return read_bam(spark, paths, region=windows) if windows else read_bam(spark, paths).where("false")
+
+
 def by_position(reads: DataFrame, contigs: DataFrame, parts: int | None = None) -> DataFrame:
     """Alignments of all files in one order: by contig as the header lists them (``contigs`` has ``name, number``), then by place.
 

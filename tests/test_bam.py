@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from breakwater.sources.bam import BASE_LETTERS, CIGAR_LETTERS, BamReader, by_position, read_bam, read_bam_header, read_whole_bam
+from breakwater.sources.bam import BASE_LETTERS, CIGAR_LETTERS, BamReader, by_position, read_bam, read_bam_header, read_whole_bam, sample_bam, sample_windows
 
 TEXT = "@HD\tVN:1.6\tSO:coordinate\n@RG\tID:x\tSM:first\n"
 
@@ -111,7 +111,7 @@ def test_region_reads_its_blocks_only(spark, tmp_path):
     assert names(read_bam(spark, str(tmp_path), region=("chr2", start, end))) == want and want
     path, index = f"file://{tmp_path}/a.bam", f"file://{tmp_path}/a.bam.bai"
     size = (tmp_path / "a.bam").stat().st_size
-    reader = BamReader({"files": json.dumps([(path, size, index)]), "split": "1000000", "rows": "100", "region": json.dumps(("chr2", start, end))})
+    reader = BamReader({"files": json.dumps([(path, size, index)]), "split": "1000000", "rows": "100", "regions": json.dumps([("chr2", start, end)])})
     assert sum((p.end >> 16) - (p.begin >> 16) for p in reader.partitions()) < size / 6
     assert names(read_bam(spark, str(tmp_path), region=("chr9", 0, 10))) == []
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -130,3 +130,18 @@ def test_files_in_one_order(spark, tmp_path):
     parts = by_position(read_bam(spark, paths, split=50_000), contigs, 5).rdd.glom().map(lambda rows: [(r.ref, r.pos) for r in rows]).collect()
     flat = [x for p in parts for x in p]
     assert len(flat) == 1000 and flat == sorted(flat) and sum(map(bool, parts)) > 1
+
+
+def test_sampled_windows(spark, tmp_path):
+    pieces = big_file(tmp_path / "a.bam", 6)
+    contigs = read_bam_header(spark, str(tmp_path / "a.bam"))[0]
+    windows = sample_windows(contigs, 9, 2000)
+    assert len(set(windows)) == 9 and windows == sample_windows(contigs, 9, 2000) and all(b - a == 2000 and b <= 300_000 for _, a, b in windows)
+    inside = lambda ref, pos, end: any(n == f"chr{ref + 1}" and pos < b and end > a for n, a, b in windows)
+    want = sorted(f"r6_{k}" for k, (ref, pos, end, _, _) in enumerate(pieces) if inside(ref, pos, end))
+    (tmp_path / "a.bam.bai").write_bytes(index_of(pieces))
+    got = sample_bam(spark, str(tmp_path), 9)
+    assert sorted(r.read_name for r in got.collect()) == want and want
+    near = [("chr1", 1000, 1500), ("chr1", 1400, 2500), ("chr1", 0, 40_000)]  # overlapping regions give a record once
+    both = sorted(r.read_name for r in read_bam(spark, str(tmp_path), region=near).collect())
+    assert both == sorted(f"r6_{k}" for k, (ref, pos, end, _, _) in enumerate(pieces) if ref == 0 and pos < 40_000)

@@ -83,3 +83,11 @@ def test_converters(spark, tmp_path):
     (tmp_path / "x.gvf").write_text("##gvf\nc1\ts\tdel\t100\t300\t.\t+\t.\tStart_range=90,110;End_range=290,310;\nc2\ts\tdup\t50\t60\t.\t+\t.\tID=3;\n")
     got = callsets.gvf_to_bedpe(text.read_gvf(spark, str(tmp_path / "x.gvf")), 5).orderBy("name").collect()
     assert [tuple(x)[:7] for x in got] == [("c1", 84, 114, "c1", 284, 314, "1:del:200"), ("c2", 45, 55, "c2", 55, 65, "2:dup:10")] and got[1].extra == "ID=3;"
+
+
+def test_evaluate(spark, tmp_path):
+    rec = lambda c, p, e: f"{c}\t{p}\t.\tN\t<DEL>\t.\t.\tEND={e};SVTYPE=DEL\n"
+    (tmp_path / "in.vcf").write_text("#CHROM\tPOS\n" + rec("chr1", 1001, 2001) + rec("chr1", 1010, 2500) + rec("1", 9001, 9500) + rec("chr2", 1001, 2001) + rec("MT", 1001, 2001))
+    (tmp_path / "truth.bed").write_text("chr1\t1000\t2000\tx\nchr1\t5000\t5100\ty\nbad line\n")
+    run(spark, ["evaluate", "-f", str(tmp_path / "in.vcf"), "-t", str(tmp_path / "truth.bed"), "-o", str(tmp_path / "out"), "-x", "MT", "-n", "own"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["own\tSV\t25\t2\t1\t0.666667"]
