@@ -12,7 +12,7 @@ from breakwater.operators import callsets as V
 from breakwater.operators import forest
 from breakwater.operators import reads as R
 from breakwater.plans import calling, piling
-from breakwater.plans.lineage import cut
+from breakwater.plans.lineage import clear, cut
 from breakwater.sources import bam, fasta, sinks, text
 
 
@@ -169,8 +169,11 @@ def main() -> None:
     import sys
 
     spark = SparkSession.builder.appName("breakwater").getOrCreate()
-    run(spark, sys.argv[1:])
-    spark.stop()
+    try:
+        run(spark, sys.argv[1:])
+    finally:
+        clear(spark)
+        spark.stop()
 
 
 if __name__ == "__main__":

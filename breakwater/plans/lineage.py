@@ -25,9 +25,23 @@ def _local_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="breakwater-")
 
 
+#: What this process has written and not cleared.
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this process has cut so far, and say how many; results that were not written or collected yet are lost."""
+    done = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -40,6 +54,7 @@ def cut_by(df: DataFrame, key: str, *order: str) -> DataFrame:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"breakwater_{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}")
     written = df.repartition(n, key).sortWithinPartitions(key, *order).write.format("parquet").option("path", f"{shared_dir(spark)}/{name}")
     written.bucketBy(n, key).sortBy(key, *order).saveAsTable(name)
     out = spark.table(name)

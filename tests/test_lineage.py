@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from breakwater.plans import lineage
@@ -28,3 +30,11 @@ def test_cut_by(spark, rows):
     grouped = out.groupBy("k").count()
     assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
     assert {r.k: r["count"] for r in grouped.collect()} == {r.k: r["count"] for r in df.groupBy("k").count().collect()}
+
+
+def test_cut_tables_are_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(lineage, "_written", [])
+    assert lineage.cut(spark.range(3)).count() == 3 and lineage.cut_by(spark.range(5), "id").count() == 5
+    assert len(os.listdir(tmp_path / "shared")) == 2 and lineage.clear(spark) == 2
+    assert os.listdir(tmp_path / "shared") == [] and lineage.clear(spark) == 0
