@@ -58,6 +58,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         sub.add_argument("-m", "--quality", type=int, default=20, help="mapping quality that a mate of each pair needs")
         sub.add_argument("-d", "--matched", type=int, default=100, help="matching bases that a pair needs")
         sub.add_argument("-i", "--tag", choices=("SA", "XP"), default="SA", help="tag of split reads")
+        sub.add_argument("--strict", action="store_true", help="files must name their sample and be sorted by coordinate")
         sub.add_argument("-g", "--graph", default="", help="folder for the graphs of the called components")
         sub.add_argument("-a", "--fasta", default="", help="reference sequences, for the REF bases of records")
     sub = commands.add_parser("pileup", help="calls at places of many clips, with genotypes, targets against backgrounds")
@@ -102,6 +103,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     if args.command == "evaluate":
         return evaluate(spark, args)
     reads, contigs, samples = alignments(spark, args.files)
+    if args.strict:
+        text.checked_headers(samples)
     whole, reads = reads, restricted(reads, contigs, args)
     if args.command == "stats":
         depth = R.depth_stats(R.with_cigar(R.stats_read_filter(reads)))

@@ -28,7 +28,7 @@ NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 ALIGNMENTS = "file string, read_name string, flag int, ref string, pos long, mapq int, cigar string, mate_ref string, mate_pos long, insert_size long, seq string, qual string, tags map<string,string>"
 MAGIC = b"\x1f\x8b\x08\x04"
 _QUALITY = bytes((x + 33) & 255 for x in range(256))
-_PAIRS = [a + b for a in BASE_LETTERS for b in BASE_LETTERS]
+_BASES = str.maketrans("0123456789abcdef", BASE_LETTERS)  # of a base's four bits as a hexadecimal digit
 
 
 class Inflated:
@@ -92,7 +92,7 @@ def _fields(raw: bytes, named) -> tuple:
     at = 32 + name_len
     ops = struct.unpack_from(f"<{n_ops}I", raw, at)
     bases, at = at + 4 * n_ops, at + 4 * n_ops + (length + 1) // 2
-    seq = "".join([_PAIRS[x] for x in raw[bases:at]])[:length] or "*"
+    seq = raw[bases:at].hex().translate(_BASES)[:length] or "*"
     quals = raw[at : at + length]
     qual = "*" if not length or quals[0] == 255 else quals.translate(_QUALITY).decode()
     cigar = "".join([f"{x >> 4}{CIGAR_LETTERS[x & 15]}" for x in ops]) or "*"

@@ -38,6 +38,14 @@ def read_sam_header(spark: SparkSession, paths: str | list[str]) -> tuple[DataFr
     return contigs, order.join(groups, "file", "full")
 
 
+def checked_headers(samples: DataFrame) -> DataFrame:
+    """``samples`` of headers, if each file names its sample and is sorted by coordinate; else an error that names the files."""
+    bad = samples.where("sample IS NULL OR coalesce(sort_order, '') <> 'coordinate'").orderBy("file").limit(20).collect()
+    if bad:
+        raise ValueError("no sample or not sorted by coordinate: " + ", ".join(r.file for r in bad))
+    return samples
+
+
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """``chr, start, end``; lines with fewer columns or without numbers are dropped."""
     rows = spark.read.text(path).select(F.split("value", "\t").alias("c")).where("size(c) >= 3")

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from breakwater.__main__ import run
 from breakwater.operators import callsets
 from breakwater.sources import text
@@ -54,7 +56,7 @@ def test_cohort_and_options(spark, tmp_path):
     run(spark, ["call", "-f", str(tmp_path / "first.sam"), "-o", str(tmp_path / "region"), "-r", "chr1:3000-3300", "-c", "chr1", "-m", "30"])
     found = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "region")).collect() if r.value[0] != "#"]
     assert len(found) == 1 and "CIPOS=-10,10" in found[0][7] and ";T=" in found[0][7]  # the clipped mates lie outside the region
-    run(spark, ["call", "-f", str(tmp_path / "first.sam"), "-o", str(tmp_path / "strict"), "-m", "61"])
+    run(spark, ["call", "-f", str(tmp_path / "first.sam"), "-o", str(tmp_path / "strict"), "-m", "61", "--strict"])
     assert spark.read.text(str(tmp_path / "strict")).where("value NOT LIKE '#%'").count() == 0
 
 
@@ -91,3 +93,13 @@ def test_evaluate(spark, tmp_path):
     (tmp_path / "truth.bed").write_text("chr1\t1000\t2000\tx\nchr1\t5000\t5100\ty\nbad line\n")
     run(spark, ["evaluate", "-f", str(tmp_path / "in.vcf"), "-t", str(tmp_path / "truth.bed"), "-o", str(tmp_path / "out"), "-x", "MT", "-n", "own"])
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["own\tSV\t25\t2\t1\t0.666667"]
+
+
+def test_strict_headers(spark, tmp_path):
+    sam(tmp_path / "a.sam")
+    (tmp_path / "b.sam").write_text((tmp_path / "a.sam").read_text().replace("SO:coordinate", "SO:unsorted"))
+    (tmp_path / "c.sam").write_text((tmp_path / "a.sam").read_text().replace("@RG\tID:x\tSM:first\n", ""))
+    heads = lambda *names: text.read_sam_header(spark, [str(tmp_path / f"{n}.sam") for n in names])[1]
+    assert text.checked_headers(heads("a")).count() == 1
+    with pytest.raises(ValueError, match=r"b\.sam, .*c\.sam"):
+        text.checked_headers(heads("a", "b", "c"))
