@@ -97,13 +97,44 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, i
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
+def _open(rows: DataFrame, at: list[str], segments: Column, most: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those of branches (``at``) some level of whose ``segments`` has more than ``most`` different ones, and the others.
+
+    What a level of a branch has bounds what that level has anywhere below the branch, so nothing is left to decide for the others.
+    """
+    each = rows.select(*at, F.posexplode(segments).alias("__level", "__one"))
+    wide = cut(each.groupBy(*at, "__level").agg(F.count_distinct("__one").alias("__n")).where(F.col("__n") > most).select(*at).distinct())
+    return rows.join(wide, at, "left_semi"), rows.join(wide, at, "left_anti")
+
+
+def _closing(level: int) -> bool:
+    """Whether branches with nothing left to decide are looked for at this level: at the fourth and at every doubling of it.
+
+    So a path of any length, or a loop that a crawler ran in, costs as many rounds as its tree has real forks, not a round a segment.
+    """
+    return level >= 4 and level & (level - 1) == 0
+
+
+def _together(done: list[DataFrame]) -> list[DataFrame]:
+    """``done``, written as one table once it has 16 parts, so that the plan stays short."""
+    return done if len(done) < 16 else [cut(reduce(DataFrame.unionByName, done))]
+
+
 def _templates(paths: DataFrame, varied: float, few: int) -> DataFrame:
     """``paths`` with their template, level by level; each level is written, as it is read twice by the next one."""
-    tree, done = paths.withColumn("template", F.lit("")), []
-    for level in range(paths.agg(F.max(F.size("__segments")).alias("n")).first()["n"] or 0):
+    columns = ["host", "__segments", "template", "pages", "labelled", "bad"]
+    tree, done, level = paths.withColumn("template", F.lit("")).select(columns), [], 0
+    while True:
         # Paths that end here have their template; only the others go on.
-        done.append(tree.where(F.size("__segments") <= level))
+        done = _together([*done, tree.where(F.size("__segments") <= level)])
         tree = tree.where(F.size("__segments") > level)
+        if _closing(level):
+            rest = F.slice("__segments", F.lit(level + 1), F.size("__segments"))
+            tree, closed = _open(tree, ["host", "template"], rest, few)
+            tree, closed = cut(tree.select(columns)), closed.withColumn("template", F.concat_ws("/", "template", rest))
+            done.append(cut(closed.select(columns)))
+        if tree.isEmpty():
+            return reduce(DataFrame.unionByName, done)
         segment = F.get("__segments", F.lit(level))
         tree = tree.withColumn("__segment", segment).withColumn("__kind", _shape(segment))
         branches = tree.groupBy("host", "template", "__kind", "__segment").agg(F.sum("pages").alias("n"), F.count("*").alias("rows"))
@@ -113,8 +144,8 @@ def _templates(paths: DataFrame, varied: float, few: int) -> DataFrame:
         nodes = cut(nodes.select("host", "template", "rows", free("distinct").alias("__vary"), free("kinds").alias("__vary_kinds")))
         tree = spread_join(tree, nodes, ["host", "template"], "rows")
         step = F.when(F.col("__vary") & F.col("__vary_kinds"), F.lit("/*")).when(F.col("__vary"), F.concat(F.lit("/"), "__kind")).otherwise(F.concat(F.lit("/"), "__segment"))
-        tree = cut(tree.withColumn("template", F.concat("template", step)).select("host", "__segments", "template", "pages", "labelled", "bad"))
-    return reduce(DataFrame.unionByName, [*done, tree])
+        tree = cut(tree.withColumn("template", F.concat("template", step)).select(columns))
+        level += 1
 
 
 def _merge_alike(templates: DataFrame, alike: float, reject: float) -> DataFrame:
@@ -125,10 +156,18 @@ def _merge_alike(templates: DataFrame, alike: float, reject: float) -> DataFrame
     """
     at, total = ["host", "merged"], lambda *names: (F.sum(c).alias(c) for c in names)
     parts = cut(templates.select("*", F.lit("").alias("merged"), F.expr("slice(split(template, '/'), 2, size(split(template, '/')))").alias("__rest")))
-    done = []
-    for _ in range(parts.agg(F.max(F.size("__rest")).alias("n")).first()["n"] or 0):
-        done.append(parts.where(F.size("__rest") == 0))
-        parts = parts.where(F.size("__rest") > 0).withColumns({"__own": F.get("__rest", F.lit(0)), "__rest": F.expr("slice(__rest, 2, size(__rest))")})
+    done, level, columns = [], 0, parts.columns
+    while True:
+        done = _together([*done, parts.where(F.size("__rest") == 0)])
+        parts = parts.where(F.size("__rest") > 0)
+        if _closing(level):  # without two branches at any level below there are no siblings to merge
+            parts, closed = _open(parts, at, F.col("__rest"), 1)
+            parts = cut(parts.select(columns))
+            done.append(cut(closed.withColumn("merged", F.concat_ws("/", "merged", "__rest")).select(columns)))
+        if parts.isEmpty():
+            return reduce(DataFrame.unionByName, done).drop("__rest")
+        level += 1
+        parts = parts.withColumns({"__own": F.get("__rest", F.lit(0)), "__rest": F.expr("slice(__rest, 2, size(__rest))")})
         branch = parts.groupBy(*at, "__own").agg(*total("bad", "labelled"))
         children = parts.groupBy(*at, "__own", "__rest").agg(*total("pages"))
         mean = children.groupBy(*at, "__rest").agg(F.sum("pages").alias("__all"))
@@ -142,22 +181,22 @@ def _merge_alike(templates: DataFrame, alike: float, reject: float) -> DataFrame
         shared = signs.groupBy(*at, "__group").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
         names = signs.join(shared, [*at, "__group"]).select(*at, "__own", F.concat(F.lit("+"), "__group").alias("__name"))
         named = parts.join(names, [*at, "__own"], "left").withColumn("merged", F.concat("merged", F.lit("/"), F.coalesce("__name", "__own")))
-        parts = cut(named.select("host", "template", "pages", "labelled", "bad", "merged", "__rest"))
-    return reduce(DataFrame.unionByName, [*done, parts]).drop("__rest")
+        parts = cut(named.select(columns))
 
 
 def _purities(merged: DataFrame, prior: float, reject: float) -> DataFrame:
     """``host, merged, purity`` of each merged template, smoothed along the branches above it.
 
     A template's line goes from its widest domain through its host's root down to itself; every branch on it is counted once over all
-    pages, and the line's counts are folded into one number. Lines are as long as hosts and paths have parts.
+    pages, and the line's counts are folded into one number. Lines are as long as hosts and paths have parts; branches go by digests of
+    their paths, so that a line's size does not grow with the square of its parts.
     """
     leaves = cut(merged.groupBy("host", "merged").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")))
     share = leaves.agg(F.least(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)), F.lit(reject)).alias("b")).first()["b"]
     parts = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("at"), F.array_join(F.slice(parts, F.size(parts) - k + 1, k), ".").alias("name")))
     steps = F.split("merged", "/")
-    paths = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct((F.lit(1_000_000) + k).alias("at"), F.concat("host", F.lit("/"), F.array_join(F.slice(steps, 2, k - 1), "/")).alias("name")))
+    paths = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct((F.lit(1_000_000) + k).alias("at"), F.md5(F.concat("host", F.lit("/"), F.array_join(F.slice(steps, 2, k - 1), "/")).cast("binary")).alias("name")))
     line = F.concat(domains, paths)
     lines = leaves.select("host", "merged", "bad", "labelled", F.explode(line).alias("x")).select("host", "merged", "bad", "labelled", "x.at", "x.name")
     lines = cut(lines)

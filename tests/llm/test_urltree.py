@@ -99,6 +99,22 @@ def test_plain_tree(spark, seed):
         assert x.verdict == ("block" if x.purity > U.REJECT else "allow")
 
 
+def test_deep_paths(spark):
+    """A path of 300 segments, a loop of growing depth, and forks far down that vary: the plain tree's templates in few rounds."""
+    r = random.Random(4)
+    paths = [["a"] * n for n in range(1, 40)] + [["deep"] * 3 + [f"k{k}" for k in range(300)]]
+    paths += [["x", "y", "z", "u", "v", f"w{r.randrange(3)}", str(r.randrange(900)), r.choice(["p", "q"]), "t" * r.randrange(1, 30)][: r.randrange(5, 10)] for _ in range(150)]
+    paths += [["same"] * 5 + [b, "c", d] for b in ("l", "m", "n") for d in ("one", "two") for _ in range(2)]
+    pages = [("deep.org", tuple(p), k) for k, p in enumerate(paths)]
+    labels = {k: int(r.random() < (0.8 if "w1" in p else 0.1)) for k, p in enumerate(paths) if r.random() < 0.5}
+    want = plain_tree(pages, labels)
+    df = spark.createDataFrame([(k, "http://deep.org/" + "/".join(p)) for k, p in enumerate(paths)], "page_id long, url string")
+    got = U.judge_urls(df, spark.createDataFrame(list(labels.items()), "page_id long, bad int")).collect()
+    assert len(got) == len(paths) and any("*" in x.template or "#" in x.template for x in got) and any("+" in x.template for x in got)
+    for x in got:
+        assert x.template == want[x.page_id][0] and x.purity == pytest.approx(want[x.page_id][1], abs=2e-6)
+
+
 def test_rules_as_labels(spark):
     """A host most of whose pages a rule blocks loses its other pages too; a host without such pages keeps them; rows may repeat."""
     urls = [f"http://bad.net/es/{k}" for k in range(6)] + ["http://bad.net/en/1", "http://bad.net/en/1", "http://calm.net/en/1", "http://calm.org/en/1", None]
