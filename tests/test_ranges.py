@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from breakwater.functions import special as X
 from breakwater.functions.scalar import sample_deviation
 from breakwater.operators import breaks, callsets, ranges
-from breakwater.operators.intervals import islands
+from breakwater.operators.intervals import _dealt, islands, points_in_intervals
 
 
 def calls(n, contigs, seed):
@@ -39,6 +39,34 @@ def test_islands_over_borders(spark, contigs, parts):
         assert ranges.ranged(df, ["seqid", "five", "three"], parts).select("__part").distinct().count() == parts
 
 
+def test_hot_bins_are_dealt(spark):
+    """Bins with a third of the spans, of the points, and of both: every pair once, and no key keeps a hot bin."""
+    r = random.Random(6)
+    points = [(r.choice(["a", "b", None]), r.randrange(20_000), k) for k in range(300)]
+    points += [("p", 700, 300 + k) for k in range(150)] + [("both", 40 + k % 5, 450 + k) for k in range(150)] + [("s", 777, 600), ("s", None, 601)]
+    spans = [(r.choice(["a", "b", None]), v := r.randrange(20_000), v + r.randrange(1500), k) for k in range(300)]
+    spans += [("s", 700 - k % 9, 790, 300 + k) for k in range(150)] + [("both", 38, 40 + k % 6, 450 + k) for k in range(150)] + [("p", 600, 1100, 600), ("p", None, 5, 601)]
+    a = spark.createDataFrame(points, "k string, at long, p long").withColumn("more", F.create_map(F.lit("x"), "p"))
+    b = spark.createDataFrame(spans, "k string, low long, high long, s long")
+    want = sorted((p[2], s[3]) for p in points for s in spans if p[0] and p[0] == s[0] and None not in (p[1], s[1]) and s[1] <= p[1] <= s[2])
+    for least in (40, 10_000):
+        got = points_in_intervals(a, b, ["k"], "at", "low", "high", share=20, parts=16, least=least)
+        assert got.columns == ["k", "at", "p", "more", "low", "high", "s"] and sorted((x.p, x.s) for x in got.collect()) == want
+    near = [df.withColumn("__bin", F.floor(F.col(c) / 1000)) for df, c in ((a, "at"), (b, "low"))]
+    for df, at in zip(_dealt(*near, ["k", "__bin"], 20, 16, 40)[:2], (150, 150), strict=True):
+        assert max(x["count"] for x in df.groupBy("k", "__bin", "__row", "__column").count().collect()) < at / 2
+    assert points_in_intervals(a.where("false"), b, ["k"], "at", "low", "high").count() == 0
+
+
+def test_place_of_many_reads(spark):
+    """A place that 60,000 of 100,000 reads cover has the counters of any other."""
+    reads = spark.range(100_000).select(F.lit(1).alias("ref_id"), F.when(F.col("id") < 60_000, 5_000).otherwise(F.col("id") * 10).alias("pos"), "id").withColumn("end_pos", F.col("pos") + 99)
+    places = spark.range(40).select(F.lit(1).alias("ref_id"), (F.lit(4_990) + F.col("id")).alias("bp"))
+    piled = points_in_intervals(places, reads, ["ref_id"], "bp", "pos", "end_pos")
+    assert {(x.bp, x["count"]) for x in piled.groupBy("bp").count().collect()} == {(5_000 + k, 60_000) for k in range(30)}
+    assert "__row" in points_in_intervals(places, reads, ["ref_id"], "bp", "pos", "end_pos")._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_numbers_over_all(spark, parts):
     rows = calls(300, 4, 8)
