@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from breakwater.functions import cigar as C
 from breakwater.functions.scalar import DUPLICATE, FAILED, MATE_UNMAPPED, PAIRED, PROPER, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED, has_flag  # noqa: F401
+from breakwater.operators.skew import broadcast_small
 
 EVIDENCE = "HMLRAXSVZID"
 
@@ -36,11 +37,11 @@ def stats_read_filter(reads: DataFrame) -> DataFrame:
 
 
 def contig_filter(reads: DataFrame, contigs: DataFrame, skip: DataFrame | None = None, least: int = 1000) -> DataFrame:
-    """Reads of contigs longer than ``least`` and not in the skip list (both lists of contigs, a bounded side)."""
+    """Reads of contigs longer than ``least`` and not in the skip list (both are lists of contigs)."""
     keep = contigs.where(F.col("length") > least).select("ref_id")
     if skip is not None:
         keep = keep.join(skip.select("ref_id"), "ref_id", "left_anti")
-    return reads.join(F.broadcast(keep), "ref_id", "left_semi")
+    return reads.join(broadcast_small(keep), "ref_id", "left_semi")
 
 
 def region_filter(reads: DataFrame, ref_id: int, start: int, end: int) -> DataFrame:
@@ -178,7 +179,7 @@ def split_edges(reads: DataFrame, contigs: DataFrame, most_mismatches: int = 10,
     """
     parts = (C.parse_xp if tag == "XP" else C.parse_sa)(F.col("tags").getItem(tag))
     one = reads.withColumn("all", parts).where("size(all) = 1").withColumn("sa", F.get("all", F.lit(0)))
-    one = one.join(F.broadcast(contigs.select(F.col("ref_id").alias("sa_ref"), "name")), F.col("sa.seqid") == F.col("name"))
+    one = one.join(broadcast_small(contigs.select(F.col("ref_id").alias("sa_ref"), "name")), F.col("sa.seqid") == F.col("name"))
     ops, other = F.col("ops"), F.col("sa.cigar")
     one = one.where((F.coalesce("sa.nm", F.lit(0)) <= most_mismatches) & (F.coalesce("sa.mapq", F.lit(least_quality)) >= least_quality) & ~C.both_clipped(ops) & ~C.both_clipped(other) & (F.col("sa_ref") == F.col("ref_id")))
     back, front = F.col("back").isin("S", "H"), F.col("front").isin("S", "H")

@@ -20,6 +20,14 @@ def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], count: str,
     return dealt.join(values.withColumn("__part", F.explode(copies)).drop(count), [*keys, "__part"]).drop("__part")
 
 
+def broadcast_small(rows: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """``rows``, to be broadcast if they are ``most`` at most, which is counted up to there and no further.
+
+    Beyond that they are joined by a shuffle, in which Spark splits the other side's hot keys. For lists that are read and not worked out.
+    """
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("merge")
+
+
 def for_all_cores(df: DataFrame) -> DataFrame:
     """``df``, dealt anew if it comes in fewer partitions than the cluster has cores (a small file cannot be split); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

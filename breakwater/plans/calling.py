@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from breakwater.operators import calls as K
 from breakwater.operators import reads as R
 from breakwater.operators.callsets import merge_calls
+from breakwater.operators.skew import broadcast_small
 from breakwater.plans.lineage import cut
 
 #: Names of call types.
@@ -19,7 +20,7 @@ def prepare(alignments: DataFrame, samples: DataFrame) -> DataFrame:
 
     ``samples`` (file, sample) has one row a file; a file without a sample stands for itself.
     """
-    named = alignments.join(F.broadcast(samples.select("file", F.col("sample").alias("__sample"))), "file", "left")
+    named = alignments.join(broadcast_small(samples.select("file", F.col("sample").alias("__sample"))), "file", "left")
     mate = F.when(F.col("flag").bitwiseAND(F.lit(0x40)) != 0, 1).when(F.col("flag").bitwiseAND(F.lit(0x80)) != 0, 2)
     extra = {"sample": F.coalesce("__sample", "file"), "mate": mate, "ref_id": F.col("ref"), "mate_ref_id": F.col("mate_ref"), "nm": F.col("tags")["NM"].cast("int"), "xa": F.col("tags")["XA"]}
     return named.withColumns(extra).drop("__sample", "ref", "mate_ref")

@@ -12,6 +12,7 @@ from breakwater.functions import special as X
 from breakwater.functions.scalar import sample_deviation
 from breakwater.operators import breaks, callsets, ranges
 from breakwater.operators.intervals import _dealt, islands, points_in_intervals
+from breakwater.operators.skew import broadcast_small
 
 
 def calls(n, contigs, seed):
@@ -58,6 +59,16 @@ def test_hot_bins_are_dealt(spark):
     assert points_in_intervals(a.where("false"), b, ["k"], "at", "low", "high").count() == 0
 
 
+def test_only_small_lists_are_broadcast(spark):
+    reads, contigs = spark.range(50).withColumn("ref_id", F.col("id") % 7), spark.range(5).select(F.col("id").alias("ref_id"))
+    kinds = []
+    for most in (5, 4):
+        out = reads.join(broadcast_small(contigs, most), "ref_id", "left_semi")
+        assert sorted(r.id for r in out.collect()) == [k for k in range(50) if k % 7 < 5]
+        kinds.append("BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString())
+    assert kinds == [True, False]
+
+
 def test_place_of_many_reads(spark):
     """A place that 60,000 of 100,000 reads cover has the counters of any other."""
     reads = spark.range(100_000).select(F.lit(1).alias("ref_id"), F.when(F.col("id") < 60_000, 5_000).otherwise(F.col("id") * 10).alias("pos"), "id").withColumn("end_pos", F.col("pos") + 99)
