@@ -107,3 +107,13 @@ def test_suffix_at_full_length(spark):
     for shard, most in ((suffix.SHARD, suffix.SPANS), (3000, 2)):
         got = [tuple(x) for x in suffix.remove_repeats(df, shard=shard, most_spans=most).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_held_out_without_id(spark):
+    """The fold of the contract; a row without an id is in none."""
+    from zlib import crc32
+
+    from breakwater.llm.queries import held_out
+
+    got = spark.createDataFrame([(k,) for k in (None, *range(40))], "doc_id long").select("doc_id", held_out().alias("out")).collect()
+    assert all(r.out == (r.doc_id is not None and crc32(str(r.doc_id).encode()) % 5 == 0) for r in got) and any(r.out for r in got)
