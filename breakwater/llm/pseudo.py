@@ -2,7 +2,7 @@
 
 A small window network (context embeddings weighted by place, a tanh layer, a two-level softmax over classes and their words) is trained
 in numpy. Texts are dealt into runs by a hash of what they are, whatever partitions they came in; each run takes one pass over its
-texts in the order of that hash from the same start, masking every other word, and the runs' parameters are averaged by their numbers of
+texts in the order of that hash from the same start, masking every other word, then the words between, and the runs' parameters are averaged by their numbers of
 words, as whole numbers, so that the sum does not depend on its order either. The network tells apart the most frequent words of the
 whole corpus and hashed buckets of all others; a word in a bucket is predicted as its bucket by the network, then as itself by its share of the
 bucket's words in the corpus. Those counts grow with the corpus: they are summed in shards of words and sent back only to the runs
@@ -23,7 +23,7 @@ CLASSES, MEMBERS = 32, 32
 BUCKETS = 256
 WIDE = 16
 OFFSETS = (-2, -1, 1, 2)
-BATCH = 1024
+BATCH = 2048
 #: Bytes of text in a run, and shards (by the leading bits of their hash) over which its words are dealt.
 RUN = 16 << 20
 SHARD_BITS = 10
@@ -213,6 +213,11 @@ def learn_vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     return Vocabulary([r.word for r in top]), mass
 
 
+def steps(n: int) -> list[slice]:
+    """Which of ``n`` words each step masks: of every stretch first the even ones, then those between, so each word is masked once."""
+    return [slice(a, k + 2 * BATCH, 2) for k in range(0, n, 2 * BATCH) for a in range(k, min(k + 2, n))]
+
+
 def train(runs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """One pass of every run over all its texts, then the mean of their parameters weighted by words."""
     begin = start()
@@ -226,8 +231,8 @@ def train(runs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             words, first = word_hashes(*utf8(batch.column("text")))
             ids = vocabulary(words)
             around = contexts(ids, first)
-            for k in range(0, len(ids), 2 * BATCH):
-                log_probs(p, around[:, k : k + 2 * BATCH : 2], ids[k : k + 2 * BATCH : 2], RATE, memory)
+            for own in steps(len(ids)):
+                log_probs(p, around[:, own], ids[own], RATE, memory)
             total += len(ids)
         values = np.rint(flat(p).astype(np.float64) * UNIT).astype(np.int64) * total
         return pa.table({"at": pa.array(np.arange(len(values), dtype=np.int32)), "value": pa.array(values), "weight": pa.array(np.full(len(values), total))})
@@ -263,7 +268,7 @@ def score_pseudo(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             words, first = word_hashes(*utf8(batch.column("text")))
             ids = vocabulary(words)
             around = contexts(ids, first)
-            parts = [log_probs(params, around[:, k : k + 16 * BATCH], ids[k : k + 16 * BATCH]) for k in range(0, len(ids), 16 * BATCH)]
+            parts = [log_probs(params, around[:, k : k + 8 * BATCH], ids[k : k + 8 * BATCH]) for k in range(0, len(ids), 8 * BATCH)]
             each = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
             rare = np.flatnonzero(ids < BUCKETS)
             at = np.searchsorted(known, words[rare])
