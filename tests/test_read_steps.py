@@ -1,8 +1,18 @@
 """The steps from alignments to evidence work out once what they read more than once."""
 
+import os
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from breakwater import catalog
+from breakwater.functions import cigar as C
 from breakwater.operators import reads as R
+from breakwater.plans import calling
+
+SF = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
 def plan(df):
@@ -22,6 +32,27 @@ def test_all_flags_for_template_lengths_and_pileups(spark):
     assert {r.flag for r in R.pileup_read_filter(made).collect()} == {f for f in range(4096) if not f & (4 | 1024 | 256)}
 
 
+def test_alignment_strings_are_read_in_one_pass(spark):
+    texts = ["10S90M", "*", "", None, "5M3", "x12I4D", "100=2X", "0M", "3M4Q5D", "M5", "1234567H1P2N"]
+    df = spark.createDataFrame([(t,) for t in texts], "cigar string").select("cigar", C.parse_cigar(F.col("cigar")).alias("ops"), C.parse_cigar(F.col("cigar"), True).alias("first"))
+    assert plan(df.select("ops")).count("regexp_extract_all") == 1
+    for r in df.collect():
+        want = None if r.cigar is None else [(int(n), o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", r.cigar)]
+        assert (r.ops and [tuple(x) for x in r.ops]) == want if want else r.ops == want
+        assert [tuple(x) for x in r.first or []] == [(want[0][0], o) for _, o in want or []]
+
+
+@tables
+def test_pairs_carry_no_hits_unless_asked(spark):
+    assert not {"nm", "xa"} & set(catalog.pairs(spark, SF).schema["r1"].dataType.names)
+    assert {"nm", "xa"} <= set(calling.pairs_of(catalog.kept(spark, SF)).schema["r1"].dataType.names)
+
+
+@tables
+def test_written_alignments_are_what_is_read_of_them(spark):
+    assert set(catalog.written(spark, SF).columns) == {"sample", "read_name", "mate", "ref_id", "pos", "mapq", "flag", "cigar", "insert_size", "tells_stats"}
+
+
 def test_reads_without_indels_are_not_parsed_for_them(spark):
     reads = spark.createDataFrame([("s", 1, 10, 60, "50M30I20M"), ("s", 1, 10, 60, "100M"), ("s", 1, 10, 60, "40M25D60M"), ("s", 1, 10, 60, "5I95M"), ("s", 1, 10, 60, None)], "sample string, ref_id int, pos long, mapq int, cigar string")
     reads = reads.withColumn("flag", F.lit(1))
