@@ -42,6 +42,25 @@ def test_alignment_strings_are_read_in_one_pass(spark):
         assert [tuple(x) for x in r.first or []] == [(want[0][0], o) for _, o in want or []]
 
 
+def test_each_alignment_string_is_parsed_once(spark):
+    texts = ["10S90M", None, "5M3", "x12I4D", "100=2X", "0M", "3M4Q5D", "1234567H1P2N", "40M25D60M", "10S90M"]
+    rows = spark.createDataFrame([(f"r{i}", 100 + i if i % 5 else None, 16 * (i % 2), t) for i, t in enumerate(texts * 3)], "read_name string, pos long, flag int, cigar string")
+    want = R.with_cigar(rows)
+    for most, parses in ((1 << 22, 0), (10, 1)):
+        got = R.with_cigar_once(rows, most)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        text = plan(got)
+        assert ("Join LeftOuter" not in text) == parses  # too many strings: each read's own is parsed
+    assert R.with_cigar_once(rows.limit(0)).count() == 0
+
+
+@tables
+def test_evidence_looks_alignment_strings_up(spark):
+    text = plan(catalog.evidence(spark, SF))
+    assert text.count("Join LeftOuter, (cigar#") == 2 == text.count("regexp_extract_all")  # of pairs and within reads
+
+
 @tables
 def test_pairs_carry_no_hits_unless_asked(spark):
     assert not {"nm", "xa"} & set(catalog.pairs(spark, SF).schema["r1"].dataType.names)
