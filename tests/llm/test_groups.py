@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import public_tokenizers as P
@@ -109,6 +110,24 @@ def test_suffix_at_full_length(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_suffix_brings_no_anchor_together(spark, monkeypatch):
+    """One passage in many different surroundings: its spans meet under few anchors, and no sorted join is by the anchor alone."""
+    r = random.Random(12)
+    say = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    passage = say(60)
+    df = spark.createDataFrame([(i, f"{say(80)} {passage} {say(80)}") for i in range(60)], "doc_id long, text string").repartition(3)
+    plans, cut = [], suffix.cut
+    monkeypatch.setattr(suffix, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {most: sorted(map(tuple, suffix.remove_repeats(df, length=200, most_spans=most).collect())) for most in (suffix.SPANS, 8)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got[8] == got[suffix.SPANS] and all(x[2] >= len(passage) for x in got[8])
+    assert any("SortMergeJoin [anchor#" in p for p in plans) and not [p for p in plans if re.search(r"SortMergeJoin \[anchor#\d+L?\],", p)]
+
+
 def test_held_out_without_id(spark):
     """The fold of the contract; a row without an id is in none."""
     from zlib import crc32
